@@ -1,0 +1,86 @@
+"""Joins to a unique-keyed side that stay balanced when one key holds much of the data."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+# A key is heavy from this many rows on.
+HEAVY_ROWS = 1_000_000
+# At most this many keys are treated as heavy, which bounds what is broadcast. Keys past
+# the limit take the ordinary shuffle path, so the result is the same either way; each of
+# those holds less than 1/HEAVY_KEYS of the rows.
+HEAVY_KEYS = 10_000
+# Heavy rows are spread over this many sub-keys in the shuffle.
+SALTS = 1024
+
+
+def heavy_keys(
+    df: DataFrame,
+    keys: list[str],
+    *,
+    min_rows: int = HEAVY_ROWS,
+    max_keys: int = HEAVY_KEYS,
+) -> DataFrame:
+    """The heaviest keys of ``df``: at least ``min_rows`` rows, no more than ``max_keys`` keys."""
+    return heaviest(df.groupBy(*keys).agg(F.count("*").alias("n")), keys, min_rows, max_keys)
+
+
+def heaviest(
+    counts: DataFrame,
+    keys: list[str],
+    min_rows: int = HEAVY_ROWS,
+    max_keys: int = HEAVY_KEYS,
+) -> DataFrame:
+    """As :func:`heavy_keys`, from row counts ``n`` per key that are already there."""
+    usable = counts.filter(F.col("n") >= min_rows).dropna(subset=keys)
+    return usable.orderBy(F.desc("n"), *keys).limit(max_keys).select(*keys)
+
+
+def lookup_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    heavy: DataFrame,
+    spread_by: Column,
+    *,
+    found: str | None = None,
+) -> DataFrame:
+    """Left outer join of ``left`` to ``right``, whose ``keys`` are unique, in one pass.
+
+    Rows of heavy keys get their match from a broadcast of just those keys' rows of
+    ``right`` (at most as many as there are heavy keys). In the shuffle join that serves
+    all other rows they carry a salt that matches nothing and spreads them evenly, as do
+    rows whose key is NULL. The salt is a hash of ``spread_by``, so a retried task sends
+    every row to the same place.
+
+    ``found`` names an optional boolean output column: whether ``right`` had the key.
+    """
+    extra = [c for c in right.columns if c not in keys]
+    hot = F.broadcast(right.join(F.broadcast(heavy), keys, "left_semi")).select(
+        *keys, F.struct(*extra, F.lit(True).alias("_hit")).alias("_hot")
+    )
+    cold = right.select(
+        *keys,
+        # Always 0, yet not a constant to the optimizer: a literal would be folded out of
+        # the join keys and the heavy rows would meet in one task again.
+        F.pmod(F.xxhash64(*keys), F.lit(1)).alias("_salt"),
+        F.struct(*extra, F.lit(True).alias("_hit")).alias("_cold"),
+    )
+    null_key = F.lit(False)
+    for key in keys:
+        null_key = null_key | F.col(key).isNull()
+    salt = F.when(
+        F.col("_hot").isNotNull() | null_key,
+        F.pmod(F.xxhash64(spread_by), F.lit(SALTS)) + 1,
+    ).otherwise(F.lit(0))
+    joined = (
+        left.join(F.broadcast(hot), keys, "left")
+        .withColumn("_salt", salt.cast("bigint"))
+        .join(cold, [*keys, "_salt"], "left")
+        .withColumn("_match", F.coalesce("_hot", "_cold"))
+    )
+    outputs = [F.col(c) for c in left.columns]
+    outputs += [F.col("_match").getField(c).alias(c) for c in extra]
+    if found:
+        outputs.append(F.coalesce(F.col("_match").getField("_hit"), F.lit(False)).alias(found))
+    return joined.select(*outputs)
