@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caudal.functions.numbers import as_double, pct_of_counts, scaled_to
 from caudal.functions.text import money, month_of_label, plain_number, thousands
@@ -80,33 +80,34 @@ def rep_semaforo(t: Tables) -> DataFrame:
     return unpivot_row(kpis.kpi_debilidades(t), entries)
 
 
-def _series(chart: str, frame: DataFrame, label: Column, items: int | None) -> DataFrame:
-    """(grafica, etiqueta, valor, fraccion) of one chart; the largest bar has fraction 1."""
+def _bars(chart: str, frame: DataFrame, label: str | Column, items: int | None) -> DataFrame:
     bars = frame if items is None else frame.limit(items)
-    bars = bars.select(
+    label = F.col(label) if isinstance(label, str) else label
+    return bars.select(
         F.lit(chart).alias("grafica"), label.alias("etiqueta"), F.col("total").alias("valor")
     )
-    largest = as_double(bars.agg(F.max("valor")).scalar())
-    return bars.withColumn("fraccion", scaled_to(as_double(F.col("valor")), largest))
 
 
 def rep_series(t: Tables, *, as_of: str | None = None) -> DataFrame:
-    """The six charts; horizontal ones show the first ten bars."""
+    """The six charts as (grafica, etiqueta, valor, fraccion); the horizontal ones show ten bars.
+
+    ``fraccion`` is the bar's length: its value over the largest of its chart.
+    """
+    top = BARRAS_MAXIMAS
     charts = [
-        _series("Transacciones por Mes (últimos 12 meses)", kpis.kpi_tendencia(t, as_of=as_of),
-                month_of_label(F.col("mes")), None),
-        _series("Clientes por Segmento", kpis.kpi_clientes_por_segmento(t),
-                F.col("segmento"), BARRAS_MAXIMAS),
-        _series("Transacciones por Canal", kpis.kpi_transacciones_por_canal(t),
-                F.col("canal"), BARRAS_MAXIMAS),
-        _series("Distribución de Score Crediticio", kpis.kpi_score_crediticio(t),
-                F.col("rango"), BARRAS_MAXIMAS),
-        _series("Préstamos por Tipo", kpis.kpi_prestamos_por_tipo(t),
-                F.col("tipo"), BARRAS_MAXIMAS),
-        _series("Cobros Excedidos por Tipo de Comisión", kpis.kpi_cobros_excedidos(t),
-                F.col("tipo"), BARRAS_MAXIMAS),
+        _bars("Transacciones por Mes (últimos 12 meses)",
+              kpis.kpi_tendencia(t, as_of=as_of), month_of_label(F.col("mes")), None),
+        _bars("Clientes por Segmento", kpis.kpi_clientes_por_segmento(t), "segmento", top),
+        _bars("Transacciones por Canal", kpis.kpi_transacciones_por_canal(t), "canal", top),
+        _bars("Distribución de Score Crediticio", kpis.kpi_score_crediticio(t), "rango", top),
+        _bars("Préstamos por Tipo", kpis.kpi_prestamos_por_tipo(t), "tipo", top),
+        _bars("Cobros Excedidos por Tipo de Comisión", kpis.kpi_cobros_excedidos(t), "tipo", top),
     ]
-    return reduce(DataFrame.unionByName, charts)
+    # A chart is at most ten bars or thirteen months by now.
+    largest = F.max("valor").over(Window.partitionBy("grafica"))
+    return reduce(DataFrame.unionByName, charts).withColumn(
+        "fraccion", scaled_to(as_double(F.col("valor")), as_double(largest))
+    )
 
 
 def rep_tarjetas(t: Tables) -> DataFrame:
@@ -118,6 +119,24 @@ def rep_tarjetas(t: Tables) -> DataFrame:
     return unpivot_row(kpis.kpi_resumen(t), entries)
 
 
+def _advice(t: Tables) -> DataFrame:
+    """The recommendations, or one row that says there is none."""
+    each = F.array(*[
+        F.struct(
+            F.lit(area).alias("area"), F.lit(solution).alias("solucion"),
+            (F.col(column) > threshold).alias("sobre"),
+        )
+        for column, threshold, area, _, solution, _ in kpis.INDICADORES
+    ])
+    found = F.filter(each, lambda r: r.getField("sobre"))
+    none = F.array(F.struct(
+        F.lit(None).cast("string").alias("area"), F.lit(SIN_SOLUCIONES).alias("solucion"),
+        F.lit(True).alias("sobre"),
+    ))
+    shown = F.when(F.size(found) > 0, found).otherwise(none)
+    return kpis.kpi_debilidades(t).select(F.explode(shown).alias("r")).select("r.area", "r.solucion")
+
+
 def rep_reporte(
     t: Tables,
     *,
@@ -166,15 +185,10 @@ def rep_reporte(
                  F.col("indicador"), F.col("valor"))
         )
     if recomendaciones:
-        found = kpis.kpi_soluciones(t)
-        advice = rows("recomendaciones", "Soluciones Recomendadas", found,
-                      F.col("area"), F.col("solucion"))
-        none = found.agg(F.count("*").alias("n")).filter(F.col("n") == 0)
-        parts += [
-            advice,
-            rows("recomendaciones", "Soluciones Recomendadas", none,
-                 F.lit(None).cast("string"), F.lit(SIN_SOLUCIONES)),
-        ]
+        parts.append(
+            rows("recomendaciones", "Soluciones Recomendadas", _advice(t),
+                 F.col("area"), F.col("solucion"))
+        )
     if not parts:
         raise ValueError("no section chosen")
     return reduce(DataFrame.unionByName, parts)
