@@ -17,8 +17,8 @@ def carry_forward(quotes: DataFrame, day: str, value: str) -> DataFrame:
     (about 365 a year), which no amount of transactions makes longer.
     """
     following = F.lead(day).over(Window.orderBy(day))
-    until = F.coalesce(F.date_sub(following, 1), F.col(day))
-    return quotes.select(F.explode(F.sequence(F.col(day), until)).alias(day), value)
+    spans = quotes.withColumn("_hasta", F.coalesce(F.date_sub(following, 1), F.col(day)))
+    return spans.select(F.explode(F.sequence(F.col(day), F.col("_hasta"))).alias(day), value)
 
 
 def join_as_of(df: DataFrame, on_date: Column, quotes: DataFrame, day: str, value: str) -> DataFrame:
