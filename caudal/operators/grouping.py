@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caudal.functions.numbers import pct_of_counts
 
@@ -25,10 +25,11 @@ def with_share(
 ) -> DataFrame:
     """Adds each group's share of all counted rows, in percent.
 
-    The grand total is a scalar subquery over the already grouped rows: it reuses their
-    shuffle, so the table is scanned once and no group is pulled into a single task.
+    Meant for enumerations such as statuses and channels. The total is a window over the
+    grouped rows: what meets in one task is one row per distinct value, never the table's
+    rows, and whatever produced the groups runs once.
     """
-    grand_total = grouped.agg(F.sum(total)).scalar()
+    grand_total = F.sum(total).over(Window.partitionBy())
     return grouped.withColumn(share, pct_of_counts(F.col(total), grand_total, digits))
 
 

@@ -55,10 +55,10 @@ def ctx_snapshot(t: Tables) -> DataFrame:
     """Ten global counts and balances; one scan per table."""
     return one_row(
         t.clientes.agg(F.count("*").alias("totalClientes")),
-        kpis.active_accounts(t),
-        kpis.current_loans(t),
+        t.cuentas.agg(*kpis.account_totals()),
+        t.prestamos.agg(*kpis.loan_totals()),
         t.transacciones.agg(count_true(F.col("es_fraude_potencial")).alias("fraudesPotenciales")),
-        t.cobros.agg(count_true(F.col("excede_limite")).alias("cobrosExcedidos")),
+        t.cobros.agg(kpis.over_limit_fees()),
         t.tarjetas.agg(
             count_true(F.col("estatus_tarjeta") == kpis.TARJETA_ACTIVA).alias("tarjetasActivas")
         ),

@@ -57,40 +57,52 @@ def _sum_where(keep: Column, value: str) -> Column:
 
 # ── headline numbers ────────────────────────────────────────────────────────────────────
 
-def active_accounts(t: Tables, status: str = CUENTA_ACTIVA) -> DataFrame:
+def account_totals(status: str = CUENTA_ACTIVA) -> list[Column]:
     active = F.col("estatus") == status
-    return t.cuentas.agg(
+    return [
         count_true(active).alias("cuentasActivas"),
         _sum_where(active, "saldo").alias("saldoTotalCuentas"),
-    )
+    ]
 
 
-def current_loans(t: Tables, status: str = PRESTAMO_VIGENTE) -> DataFrame:
+def loan_totals(status: str = PRESTAMO_VIGENTE) -> list[Column]:
     current = F.col("estatus_prestamo") == status
-    return t.prestamos.agg(
+    return [
         count_true(current).alias("prestamosActivos"),
         _sum_where(current, "saldo_prestamo").alias("montoPrestamosVigentes"),
+    ]
+
+
+def over_limit_fees() -> Column:
+    return count_true(F.col("excede_limite")).alias("cobrosExcedidos")
+
+
+def transactions_per_day(t: Tables) -> DataFrame:
+    """(dia, n, fraudes): all that the headline numbers need of the transactions."""
+    return t.transacciones.groupBy(F.to_date("fecha").alias("dia")).agg(
+        F.count("*").alias("n"), count_true(F.col("es_fraude_potencial")).alias("fraudes")
     )
 
 
+def day_totals() -> list[Column]:
+    return [
+        _or_zero(F.max_by("n", "dia")).alias("transaccionesHoy"),
+        _or_zero(F.sum("fraudes")).alias("fraudesPotenciales"),
+    ]
+
+
 def kpi_resumen(t: Tables) -> DataFrame:
     """Eight headline counts and balances; one scan per table.
 
     "Today" is the calendar day of the latest transaction. Transactions are first counted
     per day, so the latest day falls out of a handful of daily rows, not a second scan.
     """
-    per_day = t.transacciones.groupBy(F.to_date("fecha").alias("dia")).agg(
-        F.count("*").alias("n"), count_true(F.col("es_fraude_potencial")).alias("fraudes")
-    )
     return one_row(
         t.clientes.agg(F.count("*").alias("totalClientes")),
-        active_accounts(t),
-        current_loans(t),
-        per_day.agg(
-            _or_zero(F.max_by("n", "dia")).alias("transaccionesHoy"),
-            _or_zero(F.sum("fraudes")).alias("fraudesPotenciales"),
-        ),
-        t.cobros.agg(count_true(F.col("excede_limite")).alias("cobrosExcedidos")),
+        t.cuentas.agg(*account_totals()),
+        t.prestamos.agg(*loan_totals()),
+        transactions_per_day(t).agg(*day_totals()),
+        t.cobros.agg(over_limit_fees()),
     )
 
 
@@ -196,27 +208,53 @@ def kpi_cobros_excedidos(t: Tables, *, result: str = AUDITORIA_EXCEDE) -> DataFr
 
 # ── weak points and recommendations ─────────────────────────────────────────────────────
 
+def _risk(part: Column, whole: Column, name: str) -> Column:
+    return _or_zero(pct_of_counts(part, whole)).alias(name)
+
+
+def over_limit_risk() -> Column:
+    over = count_true(F.col("excede_limite"))
+    return _risk(over, F.count("*"), "porcentajeCobrosExcedidos")
+
+
+def canceled_risk() -> Column:
+    canceled = count_true(F.col("estatus") == CUENTA_CANCELADA)
+    return _risk(canceled, F.count("*"), "porcentajeCuentasCanceladas")
+
+
+def overdue_risk() -> Column:
+    overdue = count_true(F.col("estatus_prestamo") == PRESTAMO_VENCIDO)
+    open_loans = count_true(F.col("estatus_prestamo") != PRESTAMO_LIQUIDADO)
+    return _risk(overdue, open_loans, "porcentajePrestamosVencidos")
+
+
+def failed_goal_risk() -> Column:
+    failed = count_true(F.col("estatus") == META_FALLIDA)
+    return _risk(failed, F.count("*"), "porcentajeMetasFallidas")
+
+
 def kpi_debilidades(t: Tables) -> DataFrame:
     """Five risk percentages; a table without rows reads as 0."""
-    every = F.count("*")
-    canceled = F.col("estatus") == CUENTA_CANCELADA
-    overdue = F.col("estatus_prestamo") == PRESTAMO_VENCIDO
-    open_loan = F.col("estatus_prestamo") != PRESTAMO_LIQUIDADO
-    failed = F.col("estatus") == META_FALLIDA
+    fraud = count_true(F.col("es_fraude_potencial"))
+    return one_row(
+        t.transacciones.agg(_risk(fraud, F.count("*"), "porcentajeFraudePotencial")),
+        t.cobros.agg(over_limit_risk()),
+        t.cuentas.agg(canceled_risk()),
+        t.prestamos.agg(overdue_risk()),
+        t.metas_ahorro.agg(failed_goal_risk()),
+    )
 
-    def pct(part: Column, whole: Column, name: str) -> Column:
-        return _or_zero(pct_of_counts(part, whole)).alias(name)
 
+def resumen_y_debilidades(t: Tables) -> DataFrame:
+    """The columns of :func:`kpi_resumen` and :func:`kpi_debilidades` from one scan per table."""
+    fraud_rate = _risk(F.sum("fraudes"), F.sum("n"), "porcentajeFraudePotencial")
     return one_row(
-        t.transacciones.agg(
-            pct(count_true(F.col("es_fraude_potencial")), every, "porcentajeFraudePotencial")
-        ),
-        t.cobros.agg(pct(count_true(F.col("excede_limite")), every, "porcentajeCobrosExcedidos")),
-        t.cuentas.agg(pct(count_true(canceled), every, "porcentajeCuentasCanceladas")),
-        t.prestamos.agg(
-            pct(count_true(overdue), count_true(open_loan), "porcentajePrestamosVencidos")
-        ),
-        t.metas_ahorro.agg(pct(count_true(failed), every, "porcentajeMetasFallidas")),
+        t.clientes.agg(F.count("*").alias("totalClientes")),
+        t.cuentas.agg(*account_totals(), canceled_risk()),
+        t.prestamos.agg(*loan_totals(), overdue_risk()),
+        transactions_per_day(t).agg(*day_totals(), fraud_rate),
+        t.cobros.agg(over_limit_fees(), over_limit_risk()),
+        t.metas_ahorro.agg(failed_goal_risk()),
     )
 
 

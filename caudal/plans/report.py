@@ -45,27 +45,31 @@ TARJETAS = (
 BARRAS_MAXIMAS = 10
 
 
-def rep_nivel_fraude(t: Tables) -> DataFrame:
-    """Fraud percentage, number of cases, risk level and advice."""
+def fraud_level() -> Column:
     pct = F.col("porcentajeFraudePotencial")
+    return (
+        F.when(pct > FRAUDE_ALTO, NIVEL_ALTO).when(pct > FRAUDE_MEDIO, NIVEL_MEDIO)
+        .otherwise(NIVEL_BAJO)
+    )
 
-    def by_level(high: str, mid: str, low: str) -> Column:
-        return F.when(pct > FRAUDE_ALTO, high).when(pct > FRAUDE_MEDIO, mid).otherwise(low)
 
-    both = t.transacciones.agg(
-        F.count_if("es_fraude_potencial").alias("fraudesPotenciales"),
-        F.coalesce(
-            pct_of_counts(F.count_if("es_fraude_potencial"), F.count("*")), F.lit(0.0)
-        ).alias("porcentajeFraudePotencial"),
-    )
-    return both.select(
-        pct,
-        "fraudesPotenciales",
-        by_level(NIVEL_ALTO, NIVEL_MEDIO, NIVEL_BAJO).alias("nivel"),
-        by_level(MENSAJE_ALTO, MENSAJE_MEDIO, MENSAJE_BAJO).alias("mensaje"),
+def fraud_message() -> Column:
+    level = fraud_level()
+    return (
+        F.when(level == NIVEL_ALTO, MENSAJE_ALTO).when(level == NIVEL_MEDIO, MENSAJE_MEDIO)
+        .otherwise(MENSAJE_BAJO)
     )
 
 
+def rep_nivel_fraude(t: Tables) -> DataFrame:
+    """Fraud percentage, number of cases, risk level and advice."""
+    cases = F.count_if("es_fraude_potencial")
+    rate = F.coalesce(pct_of_counts(cases, F.count("*")), F.lit(0.0))
+    return t.transacciones.agg(
+        rate.alias("porcentajeFraudePotencial"), cases.alias("fraudesPotenciales")
+    ).select("*", fraud_level().alias("nivel"), fraud_message().alias("mensaje"))
+
+
 def rep_semaforo(t: Tables) -> DataFrame:
     """The five risk indicators with value text, flag and label."""
     entries = [
@@ -119,22 +123,26 @@ def rep_tarjetas(t: Tables) -> DataFrame:
     return unpivot_row(kpis.kpi_resumen(t), entries)
 
 
-def _advice(t: Tables) -> DataFrame:
-    """The recommendations, or one row that says there is none."""
+def _advice() -> Column:
+    """Array of the recommendations that apply, or the one entry that says there is none."""
+    block = F.lit("Soluciones Recomendadas")
     each = F.array(*[
         F.struct(
-            F.lit(area).alias("area"), F.lit(solution).alias("solucion"),
             (F.col(column) > threshold).alias("sobre"),
+            _entry("recomendaciones", block, F.lit(area), F.lit(solution)).alias("fila"),
         )
         for column, threshold, area, _, solution, _ in kpis.INDICADORES
     ])
-    found = F.filter(each, lambda r: r.getField("sobre"))
-    none = F.array(F.struct(
-        F.lit(None).cast("string").alias("area"), F.lit(SIN_SOLUCIONES).alias("solucion"),
-        F.lit(True).alias("sobre"),
-    ))
-    shown = F.when(F.size(found) > 0, found).otherwise(none)
-    return kpis.kpi_debilidades(t).select(F.explode(shown).alias("r")).select("r.area", "r.solucion")
+    found = F.transform(F.filter(each, lambda r: r.getField("sobre")), lambda r: r.getField("fila"))
+    none = _entry("recomendaciones", block, F.lit(None).cast("string"), F.lit(SIN_SOLUCIONES))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(none))
+
+
+def _entry(section: str, block: Column, label: Column, text: Column) -> Column:
+    return F.struct(
+        F.lit(section).alias("seccion"), block.alias("bloque"),
+        label.alias("etiqueta"), text.alias("texto"),
+    )
 
 
 def rep_reporte(
@@ -147,48 +155,48 @@ def rep_reporte(
     recomendaciones: bool = True,
     as_of: str | None = None,
 ) -> DataFrame:
-    """The chosen sections as (seccion, bloque, etiqueta, texto) rows."""
-
-    def rows(section: str, block: str, frame: DataFrame, label: Column, text: Column) -> DataFrame:
-        return frame.select(
-            F.lit(section).alias("seccion"), F.lit(block).alias("bloque"),
-            label.alias("etiqueta"), text.alias("texto"),
-        )
+    """The chosen sections as (seccion, bloque, etiqueta, texto) rows.
 
+    Everything that hangs on headline numbers and risk percentages comes from one row with
+    both, so each table is scanned once for it.
+    """
+    from_row: list[Column] = []
     parts: list[DataFrame] = []
     if kpis_on:
+        from_row.append(F.array(*[
+            _entry("kpis", F.lit("Resumen General"), F.lit(label), show(F.col(column)))
+            for label, column, show in TARJETAS
+        ]))
+        volume = F.concat(
+            thousands(F.col("total")), F.lit(" · "),
+            F.coalesce(money(F.col("monto_total")), F.lit("$0.00")),
+        )
         parts += [
-            rows("kpis", "Resumen General", rep_tarjetas(t), F.col("tarjeta"), F.col("valor")),
-            rows("kpis", "Clientes por Segmento", kpis.kpi_clientes_por_segmento(t),
-                 F.col("segmento"), thousands(F.col("total"))),
-            rows("kpis", "Tendencia de Transacciones (últimos 12 meses)",
-                 kpis.kpi_tendencia(t, as_of=as_of), F.col("mes"),
-                 F.concat(thousands(F.col("total")), F.lit(" · "),
-                          F.coalesce(money(F.col("monto_total")), F.lit("$0.00")))),
+            kpis.kpi_clientes_por_segmento(t).select(_entry(
+                "kpis", F.lit("Clientes por Segmento"), F.col("segmento"), thousands(F.col("total"))
+            ).alias("r")),
+            kpis.kpi_tendencia(t, as_of=as_of).select(_entry(
+                "kpis", F.lit("Tendencia de Transacciones (últimos 12 meses)"), F.col("mes"), volume
+            ).alias("r")),
         ]
     if fraude:
-        parts.append(
-            rows("fraude", "Análisis de Fraude Potencial", rep_nivel_fraude(t),
-                 F.col("nivel"), F.col("mensaje"))
-        )
+        block = F.lit("Análisis de Fraude Potencial")
+        from_row.append(F.array(_entry("fraude", block, fraud_level(), fraud_message())))
     if graficas:
-        series = rep_series(t, as_of=as_of)
-        parts.append(
-            series.select(
-                F.lit("graficas").alias("seccion"), F.col("grafica").alias("bloque"),
-                "etiqueta", thousands(F.col("valor")).alias("texto"),
-            )
-        )
+        parts.append(rep_series(t, as_of=as_of).select(_entry(
+            "graficas", F.col("grafica"), F.col("etiqueta"), thousands(F.col("valor"))
+        ).alias("r")))
     if debilidades:
-        parts.append(
-            rows("debilidades", "Indicadores de Riesgo", rep_semaforo(t),
-                 F.col("indicador"), F.col("valor"))
-        )
+        from_row.append(F.array(*[
+            _entry("debilidades", F.lit("Indicadores de Riesgo"), F.lit(label),
+                   F.concat(plain_number(F.col(column)), F.lit("%")))
+            for label, column, _ in INDICADORES_REPORTE
+        ]))
     if recomendaciones:
-        parts.append(
-            rows("recomendaciones", "Soluciones Recomendadas", _advice(t),
-                 F.col("area"), F.col("solucion"))
-        )
+        from_row.append(_advice())
+    if from_row:
+        row = kpis.resumen_y_debilidades(t)
+        parts.append(row.select(F.explode(F.concat(*from_row)).alias("r")))
     if not parts:
         raise ValueError("no section chosen")
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts).select("r.*")
