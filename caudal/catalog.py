@@ -32,26 +32,20 @@ def _timed(plan: Callable[..., DataFrame], **params) -> Query:
     return lambda spark, sf_dir: plan(sample_bank(spark, sf_dir, timed=True), **params)
 
 
-def _from_alerts(build: Callable[[DataFrame, Tables], DataFrame]) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = sample_bank(spark, sf_dir, timed=True)
-        return build(fraud.fraud_alerts(t, rules=SIX_HOURS), t)
-
-    return run
-
-
 def _from_mart(serve: Callable[..., DataFrame], **params) -> Query:
     """A serving query over mart frames that are not written first."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = sample_bank(spark, sf_dir, timed=True)
-        alerts = fraud.fraud_alerts(t, rules=SIX_HOURS)
-        mart = fraud.mart_frames(alerts, t.transacciones, rules=SIX_HOURS)
-        return serve({**mart, "alertas_fraude": alerts}, **params)
+        return serve(fraud.mart_without_load(t, rules=SIX_HOURS), **params)
 
     return run
 
 
+def _mart_table(name: str) -> Query:
+    return _from_mart(lambda mart: mart[name])
+
+
 def _flag(rule: Callable[..., DataFrame], flag: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = sample_bank(spark, sf_dir, timed=True)
@@ -126,13 +120,11 @@ FRAUD_QUERIES: dict[str, Query] = {
     "fraud_r2_velocity": _flag(fraud.fraud_r2_velocity, "r2_velocidad"),
     "fraud_r3_amount": _flag(fraud.fraud_r3_amount, "r3_monto"),
     "fraud_r4_hour": _flag(fraud.fraud_r4_hour, "r4_hora"),
-    "fraud_alerts": _from_alerts(lambda alerts, t: alerts),
-    "fraud_by_category": _from_alerts(lambda alerts, t: fraud.fraud_by_category(alerts)),
-    "fraud_by_channel": _from_alerts(lambda alerts, t: fraud.fraud_by_channel(alerts)),
-    "fraud_by_month": _from_alerts(lambda alerts, t: fraud.fraud_by_month(alerts)),
-    "fraud_summary": _from_alerts(
-        lambda alerts, t: fraud.fraud_summary(alerts, t.transacciones, rules=SIX_HOURS)
-    ),
+    "fraud_alerts": _mart_table("alertas_fraude"),
+    "fraud_by_category": _mart_table("fraude_por_categoria"),
+    "fraud_by_channel": _mart_table("fraude_por_canal"),
+    "fraud_by_month": _mart_table("fraude_por_mes"),
+    "fraud_summary": _mart_table("resumen_general"),
     "etl_run": _etl,
     "etl_tipo_cambio_csv": _csv_rates,
     "etl_resumen": _from_mart(fraud_mart.etl_resumen),

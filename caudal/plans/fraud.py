@@ -13,7 +13,7 @@ from caudal.operators.asof import join_as_of
 from caudal.operators.grouping import one_row, with_share
 from caudal.operators.rolling import busy_instants, counts_per_instant
 from caudal.operators.skew import HEAVY_ROWS, heaviest, heavy_keys, lookup_join
-from caudal.schemas import BANK_TABLES, MART_DDL
+from caudal.schemas import BANK_TABLES, MART_DDL, mart_schema
 from caudal.sources.sinks import publish_views, replace_tables
 from caudal.sources.tables import Tables, extract
 
@@ -169,29 +169,37 @@ def score_transactions(t: Tables, *, rules: FraudRules = DEFAULT_RULES) -> DataF
     )
 
 
-def alerts_of(
-    scored: DataFrame, t: Tables, *, rules: FraudRules = DEFAULT_RULES
+def flagged_alerts(scored: DataFrame, *, rules: FraudRules = DEFAULT_RULES) -> DataFrame:
+    """Scored transactions of known clients at or over the alert score."""
+    return scored.filter((F.col("score") >= rules.alert_score) & F.col("es_cliente"))
+
+
+def with_usd(alerts: DataFrame, t: Tables) -> DataFrame:
+    """Adds the day's exchange rate and the amount in USD."""
+    quotes = t.tipo_cambio.select(F.col("fecha").alias("dia"), F.col("rate").alias("tipo_cambio"))
+    priced = join_as_of(alerts, F.to_date("fecha"), quotes, "dia", "tipo_cambio")
+    usd = F.round(F.try_divide(F.col("monto"), F.col("tipo_cambio")), 2)
+    return priced.withColumn("monto_usd", usd.cast("decimal(18,2)"))
+
+
+def with_account(
+    alerts: DataFrame, t: Tables, *, rules: FraudRules = DEFAULT_RULES
 ) -> DataFrame:
-    """Scored transactions at or over the alert score, with account data and amount in USD."""
-    alerts = scored.filter((F.col("score") >= rules.alert_score) & F.col("es_cliente"))
+    """Adds the account's type and branch; NULL for alerts without an account.
+
+    Heavy accounts come from the plain transactions: a narrow scan, and an account heavy
+    among the alerts is heavy there too.
+    """
     accounts = t.cuentas.select("num_cuenta", "tipo_cuenta", "sucursal")
-    # Heavy accounts come from the plain transactions: a narrow scan, and an account heavy
-    # among the alerts is heavy there too.
     heavy = heavy_keys(t.transacciones, ["num_cuenta"], min_rows=rules.heavy_rows)
-    with_account = lookup_join(alerts, accounts, ["num_cuenta"], heavy, F.col("id_transaccion"))
-    quotes = t.tipo_cambio.select(F.col("fecha").alias("dia"), F.col("rate").alias("tipo_cambio"))
-    priced = join_as_of(with_account, F.to_date("fecha"), quotes, "dia", "tipo_cambio")
-    usd = F.round(F.try_divide(F.col("monto"), F.col("tipo_cambio")), 2)
-    return priced.select(
-        "id_transaccion", "id_cliente", "nombre", "apellido_paterno", "num_cuenta",
-        "tipo_cuenta", "sucursal", "fecha", "monto", "categoria", "comercio", "canal",
-        "r1_geo", "r2_velocidad", "r3_monto", "r4_hora", "score", "tipo_cambio",
-        usd.cast("decimal(18,2)").alias("monto_usd"),
-    )
+    return lookup_join(alerts, accounts, ["num_cuenta"], heavy, F.col("id_transaccion"))
 
 
 def fraud_alerts(t: Tables, *, rules: FraudRules = DEFAULT_RULES) -> DataFrame:
-    return alerts_of(score_transactions(t, rules=rules), t, rules=rules)
+    """The alerts with client, account and USD amount, as loaded into the mart."""
+    alerts = flagged_alerts(score_transactions(t, rules=rules), rules=rules)
+    enriched = with_usd(with_account(alerts, t, rules=rules), t)
+    return enriched.select(*mart_schema("alertas_fraude").names)
 
 
 # ── the mart ────────────────────────────────────────────────────────────────────────────
@@ -243,17 +251,24 @@ def fraud_summary(
 
 
 def mart_frames(
-    alerts: DataFrame, tx: DataFrame, *, rules: FraudRules = DEFAULT_RULES
+    alerts: DataFrame, priced: DataFrame, tx: DataFrame, *, rules: FraudRules = DEFAULT_RULES
 ) -> dict[str, DataFrame]:
-    """The mart tables built from the alerts."""
+    """The mart's aggregates. Only the summary needs the alerts ``priced`` in USD."""
     return {
         "fraude_por_categoria": fraud_by_category(alerts),
         "fraude_por_canal": fraud_by_channel(alerts),
         "fraude_por_mes": fraud_by_month(alerts),
-        "resumen_general": fraud_summary(alerts, tx, rules=rules),
+        "resumen_general": fraud_summary(priced, tx, rules=rules),
     }
 
 
+def mart_without_load(t: Tables, *, rules: FraudRules = DEFAULT_RULES) -> dict[str, DataFrame]:
+    """All mart tables as lazy frames, for a one-off question to an unloaded mart."""
+    alerts = flagged_alerts(score_transactions(t, rules=rules), rules=rules)
+    frames = mart_frames(alerts, with_usd(alerts, t), t.transacciones, rules=rules)
+    return {**frames, "alertas_fraude": fraud_alerts(t, rules=rules)}
+
+
 def etl_run(
     spark: SparkSession,
     t: Tables,
@@ -274,6 +289,6 @@ def etl_run(
         t = Tables.from_parquet(spark, staging)
     paths = replace_tables({"alertas_fraude": fraud_alerts(t, rules=rules)}, folder)
     alerts = spark.read.schema(MART_DDL["alertas_fraude"]).parquet(paths["alertas_fraude"])
-    paths |= replace_tables(mart_frames(alerts, t.transacciones, rules=rules), folder)
+    paths |= replace_tables(mart_frames(alerts, alerts, t.transacciones, rules=rules), folder)
     publish_views(spark, paths, MART_DDL)
     return paths
