@@ -165,6 +165,7 @@ LOOKUP_QUERIES: dict[str, Query] = {
 HISTORY_QUERIES: dict[str, Query] = {
     "ctx_snapshot": _dated(history.ctx_snapshot),
     "ctx_tx_anual": _dated(history.ctx_tx_anual, years=YEARS),
+    "ctx_tx_anual_texto": _dated(history.ctx_tx_anual_texto, years=YEARS),
     "ctx_cuentas_anual": _dated(history.ctx_cuentas_anual, years=YEARS),
     "ctx_pagos_anual": _dated(history.ctx_pagos_anual, years=YEARS),
     "ctx_prestamos_anual": _dated(history.ctx_prestamos_anual, years=YEARS),

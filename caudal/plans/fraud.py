@@ -250,23 +250,38 @@ def fraud_summary(
     )
 
 
-def mart_frames(
-    alerts: DataFrame, priced: DataFrame, tx: DataFrame, *, rules: FraudRules = DEFAULT_RULES
+def mart_aggregates(
+    alerts: DataFrame, tx: DataFrame, *, rules: FraudRules = DEFAULT_RULES
 ) -> dict[str, DataFrame]:
-    """The mart's aggregates. Only the summary needs the alerts ``priced`` in USD."""
+    """The mart's small tables, from alerts that carry their USD amount."""
     return {
         "fraude_por_categoria": fraud_by_category(alerts),
         "fraude_por_canal": fraud_by_channel(alerts),
         "fraude_por_mes": fraud_by_month(alerts),
-        "resumen_general": fraud_summary(priced, tx, rules=rules),
+        "resumen_general": fraud_summary(alerts, tx, rules=rules),
     }
 
 
-def mart_without_load(t: Tables, *, rules: FraudRules = DEFAULT_RULES) -> dict[str, DataFrame]:
-    """All mart tables as lazy frames, for a one-off question to an unloaded mart."""
-    alerts = flagged_alerts(score_transactions(t, rules=rules), rules=rules)
-    frames = mart_frames(alerts, with_usd(alerts, t), t.transacciones, rules=rules)
-    return {**frames, "alertas_fraude": fraud_alerts(t, rules=rules)}
+def mart_without_load(t: Tables, *, rules: FraudRules = DEFAULT_RULES) -> Tables:
+    """Mart tables as lazy frames, for a one-off question to a mart that is not loaded.
+
+    Each is built from no more than it needs: the breakdowns take the bare alerts, the
+    summary adds the USD amounts, and only the alert list looks up the accounts.
+    """
+
+    def build(name: str) -> DataFrame:
+        if name == "alertas_fraude":
+            return fraud_alerts(t, rules=rules)
+        alerts = flagged_alerts(score_transactions(t, rules=rules), rules=rules)
+        if name == "resumen_general":
+            return fraud_summary(with_usd(alerts, t), t.transacciones, rules=rules)
+        return {
+            "fraude_por_categoria": fraud_by_category,
+            "fraude_por_canal": fraud_by_channel,
+            "fraude_por_mes": fraud_by_month,
+        }[name](alerts)
+
+    return Tables(build)
 
 
 def etl_run(
@@ -289,6 +304,6 @@ def etl_run(
         t = Tables.from_parquet(spark, staging)
     paths = replace_tables({"alertas_fraude": fraud_alerts(t, rules=rules)}, folder)
     alerts = spark.read.schema(MART_DDL["alertas_fraude"]).parquet(paths["alertas_fraude"])
-    paths |= replace_tables(mart_frames(alerts, alerts, t.transacciones, rules=rules), folder)
+    paths |= replace_tables(mart_aggregates(alerts, t.transacciones, rules=rules), folder)
     publish_views(spark, paths, MART_DDL)
     return paths

@@ -23,23 +23,23 @@ def mart_view(spark: SparkSession, name: str) -> DataFrame:
     return table_or_empty(spark, VIEW_PREFIX + name, MART_DDL[name])
 
 
-def mart_views(spark: SparkSession) -> dict[str, DataFrame]:
-    return {name: mart_view(spark, name) for name in MART_DDL}
+def mart_views(spark: SparkSession) -> Tables:
+    return Tables(lambda name: mart_view(spark, name))
 
 
-def etl_resumen(mart: dict[str, DataFrame]) -> DataFrame:
+def etl_resumen(mart: Tables) -> DataFrame:
     return mart["resumen_general"].limit(1)
 
 
-def etl_fraude_por_categoria(mart: dict[str, DataFrame]) -> DataFrame:
+def etl_fraude_por_categoria(mart: Tables) -> DataFrame:
     return mart["fraude_por_categoria"].orderBy(F.desc("total_fraudes"), "categoria")
 
 
-def etl_fraude_por_canal(mart: dict[str, DataFrame]) -> DataFrame:
+def etl_fraude_por_canal(mart: Tables) -> DataFrame:
     return mart["fraude_por_canal"].orderBy(F.desc("total_fraudes"), "canal")
 
 
-def etl_fraude_por_mes(mart: dict[str, DataFrame]) -> DataFrame:
+def etl_fraude_por_mes(mart: Tables) -> DataFrame:
     return mart["fraude_por_mes"].orderBy("anio_mes")
 
 
@@ -86,18 +86,18 @@ def etl_fraude_por_comercio(t: Tables, *, k: int = 20) -> DataFrame:
     )
 
 
-def etl_alertas_fraude(mart: dict[str, DataFrame], *, page: int, limit: int) -> DataFrame:
+def etl_alertas_fraude(mart: Tables, *, page: int, limit: int) -> DataFrame:
     """One page of alerts, newest first."""
     alerts = mart["alertas_fraude"]
     return page_of(alerts, page, limit, F.desc("fecha"), "id_transaccion")
 
 
-def etl_alertas_fraude_info(mart: dict[str, DataFrame], *, page: int, limit: int) -> DataFrame:
+def etl_alertas_fraude_info(mart: Tables, *, page: int, limit: int) -> DataFrame:
     return page_info(mart["alertas_fraude"], page, limit)
 
 
 def etl_alertas_fraude_after(
-    mart: dict[str, DataFrame], *, fecha: str | dt.datetime, id_transaccion: str, limit: int
+    mart: Tables, *, fecha: str | dt.datetime, id_transaccion: str, limit: int
 ) -> DataFrame:
     """The page that follows a known last alert, at the cost of a first page."""
     at, last_id = F.col("fecha"), F.col("id_transaccion")

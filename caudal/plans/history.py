@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caudal.functions.numbers import as_double, count_true, mean_of, pct_of_counts
-from caudal.functions.text import MESES, TRIMESTRES, like_ci, name_at
+from caudal.functions.text import (
+    MESES, TRIMESTRES, like_ci, money_compact, name_at, percent, thousands,
+)
 from caudal.operators.grouping import count_by, one_row, unpivot_row
 from caudal.operators.periods import (
     best_year, compare_two_years, stack, year_over_year, yearly, yearly_by, yearly_counts,
@@ -79,6 +81,17 @@ def ctx_tx_anual(t: Tables, *, years: Years = ANIOS_OPERACIONES) -> DataFrame:
     )
 
 
+def ctx_tx_anual_texto(t: Tables, *, years: Years = ANIOS_OPERACIONES) -> DataFrame:
+    """The yearly transaction figures as they are shown to a reader."""
+    return ctx_tx_anual(t, years=years).select(
+        "anio",
+        thousands(F.col("tx")).alias("tx"),
+        money_compact(F.col("monto")).alias("monto"),
+        thousands(F.col("fraudes")).alias("fraudes"),
+        percent(F.col("tasa")).alias("tasa"),
+    )
+
+
 def ctx_cuentas_anual(t: Tables, *, years: Years = ANIOS_PRODUCTOS) -> DataFrame:
     return yearly(t.cuentas, "fecha_apertura", years, _count("nuevas"))
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from caudal.functions.dates import as_date, month_label, whole_days
+from caudal.schemas import schema
+
+MONTH = "anio_mes"
 MART_PREFIX = "etl_"
 VIEW_PREFIX = "dwh_"
 
@@ -50,15 +55,33 @@ def publish_views(spark: SparkSession, paths: Mapping[str, str], schemas: Mappin
 
 
 def write_transactions_by_month(transacciones: DataFrame, path: str) -> None:
-    """Transactions laid out by month, so date filters skip whole folders.
+    """Transactions laid out in one folder per month.
 
-    No shuffle: each task appends to the months it holds, so a month with much of the data
-    is written by many tasks.
+    The rebalance hint makes evenly sized files: AQE splits a month that holds much of the
+    data over many tasks and packs small ones together, so no month is one task's work and
+    no task scatters files over all months.
     """
     (
-        transacciones.selectExpr("*", "date_format(fecha, 'yyyy-MM') AS anio_mes")
+        transacciones.withColumn(MONTH, month_label(F.col("fecha")))
+        .hint("rebalance", F.col(MONTH))
         .write.mode("overwrite")
-        .partitionBy("anio_mes")
-        .option("maxRecordsPerFile", 5_000_000)
+        .partitionBy(MONTH)
         .parquet(path)
     )
+
+
+def read_transactions_by_month(
+    spark: SparkSession,
+    path: str,
+    *,
+    desde: str | dt.date | None = None,
+    hasta: str | dt.date | None = None,
+) -> DataFrame:
+    """The transactions of [desde, hasta]; folders of other months are not read."""
+    laid_out = T.StructType([*schema("transacciones").fields, T.StructField(MONTH, T.StringType())])
+    tx = spark.read.schema(laid_out).parquet(path)
+    if desde is not None:
+        tx = tx.filter(F.col(MONTH) >= as_date(desde).strftime("%Y-%m"))
+    if hasta is not None:
+        tx = tx.filter(F.col(MONTH) <= as_date(hasta).strftime("%Y-%m"))
+    return tx.filter(whole_days(F.col("fecha"), desde, hasta)).drop(MONTH)

@@ -451,6 +451,12 @@ def tenths(now: str, before: str) -> str:
             f"// (2 * CAST({before} AS HUGEINT)) AS BIGINT)")
 
 
+def hundredths(value: str, unit) -> str:
+    """value / unit with two decimals as text, rounded half-up (integers, non-negative)."""
+    rounded = f"((200 * {value} + {unit}) // (2 * {unit}))"
+    return (f"CAST({rounded} // 100 AS VARCHAR) || '.' || lpad(CAST({rounded} % 100 AS VARCHAR), 2, '0')")
+
+
 def change(now: str, before: str) -> str:
     text = f"CAST({tenths(now, before)} // 10 AS VARCHAR) || '.' || CAST({tenths(now, before)} % 10 AS VARCHAR) || '%'"
     return (f"CASE WHEN {before} = 0 AND {now} > 0 THEN 'aumentó 100%' WHEN {before} = 0 THEN 'sin cambio' "
@@ -498,6 +504,17 @@ HISTORY = {
     "ctx_tx_anual": per_year("transacciones", "fecha", f"""count(*) AS tx,
         CAST(round(sum(monto), 0) AS DOUBLE) AS monto, {FRAUDS},
         {pct('count(*) FILTER (WHERE es_fraude_potencial)', 'count(*)')} AS tasa"""),
+    "ctx_tx_anual_texto": query(
+        [*bank("transacciones"), ("anual", f"""
+            SELECT CAST(extract(year FROM fecha) AS INTEGER) AS anio, count(*) AS n,
+                   CAST(round(sum(monto), 0) AS HUGEINT) AS m,
+                   count(*) FILTER (WHERE es_fraude_potencial) AS f
+            FROM transacciones WHERE extract(year FROM fecha) IN (1996, 1997, 1998) GROUP BY 1""")],
+        f"""SELECT anio, format('{{:,}}', n) AS tx, format('{{:,}}', f) AS fraudes,
+               CASE WHEN m >= 1000000000 THEN '$' || {hundredths('m', 10**9)} || 'B MXN'
+                    WHEN m >= 1000000 THEN '$' || {hundredths('m', 10**6)} || 'M MXN' END AS monto,
+               {hundredths('100 * CAST(f AS HUGEINT)', 'n')} || '%' AS tasa
+            FROM anual"""),
     "ctx_cuentas_anual": per_year("cuentas", "fecha_apertura", "count(*) AS nuevas"),
     "ctx_pagos_anual": per_year("pagos", "fecha_pago", """count(*) AS total,
         CAST(round(sum(monto_pago), 0) AS DOUBLE) AS monto,
