@@ -16,5 +16,6 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
         F.sin(half_dlat) * F.sin(half_dlat)
         + F.cos(a_lat) * F.cos(b_lat) * F.sin(half_dlon) * F.sin(half_dlon)
     )
-    # Rounding may push h a hair over 1 for antipodes, where asin is NaN.
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    # Rounding may push h a hair over 1 for antipodes, where asin is NaN. Not ``least``,
+    # which would turn a missing coordinate into half the globe.
+    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))

@@ -233,10 +233,11 @@ KPIS = {
 
 # ── fraud ───────────────────────────────────────────────────────────────────────────────
 
-HAVERSINE = """2 * 6371.0 * asin(sqrt(least(1.0,
+HAVERSINE = """CASE WHEN latitud IS NULL OR longitud IS NULL OR latitud_habitual IS NULL
+    OR longitud_habitual IS NULL THEN NULL ELSE 2 * 6371.0 * asin(sqrt(least(1.0,
     power(sin((radians(CAST(latitud_habitual AS DOUBLE)) - radians(CAST(latitud AS DOUBLE))) / 2), 2)
     + cos(radians(CAST(latitud AS DOUBLE))) * cos(radians(CAST(latitud_habitual AS DOUBLE)))
-    * power(sin((radians(CAST(longitud_habitual AS DOUBLE)) - radians(CAST(longitud AS DOUBLE))) / 2), 2))))"""
+    * power(sin((radians(CAST(longitud_habitual AS DOUBLE)) - radians(CAST(longitud AS DOUBLE))) / 2), 2)))) END"""
 
 # A trailing window (t - 6 h, t] per client, ties included, as a plain range frame.
 SCORED = f"""
