@@ -45,6 +45,7 @@ def lookup_join(
     spread_by: Column,
     *,
     found: str | None = None,
+    heavy_matches: DataFrame | None = None,
 ) -> DataFrame:
     """Left outer join of ``left`` to ``right``, whose ``keys`` are unique, in one pass.
 
@@ -55,9 +56,13 @@ def lookup_join(
     every row to the same place.
 
     ``found`` names an optional boolean output column: whether ``right`` had the key.
+    ``heavy_matches`` are the heavy keys' rows of ``right``, for callers that have them at
+    less cost than a semi join of ``right``.
     """
     extra = [c for c in right.columns if c not in keys]
-    hot = F.broadcast(right.join(F.broadcast(heavy), keys, "left_semi")).select(
+    if heavy_matches is None:
+        heavy_matches = right.join(F.broadcast(heavy), keys, "left_semi")
+    hot = heavy_matches.select(
         *keys, F.struct(*extra, F.lit(True).alias("_hit")).alias("_hot")
     )
     cold = right.select(

@@ -76,14 +76,22 @@ def usual_location(t: Tables) -> DataFrame:
     return t.datos_personales.select("id_cliente", "latitud_habitual", "longitud_habitual")
 
 
-def busy_flags(tx: DataFrame, rules: FraudRules) -> tuple[DataFrame, DataFrame]:
-    """The flagged (client, instant) pairs, and the heavy ones among all pairs."""
-    instants = counts_per_instant(tx, "id_cliente", "fecha")
+def with_velocity(tx: DataFrame, rules: FraudRules) -> DataFrame:
+    """Adds ``r2_velocidad``: too many transactions of the client in the trailing window.
+
+    An instant heavy enough to be salted holds more transactions than the rule allows, so
+    all heavy instants are flagged without looking them up among the flagged ones.
+    """
+    keys = ["id_cliente", "fecha"]
+    instants = counts_per_instant(tx, *keys)
     flagged = busy_instants(
-        instants, "id_cliente", "fecha",
-        more_than=rules.max_tx, within_seconds=rules.window_seconds,
+        instants, *keys, more_than=rules.max_tx, within_seconds=rules.window_seconds
+    )
+    heavy = heaviest(instants, keys, max(rules.heavy_rows, rules.max_tx + 1))
+    return lookup_join(
+        tx, flagged, keys, heavy, F.col("id_transaccion"),
+        found="r2_velocidad", heavy_matches=heavy,
     )
-    return flagged, heaviest(instants, ["id_cliente", "fecha"], rules.heavy_rows)
 
 
 # ── single rules ────────────────────────────────────────────────────────────────────────
@@ -99,13 +107,8 @@ def fraud_r1_geo(t: Tables, *, rules: FraudRules = DEFAULT_RULES) -> DataFrame:
 
 
 def fraud_r2_velocity(t: Tables, *, rules: FraudRules = DEFAULT_RULES) -> DataFrame:
-    """Transactions with ``r2_velocidad``: too many in the trailing window of the client."""
-    tx = t.transacciones
-    flagged, heavy = busy_flags(tx, rules)
-    return lookup_join(
-        tx, flagged, ["id_cliente", "fecha"], heavy, F.col("id_transaccion"),
-        found="r2_velocidad",
-    )
+    """Transactions with ``r2_velocidad``."""
+    return with_velocity(t.transacciones, rules)
 
 
 def fraud_r3_amount(t: Tables, *, rules: FraudRules = DEFAULT_RULES) -> DataFrame:
@@ -144,12 +147,9 @@ def score_transactions(t: Tables, *, rules: FraudRules = DEFAULT_RULES) -> DataF
         .join(names, "id_cliente", "left")
         .join(usual_location(t), "id_cliente", "left")
     )
-    flagged, heavy_instants = busy_flags(tx, rules)
-    timed = lookup_join(
-        tx, flagged, ["id_cliente", "fecha"], heavy_instants, F.col("id_transaccion"),
-        found="r2_velocidad",
+    known = lookup_join(
+        with_velocity(tx, rules), client, ["id_cliente"], heavy_clients, F.col("id_transaccion")
     )
-    known = lookup_join(timed, client, ["id_cliente"], heavy_clients, F.col("id_transaccion"))
 
     def points(flag: str, n: int) -> Column:
         return F.when(F.col(flag), n).otherwise(0)

@@ -12,7 +12,9 @@ from caudal.schemas import BANK_TABLES, PRIMARY_KEYS, schema
 from caudal.session import scratch_path
 from caudal.sources import sinks
 from caudal.sources.sample_bank import PROJECTIONS, sample_bank
-from caudal.sources.tables import Tables, extract, read_exchange_rates, table_or_empty
+from caudal.sources.tables import (
+    Tables, extract, month_slices, read_exchange_rates, table_or_empty,
+)
 from tests.conftest import SAMPLE, plan_of, rows_of
 
 
@@ -90,3 +92,11 @@ def test_scratch_is_in_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert first.startswith(shared) and first != second
+
+
+def test_month_slices_cover_every_row_once(spark):
+    slices = month_slices("fecha", "1996-11", "1997-02")
+    assert len(slices) == 7
+    tx = sample_bank(spark, SAMPLE).cuentas.select(F.col("fecha_apertura").alias("fecha"))
+    hits = sum((F.coalesce(F.expr(s), F.lit(False)).cast("int") for s in slices), F.lit(0))
+    assert [r.n for r in tx.select(hits.alias("n")).distinct().collect()] == [1]
