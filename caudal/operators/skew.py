@@ -33,8 +33,10 @@ def heaviest(
     max_keys: int = HEAVY_KEYS,
 ) -> DataFrame:
     """As :func:`heavy_keys`, from row counts ``n`` per key that are already there."""
-    usable = counts.filter(F.col("n") >= min_rows).dropna(subset=keys)
-    return usable.orderBy(F.desc("n"), *keys).limit(max_keys).select(*keys)
+    heavy = F.col("n") >= min_rows
+    for key in keys:
+        heavy = heavy & F.col(key).isNotNull()
+    return counts.filter(heavy).orderBy(F.desc("n"), *keys).limit(max_keys).select(*keys)
 
 
 def lookup_join(
@@ -83,10 +85,10 @@ def lookup_join(
         left.join(F.broadcast(hot), keys, "left")
         .withColumn("_salt", salt.cast("bigint"))
         .join(cold, [*keys, "_salt"], "left")
-        .withColumn("_match", F.coalesce("_hot", "_cold"))
     )
+    match = F.coalesce("_hot", "_cold")
     outputs = [F.col(c) for c in left.columns]
-    outputs += [F.col("_match").getField(c).alias(c) for c in extra]
+    outputs += [match.getField(c).alias(c) for c in extra]
     if found:
-        outputs.append(F.coalesce(F.col("_match").getField("_hit"), F.lit(False)).alias(found))
+        outputs.append(F.coalesce(match.getField("_hit"), F.lit(False)).alias(found))
     return joined.select(*outputs)

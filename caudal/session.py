@@ -5,17 +5,21 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
-# AQE coalesces small shuffles, splits skewed sort-merge partitions and turns a join whose
-# side proves small at run time into a broadcast; the automatic broadcast threshold stays
-# at Spark's default, so nothing large is ever broadcast by guess.
+# AQE coalesces small shuffles, splits skewed partitions and turns a join whose side proves
+# small at run time into a broadcast; the automatic broadcast threshold stays at Spark's
+# default, so nothing large is ever broadcast by guess. Where every partition of the smaller
+# side is measured below the hash-join limit, AQE also saves sorting the larger side.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.parquet.filterPushdown": "true",
 }
 
@@ -42,3 +46,20 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path for one run under the shared folder."""
     return os.path.join(shared_dir(spark), "caudal", f"{name}-{uuid.uuid4().hex}")
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Sets session options (dots written as ``__``) for the body, then puts them back."""
+    names = {name.replace("__", "."): value for name, value in values.items()}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)

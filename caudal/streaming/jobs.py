@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from caudal.functions.dates import seconds
 from caudal.functions.numbers import count_true
 from caudal.plans.fraud import DEFAULT_RULES, FraudRules, is_far, is_odd_hour, usual_location
-from caudal.session import scratch_path
+from caudal.session import scratch_path, settings
 from caudal.sources.sample_bank import PROJECTIONS, SAMPLE_DDL, sample_bank
 
 DELAY = "1 hour"
@@ -161,19 +161,32 @@ def transactions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def run_available(stream: DataFrame, folder: str) -> DataFrame:
-    """Runs a stream over what is there now into Parquet and returns the written rows."""
+def run_available(
+    stream: DataFrame, folder: str, *, state_store: str | None = None
+) -> DataFrame:
+    """Runs a stream over what is there now into Parquet and returns the written rows.
+
+    A stream keeps the number of state partitions it starts with, so it is set to the
+    cluster's parallelism. ``state_store`` names another provider than the session's.
+    """
+    spark = stream.sparkSession
     output = os.path.join(folder, "out")
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", output)
-        .option("checkpointLocation", os.path.join(folder, "checkpoint"))
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(output)
+    with settings(
+        spark,
+        spark__sql__shuffle__partitions=str(spark.sparkContext.defaultParallelism),
+        spark__sql__streaming__stateStore__providerClass=state_store
+        or spark.conf.get("spark.sql.streaming.stateStore.providerClass"),
+    ):
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", output)
+            .option("checkpointLocation", os.path.join(folder, "checkpoint"))
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(output)
 
 
 def _wall_clock(df: DataFrame, *columns: str) -> DataFrame:
@@ -191,15 +204,9 @@ def replay_sliding_velocity(spark: SparkSession, sf_dir: str, **params) -> DataF
 
 
 def replay_exact_velocity(spark: SparkSession, sf_dir: str, **params) -> DataFrame:
-    """Arbitrary state needs the RocksDB store, which is set for this query only."""
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, ROCKSDB)
-    try:
-        stream = exact_velocity_stream(transactions_stream(spark, sf_dir), **params)
-        written = run_available(stream, scratch_path(spark, "velocidad"))
-    finally:
-        spark.conf.set(setting, before)
+    """Arbitrary state needs the RocksDB store, an embedded one inside each executor."""
+    stream = exact_velocity_stream(transactions_stream(spark, sf_dir), **params)
+    written = run_available(stream, scratch_path(spark, "velocidad"), state_store=ROCKSDB)
     return _wall_clock(written, "fecha")
 
 

@@ -51,14 +51,11 @@ BATCHES = [
 
 def test_exact_velocity_equals_batch(spark, arriving, tmp_path):
     stream, table = arriving(*BATCHES)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
-    try:
-        found = jobs.run_available(
-            jobs.exact_velocity_stream(stream, rules=RULES), str(tmp_path / "run")
-        )
-        got = {(r.id_cliente, r.fecha) for r in found.collect()}
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    found = jobs.run_available(
+        jobs.exact_velocity_stream(stream, rules=RULES), str(tmp_path / "run"),
+        state_store=jobs.ROCKSDB,
+    )
+    got = {(r.id_cliente, r.fecha) for r in found.collect()}
     batch = busy_instants(
         counts_per_instant(table, "id_cliente", "fecha"), "id_cliente", "fecha",
         more_than=RULES.max_tx, within_seconds=RULES.window_seconds,
