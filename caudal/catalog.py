@@ -66,7 +66,7 @@ def _csv_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tipo_cambio")
     rates = sample_bank(spark, sf_dir).tipo_cambio
     (
-        rates.select(F.date_format("fecha", "dd/MM/yyyy").alias("Fecha"), F.col("rate").alias("CF373"))
+        rates.select(F.date_format("fecha", "dd/MM/yyyy").alias("Fecha"), F.col("rate").alias("Dato"))
         .write.option("header", True)
         .csv(path)
     )

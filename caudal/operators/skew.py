@@ -51,34 +51,36 @@ def lookup_join(
 ) -> DataFrame:
     """Left outer join of ``left`` to ``right``, whose ``keys`` are unique, in one pass.
 
-    Rows of heavy keys get their match from a broadcast of just those keys' rows of
-    ``right`` (at most as many as there are heavy keys). In the shuffle join that serves
-    all other rows they carry a salt that matches nothing and spreads them evenly, as do
-    rows whose key is NULL. The salt is a hash of ``spread_by``, so a retried task sends
-    every row to the same place.
+    Rows of heavy keys get their match from a broadcast of the heavy keys (never more than
+    there are heavy keys) with just those keys' rows of ``right``. In the shuffle join that
+    serves all other rows they carry a salt that matches nothing and spreads them evenly,
+    as do rows whose key is NULL. The salt is a hash of ``spread_by``, so a retried task
+    sends every row to the same place.
 
     ``found`` names an optional boolean output column: whether ``right`` had the key.
-    ``heavy_matches`` are the heavy keys' rows of ``right``, for callers that have them at
-    less cost than a semi join of ``right``.
+    ``heavy_matches`` are the rows of ``right`` of all heavy keys, for callers that have
+    them at less cost than a semi join of ``right``.
     """
     extra = [c for c in right.columns if c not in keys]
+    matched = F.struct(*extra, F.lit(True).alias("_hit"))
+    is_heavy = F.lit(True).alias("_heavy")
     if heavy_matches is None:
-        heavy_matches = right.join(F.broadcast(heavy), keys, "left_semi")
-    hot = heavy_matches.select(
-        *keys, F.struct(*extra, F.lit(True).alias("_hit")).alias("_hot")
-    )
+        few = right.join(F.broadcast(heavy), keys, "left_semi").select(*keys, matched.alias("_hot"))
+        hot = heavy.join(F.broadcast(few), keys, "left").select(*keys, "_hot", is_heavy)
+    else:
+        hot = heavy_matches.select(*keys, matched.alias("_hot"), is_heavy)
     cold = right.select(
         *keys,
         # Always 0, yet not a constant to the optimizer: a literal would be folded out of
         # the join keys and the heavy rows would meet in one task again.
         F.pmod(F.xxhash64(*keys), F.lit(1)).alias("_salt"),
-        F.struct(*extra, F.lit(True).alias("_hit")).alias("_cold"),
+        matched.alias("_cold"),
     )
     null_key = F.lit(False)
     for key in keys:
         null_key = null_key | F.col(key).isNull()
     salt = F.when(
-        F.col("_hot").isNotNull() | null_key,
+        F.col("_heavy") | null_key,
         F.pmod(F.xxhash64(spread_by), F.lit(SALTS)) + 1,
     ).otherwise(F.lit(0))
     joined = (

@@ -28,14 +28,6 @@ META_FALLIDA = "%fall%"
 SCORE_LABELS_CORTAS = ("Malo", "Regular", "Bueno", "Excelente")
 EN_RIESGO = "EN RIESGO"
 DENTRO_DEL_LIMITE = "DENTRO DEL LÍMITE"
-INDICADORES_CONTEXTO = (
-    # label, percentage column, threshold
-    ("Fraude potencial", "porcentajeFraudePotencial", 5),
-    ("Cobros excedidos", "porcentajeCobrosExcedidos", 10),
-    ("Cuentas canceladas", "porcentajeCuentasCanceladas", 20),
-    ("Préstamos vencidos", "porcentajePrestamosVencidos", 15),
-    ("Metas de ahorro fallidas", "porcentajeMetasFallidas", 30),
-)
 
 Years = tuple[int, ...] | list[int]
 
@@ -250,7 +242,7 @@ def ctx_indicadores(t: Tables) -> DataFrame:
             "umbral": F.lit(threshold),
             "estado": F.when(F.col(column) > threshold, EN_RIESGO).otherwise(DENTRO_DEL_LIMITE),
         }
-        for label, column, threshold in INDICADORES_CONTEXTO
+        for label, column, threshold in kpis.ETIQUETAS_RIESGO
     ]
     return unpivot_row(kpis.kpi_debilidades(t), entries)
 

@@ -1,7 +1,8 @@
 """Client and transaction lookups (D1-D9).
 
 The per-client lookups take one id, a list of ids or a DataFrame with ``id_cliente``, and
-answer for all of them in one job. Ids that are no client's give no rows.
+answer for all of them in one job. Ids that are no client's give no rows. ``ordered=False``
+skips the sort over all clients, which a bulk export does not need.
 """
 
 from __future__ import annotations
@@ -143,14 +144,19 @@ def _children(
     return matched.filter("_existe").drop("_existe")
 
 
-def cliente_cuentas(t: Tables, ids: Ids | None = None) -> DataFrame:
+def _sorted(df: DataFrame, ordered: bool, *order: Column | str) -> DataFrame:
+    return df.orderBy("id_cliente", *order) if ordered else df
+
+
+def cliente_cuentas(t: Tables, ids: Ids | None = None, *, ordered: bool = True) -> DataFrame:
     """Accounts, latest opening first (an unknown date leads)."""
-    return _children(t, "cuentas", "num_cuenta", ids).orderBy(
-        "id_cliente", F.desc_nulls_first("fecha_apertura"), "num_cuenta"
-    )
+    rows = _children(t, "cuentas", "num_cuenta", ids)
+    return _sorted(rows, ordered, F.desc_nulls_first("fecha_apertura"), "num_cuenta")
 
 
-def cliente_transacciones(t: Tables, ids: Ids | None = None, *, limit: int = 50) -> DataFrame:
+def cliente_transacciones(
+    t: Tables, ids: Ids | None = None, *, limit: int = 50, ordered: bool = True
+) -> DataFrame:
     """The latest ``limit`` transactions of each client.
 
     Trimmed to ``limit`` per client before the clients are checked, so what is shuffled
@@ -165,26 +171,23 @@ def cliente_transacciones(t: Tables, ids: Ids | None = None, *, limit: int = 50)
         row_id="id_transaccion",
     )
     parents = _known_clients(t, ids).select("id_cliente")
-    return latest.join(parents, "id_cliente", "left_semi").orderBy(
-        "id_cliente", F.desc("fecha"), "id_transaccion"
-    )
+    known = latest.join(parents, "id_cliente", "left_semi")
+    return _sorted(known, ordered, F.desc("fecha"), "id_transaccion")
 
 
-def cliente_prestamos(t: Tables, ids: Ids | None = None) -> DataFrame:
-    return _children(t, "prestamos", "id_prestamo", ids).orderBy(
-        "id_cliente", F.desc_nulls_first("fecha_otorgamiento"), "id_prestamo"
-    )
+def cliente_prestamos(t: Tables, ids: Ids | None = None, *, ordered: bool = True) -> DataFrame:
+    rows = _children(t, "prestamos", "id_prestamo", ids)
+    return _sorted(rows, ordered, F.desc_nulls_first("fecha_otorgamiento"), "id_prestamo")
 
 
 def cliente_tarjetas(t: Tables, ids: Ids | None = None) -> DataFrame:
     return _children(t, "tarjetas", "num_tarjeta", ids)
 
 
-def cliente_metas(t: Tables, ids: Ids | None = None) -> DataFrame:
+def cliente_metas(t: Tables, ids: Ids | None = None, *, ordered: bool = True) -> DataFrame:
     """Savings goals, nearest target date first (an unknown date comes last)."""
-    return _children(t, "metas_ahorro", "id_meta", ids).orderBy(
-        "id_cliente", F.asc_nulls_last("fecha_objetivo"), "id_meta"
-    )
+    rows = _children(t, "metas_ahorro", "id_meta", ids)
+    return _sorted(rows, ordered, F.asc_nulls_last("fecha_objetivo"), "id_meta")
 
 
 # ── transactions ────────────────────────────────────────────────────────────────────────

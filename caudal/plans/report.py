@@ -27,13 +27,6 @@ MENSAJE_BAJO = (
 )
 SOBRE_UMBRAL, BAJO_UMBRAL = "⚠ Por encima del umbral", "✓ Dentro del umbral"
 SIN_SOLUCIONES = "No se detectaron áreas de mejora urgentes en este período."
-INDICADORES_REPORTE = (
-    ("Fraude potencial", "porcentajeFraudePotencial", 5),
-    ("Cobros excedidos", "porcentajeCobrosExcedidos", 10),
-    ("Cuentas canceladas", "porcentajeCuentasCanceladas", 20),
-    ("Préstamos vencidos", "porcentajePrestamosVencidos", 15),
-    ("Metas de ahorro fallidas", "porcentajeMetasFallidas", 30),
-)
 TARJETAS = (
     ("Total Clientes", "totalClientes", thousands),
     ("Cuentas Activas", "cuentasActivas", thousands),
@@ -79,7 +72,7 @@ def rep_semaforo(t: Tables) -> DataFrame:
             "riesgo": F.col(column) > threshold,
             "etiqueta": F.when(F.col(column) > threshold, SOBRE_UMBRAL).otherwise(BAJO_UMBRAL),
         }
-        for label, column, threshold in INDICADORES_REPORTE
+        for label, column, threshold in kpis.ETIQUETAS_RIESGO
     ]
     return unpivot_row(kpis.kpi_debilidades(t), entries)
 
@@ -190,7 +183,7 @@ def rep_reporte(
         from_row.append(F.array(*[
             _entry("debilidades", F.lit("Indicadores de Riesgo"), F.lit(label),
                    F.concat(plain_number(F.col(column)), F.lit("%")))
-            for label, column, _ in INDICADORES_REPORTE
+            for label, column, _ in kpis.ETIQUETAS_RIESGO
         ]))
     if recomendaciones:
         from_row.append(_advice())

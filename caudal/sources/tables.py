@@ -27,6 +27,10 @@ class Tables:
             raise AttributeError(name)
         return self[name]
 
+    def replacing(self, **frames: DataFrame) -> Tables:
+        """The same tables with some taken from elsewhere."""
+        return Tables(lambda name: frames[name] if name in frames else self[name])
+
     @classmethod
     def from_frames(cls, frames: Mapping[str, DataFrame]) -> Tables:
         return cls(frames.__getitem__)

@@ -1,7 +1,12 @@
-"""One SQL statement per registered query."""
+"""One SQL statement per registered query.
+
+The logic is written on its own; only the fixed texts (labels, messages) are the plans'.
+"""
 
 from __future__ import annotations
 
+from caudal.functions import text
+from caudal.plans import history, kpis, report
 from oracle.bank import bank, cents, half_up, pct, query
 
 DESDE, HASTA = "DATE '1996-02-10'", "DATE '1998-07-15'"
@@ -68,18 +73,7 @@ SOLUCIONES = " UNION ALL ".join(
     f"""SELECT '{area}' AS area, {number_text(column)} || '{problem}' AS problema,
                '{solution}' AS solucion, '{priority}' AS prioridad
         FROM debilidades WHERE {column} > {limit}"""
-    for column, limit, area, problem, solution, priority in (
-        ("porcentajeFraudePotencial", 5, "Seguridad", "% de transacciones con riesgo de fraude",
-         "Implementar autenticación de dos factores y revisar reglas del motor antifraude", "Alta"),
-        ("porcentajeCobrosExcedidos", 10, "Cumplimiento", "% de cobros exceden el límite legal",
-         "Auditar el catálogo de comisiones y alinear tarifas con la circular CNBV vigente", "Alta"),
-        ("porcentajeCuentasCanceladas", 20, "Retención", "% de cuentas canceladas",
-         "Lanzar programa de reactivación con beneficios diferenciados por segmento", "Media"),
-        ("porcentajePrestamosVencidos", 15, "Cartera", "% de préstamos vencidos",
-         "Reforzar proceso de cobranza preventiva y ofrecer reestructuración anticipada", "Alta"),
-        ("porcentajeMetasFallidas", 30, "Ahorro", "% de metas de ahorro fallidas",
-         "Enviar recordatorios automáticos y ofrecer microcréditos puente para completar metas", "Baja"),
-    )
+    for column, limit, area, problem, solution, priority in kpis.INDICADORES
 )
 
 
@@ -90,8 +84,6 @@ def score_ranges(labels: tuple[str, ...]) -> str:
                FROM open_data WHERE score_crediticio IS NOT NULL GROUP BY 1"""
 
 
-LONG_SCORES = ("Malo (< 500)", "Regular (500-649)", "Bueno (650-749)", "Excelente (750+)")
-SHORT_SCORES = ("Malo", "Regular", "Bueno", "Excelente")
 
 TENDENCIA = """
     SELECT strftime(fecha, '%Y-%m') AS mes, count(*) AS total, CAST(sum(monto) AS DOUBLE) AS monto_total
@@ -154,7 +146,7 @@ KPIS = {
     "kpi_saldo_por_tipo_cuenta": query(bank("cuentas"), """
         SELECT tipo_cuenta AS tipo, count(*) AS total_cuentas, CAST(sum(saldo) AS DOUBLE) AS saldo_total
         FROM cuentas WHERE estatus = 'Activa' AND tipo_cuenta IS NOT NULL GROUP BY 1"""),
-    "kpi_score_crediticio": query(bank("open_data"), score_ranges(LONG_SCORES)),
+    "kpi_score_crediticio": query(bank("open_data"), score_ranges(kpis.SCORE_LABELS)),
     "kpi_cobros_excedidos": query(bank("auditoria_comisiones"), """
         SELECT tipo_comision AS tipo, count(*) AS total, CAST(sum(diferencia) AS DOUBLE) AS diferencia_total
         FROM auditoria_comisiones WHERE resultado = 'Excede' GROUP BY 1"""),
@@ -459,9 +451,9 @@ def hundredths(value: str, unit) -> str:
 
 
 def change(now: str, before: str) -> str:
-    text = f"CAST({tenths(now, before)} // 10 AS VARCHAR) || '.' || CAST({tenths(now, before)} % 10 AS VARCHAR) || '%'"
+    shown = f"CAST({tenths(now, before)} // 10 AS VARCHAR) || '.' || CAST({tenths(now, before)} % 10 AS VARCHAR) || '%'"
     return (f"CASE WHEN {before} = 0 AND {now} > 0 THEN 'aumentó 100%' WHEN {before} = 0 THEN 'sin cambio' "
-            f"WHEN {now} >= {before} THEN 'aumentó ' || {text} ELSE 'bajó ' || {text} END")
+            f"WHEN {now} >= {before} THEN 'aumentó ' || {shown} ELSE 'bajó ' || {shown} END")
 
 
 def two_years(table: str, on: str, now: int, before: int, part: str, unit: str, size: int,
@@ -480,19 +472,10 @@ def two_years(table: str, on: str, now: int, before: int, part: str, unit: str,
             FROM generate_series(1, {size}) AS g(n))""")
 
 
-QUARTER_NAME = ("['Q1 (Ene-Mar)', 'Q2 (Abr-Jun)', 'Q3 (Jul-Sep)', 'Q4 (Oct-Dic)'][g.n] AS trimestre")
-MONTH_NAME = ("['Enero', 'Febrero', 'Marzo', 'Abril', 'Mayo', 'Junio', 'Julio', 'Agosto', 'Septiembre', "
-              "'Octubre', 'Noviembre', 'Diciembre'][g.n] AS nombre_mes")
+QUARTER_NAME = f"{list(text.TRIMESTRES)}[g.n] AS trimestre"
+MONTH_NAME = f"{list(text.MESES)}[g.n] AS nombre_mes"
 TX_METRICS = {"tx": "true", "fraudes": "es_fraude_potencial"}
 
-INDICATORS = (
-    ("Fraude potencial", "porcentajeFraudePotencial", 5),
-    ("Cobros excedidos", "porcentajeCobrosExcedidos", 10),
-    ("Cuentas canceladas", "porcentajeCuentasCanceladas", 20),
-    ("Préstamos vencidos", "porcentajePrestamosVencidos", 15),
-    ("Metas de ahorro fallidas", "porcentajeMetasFallidas", 30),
-)
-
 HISTORY = {
     "ctx_snapshot": query(
         bank("clientes", "cuentas", "prestamos", "transacciones", "cobros", "tarjetas", "seguros",
@@ -544,7 +527,7 @@ HISTORY = {
     "ctx_top5_sucursales": query(bank("cuentas"), """
         SELECT sucursal, count(*) AS cuentas FROM cuentas WHERE sucursal IS NOT NULL
         GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"""),
-    "ctx_scores": query(bank("open_data"), score_ranges(SHORT_SCORES)),
+    "ctx_scores": query(bank("open_data"), score_ranges(history.SCORE_LABELS_CORTAS)),
     "ctx_variacion_anual": query([*bank(*YEARLY_TABLES), ("anual", YEARLY)], f"""
         SELECT a.metrica, a.anio, a.valor, b.valor AS previo,
                CASE WHEN b.valor = 0 THEN NULL
@@ -563,8 +546,8 @@ HISTORY = {
         "transacciones", "fecha", 1998, 1997, "mes", "month", 12, TX_METRICS, MONTH_NAME),
     "ctx_indicadores": query(risks(), " UNION ALL ".join(
         f"""SELECT '{label}' AS indicador, {column} AS valor, {limit} AS umbral,
-                   CASE WHEN {column} > {limit} THEN 'EN RIESGO' ELSE 'DENTRO DEL LÍMITE' END AS estado
-            FROM debilidades""" for label, column, limit in INDICATORS)),
+                   CASE WHEN {column} > {limit} THEN '{history.EN_RIESGO}' ELSE '{history.DENTRO_DEL_LIMITE}' END AS estado
+            FROM debilidades""" for label, column, limit in kpis.ETIQUETAS_RIESGO)),
     "ctx_utilizacion": utilization("util", "tarjetas", "saldo", "limite"),
     "ctx_morosidad": delinquency("activas", "morosas", "tasa"),
     "ctx_pagos_por_estatus": share("pagos", "estatus_pago", "est", "pct"),
@@ -585,20 +568,20 @@ HISTORY = {
 
 # ── report ──────────────────────────────────────────────────────────────────────────────
 
-FRAUD_LEVEL = """
+FRAUD_LEVEL = f"""
     SELECT porcentajeFraudePotencial,
            (SELECT count(*) FROM transacciones WHERE es_fraude_potencial) AS fraudesPotenciales,
            CASE WHEN porcentajeFraudePotencial > 5 THEN 'ALTO' WHEN porcentajeFraudePotencial > 2 THEN 'MEDIO'
                 ELSE 'BAJO' END AS nivel,
-           CASE WHEN porcentajeFraudePotencial > 5 THEN 'Se recomienda activar protocolos de emergencia antifraude y revisar las reglas del motor de detección de manera inmediata.'
-                WHEN porcentajeFraudePotencial > 2 THEN 'Monitorear de cerca las transacciones sospechosas y reforzar los controles de autenticación.'
-                ELSE 'Los niveles de fraude están dentro de parámetros normales. Mantener monitoreo rutinario.' END AS mensaje
+           CASE WHEN porcentajeFraudePotencial > 5 THEN '{report.MENSAJE_ALTO}'
+                WHEN porcentajeFraudePotencial > 2 THEN '{report.MENSAJE_MEDIO}'
+                ELSE '{report.MENSAJE_BAJO}' END AS mensaje
     FROM debilidades"""
 
 LIGHTS = " UNION ALL ".join(
     f"""SELECT '{label}' AS indicador, {number_text(column)} || '%' AS valor, {column} > {limit} AS riesgo,
-               CASE WHEN {column} > {limit} THEN '⚠ Por encima del umbral' ELSE '✓ Dentro del umbral' END AS etiqueta
-        FROM debilidades""" for label, column, limit in INDICATORS)
+               CASE WHEN {column} > {limit} THEN '{report.SOBRE_UMBRAL}' ELSE '{report.BAJO_UMBRAL}' END AS etiqueta
+        FROM debilidades""" for label, column, limit in kpis.ETIQUETAS_RIESGO)
 
 
 def chart(name: str, source: str, label: str, order: str, top: bool = True) -> str:
@@ -614,7 +597,7 @@ BARS = " UNION ALL ".join((
     chart("Transacciones por Canal",
           "SELECT canal, count(*) AS total FROM transacciones WHERE canal IS NOT NULL GROUP BY 1",
           "canal", "total DESC, canal"),
-    chart("Distribución de Score Crediticio", score_ranges(LONG_SCORES), "rango", "rango"),
+    chart("Distribución de Score Crediticio", score_ranges(kpis.SCORE_LABELS), "rango", "rango"),
     chart("Préstamos por Tipo",
           """SELECT tipo_prestamo, count(*) AS total, sum(saldo_prestamo) AS s FROM prestamos
              WHERE tipo_prestamo IS NOT NULL GROUP BY 1""", "tipo_prestamo", "s DESC, tipo_prestamo"),
@@ -668,7 +651,7 @@ REPORT = {
             UNION ALL SELECT 'debilidades', 'Indicadores de Riesgo', indicador, valor FROM ({LIGHTS})
             UNION ALL SELECT 'recomendaciones', 'Soluciones Recomendadas', area, solucion FROM soluciones
             UNION ALL SELECT 'recomendaciones', 'Soluciones Recomendadas', NULL,
-                'No se detectaron áreas de mejora urgentes en este período.'
+                '{report.SIN_SOLUCIONES}'
                 WHERE NOT EXISTS (SELECT 1 FROM soluciones)"""),
 }
 

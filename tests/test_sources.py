@@ -100,3 +100,15 @@ def test_month_slices_cover_every_row_once(spark):
     tx = sample_bank(spark, SAMPLE).cuentas.select(F.col("fecha_apertura").alias("fecha"))
     hits = sum((F.coalesce(F.expr(s), F.lit(False)).cast("int") for s in slices), F.lit(0))
     assert [r.n for r in tx.select(hits.alias("n")).distinct().collect()] == [1]
+
+
+def test_etl_command(spark, tmp_path, capsys):
+    from caudal.__main__ import main
+
+    t = sample_bank(spark, SAMPLE, timed=True)
+    extract(t, str(tmp_path / "bank"), names=("transacciones", "clientes", "datos_personales", "cuentas"))
+    rates = tmp_path / "rates.csv"
+    rates.write_text("Fecha,Dato\n01/01/2024,17.0000\n")
+    main(["etl", "--tables", str(tmp_path / "bank"), "--rates", str(rates), "--mart", str(tmp_path / "mart")])
+    assert "total_transacciones" in capsys.readouterr().out
+    assert (tmp_path / "mart" / "etl_alertas_fraude").is_dir()
