@@ -148,12 +148,17 @@ def kpi_tendencia(t: Tables, *, as_of: str | dt.datetime | None = None) -> DataF
     """Monthly volume of the 12 months before ``as_of`` (default: the latest transaction).
 
     The first month is partial, as the cut is at the instant and not at the month's start.
+    The default cut is computed inside the subquery, so the scan gets it as a plain bound.
     """
     tx = t.transacciones
-    now = instant(as_of) if as_of is not None else tx.agg(F.max("fecha")).scalar()
-    recent = tx.filter(F.col("fecha") >= now - F.make_ym_interval(months=F.lit(12)))
+    year = F.make_ym_interval(months=F.lit(12))
+    if as_of is not None:
+        cut = instant(as_of) - year
+    else:
+        cut = tx.agg(F.max("fecha") - year).scalar()
     return (
-        recent.groupBy(month_label(F.col("fecha")).alias("mes"))
+        tx.filter(F.col("fecha") >= cut)
+        .groupBy(month_label(F.col("fecha")).alias("mes"))
         .agg(F.count("*").alias("total"), money_sum(F.col("monto")).alias("monto_total"))
         .orderBy("mes")
     )
