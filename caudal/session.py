@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -35,12 +34,20 @@ def build_session(master: str | None = None, app: str = "caudal", **extra: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """The folder the cluster names in ``spark.checkpoint.dir``, else the session's warehouse.
 
-    Only where that is unset (tests, a laptop) a temporary local folder is made.
+    A cluster whose warehouse is a local folder is refused before anything is written: its
+    executors would each write to a disk of their own. What runs leave in the folder belongs
+    to the cluster's owner: queries read it lazily, so no run can remove its own tables.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named if named else tempfile.mkdtemp(prefix="caudal-")
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    scheme = warehouse.partition(":")[0] if ":" in warehouse else "file"
+    if scheme == "file" and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set spark.checkpoint.dir: {warehouse} is local to each machine")
+    return warehouse
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
