@@ -61,7 +61,11 @@ def keyed_state(prints: DataFrame, *, batch_bytes: int = 64 << 30) -> DataFrame:
     """
     # A session of its own, so that the stream's settings touch no other query.
     session = prints.sparkSession.newSession()
+    partitions = prints.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    session.conf.set("spark.sql.shuffle.partitions", partitions)
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # Else each of the many small stores takes 4 MB of disk before it holds anything.
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     source = os.path.dirname(prints.inputFiles()[0])
     checkpoint = scratch_path(prints.sparkSession, "dedup-state")
     stream = (
