@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from caudal.llm import language_id
 from caudal.llm.common import table
 from caudal.llm.exact_dedup import exact_duplicates
+from caudal.llm.minhash_dedup import near_duplicates
+from caudal.llm.packing import WORD_BPE, pack
+from caudal.llm.pii import find_personal_data, span_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +22,39 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.train(docs))
+    return found.select(
+        "doc_id", language_id.held_out_fold(F.col("doc_id")).alias("held_out"),
+        "lang_pred", "score",
+    )
+
+
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_personal_data(docs).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256",
+        span_text(F.col("all_spans")).alias("spans"),
+    )
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE)).drop("ids")
+
+
 def queries() -> dict[str, Query]:
-    return {"op4_exact_dedup": op4_exact_dedup}
+    return {
+        "op3_language_id": op3_language_id,
+        "op4_exact_dedup": op4_exact_dedup,
+        "op6_minhash_dedup": op6_minhash_dedup,
+        "op7_pii": op7_pii,
+        "op10_packing": op10_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
