@@ -94,18 +94,25 @@ def keyed_state(prints: DataFrame, *, batch_bytes: int = 64 << 30) -> DataFrame:
     return prints.sparkSession.read.parquet(path)
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str, digest, digests: DataFrame) -> DataFrame:
-    bare = normalised(F.col(text_col))
-    texts = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), digest(bare).alias("digest"),
-        F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_points"),
-        bare.alias("bare"),
+def _texts(
+    docs: DataFrame, prints: DataFrame, digests: DataFrame, id_col: str, text_col: str, digest
+) -> DataFrame:
+    """The whole texts behind some digests. Only rows whose id may be one of theirs are hashed
+    again; the join on the digest decides."""
+    theirs = prints.join(digests, "digest", "left_semi")
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    )
+    bare = normalised(F.col("text"))
+    return maybe_in(rows, F.col("doc_id"), theirs, F.col("doc_id")).select(
+        "doc_id", digest(bare).alias("digest"),
+        F.char_length("text").cast("long").alias("n_points"), bare.alias("bare"),
     )
-    return maybe_in(texts, F.col("digest"), digests, F.col("digest"))
 
 
 def clashing_digests(
-    docs: DataFrame, entries: DataFrame, id_col: str, text_col: str, digest
+    docs: DataFrame, prints: DataFrame, entries: DataFrame, id_col: str, text_col: str, digest
 ) -> DataFrame:
     """Digests whose rows differ in their full bytes from the row that stays.
 
@@ -114,7 +121,7 @@ def clashing_digests(
     """
     hits = entries.filter(F.col("group_size") > 1)
     slices = F.ceil(F.col("group_size") / COPIES_PER_SLICE).cast("int")
-    texts = _texts(docs, id_col, text_col, digest, hits).join(hits, "digest")
+    texts = _texts(docs, prints, hits, id_col, text_col, digest).join(hits, "digest")
     kept = (
         texts.filter(
             F.col("doc_id").eqNullSafe(F.col("keep_id"))
@@ -122,7 +129,10 @@ def clashing_digests(
         )
         .groupBy("digest", slices.alias("slices"))
         .agg(F.min("bare").alias("kept_text"))
-        .select("digest", "kept_text", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+        .select(
+            "digest", "kept_text",
+            F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
+        )
     )
     sliced = texts.withColumn("slice", F.pmod(F.xxhash64("doc_id", "n_points"), slices))
     return (
@@ -154,17 +164,17 @@ def exact_duplicates(
     if prints.isEmpty():
         return _decided(prints, _groups(prints, "digest"))
     entries = keyed_state(prints)
-    clashes = stored(clashing_digests(docs, entries, id_col, text_col, digest), "dedup-clashes")
+    clashes = stored(clashing_digests(docs, prints, entries, id_col, text_col, digest), "dedup-clashes")
     if clashes.isEmpty():
         return _decided(prints, entries)
     # One digest, different texts: for these the text itself is the key.
     good = prints.join(clashes, "digest", "left_anti")
     bad = (
-        _texts(docs, id_col, text_col, digest, clashes)
+        _texts(docs, prints, clashes, id_col, text_col, digest)
         .join(clashes, "digest", "left_semi")
         .withColumn("text_sha256", F.sha2("bare", 256))
         .withColumn("digest", F.col("bare"))
-        .withColumn("locator", F.input_file_name())
+        .withColumn("locator", F.lit(None).cast("string"))
         .drop("bare")
     )
     return _decided(good, entries).unionByName(_decided(bad, _groups(bad, "digest")))
