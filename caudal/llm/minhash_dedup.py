@@ -109,7 +109,8 @@ def _attach(pairs: DataFrame, sets: DataFrame, end: str, columns: list[str]) ->
 
 def confirmed(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that pass the estimate and whose full sets are similar enough."""
-    seen = _attach(_attach(pairs, sets, "b", ["n_shingles", "sketch"]), sets, "a", ["n_shingles", "sketch"])
+    sketch = ["n_shingles", "sketch"]
+    seen = _attach(_attach(pairs, sets, "b", sketch), sets, "a", sketch)
     few, many = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
     # Sketches are sorted, so the union's k smallest are a merge and a cut.
     low = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k)
@@ -200,15 +201,20 @@ def near_duplicates(
         "doc_id", "n_shingles", "node"
     )
     # An id with several texts joins their classes.
-    ids = members.filter("node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z")
+    ids = (
+        members.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id")
+        .agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z")
+    )
     links = members.join(ids, "doc_id").select("a", F.col("node").alias("b")).filter("a < b")
     labels = None
     for turn in range(PIVOT_ROUNDS + 1):
         entries = _open_lists(lists, labels)
         pairs = _pivot_pairs(entries, turn) if turn < PIVOT_ROUNDS else _all_pairs(entries)
         links = links.unionByName(confirmed(pairs, sets, k, percent))
-        labels = components(links).withColumnRenamed("component", "component")
-    component = F.coalesce("component", "node", "doc_id")
+        labels = components(links)
+    component = F.when(
+        F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")
+    )
     return members.join(labels, "node", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
