@@ -7,12 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caudal.llm import language_id
+from caudal.llm import language_id, sentencepieces
 from caudal.llm.common import table
 from caudal.llm.exact_dedup import exact_duplicates
+from caudal.llm.html_text import extract_main_text
 from caudal.llm.minhash_dedup import near_duplicates
+from caudal.llm.nearest import nearest_neighbours
 from caudal.llm.packing import WORD_BPE, pack
 from caudal.llm.pii import find_personal_data, span_text
+from caudal.llm.url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +25,22 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+# Fixed values of the task.
+URL_RULES = (
+    ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"),
+    ("com/fr/", "allow"), ("com/de/", "block"),
+)
+
+
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.identify(docs.select("doc_id", "text"), language_id.train(docs))
@@ -31,6 +50,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -43,16 +66,33 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text to ids and back: what came out, and whether it is the text again."""
+    model = public_tokenizers.path(sentencepieces.PIECE_BPE)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = sentencepieces.decode(sentencepieces.encode(docs, model), model)
+    ids = F.array_join("piece_ids", ",")
+    return back.select(
+        "doc_id", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"),
+        F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"),
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE)).drop("ids")
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_nearest": op1_nearest,
+        "op2_url_filter": op2_url_filter,
         "op3_language_id": op3_language_id,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_html_text": op5_html_text,
         "op6_minhash_dedup": op6_minhash_dedup,
         "op7_pii": op7_pii,
+        "op8_sentencepiece": op8_sentencepiece,
         "op10_packing": op10_packing,
     }
 

@@ -6,11 +6,14 @@
    enters only its rarest into the inverted lists: if two sketches share ``need`` values, they
    meet in the lists when each leaves out its ``need - 1`` most frequent ones. So a passage
    that very many documents share does not make lists of them.
-3. A list is not expanded into its pairs. First all members are held against one pivot, and
-   links found this way merge members into components; lists with one component are done.
-   After ``PIVOT_ROUNDS`` such rounds, every remaining pair of a list whose members are in
-   different components is tried. No pair that could still join two components is left out.
-4. Pairs pass the estimate from the union of both sketches, then the full sets are compared.
+3. A list is not expanded into its pairs. First all members are held against one pivot, the
+   class whose values are the most common, and links found this way merge members into
+   components; lists with one component are done. What is left is joined within the lists of a
+   pivot: only for members of different components, and the join itself estimates the overlap
+   from small samples of both sets and then compares the full sets, so that it gives nothing
+   but links. No pair that could still join two components is left out.
+4. Pairs with a pivot pass the estimate from the union of both sketches, then the full sets
+   are compared.
 
 A pair at the threshold has at least ``need`` common values among the k smallest of its union
 but for a chance of about one in a million (the count is hypergeometric with mean 0.8 k).
@@ -20,24 +23,29 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from caudal.llm.common import maybe_in, stored
 from caudal.llm.graph import components
-from caudal.llm.shingles import digest, shingle_sets, signed
+from caudal.llm.shingles import digest, mix, shingle_sets, signed
 
 WORDS = 5
 SIMILAR_PERCENT = 80
 SKETCH = 64
-PIVOT_ROUNDS = 3
 # How many standard deviations below its mean a count of common values may fall.
 SLACK = 4.75
 
 _LONG = T.LongType()
 _CLASS = [T.StructField(n, _LONG) for n in ("doc_id", "n_shingles", "d1", "d2")]
 _SKETCHES = T.StructType([*_CLASS, T.StructField("sketch", T.ArrayType(_LONG, False))])
-_SETS = T.StructType([*_SKETCHES.fields, T.StructField("shingles", T.ArrayType(_LONG, False))])
+# A set's sample: the smallest hash of each of 128 buckets as 4 bits, 16 to a number.
+_SAMPLE = [f"sample_{i}" for i in range(8)]
+_SETS = T.StructType([
+    *_SKETCHES.fields, *[T.StructField(n, _LONG) for n in _SAMPLE],
+    T.StructField("shingles", T.ArrayType(_LONG, False)),
+])
 
 
 def _sketcher(words: int, k: int, with_sets: bool):
@@ -51,7 +59,7 @@ def _sketcher(words: int, k: int, with_sets: bool):
             ):
                 rows.append((doc_id, len(found), *digest(found), signed(found[:k])))
                 if with_sets:
-                    rows[-1] += (signed(found),)
+                    rows[-1] += (*sample(found), signed(found))
                     size += len(found)
                 if size > 1 << 20:
                     yield _batch(rows, with_sets)
@@ -64,13 +72,25 @@ def _sketcher(words: int, k: int, with_sets: bool):
 
 def _batch(rows: list[tuple], with_sets: bool) -> pa.RecordBatch:
     lists = pa.list_(pa.field("element", pa.int64(), False))
-    kinds = [pa.int64()] * 4 + [lists] * (1 + with_sets)
+    kinds = [pa.int64()] * 4 + [lists]
+    if with_sets:
+        kinds += [pa.int64()] * len(_SAMPLE) + [lists]
     return pa.RecordBatch.from_arrays(
         [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
         names=(_SETS if with_sets else _SKETCHES).names,
     )
 
 
+def sample(found: np.ndarray) -> list[int]:
+    """A code from 1 to 15 of each bucket's smallest hash, 0 for an empty bucket."""
+    scrambled = mix(found)
+    buckets, first = np.unique(scrambled >> np.uint64(57), return_index=True)
+    codes = np.zeros(128, np.uint64)
+    codes[buckets] = scrambled[first] % np.uint64(15) + np.uint64(1)
+    shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    return (codes.reshape(8, 16) << shifts).sum(1, dtype=np.uint64).view(np.int64).tolist()
+
+
 def needed(n: Column, k: int, percent: int) -> Column:
     """Common sketch values that a set of ``n`` shingles shares with any set linked to it."""
     share = percent / 100
@@ -81,7 +101,10 @@ def needed(n: Column, k: int, percent: int) -> Column:
 
 
 def inverted_lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(value, node, shared): each class under its rarest shared sketch values."""
+    """(value, node, central): each class under its rarest shared sketch values.
+
+    ``central`` adds up how many classes hold each of its values.
+    """
     postings = classes.select(
         "node", needed(F.col("n_shingles"), k, percent).alias("need"),
         F.explode("sketch").alias("value"),
@@ -96,9 +119,12 @@ def inverted_lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
     kept = F.size("values") - F.col("need") + 1
     return (
         of_class.filter(kept > 0)
-        .withColumn("shared", F.size("values"))
-        .select("node", "shared", F.explode(F.slice("values", F.lit(1), kept)).alias("entry"))
-        .select(F.col("entry.value").alias("value"), "node", "shared")
+        .withColumn(
+            "central",
+            F.aggregate("values", F.lit(0).cast("long"), lambda n, v: n + v["holders"]),
+        )
+        .select("node", "central", F.explode(F.slice("values", F.lit(1), kept)).alias("entry"))
+        .select(F.col("entry.value").alias("value"), "node", "central")
     )
 
 
@@ -127,40 +153,73 @@ def confirmed(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFr
     return stored(full.filter(100 * both >= percent * either).select("a", "b").distinct(), "links")
 
 
-def _open_lists(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The lists' entries with their component, of lists that still hold several."""
-    if labels is None:
-        return lists.withColumn("label", F.col("node"))
-    marked = lists.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    several = marked.groupBy("value").agg(
-        F.min("label").alias("low"), F.max("label").alias("high")
-    ).filter("low < high").select("value")
-    return marked.join(several, "value").select("value", "node", "shared", "label")
+def by_pivot(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(pivot, pivot_label, node, label) of the lists that hold several components.
+
+    The pivot is the list's most central class. Lists of one pivot become one: copies of a
+    text share many lists, and these have the same pivot.
+    """
+    marked = lists.withColumn("label", F.col("node"))
+    if labels is not None:
+        marked = lists.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    best = F.max(F.struct("central", -F.col("node"), "label"))
+    several = (
+        marked.groupBy("value")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), best.alias("p"))
+        .filter("low < high")
+        .select("value", (-F.col("p.col2")).alias("pivot"), F.col("p.label").alias("pivot_label"))
+    )
+    return marked.join(several, "value").select("pivot", "pivot_label", "node", "label").distinct()
+
 
+def pivot_pairs(entries: DataFrame) -> DataFrame:
+    met = entries.filter(F.col("label") != F.col("pivot_label"))
+    ends = F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
+    return met.select(*ends).distinct()
 
-def _pair(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
+def _maybe_similar(percent: int) -> Column:
+    """Whether the samples of both sets allow the wanted similarity.
 
-def _pivot_pairs(entries: DataFrame, turn: int) -> DataFrame:
-    """Each entry with its list's pivot: first the class that shares most, then others."""
-    if turn == 0:
-        best = F.max(F.struct("shared", -F.col("node"), "node", "label"))
-    else:
-        best = F.max(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("label")))
-    pivots = entries.groupBy("value").agg(best.alias("p")).select(
-        "value", F.col("p.node").alias("pivot"), F.col("p.label").alias("pivot_label")
+    The filled buckets' hashes are drawn from the union without replacement; those that agree
+    are its common members, and a few more whose 4 bits agree by chance.
+    """
+    ones = F.lit(0x1111111111111111)
+    some = lambda x: (
+        x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2))
+        .bitwiseOR(F.shiftrightunsigned(x, 3)).bitwiseAND(ones)
     )
-    met = entries.join(pivots, "value").filter(F.col("label") != F.col("pivot_label"))
-    return met.select(*_pair(F.col("node"), F.col("pivot"))).distinct()
+    drawn, agree = F.lit(0), F.lit(0)
+    for name in _SAMPLE:
+        a, b = F.col(f"{name}_a"), F.col(f"{name}_b")
+        drawn = drawn + F.bit_count(some(a.bitwiseOR(b)))
+        agree = agree + F.bit_count(some(a).bitwiseAND(F.bitwise_not(some(a.bitwiseXOR(b)))))
+    share = percent / 100
+    union = (F.col("n_shingles_a") + F.col("n_shingles_b")) / (1 + share)
+    spread = drawn * share * (1 - share) * F.greatest(1 - drawn / union, F.lit(0.0))
+    return agree >= drawn * share - SLACK * F.sqrt(spread) - 1
 
 
-def _all_pairs(entries: DataFrame) -> DataFrame:
-    left = entries.select("value", F.col("node").alias("a"), F.col("label").alias("label_a"))
-    right = entries.select("value", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    return left.join(right, "value").filter(
-        (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))
-    ).select("a", "b").distinct()
+def remaining_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components within the lists of a pivot."""
+    full = entries.select("pivot", "node", "label").join(
+        sets.select("node", "n_shingles", *_SAMPLE, "shingles"), "node"
+    )
+    ends = [
+        full.select("pivot", *[F.col(c).alias(f"{c}_{end}") for c in full.columns if c != "pivot"])
+        for end in "ab"
+    ]
+    few, many = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
+    both = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
+    either = F.col("n_shingles_a") + F.col("n_shingles_b") - both
+    pairs = ends[0].join(
+        ends[1].withColumnRenamed("pivot", "pivot_b"),
+        (F.col("pivot") == F.col("pivot_b")) & (F.col("node_a") < F.col("node_b"))
+        & (F.col("label_a") != F.col("label_b")) & (100 * few >= percent * many)
+        & _maybe_similar(percent) & (100 * both >= percent * either),
+    )
+    found = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return stored(found, "links")
 
 
 def near_duplicates(
@@ -206,12 +265,9 @@ def near_duplicates(
         .agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z")
     )
     links = members.join(ids, "doc_id").select("a", F.col("node").alias("b")).filter("a < b")
-    labels = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        entries = _open_lists(lists, labels)
-        pairs = _pivot_pairs(entries, turn) if turn < PIVOT_ROUNDS else _all_pairs(entries)
-        links = links.unionByName(confirmed(pairs, sets, k, percent))
-        labels = components(links)
+    links = links.unionByName(confirmed(pivot_pairs(by_pivot(lists, None)), sets, k, percent))
+    entries = stored(by_pivot(lists, components(links)), "open-lists")
+    labels = components(links.unionByName(remaining_links(entries, sets, percent)))
     component = F.when(
         F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")
     )
