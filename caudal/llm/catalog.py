@@ -11,6 +11,7 @@ from caudal.llm import language_id, sentencepieces
 from caudal.llm.common import table
 from caudal.llm.exact_dedup import exact_duplicates
 from caudal.llm.html_text import extract_main_text
+from caudal.llm.line_dedup import near_equal_lines
 from caudal.llm.minhash_dedup import near_duplicates
 from caudal.llm.nearest import nearest_neighbours
 from caudal.llm.packing import WORD_BPE, pack
@@ -79,6 +80,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_equal_lines(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE)).drop("ids")
 
@@ -93,6 +98,7 @@ def queries() -> dict[str, Query]:
         "op6_minhash_dedup": op6_minhash_dedup,
         "op7_pii": op7_pii,
         "op8_sentencepiece": op8_sentencepiece,
+        "op9_line_dedup": op9_line_dedup,
         "op10_packing": op10_packing,
     }
 

@@ -26,6 +26,15 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def _by_bucket(df: DataFrame, key: Column, keys: DataFrame, of: Column, how: str) -> DataFrame:
+    taken = F.broadcast(keys.select(_bucket(of).alias("_bucket")).distinct())
+    return df.withColumn("_bucket", _bucket(key)).join(taken, "_bucket", how).drop("_bucket")
+
+
 def maybe_in(df: DataFrame, key: Column, keys: DataFrame, of: Column) -> DataFrame:
     """The rows of ``df`` whose key may be in ``keys``: all that are and few that are not.
 
@@ -33,10 +42,21 @@ def maybe_in(df: DataFrame, key: Column, keys: DataFrame, of: Column) -> DataFra
     bounded at any input; when every bucket is taken, all rows pass and the exact join that
     must follow does the work. It only keeps rows that can't match out of that join's shuffle.
     """
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
-    taken = keys.select(bucket(of).alias("_bucket")).distinct()
-    return (
-        df.withColumn("_bucket", bucket(key))
-        .join(F.broadcast(taken), "_bucket", "left_semi")
-        .drop("_bucket")
+    return _by_bucket(df, key, keys, of, "left_semi")
+
+
+def surely_not_in(df: DataFrame, key: Column, keys: DataFrame, of: Column) -> DataFrame:
+    """The other rows: those whose key cannot be in ``keys``."""
+    return _by_bucket(df, key, keys, of, "left_anti")
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose id is in ``dropped``; rows without an id stay.
+
+    Only rows that may be dropped travel to the join.
+    """
+    ids, key = dropped.select(F.col("doc_id").alias("_dropped")), F.col(id_col)
+    doubtful = maybe_in(docs, key, ids, F.col("_dropped"))
+    return surely_not_in(docs, key, ids, F.col("_dropped")).unionByName(
+        doubtful.join(ids.distinct(), key.cast("long") == F.col("_dropped"), "left_anti")
     )

@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from caudal.llm.common import maybe_in, stored
+from caudal.llm.common import maybe_in, stored, surely_not_in
 from caudal.session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -213,3 +213,29 @@ def _decided(prints: DataFrame, entries: DataFrame) -> DataFrame:
             "text_sha256", "n_points", "locator",
         )
     )
+
+
+def drop_exact_duplicates(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with one row of each group of equal texts, the one :func:`exact_duplicates` keeps.
+
+    Rows whose id is in no group of several pass as they are; the others meet the decisions.
+    """
+    found = stored(exact_duplicates(docs, id_col=id_col, text_col=text_col), "dedup-decisions")
+    several = found.filter(F.col("group_size") > 1)
+    key = F.col(id_col).cast("long")
+    alone = surely_not_in(docs, key, several, F.col("doc_id"))
+    bare = normalised(F.col(text_col))
+    keys = ["_sha256", "_points", "_id"]
+    rows = maybe_in(docs, key, several, F.col("doc_id")).withColumns({
+        "_sha256": F.sha2(bare, 256), "_id": key,
+        "_points": F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"),
+    })
+    stays = found.filter("kept").select(
+        F.col("text_sha256").alias("s"), F.col("n_points").alias("n"), F.col("doc_id").alias("d")
+    )
+    same = (F.col("_sha256") == F.col("s")) & (F.col("_points") == F.col("n"))
+    chosen = rows.join(stays, same & F.col("_id").eqNullSafe(F.col("d")), "left_semi")
+    # Rows repeated with the same id and text are one.
+    return alone.unionByName(chosen.dropDuplicates(keys).drop(*keys))
