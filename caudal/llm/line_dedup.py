@@ -97,32 +97,49 @@ def candidate_pairs(lines: DataFrame) -> DataFrame:
     return met.select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often the expression names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def within_edits(left: Column, right: Column, edits: int) -> Column:
     """Whether two texts are at most ``edits`` insertions, deletions or substitutions apart.
 
     A band of 2 ``edits`` + 1 cells of the distance table is kept as bits of one number and
     updated for a whole column at once. Common beginnings and ends are cut off first.
     """
-    shorter = F.when(F.char_length(left) <= F.char_length(right), left).otherwise(right)
-    longer = F.when(F.char_length(left) <= F.char_length(right), right).otherwise(left)
-    pair = F.struct(F.split(shorter, "").alias("a"), F.split(longer, "").alias("b"))
-    return F.transform(F.array(pair), lambda p: _banded(*_trimmed(p["a"], p["b"], edits), edits))[0]
+    swap = F.char_length(left) > F.char_length(right)
+    pair = F.struct(
+        F.split(F.when(swap, right).otherwise(left), "").alias("a"),
+        F.split(F.when(swap, left).otherwise(right), "").alias("b"),
+    )
 
+    def with_head(p: Column) -> Column:
+        return F.struct(p["a"].alias("a"), p["b"].alias("b"), _common(p["a"], p["b"]).alias("head"))
+
+    def with_tail(p: Column) -> Column:
+        behind = _common(F.reverse(p["a"]), F.reverse(p["b"]))
+        tail = F.least(behind, F.least(F.size(p["a"]), F.size(p["b"])) - p["head"])
+        return F.struct(p["a"].alias("a"), p["b"].alias("b"), p["head"].alias("head"), tail.alias("tail"))
+
+    def trimmed(p: Column) -> Column:
+        # The same few marks behind each leave room for the band and change no distance.
+        cut = lambda x: F.concat(
+            F.slice(x, p["head"] + 1, F.greatest(F.size(x) - p["head"] - p["tail"], F.lit(0))),
+            F.array_repeat(F.lit(""), edits),
+        )
+        return F.struct(cut(p["a"]).alias("a"), cut(p["b"]).alias("b"))
 
-def _trimmed(a: Column, b: Column, edits: int) -> tuple[Column, Column]:
-    """Both without their common ends, with the same few marks behind each."""
-    def common(x: Column, y: Column) -> Column:
-        differ = F.array_position(F.zip_with(x, y, lambda s, t: ~s.eqNullSafe(t)), True)
-        return F.when(differ > 0, differ - 1).otherwise(F.size(x)).cast("int")
+    def distance(p: Column) -> Column:
+        return _let(trimmed(p), lambda q: _banded(q["a"], q["b"], edits))
 
-    head = common(a, b)
-    marks = F.array_repeat(F.lit(""), edits)
+    return _let(pair, lambda p: _let(with_head(p), lambda h: _let(with_tail(h), distance)))
 
-    def cut(x: Column, tail: Column) -> Column:
-        return F.concat(F.slice(x, head + 1, F.greatest(F.size(x) - head - tail, F.lit(0))), marks)
 
-    tail = F.least(common(F.reverse(a), F.reverse(b)), F.least(F.size(a), F.size(b)) - head)
-    return cut(a, tail), cut(b, tail)
+def _common(x: Column, y: Column) -> Column:
+    """How many characters both begin with."""
+    differ = F.array_position(F.zip_with(x, y, lambda s, t: ~s.eqNullSafe(t)), True)
+    return F.when(differ > 0, differ - 1).otherwise(F.size(x)).cast("int")
 
 
 def _banded(a: Column, b: Column, edits: int) -> Column:
@@ -132,39 +149,47 @@ def _banded(a: Column, b: Column, edits: int) -> Column:
     runs down the band's last diagonal to the last row and then along it.
     """
     width = 2 * edits + 1
-    mask = F.lit((1 << width) - 1).cast("long")
+    full = (1 << width) - 1
     rows, columns = F.size(a), F.size(b)
+    zero = F.lit(0).cast("long")
     begin = F.struct(
-        F.lit(((1 << width) - 1) ^ ((1 << edits) - 1)).cast("long").alias("vp"),
-        F.lit(0).cast("long").alias("vn"), F.lit(edits).cast("long").alias("distance"),
+        F.lit(full ^ ((1 << edits) - 1)).cast("long").alias("vp"), zero.alias("vn"),
+        F.lit(edits).cast("long").alias("distance"),
     )
-    invert = lambda x: F.bitwise_not(x).bitwiseAND(mask)
+    invert = lambda x: F.bitwise_not(x).bitwiseAND(F.lit(full).cast("long"))
 
     def column(state: Column, j: Column) -> Column:
         char = F.get(b, j - 1)
-        same = F.lit(0).cast("long")
+        same = zero
         for t in range(width):
-            same = same + F.when(F.get(a, j - edits + t - 1).eqNullSafe(char), F.lit(1 << t)).otherwise(F.lit(0))
+            here = F.get(a, j - edits + t - 1).eqNullSafe(char)
+            same = same + F.when(here, F.lit(1 << t).cast("long")).otherwise(zero)
+        return _let(same, lambda eq: deltas(state, eq, j))
+
+    def deltas(state: Column, same: Column, j: Column) -> Column:
         vp, vn = state["vp"], state["vn"]
-        d0 = (same.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(same).bitwiseOR(vn).bitwiseAND(mask)
-        step = F.struct(d0.alias("d0"), vp.alias("vp"), vn.alias("vn"), state["distance"].alias("distance"))
-        return F.transform(F.array(step), lambda s: after(s, j))[0]
-
-    def after(s: Column, j: Column) -> Column:
-        d0, vp, vn = s["d0"], s["vp"], s["vn"]
-        hp = vn.bitwiseOR(invert(d0.bitwiseOR(vp)))
-        hn = d0.bitwiseAND(vp)
+        d0 = (
+            (same.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(same).bitwiseOR(vn)
+            .bitwiseAND(F.lit(full).cast("long"))
+        )
+        return _let(d0, lambda d: after(state, d, j))
+
+    def after(state: Column, d0: Column, j: Column) -> Column:
+        vp, vn = state["vp"], state["vn"]
+        step = F.struct(vn.bitwiseOR(invert(d0.bitwiseOR(vp))).alias("hp"), d0.bitwiseAND(vp).alias("hn"))
+        return _let(step, lambda h: moved(state, d0, h["hp"], h["hn"], j))
+
+    def moved(state: Column, d0: Column, hp: Column, hn: Column, j: Column) -> Column:
         down = F.shiftright(d0, 1)
         # The cell of the last row in this column, once the band reaches below it.
-        last = F.expr("CAST(1 AS BIGINT)")
-        bit = lambda word, t: word.bitwiseAND(F.call_function("shiftleft", last, t)) != 0
+        bit = lambda word, t: word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), t)) != 0
         place = (rows - j + edits).cast("int")
         diagonal = F.when(bit(d0, F.lit(2 * edits)), 0).otherwise(1)
         along = F.when(bit(hp, place), 1).when(bit(hn, place), -1).otherwise(0)
         change = F.when(j + edits <= rows, diagonal).otherwise(along)
         return F.struct(
             hn.bitwiseOR(invert(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"),
-            (s["distance"] + change).cast("long").alias("distance"),
+            (state["distance"] + change).cast("long").alias("distance"),
         )
 
     done = F.aggregate(F.sequence(F.lit(1), columns), begin, column)
