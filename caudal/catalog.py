@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caudal.plans import fraud, fraud_mart, history, kpis, lookups, report
+from caudal.schemas import MART_DDL
 from caudal.session import scratch_path
 from caudal.sources.sample_bank import sample_bank
+from caudal.sources.sinks import publish_views
 from caudal.sources.tables import Tables, read_exchange_rates
 from caudal.streaming import jobs
 
@@ -18,8 +21,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 DESDE, HASTA = "1996-02-10", "1998-07-15"
 YEARS = [1996, 1997, 1998]
 NOW, BEFORE = 1998, 1997
-# On the sample's month of events one hour never holds more than three transactions.
-SIX_HOURS = fraud.FraudRules(window_seconds=6 * 3600)
 
 
 def _dated(plan: Callable[..., DataFrame], **params) -> Query:
@@ -32,24 +33,39 @@ def _timed(plan: Callable[..., DataFrame], **params) -> Query:
     return lambda spark, sf_dir: plan(sample_bank(spark, sf_dir, timed=True), **params)
 
 
-def _from_mart(serve: Callable[..., DataFrame], **params) -> Query:
-    """A serving query over mart frames that are not written first."""
+# Where the mart of a sample folder was loaded, for each application.
+_MARTS: dict[tuple[str, str], dict[str, str]] = {}
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def _mart(spark: SparkSession, sf_dir: str) -> Tables:
+    """The mart of a sample folder through its views; loaded by the first query that asks."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MARTS:
         t = sample_bank(spark, sf_dir, timed=True)
-        return serve(fraud.mart_without_load(t, rules=SIX_HOURS), **params)
+        _MARTS[key] = fraud.etl_run(spark, t, scratch_path(spark, "mart"))
+    publish_views(spark, _MARTS[key], MART_DDL)
+    return fraud_mart.mart_views(spark)
 
-    return run
+
+def _from_mart(serve: Callable[..., DataFrame], **params) -> Query:
+    """A serving query over the loaded mart."""
+    return lambda spark, sf_dir: serve(_mart(spark, sf_dir), **params)
 
 
-def _mart_table(name: str) -> Query:
-    return _from_mart(lambda mart: mart[name])
+def _of_alerts(plan: Callable[[DataFrame], DataFrame]) -> Query:
+    """A breakdown of the alerts that the mart holds."""
+    return lambda spark, sf_dir: plan(_mart(spark, sf_dir).alertas_fraude)
+
+
+def _fraud_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tx = sample_bank(spark, sf_dir, timed=True).transacciones
+    alerts = _mart(spark, sf_dir).alertas_fraude
+    return fraud.fraud_summary(alerts, tx.agg(F.count("*").alias("n")))
 
 
 def _flag(rule: Callable[..., DataFrame], flag: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = sample_bank(spark, sf_dir, timed=True)
-        return rule(t, rules=SIX_HOURS).select("id_transaccion", flag)
+        return rule(sample_bank(spark, sf_dir, timed=True)).select("id_transaccion", flag)
 
     return run
 
@@ -57,10 +73,25 @@ def _flag(rule: Callable[..., DataFrame], flag: str) -> Query:
 def _etl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs the whole load, then reads the published views back."""
     t = sample_bank(spark, sf_dir, timed=True)
-    fraud.etl_run(spark, t, scratch_path(spark, "mart"), rules=SIX_HOURS)
+    fraud.etl_run(spark, t, scratch_path(spark, "mart"))
     return fraud_mart.etl_resumen(fraud_mart.mart_views(spark))
 
 
+def _some_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids as a DataFrame: the clients with an overdue loan, and an id of nobody."""
+    overdue = sample_bank(spark, sf_dir).prestamos.filter(F.col("estatus_prestamo") == "Vencido")
+    nobody = spark.range(1).select(F.lit("nadie").alias("id_cliente"))
+    return overdue.select("id_cliente").unionByName(nobody)
+
+
+def _of_some_clients(plan: Callable[..., DataFrame], timed: bool = False, **params) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = sample_bank(spark, sf_dir, timed=timed)
+        return plan(t, _some_clients(spark, sf_dir), **params)
+
+    return run
+
+
 def _csv_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates written as dd/mm/yyyy text and read back through the CSV source."""
     path = scratch_path(spark, "tipo_cambio")
@@ -80,6 +111,7 @@ def _streamed(job: Callable[..., DataFrame], **params) -> Query:
 _PERIOD = {"desde": DESDE, "hasta": HASTA}
 _HISTORY = {"operations": YEARS, "products": YEARS}
 _PAGE = {"page": 2, "limit": 25}
+_AFTER_ALERT = {"fecha": "2024-01-20 00:00:00", "id_transaccion": "E5", "limit": 25}
 
 KPI_QUERIES: dict[str, Query] = {
     "kpi_resumen": _dated(kpis.kpi_resumen),
@@ -120,11 +152,11 @@ FRAUD_QUERIES: dict[str, Query] = {
     "fraud_r2_velocity": _flag(fraud.fraud_r2_velocity, "r2_velocidad"),
     "fraud_r3_amount": _flag(fraud.fraud_r3_amount, "r3_monto"),
     "fraud_r4_hour": _flag(fraud.fraud_r4_hour, "r4_hora"),
-    "fraud_alerts": _mart_table("alertas_fraude"),
-    "fraud_by_category": _mart_table("fraude_por_categoria"),
-    "fraud_by_channel": _mart_table("fraude_por_canal"),
-    "fraud_by_month": _mart_table("fraude_por_mes"),
-    "fraud_summary": _mart_table("resumen_general"),
+    "fraud_alerts": _timed(fraud.fraud_alerts),
+    "fraud_by_category": _of_alerts(fraud.fraud_by_category),
+    "fraud_by_channel": _of_alerts(fraud.fraud_by_channel),
+    "fraud_by_month": _of_alerts(fraud.fraud_by_month),
+    "fraud_summary": _fraud_summary,
     "etl_run": _etl,
     "etl_tipo_cambio_csv": _csv_rates,
     "etl_resumen": _from_mart(fraud_mart.etl_resumen),
@@ -135,6 +167,7 @@ FRAUD_QUERIES: dict[str, Query] = {
     "etl_fraude_por_comercio": _dated(fraud_mart.etl_fraude_por_comercio),
     "etl_alertas_fraude": _from_mart(fraud_mart.etl_alertas_fraude, **_PAGE),
     "etl_alertas_fraude_info": _from_mart(fraud_mart.etl_alertas_fraude_info, **_PAGE),
+    "etl_alertas_fraude_after": _from_mart(fraud_mart.etl_alertas_fraude_after, **_AFTER_ALERT),
     "etl_resumen_periodo": _dated(fraud_mart.etl_resumen_periodo, **_PERIOD),
 }
 
@@ -160,6 +193,23 @@ LOOKUP_QUERIES: dict[str, Query] = {
         lookups.transacciones_list_info, page=2, limit=50, **_TX_FILTERS
     ),
     "transaccion_detalle": _timed(lookups.transaccion_detalle),
+    "clientes_list_after": _dated(
+        lookups.clientes_list_after, apellido_paterno="Martínez", id_cliente="C4", limit=5,
+        **_CLIENT_FILTERS,
+    ),
+    "transacciones_list_after": _dated(
+        lookups.transacciones_list_after, fecha=dt.datetime(1998, 3, 1), id_transaccion="L2",
+        limit=50, **_TX_FILTERS,
+    ),
+    "cliente_perfil_por_id": lambda spark, sf_dir: flat_profile(
+        lookups.cliente_perfil(sample_bank(spark, sf_dir), "C12")
+    ),
+    "cliente_cuentas_por_id": _dated(lookups.cliente_cuentas, ids=["C7", "C12", "nadie"]),
+    "transaccion_detalle_por_id": _timed(lookups.transaccion_detalle, ids=["E3", "E86", "X"]),
+    "cliente_cuentas_de_varios": _of_some_clients(lookups.cliente_cuentas),
+    "cliente_transacciones_de_varios": _of_some_clients(
+        lookups.cliente_transacciones, timed=True, limit=20
+    ),
 }
 
 HISTORY_QUERIES: dict[str, Query] = {
@@ -212,11 +262,9 @@ REPORT_QUERIES: dict[str, Query] = {
 
 STREAM_QUERIES: dict[str, Query] = {
     "stream_totales_por_canal": _streamed(jobs.replay_channel_totals),
-    "stream_velocidad_deslizante": _streamed(
-        jobs.replay_sliding_velocity, window="6 hours", slide="30 minutes"
-    ),
-    "stream_velocidad_exacta": _streamed(jobs.replay_exact_velocity, rules=SIX_HOURS),
-    "stream_reglas_sin_estado": _streamed(jobs.replay_stateless_rules, rules=SIX_HOURS),
+    "stream_velocidad_deslizante": _streamed(jobs.replay_sliding_velocity),
+    "stream_velocidad_exacta": _streamed(jobs.replay_exact_velocity),
+    "stream_reglas_sin_estado": _streamed(jobs.replay_stateless_rules),
 }
 
 

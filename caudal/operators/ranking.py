@@ -35,25 +35,18 @@ def page_info(df: DataFrame, page: int, limit: int) -> DataFrame:
     )
 
 
-# Up to this n Spark trims each group before the shuffle by itself (the default of
-# spark.sql.optimizer.windowGroupLimitThreshold).
-_TRIMMED_BY_SPARK = 1000
-_TRIM_SALTS = 256
-
-
 def latest_per_key(df: DataFrame, key: str, n: int, *order: Column, row_id: str) -> DataFrame:
     """First ``n`` rows of each key; ``order`` must end in a unique column.
 
-    For ``row_number() <= n`` Spark trims every key to ``n`` rows before the shuffle
-    (``WindowGroupLimit``), so a key holding a large part of the table still sends only
-    ``n`` rows per input task. Beyond the ``n`` Spark does this for, each key is first
-    trimmed within hash slices of its rows: the first ``n`` of a key are among the first
-    ``n`` of its slices.
+    Each key is first trimmed within hash slices of its rows, one per shuffle partition the
+    session has, and then over its slices: the first ``n`` of a key are among the first ``n``
+    of its slices. A key holding a large part of the table is trimmed by as many tasks as the
+    cluster is set up for, and what meets in one task is ``n`` rows for each of them.
     """
-    if n > _TRIMMED_BY_SPARK:
-        slices = Window.partitionBy(key, F.pmod(F.xxhash64(row_id), F.lit(_TRIM_SALTS)))
-        df = _first_n(df, slices.orderBy(*order), n)
-    return _first_n(df, Window.partitionBy(key).orderBy(*order), n)
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = Window.partitionBy(key, F.pmod(F.xxhash64(row_id), F.lit(slices)))
+    trimmed = _first_n(df, sliced.orderBy(*order), n)
+    return _first_n(trimmed, Window.partitionBy(key).orderBy(*order), n)
 
 
 def _first_n(df: DataFrame, spec, n: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caudal.functions.dates import seconds
 
@@ -12,6 +12,11 @@ def counts_per_instant(df: DataFrame, key: str, at: str) -> DataFrame:
     return df.groupBy(key, at).agg(F.count("*").alias("n"))
 
 
+def slice_of(at: Column, within_seconds: int) -> Column:
+    """The number of the slice of ``within_seconds`` that a timestamp lies in."""
+    return F.floor(F.unix_micros(at.cast("timestamp")) / (within_seconds * 1_000_000))
+
+
 def busy_instants(
     instants: DataFrame, key: str, at: str, *, more_than: int, within_seconds: int
 ) -> DataFrame:
@@ -21,26 +26,26 @@ def busy_instants(
     Two steps keep this linear and evenly spread:
 
     * the input has one row per key and instant, so ties never pile up;
-    * each key's timeline is cut into calendar days, and an instant is copied into every
-      later day its window reaches. A key with a third of all rows is then as many tasks
-      as it has days, and no window has to look outside its day.
+    * each key's timeline is cut into slices as long as the window, and an instant is copied
+      into the next slice, the only other one its window can reach. A key with a third of all
+      rows is then as many tasks as it has slices, and no window looks outside its slice.
 
     Since every instant counts at least one row, more than ``more_than`` rows in the
     window show within the last ``more_than + 1`` instants: a few ``lag`` columns replace
     a range frame that would be re-summed for each row.
     """
     span = seconds(within_seconds)
-    last_day = F.to_date(F.col(at) + span)
-    copies = instants.withColumn(
-        "_dia", F.explode(F.sequence(F.to_date(F.col(at)), last_day))
+    own = slice_of(F.col(at), within_seconds)
+    copies = instants.withColumn("_propia", own).withColumn(
+        "_tramo", F.explode(F.array(F.col("_propia"), F.col("_propia") + 1))
     )
-    spec = Window.partitionBy(key, "_dia").orderBy(at)
+    spec = Window.partitionBy(key, "_tramo").orderBy(at)
     inside = F.col("n")
     for back in range(1, more_than + 1):
         still_in = F.lag(at, back).over(spec) > F.col(at) - span
         inside = inside + F.when(still_in, F.lag("n", back).over(spec)).otherwise(0)
     return (
         copies.withColumn("_inside", inside)
-        .filter((F.col("_dia") == F.to_date(F.col(at))) & (F.col("_inside") > more_than))
+        .filter((F.col("_tramo") == F.col("_propia")) & (F.col("_inside") > more_than))
         .select(key, at)
     )

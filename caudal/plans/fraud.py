@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,10 +12,10 @@ from caudal.functions.geo import haversine_km
 from caudal.functions.numbers import as_double, pct_of_counts
 from caudal.operators.asof import join_as_of
 from caudal.operators.grouping import one_row, with_share
-from caudal.operators.rolling import busy_instants, counts_per_instant
-from caudal.operators.skew import HEAVY_ROWS, heaviest, heavy_keys, lookup_join
+from caudal.operators.rolling import busy_instants
+from caudal.operators.spread import plain_side
 from caudal.schemas import BANK_TABLES, MART_DDL, mart_schema
-from caudal.sources.sinks import publish_views, replace_tables
+from caudal.sources.sinks import new_load, publish_views, replace_tables
 from caudal.sources.tables import Tables, extract
 
 
@@ -33,8 +34,6 @@ class FraudRules:
     points_amount: int = 2
     points_hour: int = 1
     alert_score: int = 3
-    # Rows from which a client, an instant or an account counts as heavy in the joins.
-    heavy_rows: int = HEAVY_ROWS
 
 
 DEFAULT_RULES = FraudRules()
@@ -63,12 +62,33 @@ def is_odd_hour(rules: FraudRules) -> Column:
 
 # ── per-client facts ────────────────────────────────────────────────────────────────────
 
-def amount_profile(tx: DataFrame) -> DataFrame:
-    """Rows, mean and sample deviation of the amounts of each client, combined map-side."""
-    return tx.groupBy("id_cliente").agg(
+def client_instants(tx: DataFrame) -> DataFrame:
+    """Rows and amounts of each client and instant, combined map-side.
+
+    Both the velocity rule and the amount profile are answered from this one scan. Sums are
+    decimals, so they are exact whatever order they are added in.
+    """
+    money = F.col("monto").cast("decimal(18,2)")
+    return tx.groupBy("id_cliente", "fecha").agg(
         F.count("*").alias("n"),
-        F.try_divide(as_double(F.sum("monto")), F.count("monto")).alias("media"),
-        F.stddev_samp(as_double(F.col("monto"))).alias("desviacion"),
+        F.count("monto").alias("n_montos"),
+        F.sum(money).alias("suma"),
+        F.sum((money * money).cast("decimal(30,4)")).alias("cuadrados"),
+    )
+
+
+def amount_profile(instants: DataFrame) -> DataFrame:
+    """Mean and sample deviation of the amounts of each client, from :func:`client_instants`.
+
+    The sums are exact and turned into doubles once, so a retried task gives the same
+    deviation to the last bit.
+    """
+    n = F.sum("n_montos").cast("double")
+    total, squares = as_double(F.sum("suma")), as_double(F.sum("cuadrados"))
+    spread = F.greatest(squares - total * total / n, F.lit(0.0))
+    return instants.filter("n_montos > 0").groupBy("id_cliente").agg(
+        (total / n).alias("media"),
+        F.when(n > 1, F.sqrt(spread / (n - 1))).alias("desviacion"),
     )
 
 
@@ -76,50 +96,41 @@ def usual_location(t: Tables) -> DataFrame:
     return t.datos_personales.select("id_cliente", "latitud_habitual", "longitud_habitual")
 
 
-def with_velocity(tx: DataFrame, rules: FraudRules) -> DataFrame:
+def with_velocity(tx: DataFrame, instants: DataFrame, rules: FraudRules) -> DataFrame:
     """Adds ``r2_velocidad``: too many transactions of the client in the trailing window.
 
-    An instant heavy enough to be salted holds more transactions than the rule allows, so
-    all heavy instants are flagged without looking them up among the flagged ones.
+    An outer join on the left: AQE cuts a client and instant with very many transactions, or
+    those without a client, into several tasks.
     """
-    keys = ["id_cliente", "fecha"]
-    instants = counts_per_instant(tx, *keys)
     flagged = busy_instants(
-        instants, *keys, more_than=rules.max_tx, within_seconds=rules.window_seconds
-    )
-    heavy = heaviest(instants, keys, max(rules.heavy_rows, rules.max_tx + 1))
-    return lookup_join(
-        tx, flagged, keys, heavy, F.col("id_transaccion"),
-        found="r2_velocidad", heavy_matches=heavy,
+        instants.select("id_cliente", "fecha", "n"), "id_cliente", "fecha",
+        more_than=rules.max_tx, within_seconds=rules.window_seconds,
     )
+    marked = tx.join(flagged.withColumn("r2_velocidad", F.lit(True)), ["id_cliente", "fecha"], "left")
+    return marked.select(*tx.columns, F.coalesce("r2_velocidad", F.lit(False)).alias("r2_velocidad"))
 
 
 # ── single rules ────────────────────────────────────────────────────────────────────────
 
 def fraud_r1_geo(t: Tables, *, rules: FraudRules = DEFAULT_RULES) -> DataFrame:
     """Transactions with ``r1_geo``: too far from the client's usual place."""
-    tx = t.transacciones
-    heavy = heavy_keys(tx, ["id_cliente"], min_rows=rules.heavy_rows)
-    placed = lookup_join(
-        tx, usual_location(t), ["id_cliente"], heavy, F.col("id_transaccion")
-    )
-    return placed.withColumn("r1_geo", is_far(rules)).drop("latitud_habitual", "longitud_habitual")
+    placed = t.transacciones.join(usual_location(t), "id_cliente", "left")
+    flagged = placed.withColumn("r1_geo", is_far(rules))
+    return flagged.select(*t.transacciones.columns, "r1_geo")
 
 
 def fraud_r2_velocity(t: Tables, *, rules: FraudRules = DEFAULT_RULES) -> DataFrame:
     """Transactions with ``r2_velocidad``."""
-    return with_velocity(t.transacciones, rules)
+    tx = t.transacciones
+    return with_velocity(tx, client_instants(tx), rules)
 
 
 def fraud_r3_amount(t: Tables, *, rules: FraudRules = DEFAULT_RULES) -> DataFrame:
     """Transactions with ``r3_monto``: an amount far above the client's mean."""
     tx = t.transacciones
-    profile = amount_profile(tx)
-    heavy = heaviest(profile, ["id_cliente"], rules.heavy_rows)
-    known = lookup_join(
-        tx, profile.drop("n"), ["id_cliente"], heavy, F.col("id_transaccion")
-    )
-    return known.withColumn("r3_monto", is_outlier(rules)).drop("media", "desviacion")
+    profile = plain_side(amount_profile(client_instants(tx)))
+    known = tx.join(profile, "id_cliente", "left")
+    return known.withColumn("r3_monto", is_outlier(rules)).select(*tx.columns, "r3_monto")
 
 
 def fraud_r4_hour(t: Tables, *, rules: FraudRules = DEFAULT_RULES) -> DataFrame:
@@ -129,27 +140,26 @@ def fraud_r4_hour(t: Tables, *, rules: FraudRules = DEFAULT_RULES) -> DataFrame:
 
 # ── score and alerts ────────────────────────────────────────────────────────────────────
 
-def score_transactions(t: Tables, *, rules: FraudRules = DEFAULT_RULES) -> DataFrame:
+def score_transactions(
+    t: Tables, *, rules: FraudRules = DEFAULT_RULES, instants: DataFrame | None = None
+) -> DataFrame:
     """Every transaction with its four flags, ``score`` and the client's name.
 
     Everything known about a client (amount profile, name, usual place) is put together
     first, one row per client; the transactions then meet it in one join, and the velocity
-    flags in another. The stored fraud flag is not used.
+    flags in another. ``instants`` is a stored :func:`client_instants`, if there is one; then
+    the transactions are read once. The stored fraud flag is not used.
     """
     tx = t.transacciones
-    profile = amount_profile(tx)
-    heavy_clients = heaviest(profile, ["id_cliente"], rules.heavy_rows)
+    instants = client_instants(tx) if instants is None else instants
     names = t.clientes.select(
         "id_cliente", "nombre", "apellido_paterno", F.lit(True).alias("es_cliente")
     )
     client = (
-        profile.drop("n")
-        .join(names, "id_cliente", "left")
+        names.join(amount_profile(instants), "id_cliente", "full_outer")
         .join(usual_location(t), "id_cliente", "left")
     )
-    known = lookup_join(
-        with_velocity(tx, rules), client, ["id_cliente"], heavy_clients, F.col("id_transaccion")
-    )
+    known = with_velocity(tx, instants, rules).join(plain_side(client), "id_cliente", "left")
 
     def points(flag: str, n: int) -> Column:
         return F.when(F.col(flag), n).otherwise(0)
@@ -182,24 +192,23 @@ def with_usd(alerts: DataFrame, t: Tables) -> DataFrame:
     return priced.withColumn("monto_usd", usd.cast("decimal(18,2)"))
 
 
-def with_account(
-    alerts: DataFrame, t: Tables, *, rules: FraudRules = DEFAULT_RULES
-) -> DataFrame:
-    """Adds the account's type and branch; NULL for alerts without an account.
-
-    Heavy accounts come from the plain transactions: a narrow scan, and an account heavy
-    among the alerts is heavy there too.
-    """
+def with_account(alerts: DataFrame, t: Tables) -> DataFrame:
+    """Adds the account's type and branch; NULL for alerts without an account."""
     accounts = t.cuentas.select("num_cuenta", "tipo_cuenta", "sucursal")
-    heavy = heavy_keys(t.transacciones, ["num_cuenta"], min_rows=rules.heavy_rows)
-    return lookup_join(alerts, accounts, ["num_cuenta"], heavy, F.col("id_transaccion"))
+    return alerts.join(accounts, "num_cuenta", "left")
 
 
-def fraud_alerts(t: Tables, *, rules: FraudRules = DEFAULT_RULES) -> DataFrame:
-    """The alerts with client, account and USD amount, as loaded into the mart."""
-    alerts = flagged_alerts(score_transactions(t, rules=rules), rules=rules)
-    enriched = with_usd(with_account(alerts, t, rules=rules), t)
-    return enriched.select(*mart_schema("alertas_fraude").names)
+def enriched_alerts(alerts: DataFrame, t: Tables) -> DataFrame:
+    """Alerts with account and USD amount, as loaded into the mart."""
+    return with_usd(with_account(alerts, t), t).select(*mart_schema("alertas_fraude").names)
+
+
+def fraud_alerts(
+    t: Tables, *, rules: FraudRules = DEFAULT_RULES, instants: DataFrame | None = None
+) -> DataFrame:
+    """The alerts with client, account and USD amount."""
+    scored = score_transactions(t, rules=rules, instants=instants)
+    return enriched_alerts(flagged_alerts(scored, rules=rules), t)
 
 
 # ── the mart ────────────────────────────────────────────────────────────────────────────
@@ -227,9 +236,10 @@ def fraud_by_month(alerts: DataFrame) -> DataFrame:
 
 
 def fraud_summary(
-    alerts: DataFrame, tx: DataFrame, *, rules: FraudRules = DEFAULT_RULES
+    alerts: DataFrame, counted: DataFrame, *, rules: FraudRules = DEFAULT_RULES
 ) -> DataFrame:
-    """One row: alert rate and amounts. ``tx`` is only counted."""
+    """One row: alert rate and amounts. ``counted`` has the transactions' number in rows of
+    ``n``, as the stored instants do."""
     amounts = alerts.agg(
         F.count("*").alias("total_fraudes"),
         as_double(F.sum("monto")).alias("monto_total_fraude"),
@@ -237,7 +247,8 @@ def fraud_summary(
         as_double(F.max("monto")).alias("monto_maximo_fraude"),
         as_double(F.sum("monto_usd")).alias("monto_total_usd"),
     )
-    row = one_row(tx.agg(F.count("*").alias("total_transacciones")), amounts)
+    total = F.coalesce(F.sum("n"), F.lit(0)).cast("long")
+    row = one_row(counted.agg(total.alias("total_transacciones")), amounts)
     return row.select(
         "total_transacciones",
         "total_fraudes",
@@ -251,39 +262,17 @@ def fraud_summary(
 
 
 def mart_aggregates(
-    alerts: DataFrame, tx: DataFrame, *, rules: FraudRules = DEFAULT_RULES
+    alerts: DataFrame, counted: DataFrame, *, rules: FraudRules = DEFAULT_RULES
 ) -> dict[str, DataFrame]:
     """The mart's small tables, from alerts that carry their USD amount."""
     return {
         "fraude_por_categoria": fraud_by_category(alerts),
         "fraude_por_canal": fraud_by_channel(alerts),
         "fraude_por_mes": fraud_by_month(alerts),
-        "resumen_general": fraud_summary(alerts, tx, rules=rules),
+        "resumen_general": fraud_summary(alerts, counted, rules=rules),
     }
 
 
-def mart_without_load(t: Tables, *, rules: FraudRules = DEFAULT_RULES) -> Tables:
-    """Mart tables as lazy frames, for a one-off question to a mart that is not loaded.
-
-    Each is built from no more than it needs: the breakdowns take the bare alerts, the
-    summary adds the USD amounts, and only the alert list looks up the accounts.
-    """
-
-    def build(name: str) -> DataFrame:
-        if name == "alertas_fraude":
-            return fraud_alerts(t, rules=rules)
-        alerts = flagged_alerts(score_transactions(t, rules=rules), rules=rules)
-        if name == "resumen_general":
-            return fraud_summary(with_usd(alerts, t), t.transacciones, rules=rules)
-        return {
-            "fraude_por_categoria": fraud_by_category,
-            "fraude_por_canal": fraud_by_channel,
-            "fraude_por_mes": fraud_by_month,
-        }[name](alerts)
-
-    return Tables(build)
-
-
 def etl_run(
     spark: SparkSession,
     t: Tables,
@@ -294,16 +283,32 @@ def etl_run(
 ) -> dict[str, str]:
     """Extract, transform, load: scores all transactions and replaces the mart in ``folder``.
 
-    The alerts are written first and read back for the aggregates, so the scoring runs
-    once and a lost executor costs no more than its own tasks. ``staging`` additionally
-    copies the source tables there and works from the copy. Returns the written paths;
-    the views ``dwh_<name>`` point to them.
+    The transactions are read twice: once for the clients' instants, which are stored and
+    answer the velocity rule, the amount profile and the total, and once for the score. The
+    bare alerts are stored before accounts and rates are added, so these see the alerts only,
+    and a lost executor costs no more than its own tasks.
+
+    Every load goes to a new folder below ``folder``; the views ``dwh_<name>`` are pointed to
+    it when all tables are there. Readers of the load before see it until then, and a load
+    that fails changes nothing. Old loads are left for whoever owns the folder to remove.
+    ``staging`` additionally copies the source tables there and works from the copy. Returns
+    the written paths.
     """
     if staging is not None:
         extract(t, staging, names=(*BANK_TABLES, "tipo_cambio"))
         t = Tables.from_parquet(spark, staging)
-    paths = replace_tables({"alertas_fraude": fraud_alerts(t, rules=rules)}, folder)
+    load = new_load(folder)
+    instants = _stored(client_instants(t.transacciones), load, "work_instantes")
+    scored = score_transactions(t, rules=rules, instants=instants)
+    bare = _stored(flagged_alerts(scored, rules=rules), load, "work_alertas")
+    paths = replace_tables({"alertas_fraude": enriched_alerts(bare, t)}, load)
     alerts = spark.read.schema(MART_DDL["alertas_fraude"]).parquet(paths["alertas_fraude"])
-    paths |= replace_tables(mart_aggregates(alerts, t.transacciones, rules=rules), folder)
+    paths |= replace_tables(mart_aggregates(alerts, instants, rules=rules), load)
     publish_views(spark, paths, MART_DDL)
     return paths
+
+
+def _stored(df: DataFrame, folder: str, name: str) -> DataFrame:
+    path = os.path.join(folder, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

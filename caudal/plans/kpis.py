@@ -45,13 +45,14 @@ INDICADORES = (
     ("porcentajeMetasFallidas", 30, "Ahorro", "% de metas de ahorro fallidas",
      "Enviar recordatorios automáticos y ofrecer microcréditos puente para completar metas", "Baja"),
 )
-ETIQUETAS_RIESGO = (
-    # label, column, threshold in percent
-    ("Fraude potencial", "porcentajeFraudePotencial", 5),
-    ("Cobros excedidos", "porcentajeCobrosExcedidos", 10),
-    ("Cuentas canceladas", "porcentajeCuentasCanceladas", 20),
-    ("Préstamos vencidos", "porcentajePrestamosVencidos", 15),
-    ("Metas de ahorro fallidas", "porcentajeMetasFallidas", 30),
+_ETIQUETAS = (
+    "Fraude potencial", "Cobros excedidos", "Cuentas canceladas", "Préstamos vencidos",
+    "Metas de ahorro fallidas",
+)
+# label, column, threshold in percent
+ETIQUETAS_RIESGO = tuple(
+    (label, column, threshold)
+    for label, (column, threshold, *_) in zip(_ETIQUETAS, INDICADORES, strict=True)
 )
 
 

@@ -1,8 +1,9 @@
 """Client and transaction lookups (D1-D9).
 
 The per-client lookups take one id, a list of ids or a DataFrame with ``id_cliente``, and
-answer for all of them in one job. Ids that are no client's give no rows. ``ordered=False``
-skips the sort over all clients, which a bulk export does not need.
+answer for all of them in one job; the ids cut the tables down before anything else is done.
+Ids that are no client's give no rows. Results for named ids are sorted, those for all clients
+or a DataFrame of ids only with ``ordered=True``, as a bulk export does not need it.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from caudal.functions.dates import as_date, instant, whole_days
 from caudal.functions.text import contains_ci
 from caudal.operators.ranking import latest_per_key, page_after, page_info, page_of
-from caudal.operators.skew import HEAVY_ROWS, heavy_keys, lookup_join
+from caudal.operators.spread import plain_side
 from caudal.sources.tables import Tables
 
 Ids = str | list[str] | DataFrame
@@ -50,10 +51,10 @@ def clientes_filtrados(
 def _with_satellites(t: Tables, page: DataFrame) -> DataFrame:
     """Open data and contact columns of the clients on one page.
 
-    The page is at most ``limit`` rows, so it is broadcast to cut both satellites down to
-    its clients before they are joined; neither satellite is shuffled.
+    Both satellites are cut down to the page's clients first. How that is done is left to
+    Spark, which knows the page's size when it gets there.
     """
-    on_page = F.broadcast(page.select("id_cliente"))
+    on_page = page.select("id_cliente")
     profile = t.open_data.join(on_page, "id_cliente", "left_semi").select(
         "id_cliente", "segmento_cliente", "nivel_riesgo", "score_crediticio"
     )
@@ -120,74 +121,77 @@ def cliente_perfil(t: Tables, ids: Ids | None = None) -> DataFrame:
     return profile
 
 
-def _children(
-    t: Tables, child: str, key: str, ids: Ids | None, heavy_rows: int = HEAVY_ROWS
-) -> DataFrame:
+def _of_ids(rows: DataFrame, key: str, ids: Ids | None) -> DataFrame:
+    """The rows of the asked-for ids: pushed into the scan, or a semi join with a frame."""
+    if ids is None:
+        return rows
+    if isinstance(ids, DataFrame):
+        return rows.join(ids.select(key).distinct(), key, "left_semi")
+    return rows.filter(F.col(key).isin([ids] if isinstance(ids, str) else ids))
+
+
+def _children(t: Tables, child: str, ids: Ids | None) -> DataFrame:
     """Rows of ``child`` whose client exists (and is asked for).
 
-    Named ids are pushed into the scan. Otherwise clients with very many rows are salted,
-    as one of them may own a large part of the table.
+    A semi join on the left: AQE cuts a client with very many rows into several tasks.
     """
-    rows = t[child]
-    if isinstance(ids, (str, list)):
-        wanted = [ids] if isinstance(ids, str) else ids
-        # At most as many parents as ids were named.
-        parents = F.broadcast(_known_clients(t, ids).select("id_cliente"))
-        return rows.filter(F.col("id_cliente").isin(*wanted)).join(
-            parents, "id_cliente", "left_semi"
-        )
-    parents = _known_clients(t, ids).select("id_cliente")
-    heavy = heavy_keys(rows, ["id_cliente"], min_rows=heavy_rows)
-    matched = lookup_join(
-        rows, parents, ["id_cliente"], heavy, F.col(key), found="_existe"
-    )
-    return matched.filter("_existe").drop("_existe")
+    rows, parents = t[child], _known_clients(t, ids).select("id_cliente")
+    if isinstance(ids, DataFrame):
+        # The parents are cut down to the ids already.
+        return rows.join(plain_side(parents), "id_cliente", "left_semi")
+    return _of_ids(rows, "id_cliente", ids).join(parents, "id_cliente", "left_semi")
 
 
-def _sorted(df: DataFrame, ordered: bool, *order: Column | str) -> DataFrame:
+def _sorted(
+    df: DataFrame, ids: Ids | None, ordered: bool | None, *order: Column | str
+) -> DataFrame:
+    if ordered is None:
+        ordered = isinstance(ids, (str, list))
     return df.orderBy("id_cliente", *order) if ordered else df
 
 
-def cliente_cuentas(t: Tables, ids: Ids | None = None, *, ordered: bool = True) -> DataFrame:
+def cliente_cuentas(
+    t: Tables, ids: Ids | None = None, *, ordered: bool | None = None
+) -> DataFrame:
     """Accounts, latest opening first (an unknown date leads)."""
-    rows = _children(t, "cuentas", "num_cuenta", ids)
-    return _sorted(rows, ordered, F.desc_nulls_first("fecha_apertura"), "num_cuenta")
+    rows = _children(t, "cuentas", ids)
+    return _sorted(rows, ids, ordered, F.desc_nulls_first("fecha_apertura"), "num_cuenta")
 
 
 def cliente_transacciones(
-    t: Tables, ids: Ids | None = None, *, limit: int = 50, ordered: bool = True
+    t: Tables, ids: Ids | None = None, *, limit: int = 50, ordered: bool | None = None
 ) -> DataFrame:
     """The latest ``limit`` transactions of each client.
 
-    Trimmed to ``limit`` per client before the clients are checked, so what is shuffled
-    never grows with a client's history.
+    Cut down to the asked-for ids, trimmed to ``limit`` per client, and only then checked
+    against the clients, so what that join moves does not grow with a client's history.
     """
-    rows = t.transacciones
-    if isinstance(ids, (str, list)):
-        wanted = [ids] if isinstance(ids, str) else ids
-        rows = rows.filter(F.col("id_cliente").isin(*wanted))
     latest = latest_per_key(
-        rows, "id_cliente", limit, F.desc("fecha"), F.asc("id_transaccion"),
-        row_id="id_transaccion",
+        _of_ids(t.transacciones, "id_cliente", ids), "id_cliente", limit, F.desc("fecha"),
+        F.asc("id_transaccion"), row_id="id_transaccion",
     )
     parents = _known_clients(t, ids).select("id_cliente")
     known = latest.join(parents, "id_cliente", "left_semi")
-    return _sorted(known, ordered, F.desc("fecha"), "id_transaccion")
+    return _sorted(known, ids, ordered, F.desc("fecha"), "id_transaccion")
 
 
-def cliente_prestamos(t: Tables, ids: Ids | None = None, *, ordered: bool = True) -> DataFrame:
-    rows = _children(t, "prestamos", "id_prestamo", ids)
-    return _sorted(rows, ordered, F.desc_nulls_first("fecha_otorgamiento"), "id_prestamo")
+def cliente_prestamos(
+    t: Tables, ids: Ids | None = None, *, ordered: bool | None = None
+) -> DataFrame:
+    rows = _children(t, "prestamos", ids)
+    return _sorted(rows, ids, ordered, F.desc_nulls_first("fecha_otorgamiento"), "id_prestamo")
 
 
 def cliente_tarjetas(t: Tables, ids: Ids | None = None) -> DataFrame:
-    return _children(t, "tarjetas", "num_tarjeta", ids)
+    return _children(t, "tarjetas", ids)
 
 
-def cliente_metas(t: Tables, ids: Ids | None = None, *, ordered: bool = True) -> DataFrame:
+def cliente_metas(
+    t: Tables, ids: Ids | None = None, *, ordered: bool | None = None
+) -> DataFrame:
     """Savings goals, nearest target date first (an unknown date comes last)."""
-    rows = _children(t, "metas_ahorro", "id_meta", ids)
-    return _sorted(rows, ordered, F.asc_nulls_last("fecha_objetivo"), "id_meta")
+    rows = _children(t, "metas_ahorro", ids)
+    return _sorted(rows, ids, ordered, F.asc_nulls_last("fecha_objetivo"), "id_meta")
 
 
 # ── transactions ────────────────────────────────────────────────────────────────────────
@@ -225,11 +229,9 @@ def transacciones_filtradas(
 
 
 def _with_client_name(t: Tables, few: DataFrame) -> DataFrame:
-    """Names for the transactions of one page (at most ``limit`` rows, hence broadcast)."""
+    """Transactions of known clients, with the name."""
     names = t.clientes.select("id_cliente", "nombre", "apellido_paterno")
-    return names.join(F.broadcast(few), "id_cliente").select(
-        *few.columns, "nombre", "apellido_paterno"
-    )
+    return few.join(names, "id_cliente").select(*few.columns, "nombre", "apellido_paterno")
 
 
 def transacciones_list(t: Tables, *, page: int = 1, limit: int = 50, **filters) -> DataFrame:
@@ -255,18 +257,7 @@ def transacciones_list_info(t: Tables, *, page: int = 1, limit: int = 50, **filt
 
 
 def transaccion_detalle(
-    t: Tables, ids: str | list[str] | DataFrame | None = None, *, heavy_rows: int = HEAVY_ROWS
+    t: Tables, ids: str | list[str] | DataFrame | None = None
 ) -> DataFrame:
     """Transactions by id (all of them when ``ids`` is None), each with its client's name."""
-    names = t.clientes.select("id_cliente", "nombre", "apellido_paterno")
-    if isinstance(ids, (str, list)):
-        wanted = [ids] if isinstance(ids, str) else ids
-        return _with_client_name(t, t.transacciones.filter(F.col("id_transaccion").isin(*wanted)))
-    rows = t.transacciones
-    if ids is not None:
-        rows = rows.join(ids.select("id_transaccion").distinct(), "id_transaccion", "left_semi")
-    heavy = heavy_keys(t.transacciones, ["id_cliente"], min_rows=heavy_rows)
-    named = lookup_join(
-        rows, names, ["id_cliente"], heavy, F.col("id_transaccion"), found="_existe"
-    )
-    return named.filter("_existe").drop("_existe")
+    return _with_client_name(t, _of_ids(t.transacciones, "id_transaccion", ids))

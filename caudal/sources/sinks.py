@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -16,6 +17,12 @@ MART_PREFIX = "etl_"
 VIEW_PREFIX = "dwh_"
 
 
+def new_load(folder: str) -> str:
+    """A folder for one load, whose name sorts behind those of earlier loads."""
+    at = dt.datetime.now(dt.UTC).strftime("%Y%m%dT%H%M%S%f")
+    return os.path.join(folder, f"load-{at}-{uuid.uuid4().hex[:8]}")
+
+
 def replace_tables(
     frames: Mapping[str, DataFrame], folder: str, *, fmt: str = "parquet"
 ) -> dict[str, str]:

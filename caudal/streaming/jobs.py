@@ -10,19 +10,21 @@ Event time is ``fecha`` as a zoned timestamp, since watermarks need one.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from caudal.functions.dates import seconds
 from caudal.functions.numbers import count_true
+from caudal.operators.rolling import busy_instants, counts_per_instant, slice_of
 from caudal.plans.fraud import DEFAULT_RULES, FraudRules, is_far, is_odd_hour, usual_location
 from caudal.session import scratch_path, settings
 from caudal.sources.sample_bank import PROJECTIONS, SAMPLE_DDL, sample_bank
 
 DELAY = "1 hour"
+# Keys that the rows of one client are dealt over in the join with the static locations.
+SALTS = 16
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -66,11 +68,17 @@ def sliding_velocity_stream(
 
 
 def stateless_rules_stream(
-    tx: DataFrame, location: DataFrame, *, rules: FraudRules = DEFAULT_RULES
+    tx: DataFrame, location: DataFrame, *, rules: FraudRules = DEFAULT_RULES, salts: int = SALTS
 ) -> DataFrame:
-    """T4: the two rules that need no history, row by row, against the static locations."""
+    """T4: the two rules that need no history, row by row, against the static locations.
+
+    A stream's join is planned before its rows are seen, so nothing splits a busy client
+    later: each location is given to ``salts`` keys, and a client's rows are dealt over them.
+    """
+    copies = location.withColumn("sal", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
-        tx.join(location, "id_cliente", "left")
+        tx.withColumn("sal", F.pmod(F.xxhash64("id_transaccion"), F.lit(salts)).cast("int"))
+        .join(copies, ["id_cliente", "sal"], "left")
         .withColumn("r1_geo", is_far(rules))
         .withColumn("r4_hora", is_odd_hour(rules))
         .select("id_transaccion", "id_cliente", "fecha", "r1_geo", "r4_hora")
@@ -85,11 +93,11 @@ def exact_velocity_stream(
     Two stateful steps. A count per client and instant folds ties before the shuffle and
     emits an instant once the watermark has passed it, so rows that arrive late within the
     delay are still counted where they belong. The second step sees the instants of each
-    client and day in order; its state is the last ``max_tx`` instants, however much the
-    client does, and is dropped once the day's last window is over. As in the batch job an
-    instant is copied into every later day its window reaches.
+    client and slice of time in order; its state is the last ``max_tx`` instants, however much
+    the client does, and is dropped once the slice's last window is over. As in the batch job
+    slices are as long as the window, and an instant is copied into the next one.
     """
-    span = seconds(rules.window_seconds)
+    own = slice_of(F.col("fecha"), rules.window_seconds)
     instants = (
         tx.withWatermark("fecha", delay)
         .groupBy("id_cliente", "fecha")
@@ -97,15 +105,15 @@ def exact_velocity_stream(
     )
     copies = instants.select(
         "id_cliente", "fecha", "n",
-        F.explode(F.sequence(F.to_date("fecha"), F.to_date(F.col("fecha") + span))).alias("dia"),
+        F.explode(F.array(own, own + 1)).alias("tramo"),
         F.unix_micros("fecha").alias("micros"),
     ).select(
-        "id_cliente", "dia", "fecha", "n", "micros",
-        (F.col("dia") == F.to_date("fecha")).alias("propio"),
-        # When the client-day can no longer receive anything.
-        F.unix_millis((F.date_add("dia", 1)).cast("timestamp")).alias("fin"),
+        "id_cliente", "tramo", "fecha", "n", "micros",
+        (F.col("tramo") == own).alias("propio"),
+        # When the client's slice can no longer receive anything.
+        ((F.col("tramo") + 1) * (rules.window_seconds * 1000)).alias("fin"),
     )
-    flagged = copies.groupBy("id_cliente", "dia").transformWithStateInPandas(
+    flagged = copies.groupBy("id_cliente", "tramo").transformWithStateInPandas(
         _VelocityProcessor(rules.max_tx, rules.window_seconds * 1_000_000),
         outputStructType="id_cliente string, micros long",
         outputMode="append",
@@ -115,7 +123,7 @@ def exact_velocity_stream(
 
 
 class _VelocityProcessor(StatefulProcessor):
-    """Per client and day: which new instants have too much in their window."""
+    """Per client and slice: which new instants have too much in their window."""
 
     def __init__(self, more_than: int, span: int):
         self._more_than, self._span = more_than, span
@@ -125,7 +133,9 @@ class _VelocityProcessor(StatefulProcessor):
         self._last = handle.getValueState("ultimos", "micros array<long>, n array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values("micros")
+        # Of each piece only the numbers are kept until the slice is in order.
+        pieces = [r[["micros", "n", "propio", "fin"]] for r in rows]
+        new = pd.concat(pieces, ignore_index=True).sort_values("micros")
         kept_at, kept_n = self._last.get() if self._last.exists() else ([], [])
         at = pd.concat([pd.Series(kept_at, dtype="int64"), new["micros"]], ignore_index=True)
         n = pd.concat([pd.Series(kept_n, dtype="int64"), new["n"]], ignore_index=True)
@@ -189,25 +199,75 @@ def run_available(
     return spark.read.schema(stream.schema).parquet(output)
 
 
+def completed(
+    streamed: DataFrame, at: str, tx: DataFrame, window: str, job: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """A finished replay together with what its last watermark left open.
+
+    An append stream gives a result once the watermark has passed it, in the order of ``at``,
+    so everything beyond its last result is still open. The same ``job`` computes that from
+    the rows not older than one window before it.
+    """
+    last = streamed.agg(F.max(at)).first()[0]
+    if last is None:
+        return job(tx)
+    since = F.lit(last) - F.expr(f"INTERVAL {window}")
+    rest = job(tx.filter(F.col("fecha") >= since)).filter(F.col(at) > F.lit(last))
+    return streamed.unionByName(rest)
+
+
 def _wall_clock(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
 
-def replay_channel_totals(spark: SparkSession, sf_dir: str, **params) -> DataFrame:
-    stream = channel_totals_stream(transactions_stream(spark, sf_dir), **params)
-    return _wall_clock(run_available(stream, scratch_path(spark, "totales")), "desde", "hasta")
+def _zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample's transactions as a table, with the stream's kind of timestamp."""
+    tx = sample_bank(spark, sf_dir, timed=True).transacciones
+    return tx.withColumn("fecha", F.col("fecha").cast("timestamp"))
 
 
-def replay_sliding_velocity(spark: SparkSession, sf_dir: str, **params) -> DataFrame:
-    stream = sliding_velocity_stream(transactions_stream(spark, sf_dir), **params)
-    return _wall_clock(run_available(stream, scratch_path(spark, "deslizante")), "desde", "hasta")
+def _replayed(
+    spark: SparkSession, sf_dir: str, name: str, at: str, window: str,
+    stream_job: Callable[[DataFrame], DataFrame],
+    batch_job: Callable[[DataFrame], DataFrame] | None = None, state_store: str | None = None,
+) -> DataFrame:
+    # A session of its own, so that the stream's settings touch no other query.
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    folder = scratch_path(spark, name)
+    stream = stream_job(transactions_stream(own, sf_dir))
+    run_available(stream, folder, state_store=state_store)
+    streamed = spark.read.schema(stream.schema).parquet(os.path.join(folder, "out"))
+    return completed(streamed, at, _zoned(spark, sf_dir), window, batch_job or stream_job)
+
 
+def replay_channel_totals(spark: SparkSession, sf_dir: str, *, window: str = "1 hour") -> DataFrame:
+    job = lambda tx: channel_totals_stream(tx, window=window)
+    return _wall_clock(_replayed(spark, sf_dir, "totales", "hasta", window, job), "desde", "hasta")
 
-def replay_exact_velocity(spark: SparkSession, sf_dir: str, **params) -> DataFrame:
+
+def replay_sliding_velocity(
+    spark: SparkSession, sf_dir: str, *, window: str = "1 hour", slide: str = "5 minutes"
+) -> DataFrame:
+    job = lambda tx: sliding_velocity_stream(tx, window=window, slide=slide)
+    return _wall_clock(_replayed(spark, sf_dir, "deslizante", "hasta", window, job), "desde", "hasta")
+
+
+def replay_exact_velocity(
+    spark: SparkSession, sf_dir: str, *, rules: FraudRules = DEFAULT_RULES
+) -> DataFrame:
     """Arbitrary state needs the RocksDB store, an embedded one inside each executor."""
-    stream = exact_velocity_stream(transactions_stream(spark, sf_dir), **params)
-    written = run_available(stream, scratch_path(spark, "velocidad"), state_store=ROCKSDB)
-    return _wall_clock(written, "fecha")
+    def batch(tx: DataFrame) -> DataFrame:
+        return busy_instants(
+            counts_per_instant(tx, "id_cliente", "fecha"), "id_cliente", "fecha",
+            more_than=rules.max_tx, within_seconds=rules.window_seconds,
+        )
+
+    found = _replayed(
+        spark, sf_dir, "velocidad", "fecha", f"{rules.window_seconds} seconds",
+        lambda tx: exact_velocity_stream(tx, rules=rules), batch, ROCKSDB,
+    )
+    return _wall_clock(found, "fecha")
 
 
 def replay_stateless_rules(spark: SparkSession, sf_dir: str, **params) -> DataFrame:

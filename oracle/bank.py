@@ -8,8 +8,6 @@ _RATES = """
     SELECT CAST(ts AS DATE) AS fecha,
            CAST(CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) / count(*) AS DECIMAL(10,4)) AS rate
     FROM events
-    WHERE CAST(ts AS DATE) >= DATE '2024-01-03'
-      AND (CAST(ts AS DATE) - DATE '2024-01-01') % 7 < 5
     GROUP BY CAST(ts AS DATE)"""
 
 

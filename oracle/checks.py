@@ -69,11 +69,18 @@ def risks(*extra: tuple[str, str]) -> list[tuple[str, str]]:
     return [*bank(*RISK_TABLES), ("debilidades", DEBILIDADES), *extra]
 
 
+# The limits in percent, written here and not taken from the code under test.
+LIMITS = {
+    "porcentajeFraudePotencial": 5, "porcentajeCobrosExcedidos": 10,
+    "porcentajeCuentasCanceladas": 20, "porcentajePrestamosVencidos": 15,
+    "porcentajeMetasFallidas": 30,
+}
+
 SOLUCIONES = " UNION ALL ".join(
     f"""SELECT '{area}' AS area, {number_text(column)} || '{problem}' AS problema,
                '{solution}' AS solucion, '{priority}' AS prioridad
-        FROM debilidades WHERE {column} > {limit}"""
-    for column, limit, area, problem, solution, priority in kpis.INDICADORES
+        FROM debilidades WHERE {column} > {LIMITS[column]}"""
+    for column, _, area, problem, solution, priority in kpis.INDICADORES
 )
 
 
@@ -231,7 +238,7 @@ HAVERSINE = """CASE WHEN latitud IS NULL OR longitud IS NULL OR latitud_habitual
     + cos(radians(CAST(latitud AS DOUBLE))) * cos(radians(CAST(latitud_habitual AS DOUBLE)))
     * power(sin((radians(CAST(longitud_habitual AS DOUBLE)) - radians(CAST(longitud AS DOUBLE))) / 2), 2)))) END"""
 
-# A trailing window (t - 6 h, t] per client, ties included, as a plain range frame.
+# A trailing window (t - 1 h, t] per client, ties included, as a plain range frame.
 SCORED = f"""
     SELECT x.*, r1_pts + r2_pts + r3_pts + r4_pts AS score FROM (
         SELECT t.*, c.nombre, c.apellido_paterno,
@@ -247,7 +254,7 @@ SCORED = f"""
         FROM (
             SELECT *,
                    count(*) OVER (PARTITION BY id_cliente ORDER BY fecha
-                       RANGE BETWEEN INTERVAL '21599.999999 seconds' PRECEDING AND CURRENT ROW) AS en_ventana,
+                       RANGE BETWEEN INTERVAL '3599.999999 seconds' PRECEDING AND CURRENT ROW) AS en_ventana,
                    avg(CAST(monto AS DOUBLE)) OVER (PARTITION BY id_cliente) AS media,
                    stddev_samp(CAST(monto AS DOUBLE)) OVER (PARTITION BY id_cliente) AS desviacion
             FROM transacciones
@@ -351,6 +358,10 @@ FRAUD = {
     "etl_alertas_fraude_info": alerts("""
         SELECT count(*) AS total, 2 AS page, 25 AS "limit",
                CAST(ceil(count(*) / 25.0) AS BIGINT) AS "totalPages" FROM alertas"""),
+    "etl_alertas_fraude_after": alerts(f"""
+        SELECT {ALERT_COLUMNS} FROM alertas
+        WHERE fecha < TIMESTAMP '2024-01-20' OR (fecha = TIMESTAMP '2024-01-20' AND id_transaccion > 'E5')
+        ORDER BY fecha DESC, id_transaccion LIMIT 25"""),
     "etl_resumen_periodo": query(bank("transacciones"), f"""
         SELECT count(*) FILTER (WHERE es_fraude_potencial) AS total_fraudes,
                CAST(sum(monto) FILTER (WHERE es_fraude_potencial) AS DOUBLE) AS monto_total,
@@ -360,6 +371,8 @@ FRAUD = {
 
 # ── lookups ─────────────────────────────────────────────────────────────────────────────
 
+OVERDUE = "SELECT id_cliente FROM prestamos WHERE estatus_prestamo = 'Vencido'"
+
 CLIENTS_KEPT = """
     SELECT c.* FROM clientes c JOIN open_data o USING (id_cliente)
     WHERE (c.nombre ILIKE '%ez%' OR c.apellido_paterno ILIKE '%ez%')
@@ -405,6 +418,40 @@ LOOKUPS = {
     "transacciones_list_info": page_facts(bank("transacciones"), TX_KEPT, 2, 50),
     "transaccion_detalle": query(bank("transacciones", "clientes", timed=True), """
         SELECT t.*, c.nombre, c.apellido_paterno FROM transacciones t JOIN clientes c USING (id_cliente)"""),
+    "clientes_list_after": query(bank("clientes", "open_data", "datos_personales"), f"""
+        SELECT k.*, o.segmento_cliente, o.nivel_riesgo, o.score_crediticio, d.email, d.ciudad, d.estado
+        FROM (SELECT * FROM ({CLIENTS_KEPT}) c
+              WHERE apellido_paterno > 'Martínez' OR (apellido_paterno = 'Martínez' AND id_cliente > 'C4')
+              ORDER BY apellido_paterno, id_cliente LIMIT 5) k
+        LEFT JOIN open_data o USING (id_cliente) LEFT JOIN datos_personales d USING (id_cliente)"""),
+    "transacciones_list_after": query(bank("transacciones", "clientes"), f"""
+        SELECT k.*, c.nombre, c.apellido_paterno
+        FROM (SELECT * FROM ({TX_KEPT})
+              WHERE fecha < TIMESTAMP '1998-03-01' OR (fecha = TIMESTAMP '1998-03-01' AND id_transaccion > 'L2')
+              ORDER BY fecha DESC, id_transaccion LIMIT 50) k
+        JOIN clientes c USING (id_cliente)"""),
+    "cliente_perfil_por_id": query(bank("clientes", "datos_personales", "datos_negocio", "open_data"), """
+        SELECT c.*, p.email, p.ciudad, p.estado, n.giro_negocio, n.num_empleados, n.paga_nomina,
+               o.segmento_cliente, o.nivel_riesgo, o.score_crediticio,
+               n.id_cliente IS NOT NULL AS tiene_negocio
+        FROM clientes c LEFT JOIN datos_personales p ON p.id_cliente = c.id_cliente
+        LEFT JOIN datos_negocio n ON n.id_cliente = c.id_cliente
+        LEFT JOIN open_data o ON o.id_cliente = c.id_cliente
+        WHERE c.id_cliente = 'C12'"""),
+    "cliente_cuentas_por_id": query(bank("cuentas", "clientes"), """
+        SELECT a.* FROM cuentas a WHERE id_cliente IN ('C7', 'C12')
+          AND EXISTS (SELECT 1 FROM clientes c WHERE c.id_cliente = a.id_cliente)"""),
+    "transaccion_detalle_por_id": query(bank("transacciones", "clientes", timed=True), """
+        SELECT t.*, c.nombre, c.apellido_paterno FROM transacciones t JOIN clientes c USING (id_cliente)
+        WHERE id_transaccion IN ('E3', 'E86')"""),
+    "cliente_cuentas_de_varios": query(bank("cuentas", "clientes", "prestamos"), f"""
+        SELECT a.* FROM cuentas a WHERE id_cliente IN ({OVERDUE})
+          AND EXISTS (SELECT 1 FROM clientes c WHERE c.id_cliente = a.id_cliente)"""),
+    "cliente_transacciones_de_varios": query(bank("transacciones", "clientes", "prestamos", timed=True), f"""
+        SELECT t.* EXCLUDE (n) FROM (
+            SELECT *, row_number() OVER (PARTITION BY id_cliente ORDER BY fecha DESC, id_transaccion) AS n
+            FROM transacciones) t
+        WHERE n <= 20 AND id_cliente IN (SELECT id_cliente FROM clientes) AND id_cliente IN ({OVERDUE})"""),
 }
 
 # ── history ─────────────────────────────────────────────────────────────────────────────
@@ -545,9 +592,9 @@ HISTORY = {
     "ctx_comparativa_mensual": two_years(
         "transacciones", "fecha", 1998, 1997, "mes", "month", 12, TX_METRICS, MONTH_NAME),
     "ctx_indicadores": query(risks(), " UNION ALL ".join(
-        f"""SELECT '{label}' AS indicador, {column} AS valor, {limit} AS umbral,
-                   CASE WHEN {column} > {limit} THEN '{history.EN_RIESGO}' ELSE '{history.DENTRO_DEL_LIMITE}' END AS estado
-            FROM debilidades""" for label, column, limit in kpis.ETIQUETAS_RIESGO)),
+        f"""SELECT '{label}' AS indicador, {column} AS valor, {LIMITS[column]} AS umbral,
+                   CASE WHEN {column} > {LIMITS[column]} THEN '{history.EN_RIESGO}' ELSE '{history.DENTRO_DEL_LIMITE}' END AS estado
+            FROM debilidades""" for label, column, _ in kpis.ETIQUETAS_RIESGO)),
     "ctx_utilizacion": utilization("util", "tarjetas", "saldo", "limite"),
     "ctx_morosidad": delinquency("activas", "morosas", "tasa"),
     "ctx_pagos_por_estatus": share("pagos", "estatus_pago", "est", "pct"),
@@ -579,9 +626,9 @@ FRAUD_LEVEL = f"""
     FROM debilidades"""
 
 LIGHTS = " UNION ALL ".join(
-    f"""SELECT '{label}' AS indicador, {number_text(column)} || '%' AS valor, {column} > {limit} AS riesgo,
-               CASE WHEN {column} > {limit} THEN '{report.SOBRE_UMBRAL}' ELSE '{report.BAJO_UMBRAL}' END AS etiqueta
-        FROM debilidades""" for label, column, limit in kpis.ETIQUETAS_RIESGO)
+    f"""SELECT '{label}' AS indicador, {number_text(column)} || '%' AS valor, {column} > {LIMITS[column]} AS riesgo,
+               CASE WHEN {column} > {LIMITS[column]} THEN '{report.SOBRE_UMBRAL}' ELSE '{report.BAJO_UMBRAL}' END AS etiqueta
+        FROM debilidades""" for label, column, _ in kpis.ETIQUETAS_RIESGO)
 
 
 def chart(name: str, source: str, label: str, order: str, top: bool = True) -> str:
@@ -655,30 +702,24 @@ REPORT = {
                 WHERE NOT EXISTS (SELECT 1 FROM soluciones)"""),
 }
 
-# ── streams: only what the final watermark (one hour behind the latest event) has closed ──
-
-CLOSED = "(SELECT date_trunc('millisecond', max(fecha)) - INTERVAL 1 HOUR FROM transacciones)"
+# ── streams: a replay gives what the batch jobs give over all events ────────────────────
 
 STREAMS = {
-    "stream_totales_por_canal": query(bank("transacciones", timed=True), f"""
-        SELECT * FROM (
-            SELECT date_trunc('hour', fecha) AS desde, date_trunc('hour', fecha) + INTERVAL 1 HOUR AS hasta,
-                   canal, count(*) AS total, CAST(sum(monto) AS DOUBLE) AS monto_total,
-                   count(*) FILTER (WHERE es_fraude_potencial) AS fraudes
-            FROM transacciones GROUP BY 1, 2, 3)
-        WHERE hasta <= {CLOSED}"""),
-    "stream_velocidad_deslizante": query(bank("transacciones", timed=True), f"""
-        SELECT desde, desde + INTERVAL 6 HOUR AS hasta, id_cliente, count(*) AS total
+    "stream_totales_por_canal": query(bank("transacciones", timed=True), """
+        SELECT date_trunc('hour', fecha) AS desde, date_trunc('hour', fecha) + INTERVAL 1 HOUR AS hasta,
+               canal, count(*) AS total, CAST(sum(monto) AS DOUBLE) AS monto_total,
+               count(*) FILTER (WHERE es_fraude_potencial) AS fraudes
+        FROM transacciones GROUP BY 1, 2, 3"""),
+    "stream_velocidad_deslizante": query(bank("transacciones", timed=True), """
+        SELECT desde, desde + INTERVAL 1 HOUR AS hasta, id_cliente, count(*) AS total
         FROM (SELECT id_cliente,
-                     unnest([time_bucket(INTERVAL 30 MINUTE, fecha) - INTERVAL 30 MINUTE * k
+                     unnest([time_bucket(INTERVAL 5 MINUTE, fecha) - INTERVAL 5 MINUTE * k
                              for k in range(12)]) AS desde
               FROM transacciones)
-        WHERE desde + INTERVAL 6 HOUR <= {CLOSED}
         GROUP BY 1, 2, 3 HAVING count(*) > 3"""),
     "stream_velocidad_exacta": query(
         [*bank("transacciones", "clientes", "datos_personales", timed=True), ("puntuadas", SCORED)],
-        f"""SELECT DISTINCT id_cliente, fecha FROM puntuadas
-            WHERE r2_velocidad AND fecha <= {CLOSED}"""),
+        "SELECT DISTINCT id_cliente, fecha FROM puntuadas WHERE r2_velocidad"),
     "stream_reglas_sin_estado": query(
         [*bank("transacciones", "clientes", "datos_personales", timed=True), ("puntuadas", SCORED)],
         "SELECT id_transaccion, id_cliente, fecha, r1_geo, r4_hora FROM puntuadas"),

@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import replace
 from decimal import Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
 
-from caudal.catalog import SIX_HOURS
 from caudal.functions.geo import haversine_km
 from caudal.plans import fraud, fraud_mart
 from caudal.schemas import MART_DDL
@@ -108,35 +106,73 @@ def test_alerts_score_and_enrichment(fraud_bank):
 
 
 def test_mart_of_alerts(fraud_bank):
-    mart = fraud.mart_without_load(fraud_bank)
-    assert rows_of(mart["fraude_por_canal"]) == [
+    alerts = fraud.fraud_alerts(fraud_bank)
+    assert rows_of(fraud.fraud_by_channel(alerts)) == [
         {"canal": "Web", "total_fraudes": 2, "porcentaje": 66.67},
         {"canal": "App", "total_fraudes": 1, "porcentaje": 33.33},
     ]
-    (summary,) = rows_of(mart["resumen_general"])
+    instants = fraud.client_instants(fraud_bank.transacciones)
+    (summary,) = rows_of(fraud.fraud_summary(alerts, instants))
     assert summary["total_transacciones"] == 8 and summary["tasa_fraude_pct"] == 37.5
     assert summary["monto_total_usd"] == 1.0
 
 
 def test_no_transactions_at_all(bank):
-    (summary,) = rows_of(fraud.mart_without_load(bank())["resumen_general"])
+    t = bank()
+    (summary,) = rows_of(
+        fraud.fraud_summary(fraud.fraud_alerts(t), fraud.client_instants(t.transacciones))
+    )
     assert summary["total_fraudes"] == 0 and summary["tasa_fraude_pct"] is None
 
 
-def test_salted_paths_give_the_same_alerts(spark):
+def test_stored_instants_give_the_same_alerts(spark, tmp_path):
     t = sample_bank(spark, SAMPLE, timed=True)
-    plain = fraud.fraud_alerts(t, rules=SIX_HOURS)
-    salted = fraud.fraud_alerts(t, rules=replace(SIX_HOURS, heavy_rows=2))
+    plain = fraud.fraud_alerts(t)
+    fraud.client_instants(t.transacciones).write.parquet(str(tmp_path / "i"))
+    stored = fraud.fraud_alerts(t, instants=spark.read.parquet(str(tmp_path / "i")))
     assert plain.count() > 0
-    assert plain.exceptAll(salted).count() == 0 and salted.exceptAll(plain).count() == 0
+    assert plain.exceptAll(stored).count() == 0 and stored.exceptAll(plain).count() == 0
+
+
+def test_every_rule_fires_on_the_sample(spark):
+    scored = fraud.score_transactions(sample_bank(spark, SAMPLE, timed=True))
+    fired = scored.agg(*[
+        F.count_if(F.col(c)).alias(c) for c in ("r1_geo", "r2_velocidad", "r4_hora")
+    ]).first()
+    assert all(n > 0 for n in fired)
+
+
+def test_right_sides_are_unique(spark):
+    """The joins of the score take one row per client and account for granted."""
+    t = sample_bank(spark, SAMPLE, timed=True)
+    for name, key in (("clientes", "id_cliente"), ("datos_personales", "id_cliente"), ("cuentas", "num_cuenta")):
+        assert t[name].count() == t[name].select(key).distinct().count()
+
+
+def test_deviation_is_exact_and_never_negative(frame):
+    amounts = ["0.10"] * 7 + ["1000000000.01"] * 3
+    rows = [{"id_transaccion": f"T{i}", "id_cliente": "a" if i % 2 else "b", "fecha": None, "monto": D(m)} for i, m in enumerate(amounts)]
+    rows += [{"id_transaccion": f"S{i}", "id_cliente": "c", "monto": D("0.10")} for i in range(9)]
+    rows += [{"id_transaccion": "U", "id_cliente": "d", "monto": D("5.00")}, {"id_transaccion": "V", "id_cliente": "e"}]
+    profile = {r["id_cliente"]: r for r in rows_of(fraud.amount_profile(fraud.client_instants(frame("transacciones", rows))))}
+    assert profile["c"]["desviacion"] == pytest.approx(0, abs=1e-9)
+    assert profile["d"]["desviacion"] is None and "e" not in profile
+    import statistics
+    own = [float(r["monto"]) for r in rows if r["id_cliente"] == "a"]
+    assert profile["a"]["desviacion"] == pytest.approx(statistics.stdev(own), rel=1e-9)
 
 
 def test_load_can_be_repeated(spark, tmp_path):
     t = sample_bank(spark, SAMPLE, timed=True)
     folder = str(tmp_path / "mart")
-    first = fraud.etl_run(spark, t, folder, staging=str(tmp_path / "copy"), rules=SIX_HOURS)
+    first = fraud.etl_run(spark, t, folder, staging=str(tmp_path / "copy"))
     before = rows_of(fraud_mart.etl_resumen(fraud_mart.mart_views(spark)))
-    assert fraud.etl_run(spark, t, folder, rules=SIX_HOURS) == first
+    with_first = fraud_mart.mart_views(spark)["alertas_fraude"]
+    rows = with_first.count()
+    second = fraud.etl_run(spark, t, folder)
+    # A new folder each time: who still reads the load before is not disturbed.
+    assert set(second) == set(first) and not set(second.values()) & set(first.values())
+    assert with_first.count() == rows
     mart = fraud_mart.mart_views(spark)
     assert rows_of(fraud_mart.etl_resumen(mart)) == before
     assert set(first) == set(MART_DDL)

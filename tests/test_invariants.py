@@ -6,7 +6,6 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from caudal.catalog import SIX_HOURS
 from caudal.functions.numbers import pct_of_counts
 from caudal.functions.text import change_text
 from caudal.plans import fraud, kpis
@@ -32,12 +31,12 @@ def test_shares_add_up(spark, kpi, table, column):
 
 def test_alerts_are_transactions(spark):
     t = sample_bank(spark, SAMPLE, timed=True)
-    alerts = fraud.fraud_alerts(t, rules=SIX_HOURS)
+    alerts = fraud.fraud_alerts(t)
     assert alerts.join(t.transacciones, "id_transaccion", "left_anti").count() == 0
     assert alerts.count() == alerts.select("id_transaccion").distinct().count()
     by_channel = rows_of(fraud.fraud_by_channel(alerts))
     assert sum(r["total_fraudes"] for r in by_channel) == alerts.count()
-    assert fraud.score_transactions(t, rules=SIX_HOURS).count() == t.transacciones.count()
+    assert fraud.score_transactions(t).count() == t.transacciones.count()
 
 
 def test_periods_next_to_each_other_add_up(spark):

@@ -89,7 +89,7 @@ def test_accounts_of_known_clients(small, spark, how):
         "one": "C1", "list": ["C1", "C9"], "all": None,
         "frame": spark.createDataFrame([("C1",), ("C9",)], "id_cliente string"),
     }[how]
-    assert ids(lookups.cliente_cuentas(small, asked), "num_cuenta") == ["A2", "A3", "A1"]
+    assert ids(lookups.cliente_cuentas(small, asked, ordered=True), "num_cuenta") == ["A2", "A3", "A1"]
 
 
 def test_goals_with_unknown_date_come_last(small):
@@ -138,11 +138,25 @@ def test_pages_put_together_are_the_whole_list(spark):
     assert paged == full
 
 
-def test_heavy_clients_change_nothing(spark):
+def test_ids_as_a_frame_equal_named_ids(spark):
     t = sample_bank(spark, SAMPLE)
-    plain = lookups.transaccion_detalle(t)
-    salted = lookups.transaccion_detalle(t, heavy_rows=5)
-    assert plain.exceptAll(salted).count() == 0 and salted.exceptAll(plain).count() == 0
+    wanted = ["C3", "C12", "C40", "nadie"]
+    ids = spark.createDataFrame([(i,) for i in wanted + ["C3"]], "id_cliente string")
+    for job in (lookups.cliente_cuentas, lookups.cliente_prestamos, lookups.cliente_tarjetas, lookups.cliente_metas, lookups.cliente_transacciones, lookups.cliente_perfil):
+        named, framed = job(t, wanted), job(t, ids)
+        assert named.count() > 0
+        assert sorted(map(str, named.collect())) == sorted(map(str, framed.collect()))
+
+
+def test_named_clients_come_sorted(spark):
+    t = sample_bank(spark, SAMPLE)
+    rows = lookups.cliente_cuentas(t, ["C3", "C12"]).collect()
+    key = [(r.id_cliente, -(r.fecha_apertura.toordinal() if r.fecha_apertura else 10**9), r.num_cuenta) for r in rows]
+    assert key == sorted(key)
+    page = lookups.transacciones_list(t, page=1, limit=30).collect()
+    assert [(-r.fecha.timestamp(), r.id_transaccion) for r in page] == sorted((-r.fecha.timestamp(), r.id_transaccion) for r in page)
+    clients = lookups.clientes_list(t, page=2, limit=10).collect()
+    assert [(r.apellido_paterno, r.id_cliente) for r in clients] == sorted((r.apellido_paterno, r.id_cliente) for r in clients)
 
 
 def test_latest_beyond_what_spark_trims(spark):

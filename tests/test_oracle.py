@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry_points
+from caudal.catalog import all_queries
 from tests.compare import connect, duck_answer, spark_answer
 from tests.conftest import SAMPLE
 
@@ -20,10 +21,11 @@ def duck():
 
 
 def test_every_query_has_a_check():
-    assert set(QUERIES) == set(CHECKS)
+    """Queries of the training-data operators have checks only where SQL can express them."""
+    assert set(all_queries()) <= set(CHECKS) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(CHECKS))
 def test_query_matches_sql(name, spark, duck):
     columns, rows = spark_answer(QUERIES[name](spark, SAMPLE))
     expected_columns, expected = duck_answer(duck, CHECKS[name])

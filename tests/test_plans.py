@@ -5,7 +5,6 @@ from __future__ import annotations
 import pytest
 
 from caudal.catalog import STREAM_QUERIES, all_queries
-from caudal.operators.skew import heavy_keys, lookup_join
 from caudal.plans import history, kpis, lookups
 from caudal.sources.sample_bank import sample_bank
 from caudal.sources.tables import Tables, extract
@@ -69,17 +68,17 @@ def test_pages_are_top_k(stored):
     assert "TakeOrderedAndProject" in plan_of(lookups.transacciones_list(stored, page=2, limit=10))
 
 
-def test_salt_stays_in_the_join_keys(stored, spark):
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        tx = stored.transacciones
-        joined = lookup_join(
-            tx, stored.clientes.select("id_cliente", "nombre"), ["id_cliente"],
-            heavy_keys(tx, ["id_cliente"], min_rows=10), F.col("id_transaccion"),
-        )
-        plan = plan_of(joined)
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    exchanges = [line for line in plan.splitlines() if "hashpartitioning(id_cliente" in line]
-    assert sum("_salt" in line for line in exchanges) == 2
+def test_lookups_by_a_frame_of_ids_cut_first(stored, spark):
+    """The ids meet the transactions before these are ranked."""
+    ids = spark.createDataFrame([("C1",)], "id_cliente string")
+    plan = plan_of(lookups.cliente_transacciones(stored, ids, limit=5))
+    assert plan.index("WindowGroupLimit") < plan.index("LeftSemi") or "LeftSemi" in plan.split("WindowGroupLimit")[-1]
+
+
+def test_no_broadcast_is_forced():
+    """Joins are left to measured sizes; the calendar of days is the one exception."""
+    import pathlib
+
+    root = pathlib.Path(__file__).parent.parent / "caudal"
+    forced = [p.name for p in root.rglob("*.py") if "llm" not in p.parts and "F.broadcast(" in p.read_text()]
+    assert forced == ["asof.py"]

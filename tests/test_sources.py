@@ -111,4 +111,4 @@ def test_etl_command(spark, tmp_path, capsys):
     rates.write_text("Fecha,Dato\n01/01/2024,17.0000\n")
     main(["etl", "--tables", str(tmp_path / "bank"), "--rates", str(rates), "--mart", str(tmp_path / "mart")])
     assert "total_transacciones" in capsys.readouterr().out
-    assert (tmp_path / "mart" / "etl_alertas_fraude").is_dir()
+    assert len(list((tmp_path / "mart").glob("load-*/etl_alertas_fraude"))) == 1

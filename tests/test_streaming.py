@@ -72,8 +72,12 @@ def test_channel_totals_equal_batch(spark, arriving, tmp_path):
         r.hora: r["count"]
         for r in table.groupBy(F.date_trunc("hour", "fecha").alias("hora")).count().collect()
     }
-    last = max(expected)
-    assert got == {hour: n for hour, n in expected.items() if hour != last}
+    assert set(expected) - set(got) == {max(expected)}
+    rows = table.withColumn("fecha", F.col("fecha").cast("timestamp"))
+    whole = jobs.completed(found, "hasta", rows, "1 hour", jobs.channel_totals_stream)
+    assert {r.desde: r.total for r in whole.collect()} == expected
+    nothing = jobs.completed(found.limit(0), "hasta", rows, "1 hour", jobs.channel_totals_stream)
+    assert {r.desde: r.total for r in nothing.collect()} == expected
 
 
 def test_rows_later_than_the_delay_are_left_out(spark, arriving, tmp_path):
