@@ -34,6 +34,8 @@ from caudal.llm.shingles import digest, mix, shingle_sets, signed
 WORDS = 5
 SIMILAR_PERCENT = 80
 SKETCH = 64
+# Members of one list that a task compares with all others of the list.
+SLICE = 400
 # How many standard deviations below its mean a count of common values may fall.
 SLACK = 4.75
 
@@ -201,20 +203,29 @@ def _maybe_similar(percent: int) -> Column:
 
 
 def remaining_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components within the lists of a pivot."""
-    full = entries.select("pivot", "node", "label").join(
+    """Links (a, b) between different components within the lists of a pivot.
+
+    The left side of a pivot is dealt over slices of about ``SLICE`` members and the right side
+    goes to each of them, so a large list is several tasks.
+    """
+    size = entries.groupBy("pivot").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    full = entries.select("pivot", "node", "label").join(size, "pivot").join(
         sets.select("node", "n_shingles", *_SAMPLE, "shingles"), "node"
     )
+    own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    key = ["pivot", "slice"]
     ends = [
-        full.select("pivot", *[F.col(c).alias(f"{c}_{end}") for c in full.columns if c != "pivot"])
-        for end in "ab"
+        side.select(*key, *[F.col(c).alias(f"{c}_{end}") for c in full.columns if c not in ("pivot", "slices")])
+        for side, end in ((full.withColumn("slice", own), "a"), (full.withColumn("slice", every), "b"))
     ]
     few, many = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
     both = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
     either = F.col("n_shingles_a") + F.col("n_shingles_b") - both
     pairs = ends[0].join(
-        ends[1].withColumnRenamed("pivot", "pivot_b"),
-        (F.col("pivot") == F.col("pivot_b")) & (F.col("node_a") < F.col("node_b"))
+        ends[1].withColumnsRenamed({"pivot": "pivot_b", "slice": "slice_b"}),
+        (F.col("pivot") == F.col("pivot_b")) & (F.col("slice") == F.col("slice_b"))
+        & (F.col("node_a") < F.col("node_b"))
         & (F.col("label_a") != F.col("label_b")) & (100 * few >= percent * many)
         & _maybe_similar(percent) & (100 * both >= percent * either),
     )
