@@ -104,7 +104,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": EXACT_DEDUP}
+    return {"op4_exact_dedup": EXACT_DEDUP, "op6_minhash_dedup": NEAR_DEDUP}
 
 
 EXACT_DEDUP = r"""
@@ -121,3 +121,38 @@ SELECT doc_id,
 FROM t
 WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
+
+# Exact set similarity and reachability; no sketches.
+NEAR_DEDUP = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id,
+         regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id,
+         CASE WHEN len(w) = 0 THEN []
+              WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+              ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)])
+         END AS s
+  FROM words
+), members AS (
+  SELECT doc_id, unnest(s) AS shingle FROM sets
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+  FROM members x JOIN members y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common
+  JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+  WHERE 100 * n >= 80 * (len(x.s) + len(y.s) - n)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM sets
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT doc_id, len(any_value(s)) AS n_shingles, min(b) AS component_id, min(b) = doc_id AS kept
+FROM sets JOIN reach ON a = doc_id
+GROUP BY doc_id
+"""
