@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 PIECE_BPE = "piece_bpe_32k.model"
 MARK = "▁"
-# A worker forgets its cached words, or its compatible pairs, beyond this many.
-CACHED_WORDS = 800_000
+# Words of one generation of a worker's cache, and pairs whose compatibility it remembers.
+CACHED_WORDS = 400_000
 CACHED_PAIRS = 400_000
 _MARKED = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -47,7 +47,17 @@ class Pieces:
         ]
         self.ids = {model.id_to_piece(i): i for i in plain}
         self.scores = {model.id_to_piece(i): model.get_score(i) for i in plain}
-        self.longest = max(map(len, self.ids), default=1)
+        # How long pieces are that end in two given characters, and 1; only one length fits, so
+        # those that most pieces have are tried first.
+        lengths: dict[str, set[int]] = {}
+        for piece in self.ids:
+            if len(piece) > 1:
+                lengths.setdefault(piece[-2:], {1}).add(len(piece))
+        usual = {2: 0, 3: 1, 4: 2, 1: 3}
+        self.sizes = {
+            end: tuple(sorted(found, key=lambda n: usual.get(n, n))) for end, found in lengths.items()
+        }
+        self.grown: dict[str, tuple[list[str], list[str]] | None] = {}
         # What each id stands for when decoding; marks are spaces.
         self.texts = [b""] * size
         for piece, i in self.ids.items():
@@ -56,35 +66,86 @@ class Pieces:
             self.texts[i] = bytes([byte])
         self.texts[self.unknown] = " ⁇ ".encode()
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.packed: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """Merges from characters: always the pair whose whole scores highest, the first of equals."""
         parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
-                break
+        while (at := self._best(parts)) >= 0:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _best(self, parts: list[str]) -> int:
+        best, at = None, -1
+        for i in range(len(parts) - 1):
+            score = self.scores.get(parts[i] + parts[i + 1])
+            if score is not None and (best is None or score > best):
+                best, at = score, i
+        return at
+
+    def spines(self, piece: str) -> tuple[list[str], list[str]] | None:
+        """What its first and its last character belonged to while a piece was merged; None
+        where merging never gives the piece."""
+        if piece not in self.grown:
+            parts, first, last = list(piece), [piece[0]], [piece[-1]]
+            while (at := self._best(parts)) >= 0:
+                parts[at:at + 2] = [parts[at] + parts[at + 1]]
+                if parts[0] != first[-1]:
+                    first.append(parts[0])
+                if parts[-1] != last[-1]:
+                    last.append(parts[-1])
+            self.grown[piece] = (first, last) if len(parts) == 1 else None
+        return self.grown[piece]
+
     def follows(self, left: str, right: str) -> bool:
-        """Whether ``right`` may stand behind ``left``; without ``left``, whether it is reached."""
+        """Whether ``right`` may stand behind ``left``: whether merging both texts together
+        from characters gives these two. Without ``left``, whether ``right`` is ever reached.
+
+        A merge across the border must never come first. Both sides grow as they do alone, the
+        higher score first; at each state the two parts that meet must not score higher.
+        """
         key = (left, right)
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) > CACHED_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
+            known = self.pairs[key] = self._follows(left, right)
         return known
 
+    def _follows(self, left: str, right: str) -> bool:
+        begins = self.spines(right)
+        if not left or begins is None:
+            return begins is not None
+        if left[-1] == right[0] == MARK:
+            # Runs of marks all score the same, so their order is that of their places.
+            return self.merged(left + right) == [left, right]
+        ends = self.spines(left)
+        if ends is None:
+            return False
+        x, y, scores = ends[1], begins[0], self.scores
+        i = j = 0
+        while True:
+            grown_left = scores[x[i + 1]] if i + 1 < len(x) else None
+            grown_right = scores[y[j + 1]] if j + 1 < len(y) else None
+            across = scores.get(x[i] + y[j])
+            if across is not None:
+                # Of equal scores the merge further left comes first.
+                if grown_left is not None and grown_left >= across:
+                    pass
+                elif grown_right is None or grown_right <= across:
+                    return False
+            if grown_left is None and grown_right is None:
+                return True
+            if grown_right is None or (grown_left is not None and grown_left >= grown_right):
+                i += 1
+            else:
+                j += 1
+
     def forward(self, words: list[str]) -> Iterator[list[str]]:
         """The pieces of each of the sorted ``words``, in their order."""
-        ids, follows, longest = self.ids, self.follows, self.longest
+        ids, sizes, pairs, follows = self.ids, self.sizes, self.pairs, self.follows
         before, last = "", [""]
         for word in words:
             shared = 0
@@ -94,12 +155,17 @@ class Pieces:
                 shared += 1
             del last[shared + 1:]
             for end in range(shared + 1, len(word) + 1):
-                for n in range(min(longest, end), 0, -1):
+                for n in sizes.get(word[end - 2:end] if end > 1 else word[0], _ONE):
+                    if n > end:
+                        continue
                     piece = word[end - n:end]
                     # A single character may always stand; what it lacks are bytes, below.
-                    if (n == 1 or piece in ids) and follows(last[end - n], piece):
-                        last.append(piece)
-                        break
+                    if n == 1 or piece in ids:
+                        left = last[end - n]
+                        fits = pairs.get((left, piece))
+                        if fits or (fits is None and follows(left, piece)):
+                            last.append(piece)
+                            break
                 else:
                     raise AssertionError(f"no piece ends {word[:end]!r}")
             before = word
@@ -109,31 +175,35 @@ class Pieces:
                 end -= len(last[end])
             yield pieces[::-1]
 
-    def numbers(self, pieces: list[str]) -> list[int]:
-        out: list[int] = []
-        for piece in pieces:
-            found = self.ids.get(piece)
-            if found is not None:
-                out.append(found)
+    def spelled(self, piece: str) -> bytes:
+        """Little-endian 32-bit ids of a piece, or of its bytes where it is none."""
+        found = self.packed.get(piece)
+        if found is None:
+            if piece in self.ids:
+                ids = [self.ids[piece]]
             elif self.bytes:
-                out.extend(self.bytes[b] for b in piece.encode("utf-8", "replace"))
+                ids = [self.bytes[b] for b in piece.encode("utf-8", "replace")]
             else:
-                out.append(self.unknown)
-        return out
+                ids = [self.unknown]
+            found = self.packed[piece] = struct.pack(f"<{len(ids)}i", *ids)
+        return found
 
     def learn(self, words: set[str]) -> None:
-        """Adds words that are not known yet."""
-        new = sorted(w for w in words if w not in self.words)
+        """Makes sure that ``words`` are known. The cache has two generations: words that are
+        met again move to the young one, the others go when that is full."""
+        if len(self.words) > CACHED_WORDS:
+            self.old, self.words = self.words, {}
+        young, old, spelled = self.words, self.old, self.spelled
+        missing = words.difference(young)
+        young.update({w: old[w] for w in missing.intersection(old)})
+        new = sorted(missing.difference(old))
         for word, pieces in zip(new, self.forward(new), strict=True):
-            ids = self.numbers(pieces)
-            self.words[word] = struct.pack(f"<{len(ids)}i", *ids)
+            young[word] = b"".join([spelled(p) for p in pieces])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
         cut = [marked_words(t) for t in texts]
-        self.learn({w for words in cut for w in words})
+        self.learn(set().union(*cut))
         known = self.words
         return [b"".join([known[w] for w in words]) for words in cut]
 
@@ -159,6 +229,7 @@ def pieces_of(path: str) -> Pieces:
 
 
 _STEP = 200
+_ONE = (1,)
 
 
 def _kept(df: DataFrame, new: str) -> list[str]:
