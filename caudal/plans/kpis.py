@@ -145,6 +145,14 @@ def kpi_transacciones_por_canal(t: Tables) -> DataFrame:
     return _volume_by(t.transacciones, "canal").orderBy(F.desc("total"), "canal")
 
 
+def trend_start(tx: DataFrame, as_of: str | dt.datetime | None) -> Column:
+    """Twelve months before ``as_of``, or before the latest transaction."""
+    year = F.make_ym_interval(months=F.lit(12))
+    if as_of is not None:
+        return instant(as_of) - year
+    return tx.agg(F.max("fecha") - year).scalar()
+
+
 def kpi_tendencia(t: Tables, *, as_of: str | dt.datetime | None = None) -> DataFrame:
     """Monthly volume of the 12 months before ``as_of`` (default: the latest transaction).
 
@@ -152,13 +160,8 @@ def kpi_tendencia(t: Tables, *, as_of: str | dt.datetime | None = None) -> DataF
     The default cut is computed inside the subquery, so the scan gets it as a plain bound.
     """
     tx = t.transacciones
-    year = F.make_ym_interval(months=F.lit(12))
-    if as_of is not None:
-        cut = instant(as_of) - year
-    else:
-        cut = tx.agg(F.max("fecha") - year).scalar()
     return (
-        tx.filter(F.col("fecha") >= cut)
+        tx.filter(F.col("fecha") >= trend_start(tx, as_of))
         .groupBy(month_label(F.col("fecha")).alias("mes"))
         .agg(F.count("*").alias("total"), money_sum(F.col("monto")).alias("monto_total"))
         .orderBy("mes")
@@ -259,14 +262,23 @@ def kpi_debilidades(t: Tables) -> DataFrame:
     )
 
 
-def resumen_y_debilidades(t: Tables) -> DataFrame:
-    """The columns of :func:`kpi_resumen` and :func:`kpi_debilidades` from one scan per table."""
-    fraud_rate = _risk(F.sum("fraudes"), F.sum("n"), "porcentajeFraudePotencial")
+def fraud_rate(frauds: Column, total: Column) -> Column:
+    return _risk(frauds, total, "porcentajeFraudePotencial")
+
+
+def resumen_y_debilidades(t: Tables, transactions: DataFrame | None = None) -> DataFrame:
+    """The columns of :func:`kpi_resumen` and :func:`kpi_debilidades` from one scan per table.
+
+    ``transactions`` is a row with what both need of the transactions, if there is one.
+    """
+    if transactions is None:
+        rate = fraud_rate(F.sum("fraudes"), F.sum("n"))
+        transactions = transactions_per_day(t).agg(*day_totals(), rate)
     return one_row(
         t.clientes.agg(F.count("*").alias("totalClientes")),
         t.cuentas.agg(*account_totals(), canceled_risk()),
         t.prestamos.agg(*loan_totals(), overdue_risk()),
-        transactions_per_day(t).agg(*day_totals(), fraud_rate),
+        transactions,
         t.cobros.agg(over_limit_fees(), over_limit_risk()),
         t.metas_ahorro.agg(failed_goal_risk()),
     )

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from caudal.functions.dates import month_label
 from caudal.functions.numbers import as_double, pct_of_counts, scaled_to
 from caudal.functions.text import money, month_of_label, plain_number, thousands
 from caudal.operators.grouping import unpivot_row
@@ -36,6 +37,11 @@ TARJETAS = (
     ("Cobros Excedidos", "cobrosExcedidos", thousands),
 )
 BARRAS_MAXIMAS = 10
+CHARTS = (
+    "Transacciones por Mes (últimos 12 meses)", "Clientes por Segmento", "Transacciones por Canal",
+    "Distribución de Score Crediticio", "Préstamos por Tipo",
+    "Cobros Excedidos por Tipo de Comisión",
+)
 
 
 def fraud_level() -> Column:
@@ -85,6 +91,31 @@ def _bars(chart: str, frame: DataFrame, label: str | Column, items: int | None)
     )
 
 
+def _other_charts(t: Tables) -> list[DataFrame]:
+    """The charts that are neither of transactions nor of segments."""
+    top = BARRAS_MAXIMAS
+    return [
+        _bars(CHARTS[3], kpis.kpi_score_crediticio(t), "rango", top),
+        _bars(CHARTS[4], kpis.kpi_prestamos_por_tipo(t), "tipo", top),
+        _bars(CHARTS[5], kpis.kpi_cobros_excedidos(t), "tipo", top),
+    ]
+
+
+def _segments(t: Tables, listed: bool, drawn: bool) -> DataFrame:
+    """Clients per segment as rows of the report's table, its chart or both, counted once."""
+    place = F.row_number().over(Window.orderBy(F.desc("total"), "segmento"))
+    ranked = kpis.kpi_clientes_por_segmento(t).withColumn("lugar", place)
+    shown = thousands(F.col("total"))
+    both = F.array(
+        F.struct(F.lit(listed).alias("va"), _entry("kpis", F.lit(CHARTS[1]), F.col("segmento"), shown).alias("r")),
+        F.struct(
+            (F.lit(drawn) & (F.col("lugar") <= BARRAS_MAXIMAS)).alias("va"),
+            _entry("graficas", F.lit(CHARTS[1]), F.col("segmento"), shown).alias("r"),
+        ),
+    )
+    return ranked.select(F.explode(both).alias("e")).filter("e.va").select("e.r")
+
+
 def rep_series(t: Tables, *, as_of: str | None = None) -> DataFrame:
     """The six charts as (grafica, etiqueta, valor, fraccion); the horizontal ones show ten bars.
 
@@ -92,13 +123,10 @@ def rep_series(t: Tables, *, as_of: str | None = None) -> DataFrame:
     """
     top = BARRAS_MAXIMAS
     charts = [
-        _bars("Transacciones por Mes (últimos 12 meses)",
-              kpis.kpi_tendencia(t, as_of=as_of), month_of_label(F.col("mes")), None),
-        _bars("Clientes por Segmento", kpis.kpi_clientes_por_segmento(t), "segmento", top),
-        _bars("Transacciones por Canal", kpis.kpi_transacciones_por_canal(t), "canal", top),
-        _bars("Distribución de Score Crediticio", kpis.kpi_score_crediticio(t), "rango", top),
-        _bars("Préstamos por Tipo", kpis.kpi_prestamos_por_tipo(t), "tipo", top),
-        _bars("Cobros Excedidos por Tipo de Comisión", kpis.kpi_cobros_excedidos(t), "tipo", top),
+        _bars(CHARTS[0], kpis.kpi_tendencia(t, as_of=as_of), month_of_label(F.col("mes")), None),
+        _bars(CHARTS[1], kpis.kpi_clientes_por_segmento(t), "segmento", top),
+        _bars(CHARTS[2], kpis.kpi_transacciones_por_canal(t), "canal", top),
+        *_other_charts(t),
     ]
     # A chart is at most ten bars or thirteen months by now.
     largest = F.max("valor").over(Window.partitionBy("grafica"))
@@ -138,6 +166,45 @@ def _entry(section: str, block: Column, label: Column, text: Column) -> Column:
     )
 
 
+def transaction_row(t: Tables, as_of: str | None) -> DataFrame:
+    """One row with all that the report says of the transactions, from one scan of them.
+
+    Rows are first added up per day and channel. Each of these counts for its month, its
+    channel and its day; months and channels end up as two short lists.
+    """
+    tx = t.transacciones
+    recent = F.col("fecha") >= kpis.trend_start(tx, as_of)
+    daily = tx.withColumn("reciente", recent).groupBy(F.to_date("fecha").alias("dia"), "canal").agg(
+        F.count("*").alias("n"), F.count_if("es_fraude_potencial").alias("fraudes"),
+        F.count_if("reciente").alias("recientes"),
+        F.sum(F.when(F.col("reciente"), F.col("monto"))).alias("monto"),
+    )
+    of = lambda kind, key, n: F.struct(
+        F.lit(kind).alias("tipo"), key.alias("clave"), F.col(n).alias("n"), "monto", "fraudes"
+    )
+    kinds = F.array(
+        of("mes", month_label(F.col("dia")), "recientes"), of("canal", F.col("canal"), "n"),
+        of("dia", F.col("dia").cast("string"), "n"),
+    )
+    groups = (
+        daily.select(F.explode(kinds).alias("g")).groupBy("g.tipo", "g.clave")
+        .agg(F.sum("g.n").alias("n"), F.sum("g.monto").alias("monto"), F.sum("g.fraudes").alias("fraudes"))
+    )
+    here = lambda kind, c: F.when(F.col("tipo") == kind, F.col(c))
+    month = F.struct(F.col("clave").alias("mes"), F.col("n").alias("total"), as_double(F.col("monto")).alias("monto_total"))
+    channel = F.struct((-F.col("n")).alias("orden"), F.col("clave").alias("canal"), F.col("n").alias("total"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return groups.agg(
+        F.array_sort(F.collect_list(F.when((F.col("tipo") == "mes") & (F.col("n") > 0), month))).alias("meses"),
+        F.array_sort(F.collect_list(
+            F.when((F.col("tipo") == "canal") & F.col("clave").isNotNull(), channel)
+        )).alias("canales"),
+        zero(F.max_by(here("dia", "n"), here("dia", "clave"))).alias("transaccionesHoy"),
+        zero(F.sum(here("dia", "fraudes"))).alias("fraudesPotenciales"),
+        kpis.fraud_rate(F.sum(here("dia", "fraudes")), F.sum(here("dia", "n"))),
+    )
+
+
 def rep_reporte(
     t: Tables,
     *,
@@ -150,8 +217,9 @@ def rep_reporte(
 ) -> DataFrame:
     """The chosen sections as (seccion, bloque, etiqueta, texto) rows.
 
-    Everything that hangs on headline numbers and risk percentages comes from one row with
-    both, so each table is scanned once for it.
+    Everything that hangs on headline numbers, risk percentages and transactions comes from
+    one row with all of it. The transactions are scanned once for it, and once more, for their
+    latest date alone, unless ``as_of`` is given.
     """
     from_row: list[Column] = []
     parts: list[DataFrame] = []
@@ -160,25 +228,28 @@ def rep_reporte(
             _entry("kpis", F.lit("Resumen General"), F.lit(label), show(F.col(column)))
             for label, column, show in TARJETAS
         ]))
-        volume = F.concat(
-            thousands(F.col("total")), F.lit(" · "),
-            F.coalesce(money(F.col("monto_total")), F.lit("$0.00")),
+        volume = lambda m: F.concat(
+            thousands(m["total"]), F.lit(" · "), F.coalesce(money(m["monto_total"]), F.lit("$0.00"))
         )
-        parts += [
-            kpis.kpi_clientes_por_segmento(t).select(_entry(
-                "kpis", F.lit("Clientes por Segmento"), F.col("segmento"), thousands(F.col("total"))
-            ).alias("r")),
-            kpis.kpi_tendencia(t, as_of=as_of).select(_entry(
-                "kpis", F.lit("Tendencia de Transacciones (últimos 12 meses)"), F.col("mes"), volume
-            ).alias("r")),
-        ]
+        trend = F.lit("Tendencia de Transacciones (últimos 12 meses)")
+        from_row.append(F.transform("meses", lambda m: _entry("kpis", trend, m["mes"], volume(m))))
     if fraude:
         block = F.lit("Análisis de Fraude Potencial")
         from_row.append(F.array(_entry("fraude", block, fraud_level(), fraud_message())))
     if graficas:
-        parts.append(rep_series(t, as_of=as_of).select(_entry(
+        bar = lambda chart, label, n: _entry("graficas", F.lit(chart), label, thousands(n))
+        from_row.append(F.transform(
+            "meses", lambda m: bar(CHARTS[0], month_of_label(m["mes"]), m["total"])
+        ))
+        from_row.append(F.transform(
+            F.slice("canales", 1, BARRAS_MAXIMAS), lambda c: bar(CHARTS[2], c["canal"], c["total"])
+        ))
+        charts = reduce(DataFrame.unionByName, _other_charts(t))
+        parts.append(charts.select(_entry(
             "graficas", F.col("grafica"), F.col("etiqueta"), thousands(F.col("valor"))
         ).alias("r")))
+    if kpis_on or graficas:
+        parts.append(_segments(t, kpis_on, graficas))
     if debilidades:
         from_row.append(F.array(*[
             _entry("debilidades", F.lit("Indicadores de Riesgo"), F.lit(label),
@@ -188,7 +259,7 @@ def rep_reporte(
     if recomendaciones:
         from_row.append(_advice())
     if from_row:
-        row = kpis.resumen_y_debilidades(t)
+        row = kpis.resumen_y_debilidades(t, transaction_row(t, as_of))
         parts.append(row.select(F.explode(F.concat(*from_row)).alias("r")))
     if not parts:
         raise ValueError("no section chosen")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from caudal.catalog import STREAM_QUERIES, all_queries
-from caudal.plans import history, kpis, lookups
+from caudal.plans import fraud, history, kpis, lookups, report
 from caudal.sources.sample_bank import sample_bank
 from caudal.sources.tables import Tables, extract
 from pyspark.sql import functions as F
@@ -82,3 +82,23 @@ def test_no_broadcast_is_forced():
     root = pathlib.Path(__file__).parent.parent / "caudal"
     forced = [p.name for p in root.rglob("*.py") if "llm" not in p.parts and "F.broadcast(" in p.read_text()]
     assert forced == ["asof.py"]
+
+
+def reads_of(df, table: str) -> int:
+    """Scans of a table's files in the plan that ran."""
+    df.collect()
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    return sum("FileScan parquet" in line and f"/{table}]" in line for line in final.splitlines())
+
+
+def test_the_report_reads_the_transactions_twice(stored):
+    """Once for everything, once for the latest date."""
+    assert reads_of(report.rep_reporte(stored), "transacciones") <= 2
+    assert reads_of(report.rep_reporte(stored, as_of="1999-01-01"), "transacciones") == 1
+
+
+def test_the_score_reads_the_transactions_once_beside_the_instants(stored, spark, tmp_path):
+    fraud.client_instants(stored.transacciones).write.parquet(str(tmp_path / "instantes"))
+    instants = spark.read.parquet(str(tmp_path / "instantes"))
+    assert reads_of(fraud.score_transactions(stored, instants=instants), "transacciones") == 1
+    assert reads_of(fraud.client_instants(stored.transacciones), "transacciones") == 1
