@@ -5,8 +5,8 @@ edits leave one of them untouched, so another line within that distance has a se
 a substring, near the same place. Segments are indexed under (length, number, text); a line
 probes the index with its own substrings for each length it could match, at just the places
 where the segment could lie if the edits before it and behind it are to stay within the limit.
-Candidates are verified by a banded bit-parallel edit distance. Only Spark's own operations
-are used.
+Candidates whose character pairs differ too much are left out where they are joined, the others
+are verified by a banded bit-parallel edit distance. Only Spark's own operations are used.
 """
 
 from __future__ import annotations
@@ -79,9 +79,11 @@ def distinct_lines(docs: DataFrame, *, edits: int, min_chars: int, id_col: str,
     return stored(found.withColumn("line_id", F.monotonically_increasing_id()), "lines")
 
 
-def candidate_pairs(lines: DataFrame) -> DataFrame:
-    """(a, b) of lines that share a key which at least one of them has as a segment."""
-    entry = lambda keys, own: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(own).alias("own")))
+def shared_keys(lines: DataFrame) -> DataFrame:
+    """(key, own, line_id), stored: the keys that several lines have, one of them as a segment."""
+    entry = lambda keys, own: F.transform(
+        keys, lambda k: F.struct(k.alias("key"), F.lit(own).alias("own"))
+    )
     entries = lines.filter(F.col("own").isNotNull()).select(
         F.explode(F.concat(entry("own", True), entry("probes", False))).alias("e"), "line_id",
     ).select("e.key", "e.own", "line_id")
@@ -90,10 +92,37 @@ def candidate_pairs(lines: DataFrame) -> DataFrame:
     shared = entries.groupBy("key").agg(
         F.min("line_id").alias("low"), F.max("line_id").alias("high"), F.max("own").alias("indexed")
     ).filter("low < high AND indexed").select("key")
-    lists = stored(entries.join(shared, "key"), "line-lists")
-    index = lists.filter("own").select("key", F.col("line_id").alias("i"))
-    probes = lists.select("key", F.col("line_id").alias("p"), "own")
-    met = index.join(probes, "key").filter("i <> p AND (NOT own OR i < p)")
+    return stored(entries.join(shared, "key"), "line-lists")
+
+
+def sketch_of(line: Column) -> Column:
+    """For each of 64 classes of neighbouring characters, whether a line has an odd number.
+
+    An edit takes away two pairs of neighbours at most and brings two, so it changes four bits
+    at most.
+    """
+    def bits(c: Column) -> Column:
+        pair = lambda i: F.pmod(F.xxhash64(F.get(c, i - 1), F.get(c, i)), F.lit(64)).cast("int")
+        one = F.lit(1).cast("long")
+        return F.aggregate(
+            F.sequence(F.lit(1), F.greatest(F.size(c) - 1, F.lit(1))), F.lit(0).cast("long"),
+            lambda seen, i: seen.bitwiseXOR(F.call_function("shiftleft", one, pair(i))),
+        )
+
+    return _let(F.split(line, ""), bits)
+
+
+def candidate_pairs(lists: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """(a, b) of lines that share a key and whose sketches allow the distance."""
+    marked = lists.join(texts.select("line_id", "sketch"), "line_id")
+    index = marked.filter("own").select("key", F.col("line_id").alias("i"), F.col("sketch").alias("s"))
+    probes = marked.select(F.col("key").alias("k"), F.col("line_id").alias("p"), "own", F.col("sketch").alias("t"))
+    met = index.join(
+        probes,
+        (F.col("key") == F.col("k")) & (F.col("i") != F.col("p"))
+        & (~F.col("own") | (F.col("i") < F.col("p")))
+        & (F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= 4 * edits),
+    )
     return met.select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
 
 
@@ -197,7 +226,7 @@ def _banded(a: Column, b: Column, edits: int) -> Column:
 
 
 def texts_of(docs: DataFrame, lines: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(line_id, line) of the wanted line ids, read again from the documents they are first in."""
+    """(line_id, line, sketch) of the wanted ids, read again from the documents they are first in."""
     where = stored(
         lines.join(wanted, "line_id").select("line_id", "place.doc_id", "place.line_no", "digest"), "line-places"
     )
@@ -206,7 +235,8 @@ def texts_of(docs: DataFrame, lines: DataFrame, wanted: DataFrame, id_col: str,
     keyed = maybe_in(read, F.xxhash64("doc_id", "line_no"), where, F.xxhash64("doc_id", "line_no"))
     found = keyed.withColumn("digest", F.unhex(F.md5("line"))).join(where.select("line_id", "digest"), "digest")
     # Copies of a line within what was read again.
-    return stored(found.groupBy("line_id").agg(F.first("line").alias("line")), "line-texts")
+    one = found.groupBy("line_id").agg(F.first("line").alias("line"))
+    return stored(one.withColumn("sketch", sketch_of(F.col("line"))), "line-texts")
 
 
 def near_equal_lines(
@@ -223,9 +253,9 @@ def near_equal_lines(
     add to n_rows; other columns are not looked at; an empty table gives no rows.
     """
     lines = distinct_lines(docs, edits=edits, min_chars=min_chars, id_col=id_col, text_col=text_col)
-    pairs = stored(candidate_pairs(lines), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
-    texts = texts_of(docs, lines, wanted, id_col, text_col)
+    lists = shared_keys(lines)
+    texts = texts_of(docs, lines, lists.select("line_id").distinct(), id_col, text_col)
+    pairs = stored(candidate_pairs(lists, texts, edits), "line-pairs")
     both = (
         pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("left")), "a")
         .join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("right")), "b")

@@ -10,8 +10,9 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from caudal.llm import language_id, minhash_dedup, packing, pii
+from caudal.llm import exact_dedup, language_id, minhash_dedup, packing, pii
 from caudal.llm.catalog import queries
+from caudal.llm.common import stored
 from caudal.llm.exact_dedup import exact_duplicates
 from caudal.llm.graph import components
 from caudal.llm.minhash_dedup import near_duplicates
@@ -64,6 +65,17 @@ def test_exact_edges(spark):
     assert tuples(exact_duplicates(frame(spark, texts)), *EXACT) == sorted(brute.exact_rows(texts), key=repr)
 
 
+def test_state_grows_over_many_batches(spark):
+    """One file a batch: what an earlier batch saw still counts."""
+    texts = [(i, f"text {i % 9}" + " " * (i % 4)) for i in range(80)]
+    sha = lambda c: F.sha2(c, 256)
+    prints = stored(exact_dedup.fingerprints(frame(spark, texts).repartition(6), "doc_id", "text", sha), "prints")
+    names = ("digest", "keep_id", "keep_points", "group_size")
+    many = exact_dedup.keyed_state(prints, batch_bytes=1)
+    assert tuples(many, *names) == tuples(exact_dedup._groups(prints, "digest"), *names)
+    assert many.filter("keep_locator IS NULL").count() == 0
+
+
 def test_exact_when_digests_clash(spark):
     texts = [(i, f"text {i % 7}" + " " * (i % 3)) for i in range(60)]
     weak = exact_duplicates(frame(spark, texts), digest=lambda c: F.substring(F.sha2(c, 256), 1, 0))
@@ -107,7 +119,7 @@ def test_near_edges(spark):
     assert found == sorted(brute.near_duplicate_rows(texts, 4, 80), key=repr)
 
 
-def test_near_chains_and_shared_passages(spark):
+def test_near_chains_and_shared_passages(spark, monkeypatch):
     """Groups whose members drift apart, and a passage that unlike documents share."""
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
@@ -123,10 +135,11 @@ def test_near_chains_and_shared_passages(spark):
     texts += [" ".join([word() for _ in range(30)] + passage + [word() for _ in range(30)]) for _ in range(60)]
     rng.shuffle(texts)
     numbered = list(enumerate(texts))
-    for k in (16, 64):
-        found = tuples(near_duplicates(frame(spark, numbered), words=4, k=k), *NEAR)
-        if k == 64:
-            assert found == sorted(brute.near_duplicate_rows(numbered, 4, 80), key=repr)
+    expected = sorted(brute.near_duplicate_rows(numbered, 4, 80), key=repr)
+    # Lists of one task, and lists cut into slices.
+    for slice_ in (minhash_dedup.SLICE, 3):
+        monkeypatch.setattr(minhash_dedup, "SLICE", slice_)
+        assert tuples(near_duplicates(frame(spark, numbered), words=4), *NEAR) == expected
 
 
 def test_near_missing_and_repeated_ids(spark):
