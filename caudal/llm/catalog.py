@@ -71,7 +71,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text to ids and back: what came out, and whether it is the text again."""
     model = public_tokenizers.path(sentencepieces.PIECE_BPE)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = sentencepieces.decode(sentencepieces.encode(docs, model), model)
+    back = sentencepieces.encode_and_decode(docs, model)
     ids = F.array_join("piece_ids", ",")
     return back.select(
         "doc_id", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"),

@@ -20,6 +20,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -27,7 +28,7 @@ PIECE_BPE = "piece_bpe_32k.model"
 MARK = "▁"
 # Words of one generation of a worker's cache, and pairs whose compatibility it remembers.
 CACHED_WORDS = 400_000
-CACHED_PAIRS = 400_000
+CACHED_PAIRS = 300_000
 _MARKED = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -65,6 +66,7 @@ class Pieces:
         for byte, i in self.bytes.items():
             self.texts[i] = bytes([byte])
         self.texts[self.unknown] = " ⁇ ".encode()
+        self.table = np.array([*self.texts, b""], object)[:-1]
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.packed: dict[str, bytes] = {}
@@ -196,8 +198,9 @@ class Pieces:
         young, old, spelled = self.words, self.old, self.spelled
         missing = words.difference(young)
         young.update({w: old[w] for w in missing.intersection(old)})
-        new = sorted(missing.difference(old))
-        for word, pieces in zip(new, self.forward(new), strict=True):
+        # Words of plain texts come without their one mark.
+        marked = sorted([(w if w[:1] == MARK else MARK + w, w) for w in missing.difference(old)])
+        for (_, word), pieces in zip(marked, self.forward([m for m, _ in marked]), strict=True):
             young[word] = b"".join([spelled(p) for p in pieces])
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -207,18 +210,18 @@ class Pieces:
         known = self.words
         return [b"".join([known[w] for w in words]) for words in cut]
 
-    def decode(self, ids: list[int]) -> str:
-        texts = self.texts
-        text = b"".join([texts[i] for i in ids]).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        text = b"".join(self.table[ids].tolist()).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
 def marked_words(text: str) -> list[str]:
-    """Words with their marks; a mark is put before the text."""
+    """Words with their marks, a mark being put before the text; or, where each word has just
+    the one, the words without it."""
     if not text:
         return []
     if MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
-        return [MARK + w for w in text.split(" ")]
+        return text.split(" ")
     return _MARKED.findall(MARK + text.replace(" ", MARK))
 
 
@@ -228,29 +231,15 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-_STEP = 200
+_STEP = 500
 _ONE = (1,)
 
 
-def _kept(df: DataFrame, new: str) -> list[str]:
-    return [c for c in df.columns if c != new]
+_IDS = T.ArrayType(T.IntegerType())
 
 
-def encode(
-    docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col: str = "piece_ids"
-) -> DataFrame:
-    """``docs`` with the ids of each whole text. NULL stays NULL, an empty text has no ids.
-
-    A column named like ``ids_col`` is replaced, all others pass through.
-    """
-    kept = _kept(docs, ids_col)
-    place = kept.index(text_col)
-    kind = T.ArrayType(T.IntegerType())
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(ids_col, kind)])
-
+def _encoder(model_path: str, place: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         pieces = pieces_of(model_path)
         for whole in batches:
             for at in range(0, whole.num_rows, _STEP):
@@ -261,9 +250,43 @@ def encode(
                     [None if t is None else np.frombuffer(f, "<i4") for t, f in zip(texts, found, strict=True)],
                     pa.list_(pa.int32()),
                 )
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=names)
+
+    return run
+
+
+def _decoder(model_path: str, place: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pieces_of(model_path)
+        for whole in batches:
+            for at in range(0, whole.num_rows, _STEP):
+                batch = whole.slice(at, _STEP)
+                ids = batch.column(place)
+                offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy()
+                texts = [
+                    pieces.decode(values[a:b]) if known else None
+                    for a, b, known in zip(offsets[:-1], offsets[1:], ids.is_valid().to_pylist(), strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return run
+
+
+def _without(df: DataFrame, new: list[str]) -> tuple[DataFrame, list[str]]:
+    kept = [c for c in df.columns if c not in new]
+    return df.select(*[F.col(f"`{c}`") for c in kept]), kept
+
+
+def encode(
+    docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col: str = "piece_ids"
+) -> DataFrame:
+    """``docs`` with the ids of each whole text. NULL stays NULL, an empty text has no ids.
+
+    A column named like ``ids_col`` is replaced, all others pass through.
+    """
+    rows, kept = _without(docs, [ids_col])
+    schema = T.StructType([*rows.schema.fields, T.StructField(ids_col, _IDS)])
+    return rows.mapInArrow(_encoder(model_path, kept.index(text_col), schema.names), schema)
 
 
 def decode(
@@ -273,16 +296,20 @@ def decode(
 
     Bytes that are no UTF-8 become U+FFFD. A column named like ``text_col`` is replaced.
     """
-    kept = _kept(encoded, text_col)
-    place = kept.index(ids_col)
-    schema = T.StructType([*[encoded.schema[c] for c in kept], T.StructField(text_col, T.StringType())])
+    rows, kept = _without(encoded, [text_col])
+    schema = T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())])
+    return rows.mapInArrow(_decoder(model_path, kept.index(ids_col), schema.names), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(model_path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, _STEP):
-                batch = whole.slice(at, _STEP)
-                texts = [None if i is None else pieces.decode(i) for i in batch.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return encoded.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+def encode_and_decode(
+    docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col: str = "piece_ids",
+    decoded_col: str = "decoded",
+) -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass, without moving the ids in between."""
+    rows, kept = _without(docs, [ids_col, decoded_col])
+    schema = T.StructType([
+        *rows.schema.fields, T.StructField(ids_col, _IDS), T.StructField(decoded_col, T.StringType()),
+    ])
+    there = _encoder(model_path, kept.index(text_col), [*kept, ids_col])
+    back = _decoder(model_path, len(kept), schema.names)
+    return rows.mapInArrow(lambda batches: back(there(batches)), schema)

@@ -214,6 +214,8 @@ def test_pieces_equal_the_library(spark):
             continue
         assert r["piece_ids"] == library.encode(text)
         assert r["decoded"] == library.decode(r["piece_ids"])
+    one_pass = sentencepieces.encode_and_decode(docs, path)
+    assert one_pass.columns == found.columns and one_pass.exceptAll(found).count() == 0
     assert sentencepieces.encode(docs.limit(0), path).count() == 0
 
 
