@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from caudal.functions.dates import seconds
 from caudal.functions.numbers import count_true
 from caudal.operators.rolling import busy_instants, counts_per_instant, slice_of
 from caudal.plans.fraud import DEFAULT_RULES, FraudRules, is_far, is_odd_hour, usual_location
@@ -25,6 +26,8 @@ from caudal.sources.sample_bank import PROJECTIONS, SAMPLE_DDL, sample_bank
 DELAY = "1 hour"
 # Keys that the rows of one client are dealt over in the join with the static locations.
 SALTS = 16
+# Windows in one slice of a client's time in the stateful step.
+SLICE_WINDOWS = 24
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -94,10 +97,13 @@ def exact_velocity_stream(
     emits an instant once the watermark has passed it, so rows that arrive late within the
     delay are still counted where they belong. The second step sees the instants of each
     client and slice of time in order; its state is the last ``max_tx`` instants, however much
-    the client does, and is dropped once the slice's last window is over. As in the batch job
-    slices are as long as the window, and an instant is copied into the next one.
+    the client does, and is dropped once the slice's last window is over. A slice is
+    ``SLICE_WINDOWS`` windows long, as each costs a call of the processor, and an instant is
+    copied into the next one only where its window reaches it.
     """
-    own = slice_of(F.col("fecha"), rules.window_seconds)
+    length = rules.window_seconds * SLICE_WINDOWS
+    own = slice_of(F.col("fecha"), length)
+    reached = slice_of(F.col("fecha") + seconds(rules.window_seconds), length)
     instants = (
         tx.withWatermark("fecha", delay)
         .groupBy("id_cliente", "fecha")
@@ -105,13 +111,13 @@ def exact_velocity_stream(
     )
     copies = instants.select(
         "id_cliente", "fecha", "n",
-        F.explode(F.array(own, own + 1)).alias("tramo"),
+        F.explode(F.sequence(own, reached)).alias("tramo"),
         F.unix_micros("fecha").alias("micros"),
     ).select(
         "id_cliente", "tramo", "fecha", "n", "micros",
         (F.col("tramo") == own).alias("propio"),
         # When the client's slice can no longer receive anything.
-        ((F.col("tramo") + 1) * (rules.window_seconds * 1000)).alias("fin"),
+        ((F.col("tramo") + 1) * (length * 1000)).alias("fin"),
     )
     flagged = copies.groupBy("id_cliente", "tramo").transformWithStateInPandas(
         _VelocityProcessor(rules.max_tx, rules.window_seconds * 1_000_000),
