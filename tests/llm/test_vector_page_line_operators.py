@@ -307,6 +307,36 @@ def test_lines_match_brute_force(spark, edits):
     assert got == line_rows(docs, edits, 24)
 
 
+def allowed(n):
+    return 0 if n < 10 else 1 if n < 24 else max(2, n // 20)
+
+
+def test_line_limit_grows_with_the_length(spark):
+    rng = random.Random(77)
+    lines = ["(c) 2023 Example Ltd", "(c) 2024 Example Ltd", "short one", "short two"]
+    for n in (10, 11, 14, 23, 24, 39, 59, 60, 79, 119, 200, 290):
+        for letters in ("abcdefghij     ", "漢字ab😀 "):
+            base = "".join(rng.choices(letters, k=n)).strip()
+            # Spread evenly, so that no piece is longer than it must be.
+            for k in (allowed(n), allowed(n) + 1):
+                other = list(base)
+                for i in range(k):
+                    other[(i + 1) * len(base) // (k + 1) - (i + 1 > k // 2)] = "#"
+                lines += [base, "".join(other), edited(rng, base, k)]
+    lines = sorted({x.strip() for x in lines if x.strip()})
+    got = {r["doc_id"]: (r["n_links"], r["class_doc_id"]) for r in near_equal_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    links = collections.defaultdict(set)
+    for i, a in enumerate(lines):
+        for j in range(i):
+            most = allowed(min(len(a), len(lines[j])))
+            if most and abs(len(a) - len(lines[j])) <= most and edit_distance(a, lines[j]) <= most:
+                links[i].add(j)
+                links[j].add(i)
+    assert {i: n for i, (n, _) in got.items()} == {i: len(links[i]) for i in range(len(lines))}
+    by_line = {x: got[i] for i, x in enumerate(lines)}
+    assert by_line["(c) 2023 Example Ltd"][1] == by_line["(c) 2024 Example Ltd"][1]
+
+
 def test_lines_of_nothing(spark):
     assert near_equal_lines(spark.createDataFrame([], "doc_id long, text string, line string, key long")).count() == 0
 
