@@ -27,9 +27,14 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-# What looks like an identifier: at least this many digits in one run of word characters and
-# the marks that join them.
-_CANDIDATE = re.compile(r"[\w@+][\w@+./-]*\d[\w@+./-]*")
+# What looks like an identifier: groups of digits joined by spaces, dots, dashes, slashes or
+# parentheses, or a run of word characters and the marks that join them. Either needs so many
+# digits in all, unless the run has an @ or two colons inside.
+_CANDIDATE = re.compile(
+    r"(?P<groups>(?<![\w@])[+(]{0,2}\d+(?:[ \xa0.()/-]{1,3}\d+)*(?![./-]*[\w@:]))"
+    r"|(?:[\w@+]|:(?=:))(?:[\w@+./%-]|:(?=[\w:]))*"
+)
+_JOINTS = " \xa0./-"
 CANDIDATE_DIGITS = 6
 _WORD = re.compile(r"[^\W\d_]+")
 CONTEXT = 80
@@ -109,20 +114,48 @@ def context_patterns(text: str, start: int, end: int) -> list[str]:
     return made
 
 
-def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple]:
-    """Seeds with their kind, and candidates without one, with their context patterns."""
-    found = [(k, a, b, text[a:b].lower(), context_patterns(text, a, b)) for k, a, b in base]
-    taken = sorted((a, b) for _, a, b in base)
+def _candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What looks like an identifier and overlaps none of ``taken``, in order."""
     at = 0
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
-        if sum(map(str.isdigit, m[0])) < CANDIDATE_DIGITS:
-            continue
         while at < len(taken) and taken[at][1] <= a:
             at += 1
-        if at < len(taken) and taken[at][0] < b:
-            continue
-        found.append((None, a, b, m[0].lower(), context_patterns(text, a, b)))
+        if m["groups"] is None:
+            # A single colon ends a label.
+            parts = [(a, b)]
+            if text.count(":", a, b) == 1:
+                colon = text.index(":", a)
+                parts = [(a, colon), (colon + 1, b)]
+            if at < len(taken) and taken[at][0] < b:
+                continue
+        else:
+            # Groups beside a fixed match are a sequence of their own.
+            parts, k = [], at
+            while k < len(taken) and taken[k][0] < b:
+                parts.append((a, taken[k][0]))
+                a = max(a, taken[k][1])
+                k += 1
+            parts.append((a, b))
+        for low, high in parts:
+            while low < high and text[high - 1] in _JOINTS + "(:":
+                high -= 1
+            while low < high and text[low] in _JOINTS + ")":
+                low += 1
+            inner = text[low + 1:high - 1]
+            if "@" in inner or inner.count(":") > 1 or (
+                text.count(":", low, high) > 1 and high - low > 2
+            ) or sum(map(str.isdigit, text[low:high])) >= CANDIDATE_DIGITS:
+                yield low, high
+
+
+def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple]:
+    """Seeds with their kind, and candidates without one, with their context patterns."""
+    found = [(k, a, b, text[a:b].lower(), context_patterns(text, a, b)) for k, a, b in base]
+    taken = sorted((a, b) for _, a, b in base)
+    found += [
+        (None, a, b, text[a:b].lower(), context_patterns(text, a, b)) for a, b in _candidates(text, taken)
+    ]
     return found
 
 

@@ -236,6 +236,22 @@ def test_pii_patterns_discover_identifiers(spark):
     assert found[101] == []
 
 
+@pytest.mark.parametrize("kind, seed, unseen", [
+    ("email", lambda i: f"user{i}@mail.example.org", ["max@intranet", "mueller@exämple.de"]),
+    ("ip", lambda i: f"10.0.7.{i}", ["2001:db8::1", "::1", "fe80::a:b"]),
+    ("card", lambda i: ("4111 1111 1111 1111", "5500 0000 0000 0004", "4012888888881881", "5105-1051-0510-5100", "6011 1111 1111 1117", "4222222222222220")[i % 6],
+     ["4111 1111 1111 1112"]),
+    ("phone", lambda i: f"+1 171 555-{2000 + i}", ["030 123 45 67", "555 123 4567", "(555) 123-4567", "555.123.4567", "tel:0171-5559999"]),
+])
+def test_pii_discovers_unseen_forms_of_each_kind(spark, kind, seed, unseen):
+    rows = [(i, f"please note contact entry {seed(i)} kept here today") for i in range(40)]
+    rows += [(100 + i, f"please note contact entry {x} kept here today") for i, x in enumerate(unseen)]
+    found = {r["doc_id"]: r["all_spans"] for r in pii.find_personal_data(frame(spark, rows)).collect()}
+    for i, x in enumerate(unseen):
+        text = rows[40 + i][1]
+        assert [(s["kind"], text[s["start"]:s["end"]]) for s in found[100 + i]] == [(kind, x.removeprefix("tel:"))]
+
+
 def test_pii_redaction(spark):
     rows = [(1, "a x@y.zz b +1 (171) 555-2028"), (2, None), (3, "nothing"), (4, "é 1.2.3.4")]
     found = pii.find_personal_data(frame(spark, rows)).withColumn("out", pii.redacted(F.col("text"), F.col("all_spans")))
