@@ -44,6 +44,8 @@ _BLOCKS = set(
 )
 _SPACED = {"br", "td", "th", "img", "wbr"} - {"wbr"}
 _ROOTS = {"article", "main"}
+# Elements that class words do not silence; an article only if it lies in no other root.
+_WHOLE = {"html", "body", "main"}
 # An element that ends when one of its own kind, or one of these, begins.
 _ENDS = {
     "p": _BLOCKS | _DROPPED - {"button", "label", "map", "object", "canvas", "video", "audio", "iframe", "select", "datalist"},
@@ -80,6 +82,7 @@ class _Open:
     tag: str
     path: str
     noise: bool
+    claims: tuple[int, ...]
     inside: bool
     plain: bool
 
@@ -94,9 +97,9 @@ class Page:
     has_root: bool = False
 
 
-def _declared(tag: str, rest: str, inside: bool) -> tuple[bool, str]:
-    """Whether an element declares itself to be no article; its classes."""
-    names = ""
+def _declared(tag: str, rest: str, inside: bool) -> tuple[bool, bool, str]:
+    """Whether an element is no article by its kind, and by words of class and id; its classes."""
+    names, claimed = "", False
     noise = tag in _DROPPED or (tag == "header" and not inside)
     if rest and ("=" in rest or "hidden" in rest):
         for m in _NAMES.finditer(rest):
@@ -110,19 +113,22 @@ def _declared(tag: str, rest: str, inside: bool) -> tuple[bool, str]:
                 noise |= value in ("navigation", "banner", "complementary", "contentinfo", "search", "alert", "dialog")
                 continue
             words = set(_SPLIT.split(value))
-            noise |= bool(words & _NOISE_WORDS) or (not inside and bool(words & _OUTER_WORDS))
-    return noise, names
+            claimed |= bool(words & _NOISE_WORDS) or (not inside and bool(words & _OUTER_WORDS))
+    return noise, claimed and tag not in _WHOLE and (inside or tag != "article"), names
 
 
 def parse(source: str) -> Page:
     """One pass over the tags with a stack of open elements; broken markup is taken as it is."""
     page = Page()
-    stack = [_Open("", "", False, False, True)]
+    stack = [_Open("", "", False, (), False, True)]
+    # What each open root and each branch claimed by class words lies in.
+    roots: list[tuple[int, ...]] = []
+    claims = 0
     at = 0
 
     def say(text: str) -> None:
         top = stack[-1]
-        page.pieces.append((top.path, text, top.noise, top.inside, top.plain))
+        page.pieces.append((top.path, text, top.noise, top.inside, top.plain, top.claims))
 
     for m in _TOKEN.finditer(source):
         if m.start() > at:
@@ -151,12 +157,16 @@ def parse(source: str) -> Page:
             top = stack[-1]
             page.children.setdefault(top.path, []).append(tag)
             if tag not in _VOID:
-                noise, names = _declared(tag, m["rest"] or "", top.inside)
+                noise, claimed, names = _declared(tag, m["rest"] or "", top.inside)
                 inside = top.inside or tag in _ROOTS
-                page.has_root |= tag in _ROOTS and not (noise or top.noise)
+                within = top.claims
+                if claimed:
+                    within, claims = (*within, claims), claims + 1
+                if tag in _ROOTS and not (noise or top.noise):
+                    roots.append(within)
                 step = f"{tag}.{names}" if names else tag
                 stack.append(_Open(
-                    tag, f"{top.path}/{step}", top.noise or noise, inside, not names,
+                    tag, f"{top.path}/{step}", top.noise or noise, within, inside, not names,
                 ))
         if block:
             page.pieces.append(None)
@@ -164,9 +174,30 @@ def parse(source: str) -> Page:
             say(" ")
     if at < len(source):
         say(source[at:])
+    _settle(page, roots)
     return page
 
 
+def _settle(page: Page, roots: list[tuple[int, ...]]) -> None:
+    """Decides which claims hold: not that of a branch with most of the page's text, unless an
+    article or main lies outside all claims."""
+    free = any(not x for x in roots)
+    held: dict[int, int] = {}
+    total = 0
+    for piece in page.pieces:
+        if piece and not piece[2]:
+            size = len("".join(piece[1].split()))
+            total += size
+            for claim in piece[5]:
+                held[claim] = held.get(claim, 0) + size
+    void = set() if free else {claim for claim, size in held.items() if 2 * size > total}
+    page.pieces = [
+        piece and (piece[0], piece[1], piece[2] or not void.issuperset(piece[5]), *piece[3:5])
+        for piece in page.pieces
+    ]
+    page.has_root = any(void.issuperset(x) for x in roots)
+
+
 def _number(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 

@@ -195,6 +195,16 @@ def test_style_tree_removes_what_every_page_repeats(spark):
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string, path long, host string")).count() == 0
 
 
+@pytest.mark.parametrize("source, text", [
+    ('<body class="single-post has-sidebar no-comments"><p>story<div class=sidebar>x</div></body>', "story"),
+    ('<div id=page class="no-comments"><p>a long story</div><p>tail', "a long story\n\ntail"),
+    ('<p>around</p><article class="legal-news"><p>news</p></article>', "news"),
+    ('<main class="social-policy"><p>policy</p></main>', "policy"),
+])
+def test_class_words_do_not_silence_a_page(source, text):
+    assert main_text(source) == text
+
+
 # ---------------------------------------------------------------- SentencePiece
 
 def test_pieces_equal_the_library(spark):
