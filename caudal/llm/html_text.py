@@ -43,6 +43,7 @@ _BLOCKS = set(
     "caption".split()
 )
 _SPACED = {"br", "td", "th", "img", "wbr"} - {"wbr"}
+_INLINE = set("a abbr b bdi bdo cite code data dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var".split())
 _ROOTS = {"article", "main"}
 # Elements that class words do not silence; an article only if it lies in no other root.
 _WHOLE = {"html", "body", "main"}
@@ -202,13 +203,34 @@ def _number(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
+def _ancestors(path: str) -> Iterator[str]:
+    """A node's path and those above it, as branches."""
+    at = len(path)
+    while at > 0:
+        yield path[:at] + "/*"
+        at = path.rfind("/", 0, at)
+
+
 def node_features(source: str) -> Iterator[tuple[int, bool, int]]:
-    """(path, is content, feature) of a page, each once: arrangements of children, and texts."""
+    """(path, is content, feature) of a page, each once: arrangements of children, and texts.
+
+    A path stands for a node's own texts; with ``/*`` behind it for all texts of its branch.
+    """
     page = parse(source)
     texts: dict[str, list[str]] = {}
     for piece in page.pieces:
         if piece and not piece[2] and not piece[1].isspace():
             texts.setdefault(piece[0], []).append(" ".join(piece[1].split()))
+    below: dict[str, set[int]] = {}
+    for path, said in texts.items():
+        found = {_number(t) for t in said}
+        for branch in _ancestors(path):
+            below.setdefault(branch, set()).update(found)
+    for branch, found in below.items():
+        number = _number(branch)
+        yield number, False, _number(" ".join(page.children.get(branch[:-2], [])))
+        for feature in found:
+            yield number, True, feature
     for path, said in texts.items():
         number = _number(path)
         yield number, False, _number(" ".join(page.children.get(path, [])))
@@ -216,8 +238,11 @@ def node_features(source: str) -> Iterator[tuple[int, bool, int]]:
             yield number, True, feature
 
 
-def main_text(source: str, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks of the branches that are left, joined by an empty line."""
+def main_text(source: str, low: frozenset[int] | set[int] = frozenset(), judged: bool = False) -> str:
+    """Blocks of the branches that are left, joined by an empty line.
+
+    Only on hosts too small to be judged by the tree an article or main is all of the text.
+    """
     page = parse(source)
     known: dict[str, bool] = {}
     blocks: list[str] = []
@@ -234,12 +259,14 @@ def main_text(source: str, low: frozenset[int] | set[int] = frozenset()) -> str:
             end()
             continue
         path, text, noise, inside, plain = piece
-        if noise or (page.has_root and not inside):
+        if noise or (page.has_root and not inside and not judged):
             continue
-        # Plain paragraphs and headings of an article are not judged by what other pages say.
-        if low and not (inside and plain):
+        if low:
+            # Plain words marked within a paragraph of an article stay or go with it.
+            while inside and plain and (cut := path.rfind("/")) > 0 and path[cut + 1:] in _INLINE:
+                path = path[:cut]
             if path not in known:
-                known[path] = _number(path) in low
+                known[path] = _number(path) in low or any(_number(x) in low for x in _ancestors(path))
             if known[path]:
                 continue
         open_.append(text)
@@ -329,13 +356,20 @@ def extract_main_text(pages: DataFrame, **params) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, _STEP):
                 batch = whole.slice(at, _STEP)
-                sources, lows = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                texts = [main_text(s or "", set(x or ())) for s, x in zip(sources, lows, strict=True)]
+                sources, lows, sizes = (batch.column(i).to_pylist() for i in (2, 3, 4))
+                texts = [
+                    main_text(s or "", set(x or ()), bool(j)) for s, x, j in zip(sources, lows, sizes, strict=True)
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                      pa.array([len(t) for t in texts], pa.int64())],
                     names=schema.names,
                 )
 
-    joined = rows.join(branches, "host", "left").select("page_id", "url", "html", "low")
+    min_pages = params.get("min_pages", MIN_PAGES)
+    large = stored(
+        rows.groupBy("host").agg(F.count("*").alias("size")).filter(F.col("size") >= min_pages)
+        .select("host", F.lit(True).alias("judged")), "judged-hosts",
+    )
+    joined = rows.join(branches, "host", "left").join(large, "host", "left").select("page_id", "url", "html", "low", "judged")
     return joined.mapInArrow(run, schema)

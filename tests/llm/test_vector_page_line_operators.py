@@ -205,6 +205,14 @@ def test_class_words_do_not_silence_a_page(source, text):
     assert main_text(source) == text
 
 
+def test_style_tree_judges_inside_and_outside_the_article(spark):
+    page = lambda i: f"<article><h1>Title {i}</h1><p>Story {i * 7} <b>Note</b></p><div>Terms apply <i>to all</i></div></article><p>Coda {i}</p><section>Made <b>by us</b></section>"
+    rows = [(i, f"http://a.net/{i}", page(i)) for i in range(12)] + [(50, "http://b.net/", page(50))]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Title 3\n\nStory 21 Note\n\nCoda 3"
+    assert got[50] == "Title 50\n\nStory 350 Note\n\nTerms apply to all"
+
+
 # ---------------------------------------------------------------- SentencePiece
 
 def test_pieces_equal_the_library(spark):
