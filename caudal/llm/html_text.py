@@ -22,10 +22,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from caudal.llm.common import stored
 from caudal.llm.urls import host_of
 
-# A node is judged by its host's pages from this many on, and if it is on this share of them,
-# which also bounds how many nodes a host can have judged: its mean nodes per page over it.
+# A node is judged from this many of its host's pages on.
 MIN_PAGES = 4
-MIN_SHARE = 0.5
 LOW_IMPORTANCE = 0.3
 # Weight of content against presentation.
 CONTENT_WEIGHT = 0.9
@@ -325,17 +323,50 @@ def style_tree(pages: DataFrame) -> DataFrame:
     )
 
 
+def page_nodes(source: str) -> set[int]:
+    """The numbers of a page's nodes and branches with text."""
+    paths = {p[0] for p in parse(source).pieces if p and not p[2] and not p[1].isspace()}
+    return {_number(x) for x in paths.union(*map(_ancestors, paths))}
+
+
+def _template(nodes: set[int]) -> int:
+    return _number(",".join(map(str, sorted(nodes))))
+
+
+_PATHS = T.StructType([
+    T.StructField("host", T.StringType()), T.StructField("template", T.LongType()),
+    T.StructField("path", T.LongType()),
+])
+
+
+def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, _STEP):
+            batch = whole.slice(at, _STEP)
+            found: dict[tuple, set[int]] = {}
+            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                nodes = page_nodes(source or "")
+                found[host, _template(nodes)] = nodes
+            rows = [(*key, path) for key, nodes in found.items() for path in nodes]
+            columns = zip(*rows, strict=True) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)],
+                names=_PATHS.names,
+            )
+
+
 def low_branches(
     pages: DataFrame, *, low: float = LOW_IMPORTANCE, min_pages: int = MIN_PAGES,
-    min_share: float = MIN_SHARE,
 ) -> DataFrame:
-    """(host, low): the paths to remove from each host's pages."""
-    size = pages.groupBy("host").agg(F.count("*").alias("size"))
-    judged = style_tree(pages).join(size, "host").filter(
-        (F.col("on") >= min_pages) & (F.col("on") >= min_share * F.col("size"))
-        & (F.col("importance") < low)
+    """(host, template, low): the paths to remove from the pages with just these nodes.
+
+    A list holds no more than one page's nodes, however many a host has.
+    """
+    judged = style_tree(pages).filter((F.col("on") >= min_pages) & (F.col("importance") < low))
+    paths = pages.select("host", "html").mapInArrow(_templates, _PATHS).distinct()
+    return paths.join(judged.select("host", "path"), ["host", "path"]).groupBy("host", "template").agg(
+        F.collect_list("path").alias("low")
     )
-    return judged.groupBy("host").agg(F.collect_list("path").alias("low"))
 
 
 def extract_main_text(pages: DataFrame, **params) -> DataFrame:
@@ -371,5 +402,17 @@ def extract_main_text(pages: DataFrame, **params) -> DataFrame:
         rows.groupBy("host").agg(F.count("*").alias("size")).filter(F.col("size") >= min_pages)
         .select("host", F.lit(True).alias("judged")), "judged-hosts",
     )
-    joined = rows.join(branches, "host", "left").join(large, "host", "left").select("page_id", "url", "html", "low", "judged")
+    marked = T.StructType([*rows.schema.fields, T.StructField("template", T.LongType())])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _STEP):
+                batch = whole.slice(at, _STEP)
+                numbers = [_template(page_nodes(s or "")) for s in batch.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=marked.names)
+
+    joined = (
+        rows.mapInArrow(mark, marked).join(branches, ["host", "template"], "left").join(large, "host", "left")
+        .select("page_id", "url", "html", "low", "judged")
+    )
     return joined.mapInArrow(run, schema)

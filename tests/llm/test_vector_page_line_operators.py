@@ -213,6 +213,13 @@ def test_style_tree_judges_inside_and_outside_the_article(spark):
     assert got[50] == "Title 50\n\nStory 350 Note\n\nTerms apply to all"
 
 
+def test_style_tree_judges_every_template_of_a_host(spark):
+    page = lambda i: f"<div class=t{i % 3}>Welcome to section {i % 3}</div><p>Story {i}</p>"
+    rows = [(i, f"http://a.net/{i}", page(i)) for i in range(18)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i}" for i in range(18)}
+
+
 # ---------------------------------------------------------------- SentencePiece
 
 def test_pieces_equal_the_library(spark):
