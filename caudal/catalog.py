@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import hashlib
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caudal.plans import fraud, fraud_mart, history, kpis, lookups, report
 from caudal.schemas import MART_DDL
-from caudal.session import scratch_path
+from caudal.session import scratch_path, shared_dir
+from caudal.sources.mart import open_mart, source_version
 from caudal.sources.sample_bank import sample_bank
-from caudal.sources.sinks import publish_views
 from caudal.sources.tables import Tables, read_exchange_rates
 from caudal.streaming import jobs
 
@@ -33,18 +36,30 @@ def _timed(plan: Callable[..., DataFrame], **params) -> Query:
     return lambda spark, sf_dir: plan(sample_bank(spark, sf_dir, timed=True), **params)
 
 
-# Where the mart of a sample folder was loaded, for each application.
-_MARTS: dict[tuple[str, str], dict[str, str]] = {}
+def _mart_folder(spark: SparkSession, sf_dir: str) -> str:
+    """One mart for each sample folder, for all sessions that share the scratch folder."""
+    name = hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:16]
+    return os.path.join(shared_dir(spark), "caudal", f"mart-{name}")
 
 
 def _mart(spark: SparkSession, sf_dir: str) -> Tables:
-    """The mart of a sample folder through its views; loaded by the first query that asks."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MARTS:
-        t = sample_bank(spark, sf_dir, timed=True)
-        _MARTS[key] = fraud.etl_run(spark, t, scratch_path(spark, "mart"))
-    publish_views(spark, _MARTS[key], MART_DDL)
-    return fraud_mart.mart_views(spark)
+    """The mart of a sample folder; loaded by the first query that asks, in whatever session,
+    and anew when the folder has changed."""
+    t = sample_bank(spark, sf_dir, timed=True)
+    return fraud.loaded_mart(
+        spark, t, _mart_folder(spark, sf_dir), source=source_version(spark, sf_dir)
+    )
+
+
+def _in_another_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each mart table as a session sees them that has neither loaded nor views."""
+    _mart(spark, sf_dir)
+    mart = open_mart(spark.newSession(), _mart_folder(spark, sf_dir))
+    counts = [
+        mart[name].agg(F.count("*").alias("filas")).select(F.lit(name).alias("tabla"), "filas")
+        for name in MART_DDL
+    ]
+    return functools.reduce(DataFrame.unionByName, counts)
 
 
 def _from_mart(serve: Callable[..., DataFrame], **params) -> Query:
@@ -160,6 +175,7 @@ FRAUD_QUERIES: dict[str, Query] = {
     "etl_run": _etl,
     "etl_tipo_cambio_csv": _csv_rates,
     "etl_resumen": _from_mart(fraud_mart.etl_resumen),
+    "etl_otra_sesion": _in_another_session,
     "etl_fraude_por_categoria": _from_mart(fraud_mart.etl_fraude_por_categoria),
     "etl_fraude_por_canal": _from_mart(fraud_mart.etl_fraude_por_canal),
     "etl_fraude_por_mes": _from_mart(fraud_mart.etl_fraude_por_mes),

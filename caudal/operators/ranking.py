@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caudal.functions.numbers import as_count
+from caudal.operators.spread import plain_side
 
 
 def top_k(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
@@ -35,19 +36,27 @@ def page_info(df: DataFrame, page: int, limit: int) -> DataFrame:
     )
 
 
-def latest_per_key(df: DataFrame, key: str, n: int, *order: Column, row_id: str) -> DataFrame:
-    """First ``n`` rows of each key; ``order`` must end in a unique column.
+def latest_per_key(df: DataFrame, key: str, n: int, at: str, *order: Column) -> DataFrame:
+    """Latest ``n`` rows of each key by ``at``, ties by ``order``, which must end in a unique column.
 
-    Each key is first trimmed within hash slices of its rows, one per shuffle partition the
-    session has, and then over its slices: the first ``n`` of a key are among the first ``n``
-    of its slices. A key holding a large part of the table is trimmed by as many tasks as the
-    cluster is set up for, and what meets in one task is ``n`` rows for each of them.
+    Rows are counted per key and day first, combined map-side and over two columns only. From
+    the latest day backwards, the day that completes ``n`` rows is the earliest that matters: the
+    rows of older days meet no sort and no shuffle of whole rows. Of the others each task keeps
+    ``n`` per key before they are dealt by key, so a key that holds much of the table does not
+    come together in one task. Rows without a time count as the oldest.
     """
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sliced = Window.partitionBy(key, F.pmod(F.xxhash64(row_id), F.lit(slices)))
-    trimmed = _first_n(df, sliced.orderBy(*order), n)
-    return _first_n(trimmed, Window.partitionBy(key).orderBy(*order), n)
-
-
-def _first_n(df: DataFrame, spec, n: int) -> DataFrame:
-    return df.withColumn("_rn", F.row_number().over(spec)).filter(F.col("_rn") <= n).drop("_rn")
+    day = F.to_date(at)
+    counts = df.groupBy(F.col(key).alias("_key"), day.alias("_day")).agg(F.count("*").alias("_n"))
+    newer = Window.partitionBy("_key").orderBy(F.desc_nulls_last("_day"))
+    newer = newer.rowsBetween(Window.unboundedPreceding, -1)
+    reached = counts.withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
+    # No day: rows without a time are needed, too.
+    cut = reached.filter(F.col("_newer") < n).groupBy("_key").agg(
+        F.min("_day").alias("_from"), F.max(F.col("_day").isNull()).alias("_all")
+    )
+    recent = df.join(
+        plain_side(cut), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_all") | (day >= F.col("_from"))),
+        "left_semi",
+    )
+    spec = Window.partitionBy(key).orderBy(F.desc_nulls_last(at), *order)
+    return recent.withColumn("_rn", F.row_number().over(spec)).filter(F.col("_rn") <= n).drop("_rn")

@@ -23,29 +23,30 @@ def busy_instants(
     """The (key, at) pairs whose trailing window ``(at - within, at]`` holds more than
     ``more_than`` rows; rows of the same instant are all inside the window.
 
-    Two steps keep this linear and evenly spread:
+    A sweep line keeps this linear, whatever the limit, and evenly spread:
 
     * the input has one row per key and instant, so ties never pile up;
-    * each key's timeline is cut into slices as long as the window, and an instant is copied
-      into the next slice, the only other one its window can reach. A key with a third of all
-      rows is then as many tasks as it has slices, and no window looks outside its slice.
-
-    Since every instant counts at least one row, more than ``more_than`` rows in the
-    window show within the last ``more_than + 1`` instants: a few ``lag`` columns replace
-    a range frame that would be re-summed for each row.
+    * each key's timeline is cut into slices as long as the window. An instant counts from its
+      own time on, and until it expires one window later, which lies in the next slice: it is a
+      plus in its own slice and a minus in the next one. A key with a third of all rows is then as
+      many tasks as it has slices, and no window looks outside its slice;
+    * at a slice's start all that will expire in it is inside, so the rows in a window are the sum
+      of these and of all pluses and minuses up to its instant: one running sum over one sort.
     """
     span = seconds(within_seconds)
     own = slice_of(F.col(at), within_seconds)
-    copies = instants.withColumn("_propia", own).withColumn(
-        "_tramo", F.explode(F.array(F.col("_propia"), F.col("_propia") + 1))
-    )
-    spec = Window.partitionBy(key, "_tramo").orderBy(at)
-    inside = F.col("n")
-    for back in range(1, more_than + 1):
-        still_in = F.lag(at, back).over(spec) > F.col(at) - span
-        inside = inside + F.when(still_in, F.lag("n", back).over(spec)).otherwise(0)
+    moves = instants.select(
+        key, F.explode(F.array(
+            F.struct(own.alias("tramo"), F.col(at).alias("en"), F.col("n").alias("mas"), F.lit(0).alias("menos")),
+            F.struct((own + 1).alias("tramo"), (F.col(at) + span).alias("en"), F.lit(0).alias("mas"), F.col("n").alias("menos")),
+        )).alias("m"),
+    ).select(key, "m.*")
+    part = Window.partitionBy(key, "tramo")
+    # A range frame: what happens at the same instant, expiries included, counts at once.
+    until_now = part.orderBy("en").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = F.sum("menos").over(part) + F.sum(F.col("mas") - F.col("menos")).over(until_now)
     return (
-        copies.withColumn("_inside", inside)
-        .filter((F.col("_tramo") == F.col("_propia")) & (F.col("_inside") > more_than))
-        .select(key, at)
+        moves.withColumn("dentro", inside)
+        .filter((F.col("mas") > 0) & (F.col("dentro") > more_than))
+        .select(key, F.col("en").alias(at))
     )

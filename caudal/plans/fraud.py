@@ -15,6 +15,7 @@ from caudal.operators.grouping import one_row, with_share
 from caudal.operators.rolling import busy_instants
 from caudal.operators.spread import plain_side
 from caudal.schemas import BANK_TABLES, MART_DDL, mart_schema
+from caudal.sources.mart import commit_load, current_load, open_mart
 from caudal.sources.sinks import new_load, publish_views, replace_tables
 from caudal.sources.tables import Tables, extract
 
@@ -62,23 +63,32 @@ def is_odd_hour(rules: FraudRules) -> Column:
 
 # ── per-client facts ────────────────────────────────────────────────────────────────────
 
+def client_amounts(tx: DataFrame) -> DataFrame:
+    """What a transaction adds to its client's amounts. Decimals, so sums are exact whatever
+    order they are added in."""
+    money = F.col("monto").cast("decimal(18,2)")
+    return tx.select(
+        "id_cliente", "fecha", F.col("monto").isNotNull().cast("int").alias("n_montos"),
+        money.alias("suma"), (money * money).cast("decimal(30,4)").alias("cuadrados"),
+    )
+
+
 def client_instants(tx: DataFrame) -> DataFrame:
     """Rows and amounts of each client and instant, combined map-side.
 
-    Both the velocity rule and the amount profile are answered from this one scan. Sums are
-    decimals, so they are exact whatever order they are added in.
+    Both the velocity rule and the amount profile are answered from this one scan.
     """
-    money = F.col("monto").cast("decimal(18,2)")
-    return tx.groupBy("id_cliente", "fecha").agg(
+    return client_amounts(tx).groupBy("id_cliente", "fecha").agg(
         F.count("*").alias("n"),
-        F.count("monto").alias("n_montos"),
-        F.sum(money).alias("suma"),
-        F.sum((money * money).cast("decimal(30,4)")).alias("cuadrados"),
+        F.sum("n_montos").alias("n_montos"),
+        F.sum("suma").alias("suma"),
+        F.sum("cuadrados").alias("cuadrados"),
     )
 
 
-def amount_profile(instants: DataFrame) -> DataFrame:
-    """Mean and sample deviation of the amounts of each client, from :func:`client_instants`.
+def amount_profile(amounts: DataFrame) -> DataFrame:
+    """Mean and sample deviation of the amounts of each client, from :func:`client_amounts`, or
+    from :func:`client_instants` where that is stored.
 
     The sums are exact and turned into doubles once, so a retried task gives the same
     deviation to the last bit.
@@ -86,7 +96,7 @@ def amount_profile(instants: DataFrame) -> DataFrame:
     n = F.sum("n_montos").cast("double")
     total, squares = as_double(F.sum("suma")), as_double(F.sum("cuadrados"))
     spread = F.greatest(squares - total * total / n, F.lit(0.0))
-    return instants.filter("n_montos > 0").groupBy("id_cliente").agg(
+    return amounts.filter("n_montos > 0").groupBy("id_cliente").agg(
         (total / n).alias("media"),
         F.when(n > 1, F.sqrt(spread / (n - 1))).alias("desviacion"),
     )
@@ -128,7 +138,7 @@ def fraud_r2_velocity(t: Tables, *, rules: FraudRules = DEFAULT_RULES) -> DataFr
 def fraud_r3_amount(t: Tables, *, rules: FraudRules = DEFAULT_RULES) -> DataFrame:
     """Transactions with ``r3_monto``: an amount far above the client's mean."""
     tx = t.transacciones
-    profile = plain_side(amount_profile(client_instants(tx)))
+    profile = plain_side(amount_profile(client_amounts(tx)))
     known = tx.join(profile, "id_cliente", "left")
     return known.withColumn("r3_monto", is_outlier(rules)).select(*tx.columns, "r3_monto")
 
@@ -151,12 +161,13 @@ def score_transactions(
     the transactions are read once. The stored fraud flag is not used.
     """
     tx = t.transacciones
+    amounts = client_amounts(tx) if instants is None else instants
     instants = client_instants(tx) if instants is None else instants
     names = t.clientes.select(
         "id_cliente", "nombre", "apellido_paterno", F.lit(True).alias("es_cliente")
     )
     client = (
-        names.join(amount_profile(instants), "id_cliente", "full_outer")
+        names.join(amount_profile(amounts), "id_cliente", "full_outer")
         .join(usual_location(t), "id_cliente", "left")
     )
     known = with_velocity(tx, instants, rules).join(plain_side(client), "id_cliente", "left")
@@ -280,6 +291,7 @@ def etl_run(
     *,
     staging: str | None = None,
     rules: FraudRules = DEFAULT_RULES,
+    source: str = "",
 ) -> dict[str, str]:
     """Extract, transform, load: scores all transactions and replaces the mart in ``folder``.
 
@@ -288,11 +300,12 @@ def etl_run(
     bare alerts are stored before accounts and rates are added, so these see the alerts only,
     and a lost executor costs no more than its own tasks.
 
-    Every load goes to a new folder below ``folder``; the views ``dwh_<name>`` are pointed to
-    it when all tables are there. Readers of the load before see it until then, and a load
-    that fails changes nothing. Old loads are left for whoever owns the folder to remove.
-    ``staging`` additionally copies the source tables there and works from the copy. Returns
-    the written paths.
+    Every load goes to a new folder below ``folder`` and is committed to the folder's manifest
+    when all tables are there; only then are this session's views ``dwh_<name>`` pointed to it.
+    Readers, in whatever session, see the load before until then, and a load that fails changes
+    nothing. Old loads are left for whoever owns the folder to remove. ``source`` is kept with
+    the load to tell later what it was made from. ``staging`` additionally copies the source
+    tables there and works from the copy. Returns the written paths.
     """
     if staging is not None:
         extract(t, staging, names=(*BANK_TABLES, "tipo_cambio"))
@@ -304,10 +317,26 @@ def etl_run(
     paths = replace_tables({"alertas_fraude": enriched_alerts(bare, t)}, load)
     alerts = spark.read.schema(MART_DDL["alertas_fraude"]).parquet(paths["alertas_fraude"])
     paths |= replace_tables(mart_aggregates(alerts, instants, rules=rules), load)
+    commit_load(spark, folder, load, paths, source=source)
     publish_views(spark, paths, MART_DDL)
     return paths
 
 
+def loaded_mart(
+    spark: SparkSession, t: Tables, folder: str, *, source: str, rules: FraudRules = DEFAULT_RULES
+) -> Tables:
+    """The mart in ``folder``, loaded first if its current load is of another source or rules.
+
+    ``source`` names the state of the source tables, such as :func:`source_version` of their
+    folder. What any session loaded before serves all others.
+    """
+    made_from = f"{source} {rules}"
+    found = current_load(spark, folder)
+    if found is None or found.source != made_from:
+        etl_run(spark, t, folder, rules=rules, source=made_from)
+    return open_mart(spark, folder)
+
+
 def _stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     path = os.path.join(folder, name)
     df.write.parquet(path)

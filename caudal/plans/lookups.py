@@ -167,8 +167,8 @@ def cliente_transacciones(
     against the clients, so what that join moves does not grow with a client's history.
     """
     latest = latest_per_key(
-        _of_ids(t.transacciones, "id_cliente", ids), "id_cliente", limit, F.desc("fecha"),
-        F.asc("id_transaccion"), row_id="id_transaccion",
+        _of_ids(t.transacciones, "id_cliente", ids), "id_cliente", limit, "fecha",
+        F.asc("id_transaccion"),
     )
     parents = _known_clients(t, ids).select("id_cliente")
     known = latest.join(parents, "id_cliente", "left_semi")

@@ -1,8 +1,11 @@
 """Streaming versions of the transaction and fraud jobs (T1-T4).
 
-Each ``*_stream`` function turns a streaming frame of transactions into a streaming result.
+The ``*_stream`` functions turn a streaming frame of transactions into a streaming result in update
+mode: each micro-batch gives the new totals of what its rows touched. :func:`run_upserts` writes
+every batch to a folder of its own number and :func:`current_rows` reads the newest row of each
+key, so results are complete after every batch and a batch that is run again changes nothing.
 The ``replay_*`` functions run one over the sample's events with an available-now trigger and
-return what was written; output and checkpoint go to the shared folder.
+return its current rows; output and checkpoint go to the shared folder.
 
 Event time is ``fecha`` as a zoned timestamp, since watermarks need one.
 """
@@ -10,25 +13,19 @@ Event time is ``fecha`` as a zoned timestamp, since watermarks need one.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from caudal.functions.dates import seconds
 from caudal.functions.numbers import count_true
-from caudal.operators.rolling import busy_instants, counts_per_instant, slice_of
 from caudal.plans.fraud import DEFAULT_RULES, FraudRules, is_far, is_odd_hour, usual_location
 from caudal.session import scratch_path, settings
 from caudal.sources.sample_bank import PROJECTIONS, SAMPLE_DDL, sample_bank
 
 DELAY = "1 hour"
-# Keys that the rows of one client are dealt over in the join with the static locations.
-SALTS = 16
-# Windows in one slice of a client's time in the stateful step.
-SLICE_WINDOWS = 24
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Batch number of a written row.
+BATCH = "lote"
 
 
 # ── jobs ────────────────────────────────────────────────────────────────────────────────
@@ -70,18 +67,16 @@ def sliding_velocity_stream(
     )
 
 
-def stateless_rules_stream(
-    tx: DataFrame, location: DataFrame, *, rules: FraudRules = DEFAULT_RULES, salts: int = SALTS
+def stateless_rules(
+    tx: DataFrame, location: DataFrame, *, rules: FraudRules = DEFAULT_RULES
 ) -> DataFrame:
     """T4: the two rules that need no history, row by row, against the static locations.
 
-    A stream's join is planned before its rows are seen, so nothing splits a busy client
-    later: each location is given to ``salts`` keys, and a client's rows are dealt over them.
+    Meant for the rows of one micro-batch: their join is planned when they are there, so AQE
+    splits a client that many of them have.
     """
-    copies = location.withColumn("sal", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
-        tx.withColumn("sal", F.pmod(F.xxhash64("id_transaccion"), F.lit(salts)).cast("int"))
-        .join(copies, ["id_cliente", "sal"], "left")
+        tx.join(location, "id_cliente", "left")
         .withColumn("r1_geo", is_far(rules))
         .withColumn("r4_hora", is_odd_hour(rules))
         .select("id_transaccion", "id_cliente", "fecha", "r1_geo", "r4_hora")
@@ -91,76 +86,39 @@ def stateless_rules_stream(
 def exact_velocity_stream(
     tx: DataFrame, *, rules: FraudRules = DEFAULT_RULES, delay: str = DELAY
 ) -> DataFrame:
-    """T3: the (client, instant) pairs of the exact trailing-window velocity rule.
-
-    Two stateful steps. A count per client and instant folds ties before the shuffle and
-    emits an instant once the watermark has passed it, so rows that arrive late within the
-    delay are still counted where they belong. The second step sees the instants of each
-    client and slice of time in order; its state is the last ``max_tx`` instants, however much
-    the client does, and is dropped once the slice's last window is over. A slice is
-    ``SLICE_WINDOWS`` windows long, as each costs a call of the processor, and an instant is
-    copied into the next one only where its window reaches it.
+    """T3: the instants of the exact trailing-window velocity rule, per client and slice of time.
+
+    A client's time is cut into slices as long as the rule's window. The state of a slice is the
+    times of its transactions and of those one window before it, which is all that its windows
+    can reach; it is dropped once the watermark has passed the slice. With the times in order, an
+    instant has more than ``max_tx`` rows in its window if the time ``max_tx`` places before it is
+    inside, whatever that number is. Rows that are late within the delay change their slice.
     """
-    length = rules.window_seconds * SLICE_WINDOWS
-    own = slice_of(F.col("fecha"), length)
-    reached = slice_of(F.col("fecha") + seconds(rules.window_seconds), length)
-    instants = (
+    span = rules.window_seconds
+    sliced = (
         tx.withWatermark("fecha", delay)
-        .groupBy("id_cliente", "fecha")
-        .agg(F.count("*").alias("n"))
+        .groupBy(F.window("fecha", f"{2 * span} seconds", f"{span} seconds").alias("v"), "id_cliente")
+        .agg(F.array_sort(F.collect_list(F.unix_micros("fecha"))).alias("micros"))
+        .withColumn("propio", F.unix_micros("v.start") + span * 1_000_000)
     )
-    copies = instants.select(
-        "id_cliente", "fecha", "n",
-        F.explode(F.sequence(own, reached)).alias("tramo"),
-        F.unix_micros("fecha").alias("micros"),
-    ).select(
-        "id_cliente", "tramo", "fecha", "n", "micros",
-        (F.col("tramo") == own).alias("propio"),
-        # When the client's slice can no longer receive anything.
-        ((F.col("tramo") + 1) * (length * 1000)).alias("fin"),
+    busy = F.transform(
+        "micros",
+        lambda t, i: F.when(
+            (t >= F.col("propio"))
+            & (F.get("micros", i - rules.max_tx) > t - span * 1_000_000), t
+        ),
     )
-    flagged = copies.groupBy("id_cliente", "tramo").transformWithStateInPandas(
-        _VelocityProcessor(rules.max_tx, rules.window_seconds * 1_000_000),
-        outputStructType="id_cliente string, micros long",
-        outputMode="append",
-        timeMode="eventTime",
+    return (
+        sliced.withColumn("micros", F.array_distinct(F.array_compact(busy)))
+        .filter(F.size("micros") > 0)
+        .select(F.timestamp_micros("propio").alias("desde"), "id_cliente", "micros")
     )
-    return flagged.select("id_cliente", F.timestamp_micros("micros").alias("fecha"))
-
-
-class _VelocityProcessor(StatefulProcessor):
-    """Per client and slice: which new instants have too much in their window."""
-
-    def __init__(self, more_than: int, span: int):
-        self._more_than, self._span = more_than, span
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._last = handle.getValueState("ultimos", "micros array<long>, n array<long>")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # Of each piece only the numbers are kept until the slice is in order.
-        pieces = [r[["micros", "n", "propio", "fin"]] for r in rows]
-        new = pd.concat(pieces, ignore_index=True).sort_values("micros")
-        kept_at, kept_n = self._last.get() if self._last.exists() else ([], [])
-        at = pd.concat([pd.Series(kept_at, dtype="int64"), new["micros"]], ignore_index=True)
-        n = pd.concat([pd.Series(kept_n, dtype="int64"), new["n"]], ignore_index=True)
-        inside = n.copy()
-        for back in range(1, self._more_than + 1):
-            still_in = at.shift(back) > at - self._span
-            inside += n.shift(back).where(still_in, 0).fillna(0).astype("int64")
-        hit = (inside.tail(len(new)) > self._more_than).to_numpy() & new["propio"].to_numpy()
-        self._last.update((at.tail(self._more_than).tolist(), n.tail(self._more_than).tolist()))
-        self._handle.registerTimer(int(new["fin"].iloc[0]))
-        if hit.any():
-            yield pd.DataFrame({"id_cliente": key[0], "micros": new["micros"].to_numpy()[hit]})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._last.clear()
-        return iter([])
 
-    def close(self) -> None:
-        pass
+def flagged_instants(slices: DataFrame) -> DataFrame:
+    """(client, instant) pairs of :func:`exact_velocity_stream`'s current rows."""
+    found = slices.select("id_cliente", F.explode("micros").alias("micros"))
+    return found.select("id_cliente", F.timestamp_micros("micros").alias("fecha"))
 
 
 # ── sources and sinks ───────────────────────────────────────────────────────────────────
@@ -177,107 +135,109 @@ def transactions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def run_available(
-    stream: DataFrame, folder: str, *, state_store: str | None = None
-) -> DataFrame:
-    """Runs a stream over what is there now into Parquet and returns the written rows.
+def batch_writer(
+    output: str, job: Callable[[DataFrame], DataFrame] | None = None
+) -> Callable[[DataFrame, int], None]:
+    """Writes a micro-batch, or what ``job`` makes of it, to the folder of its number.
+
+    A batch that is run again after a failure replaces what it wrote before.
+    """
+    def write(rows: DataFrame, batch: int) -> None:
+        made = rows if job is None else job(rows)
+        made.write.mode("overwrite").parquet(os.path.join(output, f"{BATCH}={batch}"))
+
+    return write
+
+
+def run_batches(
+    stream: DataFrame, folder: str, *, job: Callable[[DataFrame], DataFrame] | None = None
+) -> None:
+    """Runs a stream in update mode over what is there now, batch by batch into ``folder``.
 
-    A stream keeps the number of state partitions it starts with, so it is set to the
-    cluster's parallelism. ``state_store`` names another provider than the session's.
+    Run again on the same folder it goes on with what is new. A stream keeps the number of state
+    partitions it starts with, so it is set to the cluster's parallelism.
     """
     spark = stream.sparkSession
-    output = os.path.join(folder, "out")
-    with settings(
-        spark,
-        spark__sql__shuffle__partitions=str(spark.sparkContext.defaultParallelism),
-        spark__sql__streaming__stateStore__providerClass=state_store
-        or spark.conf.get("spark.sql.streaming.stateStore.providerClass"),
-    ):
+    parallelism = str(spark.sparkContext.defaultParallelism)
+    with settings(spark, spark__sql__shuffle__partitions=parallelism):
         query = (
-            stream.writeStream.format("parquet")
-            .option("path", output)
+            stream.writeStream.foreachBatch(batch_writer(os.path.join(folder, "out"), job))
             .option("checkpointLocation", os.path.join(folder, "checkpoint"))
-            .outputMode("append")
+            .outputMode("update")
             .trigger(availableNow=True)
             .start()
         )
         query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(output)
 
 
-def completed(
-    streamed: DataFrame, at: str, tx: DataFrame, window: str, job: Callable[[DataFrame], DataFrame]
-) -> DataFrame:
-    """A finished replay together with what its last watermark left open.
+def written_rows(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """All rows of all batches so far, with the number of their batch; none before the first."""
+    numbered = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
+    try:
+        return spark.read.schema(numbered).parquet(os.path.join(folder, "out"))
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], numbered)
 
-    An append stream gives a result once the watermark has passed it, in the order of ``at``,
-    so everything beyond its last result is still open. The same ``job`` computes that from
-    the rows not older than one window before it.
-    """
-    last = streamed.agg(F.max(at)).first()[0]
-    if last is None:
-        return job(tx)
-    since = F.lit(last) - F.expr(f"INTERVAL {window}")
-    rest = job(tx.filter(F.col("fecha") >= since)).filter(F.col(at) > F.lit(last))
-    return streamed.unionByName(rest)
+
+def current_rows(
+    spark: SparkSession, folder: str, schema: T.StructType, keys: Sequence[str]
+) -> DataFrame:
+    """The newest row of each key. Combined before the shuffle, so a key that very many batches
+    touched is one row per task."""
+    values = [name for name in schema.names if name not in keys]
+    newest = written_rows(spark, folder, schema).groupBy(*keys).agg(
+        F.max_by(F.struct(*values), BATCH).alias("_v")
+    )
+    return newest.select(*keys, "_v.*").select(*schema.names)
 
 
 def _wall_clock(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
 
-def _zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sample's transactions as a table, with the stream's kind of timestamp."""
-    tx = sample_bank(spark, sf_dir, timed=True).transacciones
-    return tx.withColumn("fecha", F.col("fecha").cast("timestamp"))
-
-
 def _replayed(
-    spark: SparkSession, sf_dir: str, name: str, at: str, window: str,
-    stream_job: Callable[[DataFrame], DataFrame],
-    batch_job: Callable[[DataFrame], DataFrame] | None = None, state_store: str | None = None,
+    spark: SparkSession, sf_dir: str, name: str, job: Callable[[DataFrame], DataFrame],
+    keys: Sequence[str],
 ) -> DataFrame:
     # A session of its own, so that the stream's settings touch no other query.
     own = spark.newSession()
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
     folder = scratch_path(spark, name)
-    stream = stream_job(transactions_stream(own, sf_dir))
-    run_available(stream, folder, state_store=state_store)
-    streamed = spark.read.schema(stream.schema).parquet(os.path.join(folder, "out"))
-    return completed(streamed, at, _zoned(spark, sf_dir), window, batch_job or stream_job)
+    stream = job(transactions_stream(own, sf_dir))
+    run_batches(stream, folder)
+    return current_rows(spark, folder, stream.schema, keys)
 
 
 def replay_channel_totals(spark: SparkSession, sf_dir: str, *, window: str = "1 hour") -> DataFrame:
     job = lambda tx: channel_totals_stream(tx, window=window)
-    return _wall_clock(_replayed(spark, sf_dir, "totales", "hasta", window, job), "desde", "hasta")
+    found = _replayed(spark, sf_dir, "totales", job, ["desde", "hasta", "canal"])
+    return _wall_clock(found, "desde", "hasta")
 
 
 def replay_sliding_velocity(
     spark: SparkSession, sf_dir: str, *, window: str = "1 hour", slide: str = "5 minutes"
 ) -> DataFrame:
     job = lambda tx: sliding_velocity_stream(tx, window=window, slide=slide)
-    return _wall_clock(_replayed(spark, sf_dir, "deslizante", "hasta", window, job), "desde", "hasta")
+    found = _replayed(spark, sf_dir, "deslizante", job, ["desde", "hasta", "id_cliente"])
+    return _wall_clock(found, "desde", "hasta")
 
 
 def replay_exact_velocity(
     spark: SparkSession, sf_dir: str, *, rules: FraudRules = DEFAULT_RULES
 ) -> DataFrame:
-    """Arbitrary state needs the RocksDB store, an embedded one inside each executor."""
-    def batch(tx: DataFrame) -> DataFrame:
-        return busy_instants(
-            counts_per_instant(tx, "id_cliente", "fecha"), "id_cliente", "fecha",
-            more_than=rules.max_tx, within_seconds=rules.window_seconds,
-        )
-
-    found = _replayed(
-        spark, sf_dir, "velocidad", "fecha", f"{rules.window_seconds} seconds",
-        lambda tx: exact_velocity_stream(tx, rules=rules), batch, ROCKSDB,
-    )
-    return _wall_clock(found, "fecha")
+    job = lambda tx: exact_velocity_stream(tx, rules=rules)
+    found = _replayed(spark, sf_dir, "velocidad", job, ["desde", "id_cliente"])
+    return _wall_clock(flagged_instants(found), "fecha")
 
 
-def replay_stateless_rules(spark: SparkSession, sf_dir: str, **params) -> DataFrame:
-    stream = stateless_rules_stream(
-        transactions_stream(spark, sf_dir), usual_location(sample_bank(spark, sf_dir)), **params
-    )
-    return _wall_clock(run_available(stream, scratch_path(spark, "reglas")), "fecha")
+def replay_stateless_rules(
+    spark: SparkSession, sf_dir: str, *, rules: FraudRules = DEFAULT_RULES
+) -> DataFrame:
+    location = usual_location(sample_bank(spark, sf_dir))
+    judge = lambda tx: stateless_rules(tx, location, rules=rules)
+    folder, stream = scratch_path(spark, "reglas"), transactions_stream(spark, sf_dir)
+    run_batches(stream, folder, job=judge)
+    empty = judge(spark.createDataFrame([], stream.schema))
+    return _wall_clock(written_rows(spark, folder, empty.schema).drop(BATCH), "fecha")

@@ -335,6 +335,14 @@ FRAUD = {
     "etl_run": SUMMARY,
     "etl_tipo_cambio_csv": query(bank("tipo_cambio"), "SELECT fecha, rate FROM tipo_cambio"),
     "etl_resumen": SUMMARY,
+    "etl_otra_sesion": "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS tabla, count(*) AS filas FROM ({sql})"
+        for name, sql in {
+            "resumen_general": SUMMARY, "fraude_por_categoria": BY_CATEGORY,
+            "fraude_por_canal": BY_CHANNEL, "fraude_por_mes": BY_MONTH,
+            "alertas_fraude": alerts("SELECT * FROM alertas"),
+        }.items()
+    ),
     "etl_fraude_por_categoria": BY_CATEGORY,
     "etl_fraude_por_canal": BY_CHANNEL,
     "etl_fraude_por_mes": BY_MONTH,

@@ -160,7 +160,22 @@ def test_named_clients_come_sorted(spark):
 
 
 def test_latest_beyond_what_spark_trims(spark):
-    df = spark.range(5000).select("id", (F.col("id") % 2).alias("k"))
-    latest = latest_per_key(df, "k", 1500, F.desc("id"), row_id="id")
+    df = spark.range(5000).select("id", (F.col("id") % 2).alias("k"), F.timestamp_seconds("id").alias("at"))
+    latest = latest_per_key(df, "k", 1500, "at", F.desc("id"))
     assert latest.count() == 3000
     assert latest.agg(F.min("id")).first()[0] == 2000
+
+
+def test_latest_rows_with_tied_days_few_rows_and_no_time(spark):
+    day = lambda n, s: None if n is None else dt.datetime(2024, 1, n, 0, 0, s)
+    rows = [("tied", day(5, 0), i) for i in range(9)] + [("tied", day(6, 1), 9), ("tied", day(4, 1), 10)]
+    rows += [("few", day(1, 1), 0), ("few", None, 1)]
+    rows += [("timeless", None, i) for i in range(6)] + [("timeless", day(2, 2), 6)]
+    rows += [("days", day(d, s), 100 * d + s) for d in range(1, 9) for s in range(2)] + [(None, day(3, 3), 1)]
+    df = spark.createDataFrame(rows, "k string, at timestamp, id long")
+    got = {}
+    for r in latest_per_key(df, "k", 4, "at", F.asc("id")).collect():
+        got.setdefault(r.k, set()).add(r.id)
+    assert got == {
+        "tied": {9, 0, 1, 2}, "few": {0, 1}, "timeless": {6, 0, 1, 2}, "days": {801, 800, 701, 700}, None: {1},
+    }

@@ -55,7 +55,7 @@ def test_window_over_midnight(spark):
     assert busy(spark, events) == {("a", at(7300))}
 
 
-@pytest.mark.parametrize("more_than,within", [(3, 3600), (1, 60), (5, 3 * 86400), (0, 10)])
+@pytest.mark.parametrize("more_than,within", [(3, 3600), (1, 60), (5, 3 * 86400), (0, 10), (40, 7200), (90, 86400)])
 def test_random_events(spark, more_than, within):
     rng = random.Random(more_than * 1000 + within)
     events = [
@@ -64,3 +64,21 @@ def test_random_events(spark, more_than, within):
     events += rng.choices(events, k=60)
     limits = {"more_than": more_than, "within_seconds": within}
     assert busy(spark, events, **limits) == brute(events, **limits)
+
+
+def test_the_plan_does_not_grow_with_the_limit(spark):
+    events = spark.createDataFrame([("a", at(0))], "k string, at timestamp_ntz")
+    counted = counts_per_instant(events, "k", "at")
+    plans = [
+        busy_instants(counted, "k", "at", more_than=limit, within_seconds=3600)
+        ._jdf.queryExecution().optimizedPlan().toString()
+        for limit in (3, 1000)
+    ]
+    assert len(plans[0].splitlines()) == len(plans[1].splitlines())
+    assert abs(len(plans[0]) - len(plans[1])) < 50
+
+
+def test_a_thousand_in_a_window(spark):
+    events = [("a", at(s)) for s in range(0, 3600, 3)]
+    assert busy(spark, events, more_than=1000) == brute(events, more_than=1000)
+    assert len(brute(events, more_than=1000)) == 200

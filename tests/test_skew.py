@@ -78,7 +78,7 @@ def test_a_hot_client_is_split(spark, hot_bank, job):
 @pytest.mark.parametrize("n", [1, 50, 1500])
 def test_latest_rows_of_a_hot_client(spark, hot_bank, n):
     tx = hot_bank.transacciones.filter("id_cliente IS NOT NULL")
-    got = latest_per_key(tx, "id_cliente", n, F.desc("fecha"), F.asc("id_transaccion"), row_id="id_transaccion")
+    got = latest_per_key(tx, "id_cliente", n, "fecha", F.asc("id_transaccion"))
     rows = {}
     for r in tx.select("id_cliente", "fecha", "id_transaccion").collect():
         rows.setdefault(r.id_cliente, []).append((r.fecha, r.id_transaccion))
