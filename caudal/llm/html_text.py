@@ -2,7 +2,8 @@
 
 Pages of one host are merged into one tree: a node is a path of elements with their classes.
 For each node Spark counts how often each arrangement of children (presentation) and each text
-or link (content) occurs among the host's pages. The entropy of the presentation and the
+or link (content) occurs among the host's pages; copies of a page count as one, so an article is not
+what its copies repeat. The entropy of the presentation and the
 spread of the content give the node's importance: what stays the same on page after page has
 none. Branches of low importance are removed from each page, as are those that their element
 or class declares to be no article (fixed lists below). What is left is cut into blocks.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from caudal.llm.common import stored
 from caudal.llm.urls import host_of
 
-# A node is judged from this many of its host's pages on.
+# A node is judged from this many different pages of its host on.
 MIN_PAGES = 4
 LOW_IMPORTANCE = 0.3
 # Weight of content against presentation.
@@ -40,7 +41,7 @@ _BLOCKS = set(
     "h6 header hr html li main ol p pre section summary table tbody tfoot thead tr ul "
     "caption".split()
 )
-_SPACED = {"br", "td", "th", "img", "wbr"} - {"wbr"}
+_SPACED = {"br", "td", "th", "img"}
 _INLINE = set("a abbr b bdi bdo cite code data dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var".split())
 _ROOTS = {"article", "main"}
 # Elements that class words do not silence; an article only if it lies in no other root.
@@ -209,16 +210,21 @@ def _ancestors(path: str) -> Iterator[str]:
         at = path.rfind("/", 0, at)
 
 
-def node_features(source: str) -> Iterator[tuple[int, bool, int]]:
-    """(path, is content, feature) of a page, each once: arrangements of children, and texts.
-
-    A path stands for a node's own texts; with ``/*`` behind it for all texts of its branch.
-    """
-    page = parse(source)
+def _said(page: Page) -> dict[str, list[str]]:
+    """The texts of each node that no list declares to be noise."""
     texts: dict[str, list[str]] = {}
     for piece in page.pieces:
         if piece and not piece[2] and not piece[1].isspace():
             texts.setdefault(piece[0], []).append(" ".join(piece[1].split()))
+    return texts
+
+
+def node_features(page: Page) -> Iterator[tuple[int, bool, int]]:
+    """(path, is content, feature) of a page, each once: arrangements of children, and texts.
+
+    A path stands for a node's own texts; with ``/*`` behind it for all texts of its branch.
+    """
+    texts = _said(page)
     below: dict[str, set[int]] = {}
     for path, said in texts.items():
         found = {_number(t) for t in said}
@@ -236,10 +242,16 @@ def node_features(source: str) -> Iterator[tuple[int, bool, int]]:
             yield number, True, feature
 
 
-def main_text(source: str, low: frozenset[int] | set[int] = frozenset(), judged: bool = False) -> str:
+def same_article(page: Page) -> int:
+    """A number that copies of a page share: of the texts of its articles, or of all if it has none."""
+    texts = [" ".join(p[1].split()) for p in page.pieces if p and not p[2] and (p[3] or not page.has_root)]
+    return _number("\n".join(t for t in texts if t))
+
+
+def main_text(source: str, low: frozenset[int] | set[int] = frozenset()) -> str:
     """Blocks of the branches that are left, joined by an empty line.
 
-    Only on hosts too small to be judged by the tree an article or main is all of the text.
+    An article or main, where there is one, is all of the text; the tree never empties it.
     """
     page = parse(source)
     known: dict[str, bool] = {}
@@ -257,7 +269,7 @@ def main_text(source: str, low: frozenset[int] | set[int] = frozenset(), judged:
             end()
             continue
         path, text, noise, inside, plain = piece
-        if noise or (page.has_root and not inside and not judged):
+        if noise or (page.has_root and not inside):
             continue
         if low:
             # Plain words marked within a paragraph of an article stay or go with it.
@@ -269,44 +281,64 @@ def main_text(source: str, low: frozenset[int] | set[int] = frozenset(), judged:
                 continue
         open_.append(text)
     end()
+    if low and page.has_root and not blocks:
+        return main_text(source)
     return "\n\n".join(blocks)
 
 
-_NODES = T.StructType([
-    T.StructField("host", T.StringType()), T.StructField("path", T.LongType()),
-    T.StructField("is_content", T.BooleanType()), T.StructField("feature", T.LongType()),
-    T.StructField("pages", T.LongType()),
+_SEEN = T.StructType([
+    T.StructField("host", T.StringType()), T.StructField("source", T.LongType()),
+    T.StructField("article", T.LongType()), T.StructField("template", T.LongType()),
+    T.StructField("nodes", T.ArrayType(T.LongType())), T.StructField("paths", T.ArrayType(T.LongType())),
+    T.StructField("contents", T.ArrayType(T.BooleanType())), T.StructField("features", T.ArrayType(T.LongType())),
 ])
-_KINDS = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
-# Pages parsed at a time; counts of a batch are added up before they leave Python.
+_KINDS = (
+    pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()),
+    pa.list_(pa.bool_()), pa.list_(pa.int64()),
+)
+# Pages parsed at a time.
 _STEP = 256
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, _STEP):
             batch = whole.slice(at, _STEP)
-            counts: dict[tuple, int] = {}
+            rows = []
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for found in node_features(source or ""):
-                    counts[host, *found] = counts.get((host, *found), 0) + 1
-            columns = zip(*((*k, n) for k, n in counts.items()), strict=True) if counts else [[]] * 5
+                page = parse(source or "")
+                nodes = page_nodes(page)
+                paths, contents, features = zip(*node_features(page), strict=True) if nodes else ((), (), ())
+                rows.append((
+                    host, _number(source or ""), same_article(page), _template(nodes), list(nodes),
+                    paths, contents, features,
+                ))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NODES.names
+                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_SEEN.names
             )
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """What the tree needs of each page, as numbers, stored: every page is parsed once for it."""
+    seen = pages.select("host", "html").mapInArrow(_parsed, _SEEN)
+    return stored(seen.withColumn("row", F.monotonically_increasing_id()), "parsed-pages")
+
+
+def style_tree(seen: DataFrame) -> DataFrame:
     """(host, path, on, importance) of the nodes of each host's merged tree.
 
-    ``on`` is the number of pages with the node. A feature on n of m pages has the entropy
-    log n / log m; the node's content counts for one minus the mean of its features' entropies,
-    its presentation for the entropy of its arrangements.
+    Pages of a host with the same article are one page, of which that with the smallest number
+    stands for all. ``on`` is the number of pages with the node. A feature on n of m pages has
+    the entropy log n / log m; the node's content counts for one minus the mean of its features'
+    entropies, its presentation for the entropy of its arrangements.
     """
-    features = (
-        pages.select("host", "html").mapInArrow(_features, _NODES)
-        .groupBy("host", "path", "is_content", "feature").agg(F.sum("pages").alias("n"))
-    )
+    first = seen.groupBy("host", "article").agg(F.min(F.struct("source", "row")).alias("first"))
+    one = seen.join(first.select("first.row"), "row", "left_semi")
+    zipped = F.explode(F.arrays_zip("paths", "contents", "features")).alias("f")
+    features = one.select("host", zipped).groupBy(
+        "host", F.col("f.paths").alias("path"), F.col("f.contents").alias("is_content"),
+        F.col("f.features").alias("feature"),
+    ).agg(F.count("*").alias("n"))
     n = F.col("n").cast("double")
     sums = features.groupBy("host", "path").agg(
         F.sum(F.when(~F.col("is_content"), n)).alias("on"),
@@ -323,9 +355,9 @@ def style_tree(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_nodes(source: str) -> set[int]:
+def page_nodes(page: Page) -> set[int]:
     """The numbers of a page's nodes and branches with text."""
-    paths = {p[0] for p in parse(source).pieces if p and not p[2] and not p[1].isspace()}
+    paths = {p[0] for p in page.pieces if p and not p[2] and not p[1].isspace()}
     return {_number(x) for x in paths.union(*map(_ancestors, paths))}
 
 
@@ -333,28 +365,6 @@ def _template(nodes: set[int]) -> int:
     return _number(",".join(map(str, sorted(nodes))))
 
 
-_PATHS = T.StructType([
-    T.StructField("host", T.StringType()), T.StructField("template", T.LongType()),
-    T.StructField("path", T.LongType()),
-])
-
-
-def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, _STEP):
-            batch = whole.slice(at, _STEP)
-            found: dict[tuple, set[int]] = {}
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                nodes = page_nodes(source or "")
-                found[host, _template(nodes)] = nodes
-            rows = [(*key, path) for key, nodes in found.items() for path in nodes]
-            columns = zip(*rows, strict=True) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)],
-                names=_PATHS.names,
-            )
-
-
 def low_branches(
     pages: DataFrame, *, low: float = LOW_IMPORTANCE, min_pages: int = MIN_PAGES,
 ) -> DataFrame:
@@ -362,8 +372,9 @@ def low_branches(
 
     A list holds no more than one page's nodes, however many a host has.
     """
-    judged = style_tree(pages).filter((F.col("on") >= min_pages) & (F.col("importance") < low))
-    paths = pages.select("host", "html").mapInArrow(_templates, _PATHS).distinct()
+    seen = parsed_pages(pages)
+    judged = style_tree(seen).filter((F.col("on") >= min_pages) & (F.col("importance") < low))
+    paths = seen.select("host", "template", F.explode("nodes").alias("path")).distinct()
     return paths.join(judged.select("host", "path"), ["host", "path"]).groupBy("host", "template").agg(
         F.collect_list("path").alias("low")
     )
@@ -373,7 +384,7 @@ def extract_main_text(pages: DataFrame, **params) -> DataFrame:
     """page_id, url, text, n_chars: one row per row of ``pages``, whole pages read.
 
     A NULL or empty html gives an empty text. Pages without an address form one host. Repeated
-    rows are returned each; other columns are not looked at; an empty table gives no rows.
+    rows are returned each and count as one page in the tree; other columns are not looked at; an empty table gives no rows.
     """
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
     # Stored, so that Spark knows its size when it chooses how to join it.
@@ -387,32 +398,22 @@ def extract_main_text(pages: DataFrame, **params) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, _STEP):
                 batch = whole.slice(at, _STEP)
-                sources, lows, sizes = (batch.column(i).to_pylist() for i in (2, 3, 4))
-                texts = [
-                    main_text(s or "", set(x or ()), bool(j)) for s, x, j in zip(sources, lows, sizes, strict=True)
-                ]
+                sources, lows = (batch.column(i).to_pylist() for i in (2, 3))
+                texts = [main_text(s or "", set(x or ())) for s, x in zip(sources, lows, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                      pa.array([len(t) for t in texts], pa.int64())],
                     names=schema.names,
                 )
 
-    min_pages = params.get("min_pages", MIN_PAGES)
-    large = stored(
-        rows.groupBy("host").agg(F.count("*").alias("size")).filter(F.col("size") >= min_pages)
-        .select("host", F.lit(True).alias("judged")), "judged-hosts",
-    )
     marked = T.StructType([*rows.schema.fields, T.StructField("template", T.LongType())])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, _STEP):
                 batch = whole.slice(at, _STEP)
-                numbers = [_template(page_nodes(s or "")) for s in batch.column(3).to_pylist()]
+                numbers = [_template(page_nodes(parse(s or ""))) for s in batch.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=marked.names)
 
-    joined = (
-        rows.mapInArrow(mark, marked).join(branches, ["host", "template"], "left").join(large, "host", "left")
-        .select("page_id", "url", "html", "low", "judged")
-    )
-    return joined.mapInArrow(run, schema)
+    joined = rows.mapInArrow(mark, marked).join(branches, ["host", "template"], "left")
+    return joined.select("page_id", "url", "html", "low").mapInArrow(run, schema)

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from caudal.llm import sentencepieces
 from caudal.llm.catalog import URL_RULES, queries
-from caudal.llm.html_text import extract_main_text, main_text
+from caudal.llm.html_text import (
+    _number, extract_main_text, main_text, node_features, parse, parsed_pages, same_article, style_tree,
+)
 from caudal.llm.line_dedup import near_equal_lines, within_edits
 from caudal.llm.nearest import nearest_neighbours
 from caudal.llm.url_filter import judge_urls, personalised_rank
@@ -205,11 +207,12 @@ def test_class_words_do_not_silence_a_page(source, text):
     assert main_text(source) == text
 
 
-def test_style_tree_judges_inside_and_outside_the_article(spark):
+def test_style_tree_judges_inside_the_article(spark):
     page = lambda i: f"<article><h1>Title {i}</h1><p>Story {i * 7} <b>Note</b></p><div>Terms apply <i>to all</i></div></article><p>Coda {i}</p><section>Made <b>by us</b></section>"
     rows = [(i, f"http://a.net/{i}", page(i)) for i in range(12)] + [(50, "http://b.net/", page(50))]
     got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[3] == "Title 3\n\nStory 21 Note\n\nCoda 3"
+    # What lies outside an article is none of it, on hosts of any size.
+    assert got[3] == "Title 3\n\nStory 21 Note"
     assert got[50] == "Title 50\n\nStory 350 Note\n\nTerms apply to all"
 
 
@@ -220,6 +223,70 @@ def test_style_tree_judges_every_template_of_a_host(spark):
     assert got == {i: f"Story {i}" for i in range(18)}
 
 
+def texts_of(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in extract_main_text(pages).collect()}
+
+
+def test_copies_of_a_page_are_one_page_of_the_tree(spark):
+    page = lambda i, path: f"<div class=top>Welcome</div><article><h1>Title {i}</h1><p>Story {i * 7}</p></article><div>Weather {path} degrees</div>"
+    rows = [(i, f"http://five.net/?utm={i}", page(1, i)) for i in range(5)]
+    rows += [(10 + i, f"http://two.net/{i}", page(i % 2, i)) for i in range(8)]
+    rows += [(30 + i, f"http://many.net/{i}", page(i // 6, i)) for i in range(48)]
+    rows += [(99, "http://five.net/?utm=0", page(1, 0))] * 2
+    got = texts_of(spark, rows)
+    text = lambda i: f"Title {i}\n\nStory {i * 7}"
+    assert got == {
+        **{i: text(1) for i in range(5)}, **{10 + i: text(i % 2) for i in range(8)},
+        **{30 + i: text(i // 6) for i in range(48)}, 99: text(1),
+    }
+
+
+def test_the_tree_never_empties_an_article(spark):
+    # Different by what surrounds a text that all have: all of the article is low.
+    page = lambda i: f"<article><h2>Part</h2><p>Same words</p><div class=n>{i}</div></article>"
+    rows = [(i, f"http://a.net/{i}", page(i)) for i in range(6)]
+    rows += [(6, "http://a.net/x", "<article><h2>Part</h2><p>Same words</p></article>")]
+    got = texts_of(spark, rows)
+    assert got[6] == "Part\n\nSame words"
+    assert got[2] == "2"
+
+
+def test_importance_equals_the_plain_formula(spark):
+    """Entropies computed page by page, from the definition."""
+    rng = random.Random(5)
+    sources = []
+    for i in range(30):
+        extra = "".join(f"<p>{rng.choice('abc')} {rng.randrange(4)}</p>" for _ in range(rng.randrange(4)))
+        sources.append((f"h{i % 3}", f"<div class=m>Menu <b>x</b></div><div>{extra}<ul><li>Text {i // 2}</ul></div>"))
+    sources += sources[:7]
+    pages = spark.createDataFrame(sources, "host string, html string")
+    got = {(r["host"], r["path"]): (r["on"], r["importance"]) for r in style_tree(parsed_pages(pages)).collect()}
+    want = {}
+    for host in {h for h, _ in sources}:
+        once = {}
+        for h, source in sources:
+            if h == host:
+                page = parse(source)
+                once.setdefault(same_article(page), min(
+                    (_number(x), x) for y, x in sources if y == host and same_article(parse(x)) == same_article(page)
+                )[1])
+        seen = collections.defaultdict(collections.Counter)
+        for source in once.values():
+            for path, content, feature in node_features(parse(source)):
+                seen[path][content, feature] += 1
+        for path, counts in seen.items():
+            on = sum(n for (content, _), n in counts.items() if not content)
+            shares = [n / on for (content, _), n in counts.items() if not content]
+            entropy = -sum(p * math.log(p) for p in shares) / math.log(on) if on > 1 else 1.0
+            logs = [math.log(n) / math.log(on) for (content, _), n in counts.items() if content] if on > 1 else []
+            content = 1 - (sum(logs) / len(logs) if logs else 0)
+            want[host, path] = (on, 0.1 * entropy + 0.9 * content if on > 1 else 1.0)
+    assert set(got) == set(want)
+    for node, (on, importance) in want.items():
+        assert got[node] == (on, pytest.approx(importance, abs=1e-9))
+
+
 # ---------------------------------------------------------------- SentencePiece
 
 def test_pieces_equal_the_library(spark):
