@@ -1,13 +1,15 @@
-"""Near-equal lines by shared anchors and an edit distance.
-
-How many edits two lines may be apart follows from the shorter one's length (``Limit``). k edits
-leave untouched pieces of a line of n characters, the longest of (n - k) / (k + 1) at least, and
-the other line has that piece too. Lines are keyed by the texts that begin at anchors: places
-behind a space, or before a long stretch without one. Whether a place is an anchor is seen within
-the piece, and each piece is long enough for one with its text, so two lines within the limit
-share a key. Keys hold a class of lengths; a line also probes the class before its own. Lines
-that share a key are left out where they are joined if their lengths or letter counts differ too
-much, the others are verified by their distance. Only Spark's own operations are used.
+"""Near-equal lines by a segment-partition edit join.
+
+How many edits k two lines may be apart follows from the shorter one's length (``Limit``). That line
+is cut into k + 1 segments of nearly equal length. k edits leave one of them untouched, so the other
+line has it as a substring, near the same place. Segments are indexed under (length, number, text);
+a line probes the index with its own substrings for each length it could match, at just the places
+where the segment could lie if the edits before it and behind it are to stay within the limit.
+
+A segment that many lines hold is split: what is left of each of these lines without it is within k
+edits, too, and is cut and probed in the same way. Candidates whose lengths or letter counts differ
+too much are left out where they are joined, the others are verified by a banded bit-parallel edit
+distance. Only Spark's own operations are used.
 """
 
 from __future__ import annotations
@@ -16,31 +18,21 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from caudal.llm.common import stored
+from caudal.llm.common import maybe_in, stored
 from caudal.llm.graph import components
 
-# Edits allowed from a length on: none below the first, and one in so many characters if more.
-STEPS = ((10, 1), (24, 2))
-CHARS_PER_EDIT = 20
+# Edits allowed from a length on; shorter lines only equal themselves.
+STEPS = ((10, 1), (24, 2), (80, 3))
 # Shortest line of a limit that is the same for all lengths.
 MIN_CHARS = 24
-# Lengths of untouched pieces that keys are made for.
-PIECES = (1, 2, 3, 5, 8, 12, 15, 18, 24, 36)
+# A segment of more lines than this is split by the segments of what is left.
+HELD = 64
 # Characters that are counted to compare lines.
 COUNTED = " etaoinsrhldcumgp"
 # Cut off both ends of a line.
 WHITE = " \t\x0b\x0c\r"
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, line), a row per line that is not blank."""
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "raw"),
-    )
-    return rows.select("doc_id", "line_no", F.btrim("raw", F.lit(WHITE)).alias("line")).filter("line <> ''")
-
-
 @dataclass(frozen=True)
 class Limit:
     """Edits between two lines by the shorter one's length; ``edits`` from ``min_chars`` on if given."""
@@ -52,99 +44,106 @@ class Limit:
     def steps(self) -> tuple:
         return STEPS if self.edits is None else ((self.min_chars, self.edits),)
 
-    def of(self, n: int) -> int:
-        fixed = max((k for at, k in self.steps if n >= at), default=0)
-        return fixed if self.edits is not None or not fixed else max(fixed, n // CHARS_PER_EDIT)
+    @property
+    def values(self) -> list[int]:
+        return sorted({k for _, k in self.steps})
 
     def column(self, n: Column) -> Column:
-        most = F.lit(0)
+        most = F.lit(-1)
         for at, k in self.steps:
             most = F.when(n >= at, k).otherwise(most)
-        if self.edits is None:
-            most = F.when(n >= self.steps[0][0], F.greatest(most, F.floor(n / CHARS_PER_EDIT).cast("int"))).otherwise(0)
         return most
 
-    def classes(self) -> list[tuple[int, int]]:
-        """(shortest length, piece) of each class of lengths; each is as wide as the limit of
-        the one before, so lines within the limit are of one class or of neighbours."""
-        at = max(1, self.steps[0][0])
-        found = []
-        while at < 1 << 31:
-            after = at + max(self.of(at), at // 8, 1)
-            # The limit's share makes the guaranteed piece grow from one multiple to the next.
-            sure = min(-(-(n - self.of(n)) // (self.of(n) + 1)) for n in range(at, min(after, at + 200)))
-            found.append((at, max((x for x in PIECES if x <= sure), default=0)))
-            at = after
-        return found
-
-
-def _anchored(line: Column, piece: int) -> Column:
-    """The texts at a line's anchors; any ``piece`` characters of it hold one wholly."""
-    size = piece if piece < 15 else 2 * piece // 3
-    place = "" if size == piece else f"(?:(?<= )|(?=[^ ]{{{piece - size}}}))"
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s){place}(?=(.{{{size}}}))"), F.lit(1)))
-
-
-def _keys(line: Column, number: Column, classes: list[tuple[int, int]]) -> Column:
-    """Hashes of a line's anchored texts and a class, counted from 1, by that class's rule."""
-    made = F.array().cast("array<string>")
-    for piece in sorted({p for _, p in classes}):
-        places = [i for i, (_, p) in enumerate(classes, 1) if p == piece]
-        # A piece of no characters: any two lines of the class may be within the limit.
-        texts = _anchored(line, piece) if piece else F.array(F.lit(""))
-        made = F.when(number.isin(places), texts).otherwise(made)
-    return F.transform(made, lambda text: F.xxhash64(number, text))
-
-
-def distinct_lines(docs: DataFrame, limit: Limit, *, id_col: str, text_col: str) -> DataFrame:
-    """One stored row per different line: where it is first, how often, its text, the number of
-    its class, from 1 or 0 for none, and of the lowest class it may be near.
-
-    Lines are told apart by a 128-bit digest. Counts are combined before the shuffle, so a line
-    that very many documents have is no large group.
+
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, line_no, line), a row per line that is not blank."""
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "raw"),
+    )
+    return rows.select("doc_id", "line_no", F.btrim("raw", F.lit(WHITE)).alias("line")).filter("line <> ''")
+
+
+def _segment(length: str, number: int, edits: int) -> tuple[str, str]:
+    """Start (from 1) and length of a segment, as SQL; the last ones are longer by one."""
+    parts = edits + 1
+    shorter = f"({parts} - {length} % {parts})"
+    start = f"({number - 1} * ({length} div {parts}) + greatest(0, {number - 1} - {shorter}) + 1)"
+    size = f"({length} div {parts} + if({number} > {shorter}, 1, 0))"
+    return start, size
+
+
+def _places(edits: int, shift: int) -> list[tuple[int, int]]:
+    """(number, offset) of the substrings of a line that may be a segment of one ``shift`` shorter."""
+    found = []
+    for number in range(1, edits + 2):
+        behind = edits + 1 - number
+        first, last = max(1 - number, shift - behind), min(number - 1, shift + behind)
+        found += [(number, off) for off in range(first, last + 1)]
+    return found
+
+
+def _entries(limit: Limit, made, own: bool) -> Column:
+    """``made(edits, shift, number, offset)`` as SQL, for a line's own segments or for what it probes."""
+    parts = []
+    for edits in limit.values:
+        for shift in range(edits + 1):
+            places = [(n, off) for n, off in _places(edits, shift) if (shift == 0 and off == 0) == own]
+            if places:
+                values = ", ".join(made(edits, shift, n, off) for n, off in places)
+                parts.append(F.when(limit.column(F.col("n_chars") - shift) == edits, F.expr(f"array({values})")))
+    empty = F.expr(f"slice(array({made(1, 0, 1, 0)}), 1, 0)")
+    return F.concat(*[F.coalesce(part, empty) for part in parts])
+
+
+def _key(edits: int, shift: int, number: int, off: int) -> str:
+    length = f"(n_chars - {shift})"
+    start, size = _segment(length, number, edits)
+    return f"xxhash64({length}, {number}, substring(line, {start} + {off}, {size}))"
+
+
+def _placed_key(edits: int, shift: int, number: int, off: int) -> str:
+    """A key with the place of its text, and how it was made."""
+    start, size = _segment(f"(n_chars - {shift})", number, edits)
+    return (
+        f"named_struct('key', {_key(edits, shift, number, off)}, 'start', {start} + {off}, 'size', {size}, "
+        f"'edits', {edits}, 'shift', {shift}, 'own', {str(shift == 0 and off == 0).lower()})"
+    )
+
+
+def distinct_lines(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """One stored row per different line: where it is first, how often, and its length.
+
+    Lines are told apart by a 128-bit digest; their text does not travel. Counts are combined
+    before the shuffle, so a line that very many documents have is no large group.
     """
     keyed = lines_of(docs, id_col, text_col).select(
-        F.unhex(F.md5("line")).alias("digest"), "line",
+        F.unhex(F.md5("line")).alias("digest"), F.char_length("line").alias("n_chars"),
         F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no").alias("place"),
     )
-    found = keyed.groupBy("digest").agg(
-        F.min("place").alias("place"), F.count("*").alias("n_rows"),
-        # The same for all rows of a digest.
-        F.first("line").alias("line"),
-    ).drop("digest")
-    bounds = F.array(*[F.lit(at) for at, _ in limit.classes()])
-    number = lambda n: F.size(F.filter(bounds, lambda at: at <= n))
-    n_chars = F.char_length("line")
-    return stored(
-        found.select(
-            "place", "n_rows", "line", n_chars.alias("n_chars"), number(n_chars).alias("number"),
-            # None is shorter than a line by more than the line's own limit.
-            number(n_chars - limit.column(n_chars)).alias("lowest"),
-            F.monotonically_increasing_id().alias("line_id"),
-        ),
-        "lines",
-    )
+    found = keyed.groupBy("digest", "n_chars").agg(F.min("place").alias("place"), F.count("*").alias("n_rows"))
+    return stored(found.withColumn("line_id", F.monotonically_increasing_id()), "lines")
 
 
-def shared_keys(lines: DataFrame, limit: Limit) -> DataFrame:
-    """(key, own, line_id), stored: the keys that several lines have, one of them as its own."""
-    classes = limit.classes()
-    entry = lambda keys, own: F.transform(
-        keys, lambda k: F.struct(k.alias("key"), F.lit(own).alias("own"))
-    )
-    line, own, before = F.col("line"), F.col("number"), F.col("number") - 1
-    probes = F.when(
-        (F.col("lowest") < own) & (before > 0), entry(_keys(line, before, classes), False)
-    ).otherwise(F.array().cast("array<struct<key:bigint,own:boolean>>"))
-    entries = lines.filter("number > 0").select(
-        F.explode(F.concat(entry(_keys(line, own, classes), True), probes)).alias("e"), "line_id",
-    ).select("e.key", "e.own", "line_id")
+def shared_keys(docs: DataFrame, limit: Limit, *, id_col: str, text_col: str) -> DataFrame:
+    """(key, own, mark, held), stored: the keys that several lines have, one of them as a segment.
+
+    ``mark`` is a hash of the line. ``held`` is whether more than ``HELD`` entries have the key.
+    """
+    lines = lines_of(docs, id_col, text_col).select("line", F.char_length("line").alias("n_chars"))
+    lines = lines.filter(F.col("n_chars") >= limit.steps[0][0])
+    own = _entries(limit, _key, True)
+    entries = lines.select(
+        F.xxhash64("line").alias("mark"), F.size(own).alias("n_own"),
+        F.posexplode(F.concat(own, _entries(limit, _key, False))).alias("at", "key"),
+    ).select("key", (F.col("at") < F.col("n_own")).alias("own"), "mark")
     # One shuffle serves the counts and the rows they are joined to.
     entries = entries.repartition("key")
     shared = entries.groupBy("key").agg(
-        F.min("line_id").alias("low"), F.max("line_id").alias("high"), F.max("own").alias("indexed")
-    ).filter("low < high AND indexed").select("key")
-    return stored(entries.join(shared, "key"), "line-lists")
+        F.min("mark").alias("low"), F.max("mark").alias("high"), F.max("own").alias("indexed"),
+        (F.count("*") > HELD).alias("held"),
+    ).filter("low < high AND indexed").select("key", "held")
+    return stored(entries.join(shared, "key").distinct(), "line-lists")
 
 
 def counts_of(line: Column) -> Column:
@@ -158,10 +157,75 @@ def counts_of(line: Column) -> Column:
     ])
 
 
-def candidate_pairs(lists: DataFrame, lines: DataFrame, limit: Limit) -> DataFrame:
-    """(a, b) of lines that share a key and whose lengths and counts allow the distance."""
-    marks = lines.select("line_id", "n_chars", counts_of(F.col("line")).alias("counts"))
-    marked = lists.join(marks, "line_id")
+def texts_of(docs: DataFrame, lines: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(line_id, mark, n_chars, line, counts) of lines with the given marks, read again."""
+    read = lines_of(docs, id_col, text_col).withColumn("mark", F.xxhash64("line"))
+    wanted = marks.select(F.col("mark").alias("_mark")).distinct()
+    near = maybe_in(read, F.col("mark"), wanted, F.col("_mark"))
+    near = near.join(wanted, F.col("mark") == F.col("_mark"), "left_semi")
+    one = near.withColumn("digest", F.unhex(F.md5("line"))).groupBy("digest", "mark").agg(
+        # The same for all rows of a digest.
+        F.first("line").alias("line")
+    )
+    found = one.join(lines.select("line_id", "digest", "n_chars"), "digest")
+    return stored(
+        found.select("line_id", "mark", "n_chars", "line", counts_of(F.col("line")).alias("counts")), "line-texts"
+    )
+
+
+def split_keys(lists: DataFrame, texts: DataFrame, limit: Limit) -> DataFrame:
+    """(key, own, mark): entries of the keys that many lines hold, under keys that add a segment
+    of what is left of the line."""
+    held = lists.filter("held")
+    few = texts.join(held.select("mark").distinct(), "mark", "left_semi")
+    placed = few.select("mark", "line", F.explode(F.concat(
+        _entries(limit, _placed_key, True), _entries(limit, _placed_key, False)
+    )).alias("e")).select("mark", "line", "e.*")
+    placed = placed.join(held.select("key").distinct(), "key", "left_semi")
+    rest = placed.select(
+        "key", "mark", "own", "edits", "shift",
+        F.expr("concat(substring(line, 1, start - 1), substring(line, start + size))").alias("line"),
+    ).withColumn("n_chars", F.char_length("line"))
+    made = F.lit(None)
+    for edits in limit.values:
+        for shift in range(edits + 1):
+            for own in (True, False) if shift == 0 else (False,):
+                # A line with the segment as its own is found by the others' probes; these include
+                # its own places, as lines of the same length probe each other.
+                places = [
+                    (n, off) for n, off in _places(edits, shift) if not own or off == 0
+                ]
+                keys = []
+                for number, off in places:
+                    start, size = _segment(f"(n_chars - {shift})", number, edits)
+                    keys.append(f"xxhash64(key, {number}, substring(line, {start} + {off}, {size}))")
+                made = F.when(
+                    (F.col("edits") == edits) & (F.col("shift") == shift) & (F.col("own") == own),
+                    F.expr(f"array({', '.join(keys)})"),
+                ).otherwise(made)
+    indexed = rest.select(F.explode(made).alias("key"), "own", "mark")
+    # A line that has a segment as its own probes the others that do.
+    probing = rest.filter("own")
+    probes = F.lit(None)
+    for edits in limit.values:
+        keys = []
+        for number, off in _places(edits, 0):
+            if off != 0:
+                start, size = _segment("n_chars", number, edits)
+                keys.append(f"xxhash64(key, {number}, substring(line, {start} + {off}, {size}))")
+        if keys:
+            probes = F.when(F.col("edits") == edits, F.expr(f"array({', '.join(keys)})")).otherwise(probes)
+    more = probing.select(F.explode(probes.cast("array<bigint>")).alias("key"), F.lit(False).alias("own"), "mark")
+    return stored(indexed.unionByName(more).distinct(), "line-split-lists")
+
+
+def candidate_pairs(lists: DataFrame, texts: DataFrame, limit: Limit) -> DataFrame:
+    """(a, b) of lines that share a key and whose lengths and counts allow the distance.
+
+    Both sides are plain shuffles, so AQE deals a key that very many lines hold over slices of
+    either side.
+    """
+    marked = lists.select("key", "own", "mark").join(texts.select("line_id", "mark", "n_chars", "counts"), "mark")
     index = marked.filter("own").select("key", F.col("line_id").alias("i"), F.col("n_chars").alias("n"), F.col("counts").alias("s"))
     probes = marked.select(F.col("key").alias("k"), F.col("line_id").alias("p"), "own", F.col("n_chars").alias("m"), F.col("counts").alias("t"))
     most = limit.column(F.least("n", "m"))
@@ -177,10 +241,112 @@ def candidate_pairs(lists: DataFrame, lines: DataFrame, limit: Limit) -> DataFra
     return met.select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
 
 
-def within_edits(left: Column, right: Column, edits: int | Column) -> Column:
-    """Whether two texts are at most ``edits`` insertions, deletions or substitutions apart."""
-    most = F.lit(edits) if isinstance(edits, int) else edits
-    return F.call_function("levenshtein", left, right, most.cast("int")).between(0, most)
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often the expression names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def within_edits(left: Column, right: Column, edits: int) -> Column:
+    """Whether two texts are at most ``edits`` insertions, deletions or substitutions apart.
+
+    A band of 2 ``edits`` + 1 cells of the distance table is kept as bits of one number and
+    updated for a whole column at once. Common beginnings and ends are cut off first.
+    """
+    swap = F.char_length(left) > F.char_length(right)
+    pair = F.struct(
+        F.split(F.when(swap, right).otherwise(left), "").alias("a"),
+        F.split(F.when(swap, left).otherwise(right), "").alias("b"),
+    )
+
+    def with_head(p: Column) -> Column:
+        return F.struct(p["a"].alias("a"), p["b"].alias("b"), _common(p["a"], p["b"]).alias("head"))
+
+    def with_tail(p: Column) -> Column:
+        behind = _common(F.reverse(p["a"]), F.reverse(p["b"]))
+        tail = F.least(behind, F.least(F.size(p["a"]), F.size(p["b"])) - p["head"])
+        return F.struct(p["a"].alias("a"), p["b"].alias("b"), p["head"].alias("head"), tail.alias("tail"))
+
+    def trimmed(p: Column) -> Column:
+        # The same few marks behind each leave room for the band and change no distance.
+        cut = lambda x: F.concat(
+            F.slice(x, p["head"] + 1, F.greatest(F.size(x) - p["head"] - p["tail"], F.lit(0))),
+            F.array_repeat(F.lit(""), edits),
+        )
+        return F.struct(cut(p["a"]).alias("a"), cut(p["b"]).alias("b"))
+
+    def distance(p: Column) -> Column:
+        return _let(trimmed(p), lambda q: _banded(q["a"], q["b"], edits))
+
+    return _let(pair, lambda p: _let(with_head(p), lambda h: _let(with_tail(h), distance)))
+
+
+def _common(x: Column, y: Column) -> Column:
+    """How many characters both begin with."""
+    differ = F.array_position(F.zip_with(x, y, lambda s, t: ~s.eqNullSafe(t)), True)
+    return F.when(differ > 0, differ - 1).otherwise(F.size(x)).cast("int")
+
+
+def _banded(a: Column, b: Column, edits: int) -> Column:
+    """Bit t of a column's words is the cell ``edits`` - t rows above the diagonal.
+
+    ``vp`` and ``vn``: where the table rises or falls from one row to the next. The distance
+    runs down the band's last diagonal to the last row and then along it.
+    """
+    width = 2 * edits + 1
+    full = (1 << width) - 1
+    rows, columns = F.size(a), F.size(b)
+    zero = F.lit(0).cast("long")
+    begin = F.struct(
+        F.lit(full ^ ((1 << edits) - 1)).cast("long").alias("vp"), zero.alias("vn"),
+        F.lit(edits).cast("long").alias("distance"),
+    )
+    invert = lambda x: F.bitwise_not(x).bitwiseAND(F.lit(full).cast("long"))
+
+    def column(state: Column, j: Column) -> Column:
+        char = F.get(b, j - 1)
+        same = zero
+        for t in range(width):
+            here = F.get(a, j - edits + t - 1).eqNullSafe(char)
+            same = same + F.when(here, F.lit(1 << t).cast("long")).otherwise(zero)
+        return _let(same, lambda eq: deltas(state, eq, j))
+
+    def deltas(state: Column, same: Column, j: Column) -> Column:
+        vp, vn = state["vp"], state["vn"]
+        d0 = (
+            (same.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(same).bitwiseOR(vn)
+            .bitwiseAND(F.lit(full).cast("long"))
+        )
+        return _let(d0, lambda d: after(state, d, j))
+
+    def after(state: Column, d0: Column, j: Column) -> Column:
+        vp, vn = state["vp"], state["vn"]
+        step = F.struct(vn.bitwiseOR(invert(d0.bitwiseOR(vp))).alias("hp"), d0.bitwiseAND(vp).alias("hn"))
+        return _let(step, lambda h: moved(state, d0, h["hp"], h["hn"], j))
+
+    def moved(state: Column, d0: Column, hp: Column, hn: Column, j: Column) -> Column:
+        down = F.shiftright(d0, 1)
+        # The cell of the last row in this column, once the band reaches below it.
+        bit = lambda word, t: word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), t)) != 0
+        place = (rows - j + edits).cast("int")
+        diagonal = F.when(bit(d0, F.lit(2 * edits)), 0).otherwise(1)
+        along = F.when(bit(hp, place), 1).when(bit(hn, place), -1).otherwise(0)
+        change = F.when(j + edits <= rows, diagonal).otherwise(along)
+        return F.struct(
+            hn.bitwiseOR(invert(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"),
+            (state["distance"] + change).cast("long").alias("distance"),
+        )
+
+    done = F.aggregate(F.sequence(F.lit(1), columns), begin, column)
+    return (columns - rows <= edits) & (done["distance"] <= edits)
+
+
+def within_limit(left: Column, right: Column, limit: Limit) -> Column:
+    """Whether two texts are within the edits that the shorter one allows."""
+    most = limit.column(F.least(F.char_length(left), F.char_length(right)))
+    near = F.lit(False)
+    for edits in limit.values:
+        near = F.when(most == edits, within_edits(left, right, edits)).otherwise(near)
+    return near
 
 
 def near_equal_lines(
@@ -191,23 +357,24 @@ def near_equal_lines(
     n_links, class_doc_id and class_line_no of the first line of its class, kept.
 
     White space around lines does not count; blank lines are no lines. Two lines are linked
-    when they are within the edits that ``Limit`` allows the shorter one: one from 10 characters
-    on, two from 24, a twentieth of the length from 60. With ``edits``, that many for lines of
-    ``min_chars`` characters or more. n_links is the number of other lines a line is linked
-    with, and a class is what links connect. Lines of documents without an id come behind all
-    others. A NULL text has no lines; rows repeated add to n_rows; other columns are not looked
-    at; an empty table gives no rows.
+    when they are within the edits that ``STEPS`` allows the shorter one, or ``edits`` if that is
+    given, for lines of ``min_chars`` characters or more. n_links is the number of other lines a
+    line is linked with, and a class is what links connect. Lines of documents without an id come
+    behind all others. A NULL text has no lines; rows repeated add to n_rows; other columns are
+    not looked at; an empty table gives no rows.
     """
     limit = Limit(edits, min_chars)
-    lines = distinct_lines(docs, limit, id_col=id_col, text_col=text_col)
-    lists = shared_keys(lines, limit)
-    pairs = stored(candidate_pairs(lists, lines, limit), "line-pairs")
+    columns = {"id_col": id_col, "text_col": text_col}
+    lines = distinct_lines(docs, **columns)
+    lists = shared_keys(docs, limit, **columns)
+    texts = texts_of(docs, lines, lists.select("mark"), id_col, text_col)
+    lists = lists.filter("NOT held").select("key", "own", "mark").unionByName(split_keys(lists, texts, limit))
+    pairs = stored(candidate_pairs(lists, texts, limit), "line-pairs")
     both = (
-        pairs.join(lines.select(F.col("line_id").alias("a"), F.col("line").alias("left")), "a")
-        .join(lines.select(F.col("line_id").alias("b"), F.col("line").alias("right")), "b")
+        pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("left")), "a")
+        .join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("right")), "b")
     )
-    most = limit.column(F.least(F.char_length("left"), F.char_length("right")))
-    links = stored(both.filter(within_edits(F.col("left"), F.col("right"), most)).select("a", "b"), "line-links")
+    links = stored(both.filter(within_limit(F.col("left"), F.col("right"), limit)).select("a", "b"), "line-links")
     degree = links.select(F.explode(F.array("a", "b")).alias("line_id")).groupBy("line_id").agg(F.count("*").alias("n_links"))
     labels = components(links).withColumnRenamed("node", "line_id")
     linked = lines.select("line_id", "place").join(labels, "line_id")

@@ -400,7 +400,44 @@ def test_lines_match_brute_force(spark, edits):
 
 
 def allowed(n):
-    return 0 if n < 10 else 1 if n < 24 else max(2, n // 20)
+    return 0 if n < 10 else 1 if n < 24 else 2 if n < 80 else 3
+
+
+def linked_lines(lines):
+    links = collections.defaultdict(set)
+    for i, a in enumerate(lines):
+        for j in range(i):
+            most = allowed(min(len(a), len(lines[j])))
+            if most and abs(len(a) - len(lines[j])) <= most and edit_distance(a, lines[j]) <= most:
+                links[i].add(j)
+                links[j].add(i)
+    return links
+
+
+def test_segments_that_many_lines_hold(spark):
+    """Lines with a common beginning, end or both, of which few are near each other."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    lines = [f"Subscribe to the newsletter of {word(12)}" for _ in range(150)]
+    lines += [f"{word(9)} by the same author" for _ in range(120)]
+    lines += [f"All rights reserved by the {word(30)} company and all others that take part in it" for _ in range(90)]
+    lines += [edited(rng, x, rng.randint(1, 4)) for x in lines[::9]]
+    # What is left is shorter than the number of its segments, or nothing.
+    lines += [f"This line only differs in its number: {i}" for i in range(80)]
+    lines = sorted(set(lines))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_links"] for r in near_equal_lines(df).collect()}
+    links = linked_lines(lines)
+    assert got == {i: len(links[i]) for i in range(len(lines))}
+
+
+def test_very_long_lines(spark):
+    base = "word and some more of it " * 4_000
+    rows = [(1, base), (2, base[:50_000] + "#" + base[50_000:]), (3, "xyz" + base), (4, "wxyz" + base), (5, base[:-2_000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_links"], r["class_doc_id"]) for r in near_equal_lines(df).collect()}
+    # 1 and 3 are three apart, 1 and 2 one, 2 and 3 four, 3 and 4 one.
+    assert got == {1: (2, 1), 2: (1, 1), 3: (2, 1), 4: (1, 1), 5: (0, 5)}
 
 
 def test_line_limit_grows_with_the_length(spark):
@@ -417,13 +454,7 @@ def test_line_limit_grows_with_the_length(spark):
                 lines += [base, "".join(other), edited(rng, base, k)]
     lines = sorted({x.strip() for x in lines if x.strip()})
     got = {r["doc_id"]: (r["n_links"], r["class_doc_id"]) for r in near_equal_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
-    links = collections.defaultdict(set)
-    for i, a in enumerate(lines):
-        for j in range(i):
-            most = allowed(min(len(a), len(lines[j])))
-            if most and abs(len(a) - len(lines[j])) <= most and edit_distance(a, lines[j]) <= most:
-                links[i].add(j)
-                links[j].add(i)
+    links = linked_lines(lines)
     assert {i: n for i, (n, _) in got.items()} == {i: len(links[i]) for i in range(len(lines))}
     by_line = {x: got[i] for i, x in enumerate(lines)}
     assert by_line["(c) 2023 Example Ltd"][1] == by_line["(c) 2024 Example Ltd"][1]
