@@ -74,8 +74,12 @@ def _tops(height: int, table: pa.Table) -> pa.Table:
     """One aligned block of nodes to its topmost node."""
     rows = sorted(zip(table["place"].to_pylist(), table["node"].to_pylist(), strict=True))
     block = Block([node for _, node in rows], table["n"][0].as_py(), height)
-    place = rows[0][0] // ARITY ** height
-    return pa.table({"tree": [table["tree"][0].as_py()], "place": [place], "node": [block.top]})
+    width = ARITY ** height
+    # n: the nodes of the next stage, one per block of the tree.
+    return pa.table({
+        "tree": [table["tree"][0].as_py()], "place": [rows[0][0] // width], "node": [block.top],
+        "n": [-(-table["n"][0].as_py() // width)],
+    })
 
 
 def _paths(height: int, nodes: pa.Table, above: pa.Table) -> pa.Table:
@@ -146,11 +150,9 @@ class _Forest:
         self.stages = [nodes]
         while not nodes.filter("n > 1").isEmpty():
             tops = nodes.groupBy("tree", self.block()).applyInArrow(
-                self.task(_tops), "tree long, place long, node string"
+                self.task(_tops), "tree long, place long, node string, n long"
             )
-            # n of the next stage: the blocks of the tree.
-            sizes = nodes.select("tree", self.above("n", F.ceil).alias("n")).distinct()
-            nodes = stored(tops, "merkle-nodes").join(sizes, "tree")
+            nodes = stored(tops, "merkle-nodes")
             self.stages.append(nodes)
 
     def task(self, step: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
@@ -160,11 +162,8 @@ class _Forest:
             return lambda nodes: step(height, nodes)
         return lambda nodes, above: step(height, nodes, above)
 
-    def above(self, column: str, rounded: Callable[[Column], Column]) -> Column:
-        return rounded(F.col(column) / ARITY ** self.height).cast("long")
-
     def block(self) -> Column:
-        return self.above("place", F.floor).alias("block")
+        return F.expr(f"place div {ARITY ** self.height}").alias("block")
 
     def down(self, nodes: DataFrame, paths: DataFrame, step: Callable[..., pa.Table], made: str) -> DataFrame:
         """``step`` on every block of ``nodes`` with the path of its top."""
