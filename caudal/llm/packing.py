@@ -23,7 +23,7 @@ END_OF_DOCUMENT = 2
 WINDOW_TOKENS = 4096
 # A worker forgets its cached words beyond this many (about 150 MB).
 CACHED_WORDS = 800_000
-_MARK_BEHIND = re.compile(rb"(?<=[a-z0-9])([.,])(?=[\x20\x09-\x0d]|\Z)")
+_LOWER_OR_DIGIT = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 _TOKENS = T.StructType([
     T.StructField("part", T.IntegerType()),
@@ -45,56 +45,82 @@ _STEP = 100
 
 def _words(text: bytes) -> list[bytes]:
     if not (b"<|" in text or b"\xcc" in text or b"\xcd" in text):
-        text = _MARK_BEHIND.sub(rb" \1", text.lower())
+        text = text.lower()
     return text.split()
 
 
+class _Known(dict):
+    """Ids of words. A word asked for first gets a buffer, to be filled before it is read."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.asked: dict[bytes, bytearray] = {}
+
+    def __missing__(self, word: bytes) -> bytearray:
+        self[word] = self.asked[word] = buffer = bytearray()
+        return buffer
+
+
 class WordCache:
     """Token ids of white-space separated words, as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and no token spans it, so a text's ids are its words' ids
     in order, and each distinct word is encoded once. Only ASCII white space separates here;
     other white space stays inside a word and is left to the tokenizer. The tokenizer
-    lower-cases and keeps letters and marks apart as well: doing so beforehand leaves fewer
-    distinct words. It is not done where it could change the ids, that is beside combining
-    marks, which would compose with other letters, and in texts that hold special tokens.
+    lower-cases, and keeps letters and digits apart from a mark behind them: lower-casing
+    beforehand and taking a last full stop or comma by itself leaves fewer words to encode.
+    Lower-casing is not done where it could change the ids, that is beside combining marks, which
+    would compose with other letters, and in texts that hold special tokens.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known()
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
+        if len(self.known) > CACHED_WORDS:
+            self.known = _Known()
+        known = self.known.__getitem__
         for at in range(0, len(texts), _STEP):
-            cut = [_words(text) for text in texts[at:at + _STEP]]
-            new: set[bytes] = set()
-            for words in cut:
-                new.update(set(words).difference(known))
-            self._learn(new)
-            for words in cut:
-                yield b"".join([known[w] for w in words])
-
-    def _learn(self, new: set[bytes]) -> None:
-        known, model = self.known, self.tokenizer.model.tokenize
-        rest = []
-        for word in new:
+            cut = [list(map(known, _words(text))) for text in texts[at:at + _STEP]]
+            self._learn()
+            for ids in cut:
+                yield b"".join(ids)
+
+    def _learn(self) -> None:
+        """Fills the buffers of all words asked for."""
+        known = self.known
+        marked = [
+            w for w in known.asked if w[-1] in b".," and len(w) > 1 and w[-2] in _LOWER_OR_DIGIT
+        ]
+        for word in marked:
+            known[word[:-1]], known[word[-1:]]
+        new, known.asked = known.asked, {}
+        for word in marked:
+            del new[word]
+        buffers, rest, model = [], [], self.tokenizer.model.tokenize
+        for word, buffer in new.items():
             # Such letters pass the normaliser and the splitting as they are.
             if _LETTERS.fullmatch(word):
                 shown = word.decode("latin-1").translate(_SHOWN)
-                known[word] = array("I", [t.id for t in model(shown)]).tobytes()
+                buffer += array("I", [t.id for t in model(shown)]).tobytes()
+                known[word] = bytes(buffer)
             else:
                 rest.append(word)
+                buffers.append(buffer)
         if rest:
             found = self.tokenizer.encode_batch_fast(
                 [w.decode("utf-8", "replace") for w in rest], add_special_tokens=False
             )
-            for word, encoded in zip(rest, found, strict=True):
-                known[word] = array("I", encoded.ids).tobytes()
+            for word, buffer, encoded in zip(rest, buffers, found, strict=True):
+                buffer += array("I", encoded.ids).tobytes()
+                known[word] = bytes(buffer)
+        for word in marked:
+            buffer = known[word]
+            buffer += known[word[:-1]] + known[word[-1:]]
+            known[word] = bytes(buffer)
 
 
 _CACHES: dict[str, WordCache] = {}
