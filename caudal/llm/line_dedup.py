@@ -64,15 +64,6 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", "line_no", F.btrim("raw", F.lit(WHITE)).alias("line")).filter("line <> ''")
 
 
-def _segment(length: str, number: int, edits: int) -> tuple[str, str]:
-    """Start (from 1) and length of a segment, as SQL; the last ones are longer by one."""
-    parts = edits + 1
-    shorter = f"({parts} - {length} % {parts})"
-    start = f"({number - 1} * ({length} div {parts}) + greatest(0, {number - 1} - {shorter}) + 1)"
-    size = f"({length} div {parts} + if({number} > {shorter}, 1, 0))"
-    return start, size
-
-
 def _places(edits: int, shift: int) -> list[tuple[int, int]]:
     """(number, offset) of the substrings of a line that may be a segment of one ``shift`` shorter."""
     found = []
@@ -83,34 +74,47 @@ def _places(edits: int, shift: int) -> list[tuple[int, int]]:
     return found
 
 
-def _entries(limit: Limit, made, own: bool) -> Column:
-    """``made(edits, shift, number, offset)`` as SQL, for a line's own segments or for what it probes."""
-    parts = []
+def _specs(*limits: int) -> Column:
+    """What a line is cut and probed by under some limits: a constant array, to be exploded."""
+    made = [
+        f"named_struct('edits', {edits}, 'shift', {shift}, 'number', {number}, 'off', {off})"
+        for edits in limits for shift in range(edits + 1) for number, off in _places(edits, shift)
+    ]
+    return F.expr(f"array({', '.join(made)})")
+
+
+def _cut(lines: DataFrame, limit: Limit) -> DataFrame:
+    """``lines`` (line, n_chars, ...) by the substrings that are their own segments or that probe
+    for those of shorter lines: own, key, and start (from 1), size, edits, shift, off of the text.
+
+    A row per substring, so that the hash of one is all there is to an expression.
+    """
+    # Near the first length of a limit a line probes lines of the one below.
+    longest = max(limit.values)
+    specs = _specs(*limit.values)
     for edits in limit.values:
-        for shift in range(edits + 1):
-            places = [(n, off) for n, off in _places(edits, shift) if (shift == 0 and off == 0) == own]
-            if places:
-                values = ", ".join(made(edits, shift, n, off) for n, off in places)
-                parts.append(F.when(limit.column(F.col("n_chars") - shift) == edits, F.expr(f"array({values})")))
-    empty = F.expr(f"slice(array({made(1, 0, 1, 0)}), 1, 0)")
-    return F.concat(*[F.coalesce(part, empty) for part in parts])
-
-
-def _key(edits: int, shift: int, number: int, off: int) -> str:
-    length = f"(n_chars - {shift})"
-    start, size = _segment(length, number, edits)
-    return f"xxhash64({length}, {number}, substring(line, {start} + {off}, {size}))"
-
-
-def _placed_key(edits: int, shift: int, number: int, off: int) -> str:
-    """A key with the place of its text, and how it was made."""
-    start, size = _segment(f"(n_chars - {shift})", number, edits)
-    return (
-        f"named_struct('key', {_key(edits, shift, number, off)}, 'start', {start} + {off}, 'size', {size}, "
-        f"'edits', {edits}, 'shift', {shift}, 'own', {str(shift == 0 and off == 0).lower()})"
+        only = (limit.column(F.col("n_chars")) == edits) & (limit.column(F.col("n_chars") - longest) == edits)
+        specs = F.when(only, _specs(edits)).otherwise(specs)
+    rows = lines.withColumn("spec", F.explode(specs)).select(*lines.columns, "spec.*")
+    rows = rows.withColumn("length", F.col("n_chars") - F.col("shift"))
+    rows = rows.filter(limit.column(F.col("length")) == F.col("edits"))
+    text = F.expr("substring(line, start, size)")
+    return _segments(rows).select(
+        *lines.columns, "start", "size", "edits", "shift", "off",
+        ((F.col("shift") == 0) & (F.col("off") == 0)).alias("own"),
+        F.xxhash64("length", "number", text).alias("key"),
     )
 
 
+def _segments(rows: DataFrame) -> DataFrame:
+    """Adds start and size of segment ``number`` of ``length`` characters, moved by ``off``; the
+    last segments are longer by one."""
+    rows = rows.withColumn("short", F.expr("edits + 1 - length % (edits + 1)"))
+    begin = "(number - 1) * (length div (edits + 1)) + greatest(0, number - 1 - short) + 1 + off"
+    size = "length div (edits + 1) + if(number > short, 1, 0)"
+    return rows.withColumns({"start": F.expr(f"int({begin})"), "size": F.expr(f"int({size})")})
+
+
 def distinct_lines(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """One stored row per different line: where it is first, how often, and its length.
 
@@ -130,13 +134,11 @@ def shared_keys(docs: DataFrame, limit: Limit, *, id_col: str, text_col: str) ->
 
     ``mark`` is a hash of the line. ``held`` is whether more than ``HELD`` entries have the key.
     """
-    lines = lines_of(docs, id_col, text_col).select("line", F.char_length("line").alias("n_chars"))
+    lines = lines_of(docs, id_col, text_col).select(
+        "line", F.char_length("line").alias("n_chars"), F.xxhash64("line").alias("mark")
+    )
     lines = lines.filter(F.col("n_chars") >= limit.steps[0][0])
-    own = _entries(limit, _key, True)
-    entries = lines.select(
-        F.xxhash64("line").alias("mark"), F.size(own).alias("n_own"),
-        F.posexplode(F.concat(own, _entries(limit, _key, False))).alias("at", "key"),
-    ).select("key", (F.col("at") < F.col("n_own")).alias("own"), "mark")
+    entries = _cut(lines, limit).select("key", "own", "mark")
     # One shuffle serves the counts and the rows they are joined to.
     entries = entries.repartition("key")
     shared = entries.groupBy("key").agg(
@@ -178,45 +180,22 @@ def split_keys(lists: DataFrame, texts: DataFrame, limit: Limit) -> DataFrame:
     of what is left of the line."""
     held = lists.filter("held")
     few = texts.join(held.select("mark").distinct(), "mark", "left_semi")
-    placed = few.select("mark", "line", F.explode(F.concat(
-        _entries(limit, _placed_key, True), _entries(limit, _placed_key, False)
-    )).alias("e")).select("mark", "line", "e.*")
+    placed = _cut(few.select("mark", "line", "n_chars"), limit)
     placed = placed.join(held.select("key").distinct(), "key", "left_semi")
     rest = placed.select(
         "key", "mark", "own", "edits", "shift",
         F.expr("concat(substring(line, 1, start - 1), substring(line, start + size))").alias("line"),
-    ).withColumn("n_chars", F.char_length("line"))
-    made = F.lit(None)
-    for edits in limit.values:
-        for shift in range(edits + 1):
-            for own in (True, False) if shift == 0 else (False,):
-                # A line with the segment as its own is found by the others' probes; these include
-                # its own places, as lines of the same length probe each other.
-                places = [
-                    (n, off) for n, off in _places(edits, shift) if not own or off == 0
-                ]
-                keys = []
-                for number, off in places:
-                    start, size = _segment(f"(n_chars - {shift})", number, edits)
-                    keys.append(f"xxhash64(key, {number}, substring(line, {start} + {off}, {size}))")
-                made = F.when(
-                    (F.col("edits") == edits) & (F.col("shift") == shift) & (F.col("own") == own),
-                    F.expr(f"array({', '.join(keys)})"),
-                ).otherwise(made)
-    indexed = rest.select(F.explode(made).alias("key"), "own", "mark")
-    # A line that has a segment as its own probes the others that do.
-    probing = rest.filter("own")
-    probes = F.lit(None)
-    for edits in limit.values:
-        keys = []
-        for number, off in _places(edits, 0):
-            if off != 0:
-                start, size = _segment("n_chars", number, edits)
-                keys.append(f"xxhash64(key, {number}, substring(line, {start} + {off}, {size}))")
-        if keys:
-            probes = F.when(F.col("edits") == edits, F.expr(f"array({', '.join(keys)})")).otherwise(probes)
-    more = probing.select(F.explode(probes.cast("array<bigint>")).alias("key"), F.lit(False).alias("own"), "mark")
-    return stored(indexed.unionByName(more).distinct(), "line-split-lists")
+    )
+    # All that is known of the pair so far is the difference of the lengths, as before.
+    specs = F.explode(_specs(*limit.values)).alias("spec")
+    rows = rest.select("*", specs).filter("spec.edits = edits AND spec.shift = shift").select(
+        "key", "mark", "own", "edits", "line", "spec.number", "spec.off",
+        (F.char_length("line") - F.col("shift")).alias("length"),
+    )
+    return stored(_segments(rows).select(
+        F.xxhash64("key", "number", F.expr("substring(line, start, size)")).alias("key"),
+        (F.col("own") & (F.col("off") == 0)).alias("own"), "mark",
+    ).distinct(), "line-split-lists")
 
 
 def candidate_pairs(lists: DataFrame, texts: DataFrame, limit: Limit) -> DataFrame:
