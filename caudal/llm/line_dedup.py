@@ -22,9 +22,7 @@ from caudal.llm.common import maybe_in, stored
 from caudal.llm.graph import components
 
 # Edits allowed from a length on; shorter lines only equal themselves.
-STEPS = ((10, 1), (24, 2), (80, 3))
-# Shortest line of a limit that is the same for all lengths.
-MIN_CHARS = 24
+STEPS = ((10, 1), (24, 2))
 # A segment of more lines than this is split by the segments of what is left.
 HELD = 64
 # Characters that are counted to compare lines.
@@ -35,14 +33,9 @@ WHITE = " \t\x0b\x0c\r"
 
 @dataclass(frozen=True)
 class Limit:
-    """Edits between two lines by the shorter one's length; ``edits`` from ``min_chars`` on if given."""
+    """Edits between two lines by the shorter one's length: (from that many characters on, edits)."""
 
-    edits: int | None = None
-    min_chars: int = MIN_CHARS
-
-    @property
-    def steps(self) -> tuple:
-        return STEPS if self.edits is None else ((self.min_chars, self.edits),)
+    steps: tuple[tuple[int, int], ...] = STEPS
 
     @property
     def values(self) -> list[int]:
@@ -329,20 +322,19 @@ def within_limit(left: Column, right: Column, limit: Limit) -> Column:
 
 
 def near_equal_lines(
-    docs: DataFrame, *, edits: int | None = None, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
+    docs: DataFrame, *, steps: tuple[tuple[int, int], ...] = STEPS, id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """A row per different line: doc_id and line_no (from 0) where it is first, n_chars, n_rows,
     n_links, class_doc_id and class_line_no of the first line of its class, kept.
 
     White space around lines does not count; blank lines are no lines. Two lines are linked
-    when they are within the edits that ``STEPS`` allows the shorter one, or ``edits`` if that is
-    given, for lines of ``min_chars`` characters or more. n_links is the number of other lines a
-    line is linked with, and a class is what links connect. Lines of documents without an id come
-    behind all others. A NULL text has no lines; rows repeated add to n_rows; other columns are
+    when they are within the edits that ``steps`` allows the shorter one. n_links is the number of
+    other lines a line is linked with, and a class is what links connect. Each more edit costs a
+    line about k ** 2 more keys. Lines of documents without an id come behind all others. A NULL text has no lines; rows repeated add to n_rows; other columns are
     not looked at; an empty table gives no rows.
     """
-    limit = Limit(edits, min_chars)
+    limit = Limit(steps)
     columns = {"id_col": id_col, "text_col": text_col}
     lines = distinct_lines(docs, **columns)
     lists = shared_keys(docs, limit, **columns)

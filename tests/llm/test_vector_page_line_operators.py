@@ -18,7 +18,7 @@ from caudal.llm.catalog import URL_RULES, queries
 from caudal.llm.html_text import (
     _number, extract_main_text, main_text, node_features, parse, parsed_pages, same_article, style_tree,
 )
-from caudal.llm.line_dedup import near_equal_lines, within_edits
+from caudal.llm.line_dedup import STEPS, near_equal_lines, within_edits
 from caudal.llm.nearest import nearest_neighbours
 from caudal.llm.url_filter import judge_urls, personalised_rank
 from tests.llm import brute
@@ -394,16 +394,16 @@ def test_lines_match_brute_force(spark, edits):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = sorted(
         (r["doc_id"] is None, r["doc_id"] or 0, r["line_no"], r["n_chars"], r["n_rows"], r["n_links"], r["class_doc_id"] or 0, r["class_line_no"], r["kept"])
-        for r in near_equal_lines(df, edits=edits).collect()
+        for r in near_equal_lines(df, steps=((24, edits),)).collect()
     )
     assert got == line_rows(docs, edits, 24)
 
 
-def allowed(n):
-    return 0 if n < 10 else 1 if n < 24 else 2 if n < 80 else 3
+WIDE = ((10, 1), (24, 2), (80, 3), (160, 4))
 
 
-def linked_lines(lines):
+def linked_lines(lines, steps):
+    allowed = lambda n: max((k for at, k in steps if n >= at), default=0)
     links = collections.defaultdict(set)
     for i, a in enumerate(lines):
         for j in range(i):
@@ -414,7 +414,8 @@ def linked_lines(lines):
     return links
 
 
-def test_segments_that_many_lines_hold(spark):
+@pytest.mark.parametrize("steps", [STEPS, WIDE])
+def test_segments_that_many_lines_hold(spark, steps):
     """Lines with a common beginning, end or both, of which few are near each other."""
     rng = random.Random(9)
     word = lambda n: "".join(rng.choices("abcdefgh", k=n))
@@ -426,8 +427,8 @@ def test_segments_that_many_lines_hold(spark):
     lines += [f"This line only differs in its number: {i}" for i in range(80)]
     lines = sorted(set(lines))
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    got = {r["doc_id"]: r["n_links"] for r in near_equal_lines(df).collect()}
-    links = linked_lines(lines)
+    got = {r["doc_id"]: r["n_links"] for r in near_equal_lines(df, steps=steps).collect()}
+    links = linked_lines(lines, steps)
     assert got == {i: len(links[i]) for i in range(len(lines))}
 
 
@@ -435,15 +436,18 @@ def test_very_long_lines(spark):
     base = "word and some more of it " * 4_000
     rows = [(1, base), (2, base[:50_000] + "#" + base[50_000:]), (3, "xyz" + base), (4, "wxyz" + base), (5, base[:-2_000])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_links"], r["class_doc_id"]) for r in near_equal_lines(df).collect()}
-    # 1 and 3 are three apart, 1 and 2 one, 2 and 3 four, 3 and 4 one.
-    assert got == {1: (2, 1), 2: (1, 1), 3: (2, 1), 4: (1, 1), 5: (0, 5)}
+    # 1 and 3 are three apart, 1 and 2 one, 2 and 3 four, 1 and 4 four, 3 and 4 one, 2 and 4 five.
+    got = lambda **steps: {r["doc_id"]: (r["n_links"], r["class_doc_id"]) for r in near_equal_lines(df, **steps).collect()}
+    assert got() == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
+    assert got(steps=WIDE) == {1: (3, 1), 2: (2, 1), 3: (3, 1), 4: (2, 1), 5: (0, 5)}
 
 
-def test_line_limit_grows_with_the_length(spark):
+@pytest.mark.parametrize("steps", [STEPS, WIDE])
+def test_line_limit_grows_with_the_length(spark, steps):
     rng = random.Random(77)
+    allowed = lambda n: max((k for at, k in steps if n >= at), default=0)
     lines = ["(c) 2023 Example Ltd", "(c) 2024 Example Ltd", "short one", "short two"]
-    for n in (10, 11, 14, 23, 24, 39, 59, 60, 79, 119, 200, 290):
+    for n in (10, 11, 14, 23, 24, 25, 39, 79, 80, 82, 159, 160, 163, 290):
         for letters in ("abcdefghij     ", "漢字ab😀 "):
             base = "".join(rng.choices(letters, k=n)).strip()
             # Spread evenly, so that no piece is longer than it must be.
@@ -453,8 +457,9 @@ def test_line_limit_grows_with_the_length(spark):
                     other[(i + 1) * len(base) // (k + 1) - (i + 1 > k // 2)] = "#"
                 lines += [base, "".join(other), edited(rng, base, k)]
     lines = sorted({x.strip() for x in lines if x.strip()})
-    got = {r["doc_id"]: (r["n_links"], r["class_doc_id"]) for r in near_equal_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
-    links = linked_lines(lines)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_links"], r["class_doc_id"]) for r in near_equal_lines(df, steps=steps).collect()}
+    links = linked_lines(lines, steps)
     assert {i: n for i, (n, _) in got.items()} == {i: len(links[i]) for i in range(len(lines))}
     by_line = {x: got[i] for i, x in enumerate(lines)}
     assert by_line["(c) 2023 Example Ltd"][1] == by_line["(c) 2024 Example Ltd"][1]
