@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 from collections.abc import Callable, Mapping
 
@@ -97,6 +98,34 @@ def month_slices(column: str, first: str, last: str) -> list[str]:
     return [f"{column} < {day(start)}", *inside, f"{column} >= {day(stop)}", f"{column} IS NULL"]
 
 
+def _literal(value: object) -> str:
+    if isinstance(value, dt.datetime):
+        return f"TIMESTAMP '{value.isoformat(sep=' ')}'"
+    if isinstance(value, dt.date):
+        return f"DATE '{value.isoformat()}'"
+    if isinstance(value, str):
+        return "'" + value.replace("'", "''") + "'"
+    return str(value)
+
+
+def key_slices(keys: DataFrame, column: str, n: int) -> list[str]:
+    """Predicates that split a table into about ``n`` parts of equal size by quantiles of a key.
+
+    ``keys`` holds the column, from an earlier extract or a narrow read. Spark's range partitioning
+    finds the borders, so no key is counted on the driver; ``n`` of them come back. Together the
+    predicates cover every row once, NULL included, also rows whose key is new since: the first
+    and the last slice are open. A key that holds more than its share of rows is one slice. Text
+    keys must sort bytewise in the database, as they do in Spark.
+    """
+    ranges = keys.select(column).dropna().repartitionByRange(n, column)
+    found = ranges.groupBy(F.spark_partition_id().alias("part")).agg(F.min(column).alias("low"))
+    borders = [_literal(row["low"]) for row in found.orderBy("low").collect()][1:]
+    if not borders:
+        return [f"{column} IS NOT NULL", f"{column} IS NULL"]
+    inside = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(borders, borders[1:], strict=False)]
+    return [f"{column} < {borders[0]}", *inside, f"{column} >= {borders[-1]}", f"{column} IS NULL"]
+
+
 def read_exchange_rates(
     spark: SparkSession,
     path: str,

@@ -13,7 +13,7 @@ from caudal.session import scratch_path
 from caudal.sources import sinks
 from caudal.sources.sample_bank import PROJECTIONS, sample_bank
 from caudal.sources.tables import (
-    Tables, extract, month_slices, read_exchange_rates, table_or_empty,
+    Tables, extract, key_slices, month_slices, read_exchange_rates, table_or_empty,
 )
 from tests.conftest import SAMPLE, plan_of, rows_of
 
@@ -112,3 +112,21 @@ def test_etl_command(spark, tmp_path, capsys):
     main(["etl", "--tables", str(tmp_path / "bank"), "--rates", str(rates), "--mart", str(tmp_path / "mart")])
     assert "total_transacciones" in capsys.readouterr().out
     assert len(list((tmp_path / "mart").glob("load-*/etl_alertas_fraude"))) == 1
+
+
+def test_key_slices_cover_every_row_once(spark):
+    """Applied to a frame in the database's place."""
+    rows = [(i * i, f"O'Neil {i:04d}", dt.date(2020, 1, 1) + dt.timedelta(days=i), dt.datetime(2020, 1, 1, 0, 0, i % 60, i)) for i in range(500)]
+    rows += [(None, None, None, None)] * 3
+    df = spark.createDataFrame(rows, "n long, name string, d date, at timestamp_ntz")
+    new = spark.createDataFrame([(-5, "A", dt.date(1990, 1, 1), dt.datetime(1990, 1, 1)), (10**9, "z", dt.date(2090, 1, 1), dt.datetime(2090, 1, 1))], df.schema)
+    counts = lambda frame, slices: list(frame.agg(*[F.count(F.when(F.expr(x), 1)) for x in slices]).first())
+    for column in df.columns:
+        slices = key_slices(df, column, 8)
+        assert len(slices) == 9
+        sizes = counts(df, slices)
+        assert sum(sizes) == 503 and sizes[-1] == 3 and max(sizes[:-1]) < 120
+        assert [i for i, n in enumerate(counts(new, slices)) if n] == [0, 7]
+    assert key_slices(df.limit(0), "n", 8) == ["n IS NOT NULL", "n IS NULL"]
+    one = spark.createDataFrame([(7,)] * 50, "n long")
+    assert sum(counts(one, key_slices(one, "n", 4))) == 50
