@@ -10,9 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caudal.plans import fraud, fraud_mart, history, kpis, lookups, report
+from caudal.plans import daily, fraud, fraud_mart, history, kpis, lookups, report
 from caudal.schemas import MART_DDL
 from caudal.session import scratch_path, shared_dir
+from caudal.sources.layouts import lay_out_by_client, stored_page_info
 from caudal.sources.mart import open_mart, source_version
 from caudal.sources.sample_bank import sample_bank
 from caudal.sources.tables import Tables, read_exchange_rates
@@ -119,6 +120,42 @@ def _csv_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_exchange_rates(spark, path)
 
 
+def _from_days(plan: Callable[..., DataFrame], **params) -> Query:
+    """A plan over the stored daily aggregate, which the first query that asks makes."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = sample_bank(spark, sf_dir)
+        state = f"{sf_dir.rstrip('/')} {source_version(spark, sf_dir)}"
+        name = hashlib.sha256(state.encode()).hexdigest()[:16]
+        folder = os.path.join(shared_dir(spark), "caudal", f"diario-{name}")
+        if daily.loads(spark, folder).isEmpty():
+            daily.refresh_daily(spark, t.transacciones, folder)
+        return plan(t, diario=daily.stored_daily(spark, folder), **params)
+
+    return run
+
+
+def _stored_list(
+    store: Callable[..., None], read: Callable[..., DataFrame], *, page: int, limit: int
+) -> Query:
+    """A page of a list that is stored first."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t, folder = sample_bank(spark, sf_dir), scratch_path(spark, "paginas")
+        store(t, folder)
+        return read(spark, t, folder, page=page, limit=limit)
+
+    return run
+
+
+def _of_laid_out(plan: Callable[..., DataFrame], *names: str, **params) -> Query:
+    """A lookup over tables that are clustered by client first."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = scratch_path(spark, "por-cliente")
+        lay_out_by_client(sample_bank(spark, sf_dir), folder, names=names)
+        return plan(Tables.from_parquet(spark, folder), **params)
+
+    return run
+
+
 def _streamed(job: Callable[..., DataFrame], **params) -> Query:
     return lambda spark, sf_dir: job(spark, sf_dir, **params)
 
@@ -223,6 +260,19 @@ LOOKUP_QUERIES: dict[str, Query] = {
     "cliente_cuentas_por_id": _dated(lookups.cliente_cuentas, ids=["C7", "C12", "nadie"]),
     "transaccion_detalle_por_id": _timed(lookups.transaccion_detalle, ids=["E3", "E86", "X"]),
     "cliente_cuentas_de_varios": _of_some_clients(lookups.cliente_cuentas),
+    "clientes_list_guardada": _stored_list(
+        lookups.store_clientes, lookups.clientes_stored_page, page=4, limit=20
+    ),
+    "transacciones_list_guardada": _stored_list(
+        lookups.store_transacciones, lookups.transacciones_stored_page, page=37, limit=50
+    ),
+    "transacciones_list_guardada_info": _stored_list(
+        lookups.store_transacciones,
+        lambda spark, t, folder, **page: stored_page_info(spark, folder, **page), page=37, limit=50,
+    ),
+    "cliente_transacciones_por_id": _of_laid_out(
+        lookups.cliente_transacciones, "transacciones", "clientes", ids=["C7", "C12", "nadie"], limit=20
+    ),
     "cliente_transacciones_de_varios": _of_some_clients(
         lookups.cliente_transacciones, timed=True, limit=20
     ),
@@ -276,6 +326,19 @@ REPORT_QUERIES: dict[str, Query] = {
     "rep_reporte": _dated(report.rep_reporte),
 }
 
+# The plans that a stored daily aggregate can answer.
+DAILY_QUERIES: dict[str, Query] = {
+    "kpi_transacciones_por_categoria_diario": _from_days(kpis.kpi_transacciones_por_categoria),
+    "kpi_transacciones_por_canal_diario": _from_days(kpis.kpi_transacciones_por_canal),
+    "kpi_tendencia_diario": _from_days(kpis.kpi_tendencia),
+    "kpi_canal_periodo_diario": _from_days(kpis.kpi_canal_periodo, **_PERIOD),
+    "ctx_tx_anual_diario": _from_days(history.ctx_tx_anual, years=YEARS),
+    "ctx_tx_trimestral_diario": _from_days(history.ctx_tx_trimestral, years=YEARS[1:]),
+    "ctx_tx_mensual_diario": _from_days(history.ctx_tx_mensual, years=YEARS[1:]),
+    "rep_series_diario": _from_days(report.rep_series),
+    "rep_reporte_diario": _from_days(report.rep_reporte),
+}
+
 STREAM_QUERIES: dict[str, Query] = {
     "stream_totales_por_canal": _streamed(jobs.replay_channel_totals),
     "stream_velocidad_deslizante": _streamed(jobs.replay_sliding_velocity),
@@ -305,5 +368,5 @@ def flat_profile(profile: DataFrame) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     return {
         **KPI_QUERIES, **FRAUD_QUERIES, **LOOKUP_QUERIES, **HISTORY_QUERIES, **REPORT_QUERIES,
-        **STREAM_QUERIES,
+        **DAILY_QUERIES, **STREAM_QUERIES,
     }

@@ -39,10 +39,6 @@ def _whole_sum(value: str, name: str) -> Column:
     return as_double(F.round(F.sum(value), 0)).alias(name)
 
 
-def _frauds() -> Column:
-    return count_true(F.col("es_fraude_potencial")).alias("fraudes")
-
-
 # ── snapshot and yearly series ──────────────────────────────────────────────────────────
 
 def ctx_snapshot(t: Tables) -> DataFrame:
@@ -65,11 +61,22 @@ def ctx_snapshot(t: Tables) -> DataFrame:
     )
 
 
-def ctx_tx_anual(t: Tables, *, years: Years = ANIOS_OPERACIONES) -> DataFrame:
-    rate = pct_of_counts(count_true(F.col("es_fraude_potencial")), F.count("*"))
+def _transactions(t: Tables, diario: DataFrame | None) -> tuple[DataFrame, str, Column, Column]:
+    """What to add up, its date, and the sums that count rows and frauds: the transactions, or
+    their stored daily aggregate if one is given."""
+    if diario is None:
+        return t.transacciones, "fecha", F.count("*"), count_true(F.col("es_fraude_potencial"))
+    return diario, "dia", F.sum("n"), F.sum("fraudes")
+
+
+def ctx_tx_anual(
+    t: Tables, *, years: Years = ANIOS_OPERACIONES, diario: DataFrame | None = None
+) -> DataFrame:
+    rows, on, n, frauds = _transactions(t, diario)
     return yearly(
-        t.transacciones, "fecha", years,
-        _count("tx"), _whole_sum("monto", "monto"), _frauds(), rate.alias("tasa"),
+        rows, on, years,
+        n.alias("tx"), _whole_sum("monto", "monto"), frauds.alias("fraudes"),
+        pct_of_counts(frauds, n).alias("tasa"),
     )
 
 
@@ -124,9 +131,12 @@ def ctx_cobros_anual(t: Tables, *, years: Years = ANIOS_OPERACIONES) -> DataFram
 
 # ── quarterly and monthly series ────────────────────────────────────────────────────────
 
-def ctx_tx_trimestral(t: Tables, *, years: Years = ANIOS_OPERACIONES[1:]) -> DataFrame:
+def ctx_tx_trimestral(
+    t: Tables, *, years: Years = ANIOS_OPERACIONES[1:], diario: DataFrame | None = None
+) -> DataFrame:
+    rows, on, n, frauds = _transactions(t, diario)
     return yearly_by(
-        t.transacciones, "fecha", years, "q", F.quarter("fecha"), _count("tx"), _frauds()
+        rows, on, years, "q", F.quarter(on), n.alias("tx"), frauds.alias("fraudes")
     )
 
 
@@ -135,9 +145,12 @@ def ctx_cuentas_trimestral(t: Tables, *, years: Years = ANIOS_PRODUCTOS[1:]) ->
     return yearly_by(t.cuentas, on, years, "q", F.quarter(on), _count("nuevas"))
 
 
-def ctx_tx_mensual(t: Tables, *, years: Years = ANIOS_OPERACIONES[1:]) -> DataFrame:
+def ctx_tx_mensual(
+    t: Tables, *, years: Years = ANIOS_OPERACIONES[1:], diario: DataFrame | None = None
+) -> DataFrame:
+    rows, on, n, frauds = _transactions(t, diario)
     return yearly_by(
-        t.transacciones, "fecha", years, "mes", F.month("fecha"), _count("tx"), _frauds()
+        rows, on, years, "mes", F.month(on), n.alias("tx"), frauds.alias("fraudes")
     )
 
 

@@ -13,6 +13,7 @@ from caudal.functions.numbers import (
 from caudal.functions.text import plain_number
 from caudal.operators.grouping import count_by, one_row, share_by, unpivot_row
 from caudal.operators.ranking import top_k
+from caudal.plans.daily import volume_since
 from caudal.sources.tables import Tables
 
 Day = str | dt.date
@@ -128,21 +129,28 @@ def kpi_clientes_por_genero(t: Tables) -> DataFrame:
 
 # ── transactions ────────────────────────────────────────────────────────────────────────
 
-def _volume_by(df: DataFrame, key: str) -> DataFrame:
-    return (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count("*").alias("total"), money_sum(F.col("monto")).alias("monto_total"))
+def _volume(df: DataFrame, key: Column, name: str, daily: bool) -> DataFrame:
+    """Rows and amount per key of transactions, or of their daily aggregate."""
+    total = F.sum("n") if daily else F.count("*")
+    return df.groupBy(key.alias(name)).agg(
+        total.alias("total"), money_sum(F.col("monto")).alias("monto_total")
     )
 
 
-def kpi_transacciones_por_categoria(t: Tables) -> DataFrame:
-    volume = _volume_by(t.transacciones, "categoria")
+def _volume_by(tx: DataFrame, key: str, diario: DataFrame | None = None) -> DataFrame:
+    df = tx if diario is None else diario
+    return _volume(df.filter(F.col(key).isNotNull()), F.col(key), key, diario is not None)
+
+
+def kpi_transacciones_por_categoria(t: Tables, *, diario: DataFrame | None = None) -> DataFrame:
+    """Volume by category; from the stored daily aggregate if one is given."""
+    volume = _volume_by(t.transacciones, "categoria", diario)
     return volume.orderBy(F.desc_nulls_first("monto_total"), "categoria")
 
 
-def kpi_transacciones_por_canal(t: Tables) -> DataFrame:
-    return _volume_by(t.transacciones, "canal").orderBy(F.desc("total"), "canal")
+def kpi_transacciones_por_canal(t: Tables, *, diario: DataFrame | None = None) -> DataFrame:
+    """Volume by channel; from the stored daily aggregate if one is given."""
+    return _volume_by(t.transacciones, "canal", diario).orderBy(F.desc("total"), "canal")
 
 
 def trend_start(tx: DataFrame, as_of: str | dt.datetime | None) -> Column:
@@ -153,19 +161,29 @@ def trend_start(tx: DataFrame, as_of: str | dt.datetime | None) -> Column:
     return tx.agg(F.max("fecha") - year).scalar()
 
 
-def kpi_tendencia(t: Tables, *, as_of: str | dt.datetime | None = None) -> DataFrame:
+def trend_cut(diario: DataFrame, as_of: str | dt.datetime | None) -> DataFrame:
+    """:func:`trend_start` as one row with ``corte``, from a daily aggregate."""
+    year = F.make_ym_interval(months=F.lit(12))
+    if as_of is not None:
+        return diario.sparkSession.range(1).select((instant(as_of) - year).alias("corte"))
+    return diario.agg((F.max("ultima") - year).alias("corte"))
+
+
+def kpi_tendencia(
+    t: Tables, *, as_of: str | dt.datetime | None = None, diario: DataFrame | None = None
+) -> DataFrame:
     """Monthly volume of the 12 months before ``as_of`` (default: the latest transaction).
 
     The first month is partial, as the cut is at the instant and not at the month's start.
-    The default cut is computed inside the subquery, so the scan gets it as a plain bound.
+    The default cut is computed inside the subquery, so the scan gets it as a plain bound. With a
+    stored daily aggregate only the rest of the cut's own day is read from the transactions.
     """
     tx = t.transacciones
-    return (
-        tx.filter(F.col("fecha") >= trend_start(tx, as_of))
-        .groupBy(month_label(F.col("fecha")).alias("mes"))
-        .agg(F.count("*").alias("total"), money_sum(F.col("monto")).alias("monto_total"))
-        .orderBy("mes")
-    )
+    if diario is None:
+        recent, on = tx.filter(F.col("fecha") >= trend_start(tx, as_of)), "fecha"
+    else:
+        recent, on = volume_since(tx, diario, trend_cut(diario, as_of)), "dia"
+    return _volume(recent, month_label(F.col(on)), "mes", diario is not None).orderBy("mes")
 
 
 # ── loans, accounts, scores, fees ───────────────────────────────────────────────────────
@@ -514,6 +532,11 @@ def kpi_prestamos_periodo(t: Tables, *, desde: Day, hasta: Day) -> DataFrame:
     )
 
 
-def kpi_canal_periodo(t: Tables, *, desde: Day, hasta: Day) -> DataFrame:
+def kpi_canal_periodo(
+    t: Tables, *, desde: Day, hasta: Day, diario: DataFrame | None = None
+) -> DataFrame:
+    """Volume by channel within a period; from the stored daily aggregate if one is given."""
     inside = t.transacciones.filter(whole_days(F.col("fecha"), desde, hasta))
-    return _volume_by(inside, "canal").orderBy(F.desc("total"), "canal")
+    if diario is not None:
+        diario = diario.filter(whole_days(F.col("dia"), desde, hasta))
+    return _volume_by(inside, "canal", diario).orderBy(F.desc("total"), "canal")

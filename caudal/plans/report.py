@@ -11,6 +11,7 @@ from caudal.functions.numbers import as_double, pct_of_counts, scaled_to
 from caudal.functions.text import money, month_of_label, plain_number, thousands
 from caudal.operators.grouping import unpivot_row
 from caudal.plans import kpis
+from caudal.plans.daily import is_later_day, rest_of_day
 from caudal.sources.tables import Tables
 
 # Levels, labels and messages the report must carry.
@@ -116,16 +117,19 @@ def _segments(t: Tables, listed: bool, drawn: bool) -> DataFrame:
     return ranked.select(F.explode(both).alias("e")).filter("e.va").select("e.r")
 
 
-def rep_series(t: Tables, *, as_of: str | None = None) -> DataFrame:
+def rep_series(
+    t: Tables, *, as_of: str | None = None, diario: DataFrame | None = None
+) -> DataFrame:
     """The six charts as (grafica, etiqueta, valor, fraccion); the horizontal ones show ten bars.
 
-    ``fraccion`` is the bar's length: its value over the largest of its chart.
+    ``fraccion`` is the bar's length: its value over the largest of its chart. The transactions'
+    charts come from the stored daily aggregate if one is given.
     """
     top = BARRAS_MAXIMAS
     charts = [
-        _bars(CHARTS[0], kpis.kpi_tendencia(t, as_of=as_of), month_of_label(F.col("mes")), None),
+        _bars(CHARTS[0], kpis.kpi_tendencia(t, as_of=as_of, diario=diario), month_of_label(F.col("mes")), None),
         _bars(CHARTS[1], kpis.kpi_clientes_por_segmento(t), "segmento", top),
-        _bars(CHARTS[2], kpis.kpi_transacciones_por_canal(t), "canal", top),
+        _bars(CHARTS[2], kpis.kpi_transacciones_por_canal(t, diario=diario), "canal", top),
         *_other_charts(t),
     ]
     # A chart is at most ten bars or thirteen months by now.
@@ -166,19 +170,47 @@ def _entry(section: str, block: Column, label: Column, text: Column) -> Column:
     )
 
 
-def transaction_row(t: Tables, as_of: str | None) -> DataFrame:
-    """One row with all that the report says of the transactions, from one scan of them.
-
-    Rows are first added up per day and channel. Each of these counts for its month, its
-    channel and its day; months and channels end up as two short lists.
-    """
-    tx = t.transacciones
+def _by_day_and_channel(tx: DataFrame, as_of: str | None) -> DataFrame:
+    """(dia, canal, n, fraudes, recientes, monto): the last two of the trend's months alone."""
     recent = F.col("fecha") >= kpis.trend_start(tx, as_of)
-    daily = tx.withColumn("reciente", recent).groupBy(F.to_date("fecha").alias("dia"), "canal").agg(
+    return tx.withColumn("reciente", recent).groupBy(F.to_date("fecha").alias("dia"), "canal").agg(
         F.count("*").alias("n"), F.count_if("es_fraude_potencial").alias("fraudes"),
         F.count_if("reciente").alias("recientes"),
         F.sum(F.when(F.col("reciente"), F.col("monto"))).alias("monto"),
     )
+
+
+def _from_stored_days(tx: DataFrame, diario: DataFrame, as_of: str | None) -> DataFrame:
+    """The same of the stored aggregate; of the transactions only the rest of one day is read."""
+    cut = kpis.trend_cut(diario, as_of)
+    later = is_later_day(cut)
+    whole = diario.select(
+        "dia", "canal", "n", "fraudes", F.when(later, F.col("n")).otherwise(0).alias("recientes"),
+        F.when(later, F.col("monto")).alias("monto"),
+    )
+    none = F.lit(0).cast("long")
+    first = rest_of_day(tx, cut).select(
+        F.to_date("fecha").alias("dia"), "canal", none.alias("n"), none.alias("fraudes"),
+        F.lit(1).cast("long").alias("recientes"), "monto",
+    )
+    sums = [F.sum(c).alias(c) for c in ("n", "fraudes", "recientes", "monto")]
+    return whole.unionByName(first).groupBy("dia", "canal").agg(*sums)
+
+
+def transaction_row(
+    t: Tables, as_of: str | None, diario: DataFrame | None = None
+) -> DataFrame:
+    """One row with all that the report says of the transactions, from one scan of them, or from
+    their stored daily aggregate.
+
+    Rows are first added up per day and channel. Each of these counts for its month, its
+    channel and its day; months and channels end up as two short lists.
+    """
+    tx = t.transacciones
+    if diario is None:
+        daily = _by_day_and_channel(tx, as_of)
+    else:
+        daily = _from_stored_days(tx, diario, as_of)
     of = lambda kind, key, n: F.struct(
         F.lit(kind).alias("tipo"), key.alias("clave"), F.col(n).alias("n"), "monto", "fraudes"
     )
@@ -214,12 +246,14 @@ def rep_reporte(
     debilidades: bool = True,
     recomendaciones: bool = True,
     as_of: str | None = None,
+    diario: DataFrame | None = None,
 ) -> DataFrame:
     """The chosen sections as (seccion, bloque, etiqueta, texto) rows.
 
     Everything that hangs on headline numbers, risk percentages and transactions comes from
     one row with all of it. The transactions are scanned once for it, and once more, for their
-    latest date alone, unless ``as_of`` is given.
+    latest date alone, unless ``as_of`` is given. With ``diario``, their stored daily aggregate
+    (:mod:`caudal.plans.daily`), only one day of them is read.
     """
     from_row: list[Column] = []
     parts: list[DataFrame] = []
@@ -259,7 +293,7 @@ def rep_reporte(
     if recomendaciones:
         from_row.append(_advice())
     if from_row:
-        row = kpis.resumen_y_debilidades(t, transaction_row(t, as_of))
+        row = kpis.resumen_y_debilidades(t, transaction_row(t, as_of, diario))
         parts.append(row.select(F.explode(F.concat(*from_row)).alias("r")))
     if not parts:
         raise ValueError("no section chosen")

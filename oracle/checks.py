@@ -438,6 +438,22 @@ LOOKUPS = {
               WHERE fecha < TIMESTAMP '1998-03-01' OR (fecha = TIMESTAMP '1998-03-01' AND id_transaccion > 'L2')
               ORDER BY fecha DESC, id_transaccion LIMIT 50) k
         JOIN clientes c USING (id_cliente)"""),
+    "clientes_list_guardada": query(bank("clientes", "open_data", "datos_personales"), """
+        SELECT k.*, o.segmento_cliente, o.nivel_riesgo, o.score_crediticio, d.email, d.ciudad, d.estado
+        FROM (SELECT * FROM clientes ORDER BY apellido_paterno, id_cliente LIMIT 20 OFFSET 60) k
+        LEFT JOIN open_data o USING (id_cliente) LEFT JOIN datos_personales d USING (id_cliente)"""),
+    "transacciones_list_guardada": query(bank("transacciones", "clientes"), """
+        SELECT k.*, c.nombre, c.apellido_paterno
+        FROM (SELECT * FROM transacciones ORDER BY fecha DESC, id_transaccion LIMIT 50 OFFSET 1800) k
+        JOIN clientes c USING (id_cliente)"""),
+    "transacciones_list_guardada_info": page_facts(
+        bank("transacciones"), "SELECT * FROM transacciones", 37, 50
+    ),
+    "cliente_transacciones_por_id": query(bank("transacciones", "clientes"), """
+        SELECT t.* EXCLUDE (n) FROM (
+            SELECT *, row_number() OVER (PARTITION BY id_cliente ORDER BY fecha DESC, id_transaccion) AS n
+            FROM transacciones) t
+        WHERE n <= 20 AND id_cliente IN ('C7', 'C12') AND id_cliente IN (SELECT id_cliente FROM clientes)"""),
     "cliente_perfil_por_id": query(bank("clientes", "datos_personales", "datos_negocio", "open_data"), """
         SELECT c.*, p.email, p.ciudad, p.estado, n.giro_negocio, n.num_empleados, n.paga_nomina,
                o.segmento_cliente, o.nivel_riesgo, o.score_crediticio,
@@ -734,5 +750,13 @@ STREAMS = {
 }
 
 
+# Plans over the stored daily aggregate give what they give over the transactions.
+OF_DAYS = (
+    "kpi_transacciones_por_categoria", "kpi_transacciones_por_canal", "kpi_tendencia", "kpi_canal_periodo",
+    "ctx_tx_anual", "ctx_tx_trimestral", "ctx_tx_mensual", "rep_series", "rep_reporte",
+)
+
+
 def all_checks() -> dict[str, str]:
-    return {**KPIS, **FRAUD, **LOOKUPS, **HISTORY, **REPORT, **STREAMS}
+    checks = {**KPIS, **FRAUD, **LOOKUPS, **HISTORY, **REPORT, **STREAMS}
+    return checks | {f"{name}_diario": checks[name] for name in OF_DAYS}
