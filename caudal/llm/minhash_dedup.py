@@ -34,7 +34,8 @@ from caudal.llm.shingles import digest, mix, shingle_sets, signed
 WORDS = 5
 SIMILAR_PERCENT = 80
 SKETCH = 64
-# Members of one list that a task compares with all others of the list.
+# Members of one list that a task takes at a time: against the list's pivot, or against as many
+# others of the list.
 SLICE = 400
 # How many standard deviations below its mean a count of common values may fall.
 SLACK = 4.75
@@ -130,36 +131,47 @@ def inverted_lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
     )
 
 
-def _attach(pairs: DataFrame, sets: DataFrame, end: str, columns: list[str]) -> DataFrame:
-    side = sets.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
-    return pairs.join(side, end)
+def _both_sides(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """``pairs`` (pivot, slice, node) with columns of both sets, ``…_p`` and ``…_n``.
+
+    A pivot is in all pairs of its lists. Its set goes to each slice that it has, once, so that
+    no task meets more of its pairs than a slice holds.
+    """
+    side = lambda end, mark: sets.select(
+        F.col("node").alias(end), *[F.col(c).alias(f"{c}_{mark}") for c in columns]
+    )
+    slices = pairs.select("pivot", "slice").distinct().join(side("pivot", "p"), "pivot")
+    return pairs.join(side("node", "n"), "node").join(slices, ["pivot", "slice"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the estimate and whose full sets are similar enough."""
-    sketch = ["n_shingles", "sketch"]
-    seen = _attach(_attach(pairs, sets, "b", sketch), sets, "a", sketch)
-    few, many = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
+    """Links (a, b): the pairs that pass the estimate and whose full sets are similar enough."""
+    pairs = stored(pairs, "pivot-pairs")
+    seen = _both_sides(pairs, sets, ["n_shingles", "sketch"])
+    few, many = F.least("n_shingles_p", "n_shingles_n"), F.greatest("n_shingles_p", "n_shingles_n")
     # Sketches are sorted, so the union's k smallest are a merge and a cut.
-    low = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k)
-    common = F.size(F.array_intersect(low, F.array_intersect("sketch_a", "sketch_b")))
+    low = F.slice(F.array_sort(F.array_union("sketch_p", "sketch_n")), 1, k)
+    common = F.size(F.array_intersect(low, F.array_intersect("sketch_p", "sketch_n")))
     union = F.size(low)
     share = percent / 100
     enough = union * share - SLACK * F.sqrt(union * share * (1 - share)) - 1
     likely = stored(
-        seen.filter((100 * few >= percent * many) & (common >= enough)).select("a", "b"), "likely"
+        seen.filter((100 * few >= percent * many) & (common >= enough)).select("pivot", "slice", "node"),
+        "likely",
     )
-    full = _attach(_attach(likely, sets, "b", ["shingles"]), sets, "a", ["shingles"])
-    both = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
-    either = F.size("shingles_a") + F.size("shingles_b") - both
-    return stored(full.filter(100 * both >= percent * either).select("a", "b").distinct(), "links")
+    full = _both_sides(likely, sets, ["shingles"])
+    both = F.size(F.array_intersect("shingles_p", "shingles_n")).cast("long")
+    either = F.size("shingles_p") + F.size("shingles_n") - both
+    ends = F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
+    return stored(full.filter(100 * both >= percent * either).select(*ends).distinct(), "links")
 
 
 def by_pivot(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(pivot, pivot_label, node, label) of the lists that hold several components.
+    """(pivot, pivot_label, node, label, slice) of the lists that hold several components.
 
     The pivot is the list's most central class. Lists of one pivot become one: copies of a
-    text share many lists, and these have the same pivot.
+    text share many lists, and these have the same pivot. ``slice`` deals the members of a
+    list over slices of about ``SLICE``.
     """
     marked = lists.withColumn("label", F.col("node"))
     if labels is not None:
@@ -167,17 +179,24 @@ def by_pivot(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     best = F.max(F.struct("central", -F.col("node"), "label"))
     several = (
         marked.groupBy("value")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), best.alias("p"))
+        .agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), best.alias("p"),
+            F.ceil(F.count("*") / SLICE).alias("slices"),
+        )
         .filter("low < high")
-        .select("value", (-F.col("p.col2")).alias("pivot"), F.col("p.label").alias("pivot_label"))
+        .select("value", (-F.col("p.col2")).alias("pivot"), F.col("p.label").alias("pivot_label"), "slices")
+    )
+    # Where a node meets the pivot in several lists, one list's slice will do.
+    of_list = F.pmod(F.xxhash64("node"), F.col("slices"))
+    return marked.join(several, "value").groupBy("pivot", "pivot_label", "node", "label").agg(
+        F.max(of_list).alias("slice")
     )
-    return marked.join(several, "value").select("pivot", "pivot_label", "node", "label").distinct()
 
 
 def pivot_pairs(entries: DataFrame) -> DataFrame:
+    """(pivot, slice, node) of the members that no link joins to their pivot yet."""
     met = entries.filter(F.col("label") != F.col("pivot_label"))
-    ends = F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
-    return met.select(*ends).distinct()
+    return met.select("pivot", "slice", "node")
 
 
 def _maybe_similar(percent: int) -> Column:
@@ -205,32 +224,40 @@ def _maybe_similar(percent: int) -> Column:
 def remaining_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components within the lists of a pivot.
 
-    The left side of a pivot is dealt over slices of about ``SLICE`` members and the right side
-    goes to each of them, so a large list is several tasks.
+    The members of a pivot are dealt over slices of about ``SLICE``, and each two slices meet in a
+    cell of their own. A member is sent once per slice and no task compares more than a cell, so
+    a large list is as many tasks as it has cells.
     """
     size = entries.groupBy("pivot").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
     full = entries.select("pivot", "node", "label").join(size, "pivot").join(
         sets.select("node", "n_shingles", *_SAMPLE, "shingles"), "node"
     )
-    own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    key = ["pivot", "slice"]
+    full = full.withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    to_row = F.explode(F.sequence(F.col("own"), F.col("slices") - 1))
+    to_column = F.explode(F.sequence(F.lit(0), F.col("own")))
     ends = [
-        side.select(*key, *[F.col(c).alias(f"{c}_{end}") for c in full.columns if c not in ("pivot", "slices")])
-        for side, end in ((full.withColumn("slice", own), "a"), (full.withColumn("slice", every), "b"))
+        full.withColumn("other", cells).select(
+            F.col("pivot").alias(f"pivot_{end}"), low.alias(f"low_{end}"), high.alias(f"high_{end}"),
+            *[F.col(c).alias(f"{c}_{end}") for c in ("node", "label", "n_shingles", *_SAMPLE, "shingles")],
+        )
+        for end, cells, low, high in (
+            ("a", to_row, F.col("own"), F.col("other")), ("b", to_column, F.col("other"), F.col("own"))
+        )
     ]
     few, many = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
     both = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
     either = F.col("n_shingles_a") + F.col("n_shingles_b") - both
     pairs = ends[0].join(
-        ends[1].withColumnsRenamed({"pivot": "pivot_b", "slice": "slice_b"}),
-        (F.col("pivot") == F.col("pivot_b")) & (F.col("slice") == F.col("slice_b"))
-        & (F.col("node_a") < F.col("node_b"))
+        ends[1],
+        (F.col("pivot_a") == F.col("pivot_b")) & (F.col("low_a") == F.col("low_b"))
+        & (F.col("high_a") == F.col("high_b"))
+        # Within one slice each pair once.
+        & ((F.col("low_a") < F.col("high_a")) | (F.col("node_a") < F.col("node_b")))
         & (F.col("label_a") != F.col("label_b")) & (100 * few >= percent * many)
         & _maybe_similar(percent) & (100 * both >= percent * either),
     )
-    found = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    return stored(found, "links")
+    found = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    return stored(found.distinct(), "links")
 
 
 def near_duplicates(
@@ -277,8 +304,9 @@ def near_duplicates(
     )
     links = members.join(ids, "doc_id").select("a", F.col("node").alias("b")).filter("a < b")
     links = links.unionByName(confirmed(pivot_pairs(by_pivot(lists, None)), sets, k, percent))
-    entries = stored(by_pivot(lists, components(links)), "open-lists")
-    labels = components(links.unionByName(remaining_links(entries, sets, percent)))
+    entries = stored(by_pivot(lists, components(links, split_hubs=True)), "open-lists")
+    links = links.unionByName(remaining_links(entries, sets, percent))
+    labels = components(links, split_hubs=True)
     component = F.when(
         F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")
     )
