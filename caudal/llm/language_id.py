@@ -4,6 +4,10 @@ The kernel of two texts compares which character n-grams of several lengths (a b
 spectrum) they contain: common n-grams over the geometric mean of both numbers. A few labelled
 texts serve as Nystrom landmarks, one-versus-rest kernel ridge regression is fitted on their
 feature space, and texts are scored in batches by two matrix products.
+
+A text is scored in blocks of ``BLOCK`` code points, each of which has far fewer n-grams than there
+are buckets, and its scores are the blocks' mean, weighted by their lengths. A text of any length
+is judged by all of itself, and one that fits a block by one kernel value a landmark.
 """
 
 from __future__ import annotations
@@ -21,13 +25,16 @@ UNDETERMINED = "und"
 # value by one n-gram; texts are compared by thousands.
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
-# Bounds of what the driver gathers to fit the model: texts per language, their total length.
+# Bounds of what the driver gathers to fit the model: texts per language, each one block of its
+# text, and languages, those with the most labelled texts. The model that is broadcast has a
+# column of at most BUCKETS floats for each landmark, 4 MB a language.
 SAMPLE_PER_LANGUAGE = 300
+LANGUAGES = 128
 LANDMARKS_PER_LANGUAGE = 16
 RIDGE = 1e-2
-# Texts of one matrix product, and code points hashed at a time.
+# Blocks of one matrix product, and code points of a block.
 ROWS = 64
-BLOCK = 1 << 20
+BLOCK = 8192
 
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 2**31, (len(ORDERS), max(ORDERS)), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _LETTER = re.compile(r"[^\W\d_]")
@@ -36,29 +43,26 @@ _RESULT = T.StructType([
 ])
 
 
-def presence(text: str) -> np.ndarray:
-    """Which buckets the n-grams of a whole text fall into, as 0 and 1 bytes.
+def presence(block: str) -> np.ndarray:
+    """Which buckets the n-grams of a block of text fall into, as 0 and 1 bytes.
 
     Lower-cased; a run of ASCII characters that are no letters counts as one space, so that
     neither numbers nor punctuation tell languages apart.
     """
     seen = np.zeros(BUCKETS, np.uint8)
-    overlap = max(ORDERS) - 1
-    for at in range(0, max(1, len(text)), BLOCK):
-        block = text[at:at + BLOCK + overlap].lower()
-        codes = np.frombuffer(block.encode("utf-32-le"), np.uint32)
-        codes = np.where((codes < 97) | ((codes > 122) & (codes < 128)), 32, codes)
-        if len(codes) > 1:
-            codes = codes[np.concatenate(([True], (codes[1:] != 32) | (codes[:-1] != 32)))]
-        for order, factors in zip(ORDERS, _MULTIPLIERS, strict=True):
-            n = len(codes) - order + 1
-            if n < 1:
-                continue
-            total = np.full(n, order, np.uint32)
-            for i in range(order):
-                total += codes[i:n + i] * factors[i]
-            total *= np.uint32(0x9E3779B1)
-            seen[total >> np.uint32(16)] = 1
+    codes = np.frombuffer(block.lower().encode("utf-32-le"), np.uint32)
+    codes = np.where((codes < 97) | ((codes > 122) & (codes < 128)), 32, codes)
+    if len(codes) > 1:
+        codes = codes[np.concatenate(([True], (codes[1:] != 32) | (codes[:-1] != 32)))]
+    for order, factors in zip(ORDERS, _MULTIPLIERS, strict=True):
+        n = len(codes) - order + 1
+        if n < 1:
+            continue
+        total = np.full(n, order, np.uint32)
+        for i in range(order):
+            total += codes[i:n + i] * factors[i]
+        total *= np.uint32(0x9E3779B1)
+        seen[total >> np.uint32(16)] = 1
     return seen
 
 
@@ -71,13 +75,20 @@ class Model:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Texts x languages, -1 to 1 roughly: how much each language's regression agrees."""
-        rows = np.empty((len(texts), len(self.columns)), np.float32)
-        norms = np.empty((len(texts), 1), np.float32)
-        for i, text in enumerate(texts):
-            seen = presence(text)
-            rows[i] = seen[self.columns]
-            norms[i] = max(1.0, np.count_nonzero(seen)) ** 0.5
-        return ((rows @ self.landmarks) / norms) @ self.weights
+        total = np.zeros((len(texts), len(self.languages)))
+        places = [(i, at) for i, text in enumerate(texts) for at in range(0, len(text), BLOCK)]
+        for first in range(0, len(places), ROWS):
+            batch = places[first:first + ROWS]
+            rows = np.empty((len(batch), len(self.columns)), np.float32)
+            norms = np.empty((len(batch), 1), np.float32)
+            for j, (i, at) in enumerate(batch):
+                seen = presence(texts[i][at:at + BLOCK])
+                rows[j] = seen[self.columns]
+                norms[j] = max(1.0, np.count_nonzero(seen)) ** 0.5
+            found = ((rows @ self.landmarks) / norms) @ self.weights
+            for (i, at), score in zip(batch, found, strict=True):
+                total[i] += score * (min(BLOCK, len(texts[i]) - at) / len(texts[i]))
+        return total
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, sure = [], []
@@ -130,27 +141,39 @@ def fit(texts: list[str], labels: list[str], *, ridge: float = RIDGE) -> Model:
 
 def training_sample(
     docs: DataFrame, held_out: Column, *, id_col: str, text_col: str, lang_col: str,
-    per_language: int,
+    per_language: int, languages: int = LANGUAGES,
 ) -> list[tuple[str, str]]:
-    """(language, text), at most ``per_language`` texts of each, taken by a hash of the id."""
+    """(language, block of a text) to learn from, a bounded number of bounded texts.
+
+    Of each of the ``languages`` values with the most texts (ties: the smaller value) at most
+    ``per_language`` texts are taken by a hash of the id, and of each the block that another hash
+    names. Of rows that repeat an id and a language the smallest block is taken.
+    """
     usable = docs.filter(
         F.col(lang_col).isNotNull() & ~held_out & F.col(text_col).rlike(r"\p{L}")
     )
     ids = usable.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
+    known = [
+        r["lang"]
+        for r in ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+        .limit(languages).collect()
+    ]
     # Spark keeps each language's first rows before anything is moved, and no text is sorted.
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (
-        ids.withColumn("place", F.row_number().over(order))
+        ids.filter(F.col("lang").isin(known)).withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= per_language).collect()
     )
-    place = {r["doc_id"]: (r["lang"], r["place"]) for r in chosen}
-    texts = usable.filter(F.col(id_col).isin(list(place))).select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")
+    place = {(r["lang"], r["doc_id"]): r["place"] for r in chosen}
+    text = F.col(text_col)
+    block = F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.ceil(F.char_length(text) / BLOCK))
+    blocks = usable.filter(F.col(id_col).isin([doc_id for _, doc_id in place])).select(
+        F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"),
+        F.substring(text, (block * BLOCK + 1).cast("int"), F.lit(BLOCK)).alias("text"),
     )
-    # Of rows that repeat an id the smallest text is taken.
-    one = texts.groupBy("doc_id").agg(F.min("text").alias("text")).collect()
-    ordered = sorted(one, key=lambda r: place[r["doc_id"]])
-    return [(place[r["doc_id"]][0], r["text"]) for r in ordered]
+    one = blocks.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
+    kept = [(r["lang"], place[r["lang"], r["doc_id"]], r["text"]) for r in one if (r["lang"], r["doc_id"]) in place]
+    return [(lang, text) for lang, _, text in sorted(kept)]
 
 
 def held_out_fold(doc_id: Column) -> Column:

@@ -5,12 +5,14 @@ from __future__ import annotations
 import collections
 import hashlib
 import random
+import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from caudal.llm import exact_dedup, language_id, minhash_dedup, packing, pii
+from caudal.llm import exact_dedup, graph, language_id, minhash_dedup, packing, pii
 from caudal.llm.catalog import queries
 from caudal.llm.common import stored
 from caudal.llm.exact_dedup import exact_duplicates
@@ -142,6 +144,25 @@ def test_near_chains_and_shared_passages(spark, monkeypatch):
         assert tuples(near_duplicates(frame(spark, numbered), words=4), *NEAR) == expected
 
 
+def test_no_list_is_one_task(spark, monkeypatch):
+    """300 near copies of a text, in slices of 20: the pivot's pairs lie in many slices."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(300):
+        copy = list(base)
+        copy[rng.randrange(len(copy))] = f"x{i}"
+        texts.append((i, " ".join(copy)))
+    monkeypatch.setattr(minhash_dedup, "SLICE", 20)
+    kept = []
+    plain = minhash_dedup.confirmed
+    monkeypatch.setattr(minhash_dedup, "confirmed", lambda pairs, *a: kept.append(pairs) or plain(pairs, *a))
+    found = tuples(near_duplicates(frame(spark, texts), words=4), *NEAR)
+    assert {r[2] for r in found} == {0}
+    largest = kept[0].groupBy("pivot", "slice").count().agg(F.max("count"), F.sum("count")).first()
+    assert largest[1] >= 150 and largest[0] <= 60
+
+
 def test_near_missing_and_repeated_ids(spark):
     one, two = "a b c d e f g h i j k", "l m n o p q r s t u v"
     rows = [(None, one), (None, one), (5, one), (5, two), (3, two), (9, one), (9, one)]
@@ -162,7 +183,9 @@ def test_needed_values_hold_for_all_small_sets():
         assert least >= -(-n * 80 // 100)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("split_hubs", [False, True])
+def test_components(spark, split_hubs, monkeypatch):
+    monkeypatch.setattr(graph, "SLICE", 10)
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)]
     edges += [(i, i + 1) for i in range(1000, 1100)] + [(2000, 2000 + i) for i in range(1, 80)]
@@ -171,7 +194,7 @@ def test_components(spark):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         root[y] = x
-    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), split_hubs=split_hubs).collect()}
     assert found == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
@@ -203,6 +226,67 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in nobody.collect()} == {"und"}
 
 
+def plain_kernel_scores(train, texts, landmarks):
+    """Blended-spectrum presence kernel over sets of n-grams, Nystrom, weighted ridge regression."""
+    def grams(text):
+        clean = "".join(c if "a" <= c <= "z" or ord(c) >= 128 else " " for c in text.lower())
+        clean = re.sub(" +", " ", clean)
+        return {clean[i:i + n] for n in (1, 2, 3, 4) for i in range(len(clean) - n + 1)}
+
+    kernel = lambda xs, ys: np.array([[len(x & y) / (len(x) * len(y)) ** 0.5 for y in ys] for x in xs])
+    labels = [lang for lang, _ in train]
+    languages = sorted(set(labels))
+    sets = [grams(text) for _, text in train]
+    marks = [sets[i] for name in languages for i in [j for j, x in enumerate(labels) if x == name][:landmarks]]
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    good = values > 1e-6 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])
+    features = kernel(sets, marks) @ root
+    target = np.array([[1.0 if x == name else -1.0 for name in languages] for x in labels])
+    weight = np.array([len(labels) / len(languages) / labels.count(x) for x in labels])[:, None]
+    left = features.T @ (features * weight) + language_id.RIDGE * len(labels) * np.eye(features.shape[1])
+    solved = np.linalg.solve(left, features.T @ (target * weight))
+    return languages, kernel([grams(t) for t in texts], marks) @ root @ solved
+
+
+def test_language_equals_a_plain_kernel(spark):
+    """The operator's hashed n-grams against sets of the n-grams themselves."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    held_out = language_id.held_out_fold(F.col("doc_id"))
+    train = language_id.training_sample(
+        docs, held_out, id_col="doc_id", text_col="text", lang_col="lang", per_language=30
+    )
+    texts = [r[0] for r in docs.filter(held_out & F.col("text").rlike("[a-z]")).select("text").limit(40).collect()]
+    texts = [t for t in texts if len(t) <= language_id.BLOCK]
+    languages, expected = plain_kernel_scores(train, texts, language_id.LANDMARKS_PER_LANGUAGE)
+    model = language_id.fit([text for _, text in train], [lang for lang, _ in train])
+    found = model.scores(texts)
+    assert model.languages == languages
+    assert np.abs(found - expected).max() < 0.1
+    clear = np.sort(expected, 1)[:, -1] - np.sort(expected, 1)[:, -2] > 0.2
+    assert clear.mean() > 0.8
+    assert (found.argmax(1) == expected.argmax(1))[clear].all()
+
+
+def test_language_of_texts_of_many_blocks(spark):
+    """Two megabytes of one language among a few lines of another; and a bounded sample."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language_id.train(docs)
+    of = {r["lang"]: r["text"] for r in docs.filter("lang IS NOT NULL AND length(text) > 300").select("lang", "text").collect()}
+    languages = sorted(of)
+    long = [(i, of[languages[i + 1]] + of[languages[i]] * (2_000_000 // len(of[languages[i]]))) for i in range(2)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(frame(spark, long), model).collect()}
+    assert got == {i: languages[i] for i in range(2)}
+    rows = [(1, "a" * 100_000, "x"), (1, "b c", "y"), (2, "d e", "x"), (3, "f", "z")]
+    few = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_id.training_sample(
+        few, F.lit(False), id_col="doc_id", text_col="text", lang_col="lang", per_language=5, languages=2
+    )
+    assert sorted((lang, len(text)) for lang, text in sample) in (
+        [("x", 3), ("x", language_id.BLOCK), ("y", 3)], [("x", 3), ("x", 100_000 % language_id.BLOCK), ("y", 3)]
+    )
+
+
 # ---------------------------------------------------------------- personal data
 
 def test_pii_base_matches_brute_force(spark):
