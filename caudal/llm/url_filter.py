@@ -15,8 +15,9 @@ from caudal.llm.urls import host_of, path_of
 
 # Share of a host's rank that its links pass on; the rest returns to the seeds.
 DAMPING = 0.85
-MAX_STEPS = 30
-CONVERGED = 1e-4
+# The walk ends when no host's rank grows by more than this share of itself. A host that a step
+# reaches first grows by all of it, so the walk goes on until every host that can be reached is.
+CONVERGED = 1e-3
 # A host is blocked when distrust is more than this share of trust and distrust together.
 BLOCK_SHARE = 0.5
 # Hosts that href attributes name; relative links stay on their host and say nothing.
@@ -67,45 +68,42 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 def personalised_rank(
     edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING,
-    max_steps: int = MAX_STEPS, converged: float = CONVERGED,
+    converged: float = CONVERGED,
 ) -> DataFrame:
     """(host, rank) from ``seeds`` (host, seed): what a walk that returns to the seeds visits.
 
-    Ranks are in the units of the seeds and add up to their sum. Incoming rank is added up per
-    host before each shuffle, so a host with very many links is a sum and not a group. Each
-    step's ranks are a stored table.
+    Ranks are in the units of the seeds and add up to their sum. Each step passes on what the
+    step before brought, the first one the seeds, and a rank is the sum of all that came; what
+    returns to the seeds repeats the same walk and only scales it. Incoming rank is added up per
+    host before each shuffle, so a host with very many links is a sum and not a group. Each step
+    is a stored table. There is no limit of steps: what a step brings shrinks by ``damping``.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     shares = stored(
         edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")),
         "link-shares",
     )
-    ranks = stored(seeds.select("host", F.col("seed").cast("double").alias("rank")), "ranks")
+    seed = F.col("seed").cast("double")
+    ranks = stored(seeds.select("host", seed.alias("rank"), seed.alias("came")), "ranks")
     if shares.isEmpty():
-        return ranks
-    seeds = stored(seeds.select("host", F.col("seed").cast("double").alias("seed")), "seeds")
-    total = seeds.agg(F.sum("seed")).first()[0] or 0.0
-    for _ in range(max_steps):
+        return ranks.select("host", "rank")
+    total = F.lit(ranks.agg(F.sum("rank")).first()[0])
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    while True:
         moved = (
-            shares.join(ranks.withColumnRenamed("host", "src"), "src").groupBy("dst")
-            .agg(F.sum(F.col("rank") * F.col("share")).alias("moved"))
-            .withColumnRenamed("dst", "host")
+            shares.join(ranks.filter("came > 0").select(F.col("host").alias("src"), "came"), "src")
+            .groupBy(F.col("dst").alias("host"))
+            .agg((damping * F.sum(F.col("came") * F.col("share"))).alias("came"))
         )
-        kept = moved.agg(F.sum("moved")).first()[0] or 0.0
-        # What hosts without links hold returns to the seeds as well.
-        back = 1 - damping * kept / total if total else 0.0
-        seen = moved.join(seeds, "host", "full_outer").select(
-            "host",
-            (damping * F.coalesce("moved", F.lit(0.0)) + back * F.coalesce("seed", F.lit(0.0))).alias("rank"),
+        ranks = stored(
+            ranks.select("host", "rank").join(moved, "host", "full_outer").select(
+                "host", (zero("rank") + zero("came")).alias("rank"), zero("came").alias("came")
+            ),
+            "ranks",
         )
-        step = stored(
-            seen.join(ranks.withColumnRenamed("rank", "old"), "host", "left"), "ranks"
-        )
-        change = step.agg(F.sum(F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0
-        ranks = step.select("host", "rank")
-        if change <= converged * total:
-            break
-    return ranks
+        if ranks.filter(F.col("came") > converged * F.col("rank")).isEmpty():
+            visits = ranks.agg(F.sum("rank")).first()[0]
+            return ranks.select("host", (F.col("rank") * total / F.lit(visits)).alias("rank"))
 
 
 def judge_urls(
