@@ -22,7 +22,7 @@ from caudal.llm.common import maybe_in, stored
 from caudal.llm.graph import components
 
 # Edits allowed from a length on; shorter lines only equal themselves.
-STEPS = ((10, 1), (24, 2))
+STEPS = ((10, 1), (24, 2), (80, 3))
 # A segment of more lines than this is split by the segments of what is left.
 HELD = 64
 # Characters that are counted to compare lines.
@@ -331,8 +331,9 @@ def near_equal_lines(
     White space around lines does not count; blank lines are no lines. Two lines are linked
     when they are within the edits that ``steps`` allows the shorter one. n_links is the number of
     other lines a line is linked with, and a class is what links connect. Each more edit costs a
-    line about k ** 2 more keys. Lines of documents without an id come behind all others. A NULL text has no lines; rows repeated add to n_rows; other columns are
-    not looked at; an empty table gives no rows.
+    line about k ** 2 more keys. Lines of documents without an id come behind all others. A NULL
+    text has no lines; rows repeated add to n_rows; other columns are not looked at; an empty
+    table gives no rows.
     """
     limit = Limit(steps)
     columns = {"id_col": id_col, "text_col": text_col}
