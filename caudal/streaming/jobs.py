@@ -12,11 +12,12 @@ Event time is ``fecha`` as a zoned timestamp, since watermarks need one.
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from caudal.functions.numbers import count_true
 from caudal.plans.fraud import DEFAULT_RULES, FraudRules, is_far, is_odd_hour, usual_location
@@ -26,6 +27,12 @@ from caudal.sources.sample_bank import PROJECTIONS, SAMPLE_DDL, sample_bank
 DELAY = "1 hour"
 # Batch number of a written row.
 BATCH = "lote"
+# State on disk, with bounded memory, for runs whose state has a row per client and hour.
+ON_DISK = {
+    "spark__sql__streaming__stateStore__providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark__sql__streaming__stateStore__rocksdb__allowFAllocate": "false",
+}
 
 
 # ── jobs ────────────────────────────────────────────────────────────────────────────────
@@ -55,16 +62,51 @@ def sliding_velocity_stream(
     slide: str = "5 minutes",
     delay: str = DELAY,
 ) -> DataFrame:
-    """T2: clients with too many transactions in a sliding window (a coarse velocity rule)."""
-    return (
-        tx.withWatermark("fecha", delay)
-        .groupBy(F.window("fecha", window, slide).alias("v"), "id_cliente")
-        .agg(F.count("*").alias("total"))
-        .filter(F.col("total") > more_than)
-        .select(
-            F.col("v.start").alias("desde"), F.col("v.end").alias("hasta"), "id_cliente", "total"
-        )
+    """T2: clients with too many transactions in a sliding window (a coarse velocity rule).
+
+    A row is in ``window / slide`` windows, but its state is not. A client's time is cut into slices
+    as long as the window, and the state of a slice is how many rows each step of time has that
+    the windows beginning in it can reach: a fixed number of counters, however many rows there
+    are, and a row is in two slices at most. A batch gives all windows of the slices it touched.
+    A slice is dropped once the watermark has passed its last window; until then it takes rows
+    that are later than the delay.
+    """
+    length, move = _micros(tx.sparkSession, window), _micros(tx.sparkSession, slide)
+    step = math.gcd(length, move)
+    starts = -(-length // move)
+    span, reach = starts * move, (starts - 1) * move + length
+    sliced = tx.withWatermark("fecha", delay).select(
+        F.window("fecha", f"{reach} microseconds", f"{span} microseconds").alias("v"), "id_cliente", "fecha"
+    )
+    place = F.unix_micros("fecha") - F.unix_micros("v.start")
+    counted = (
+        sliced.select("v", "id_cliente", F.floor(place / step).alias("paso"))
+        .groupBy("v", "id_cliente")
+        .agg(*[F.count_if(F.col("paso") == at).alias(f"n{at}") for at in range(reach // step)])
     )
+    steps = F.array(*[F.col(f"n{at}") for at in range(reach // step)])
+    total_from = lambda first: F.aggregate(
+        F.slice("pasos", first * (move // step) + 1, length // step), F.lit(0).cast("long"), lambda n, m: n + m
+    )
+    windows = F.transform(
+        F.sequence(F.lit(0), F.lit(starts - 1)),
+        lambda first: F.struct((F.col("inicio") + first * F.lit(move).cast("long")).alias("al"), total_from(first).alias("total")),
+    )
+    # Windows without a row are none, whatever the limit; few slices have as many rows as it takes.
+    more_than = max(more_than, 0)
+    slices = counted.select(F.unix_micros("v.start").alias("inicio"), "id_cliente", steps.alias("pasos"))
+    busy = slices.filter(F.aggregate("pasos", F.lit(0).cast("long"), lambda n, m: n + m) > more_than)
+    found = busy.select("id_cliente", F.inline(windows).alias("al", "total")).filter(F.col("total") > more_than)
+    return found.select(
+        F.timestamp_micros("al").alias("desde"), F.timestamp_micros(F.col("al") + length).alias("hasta"),
+        "id_cliente", "total",
+    )
+
+
+def _micros(spark: SparkSession, interval: str) -> int:
+    """The length of an interval like ``1 hour``."""
+    end = F.timestamp_micros(F.lit(0)) + F.lit(interval).cast("interval")
+    return spark.range(1).select(F.unix_micros(end)).first()[0]
 
 
 def stateless_rules(
@@ -150,16 +192,18 @@ def batch_writer(
 
 
 def run_batches(
-    stream: DataFrame, folder: str, *, job: Callable[[DataFrame], DataFrame] | None = None
+    stream: DataFrame, folder: str, *, job: Callable[[DataFrame], DataFrame] | None = None,
+    **options: str,
 ) -> None:
     """Runs a stream in update mode over what is there now, batch by batch into ``folder``.
 
     Run again on the same folder it goes on with what is new. A stream keeps the number of state
-    partitions it starts with, so it is set to the cluster's parallelism.
+    partitions it starts with, so it is set to the cluster's parallelism. ``options`` are more
+    session options of the run (dots written as ``__``).
     """
     spark = stream.sparkSession
     parallelism = str(spark.sparkContext.defaultParallelism)
-    with settings(spark, spark__sql__shuffle__partitions=parallelism):
+    with settings(spark, spark__sql__shuffle__partitions=parallelism, **options):
         query = (
             stream.writeStream.foreachBatch(batch_writer(os.path.join(folder, "out"), job))
             .option("checkpointLocation", os.path.join(folder, "checkpoint"))
@@ -199,14 +243,14 @@ def _wall_clock(df: DataFrame, *columns: str) -> DataFrame:
 
 def _replayed(
     spark: SparkSession, sf_dir: str, name: str, job: Callable[[DataFrame], DataFrame],
-    keys: Sequence[str],
+    keys: Sequence[str], **options: str,
 ) -> DataFrame:
     # A session of its own, so that the stream's settings touch no other query.
     own = spark.newSession()
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
     folder = scratch_path(spark, name)
     stream = job(transactions_stream(own, sf_dir))
-    run_batches(stream, folder)
+    run_batches(stream, folder, **options)
     return current_rows(spark, folder, stream.schema, keys)
 
 
@@ -220,7 +264,7 @@ def replay_sliding_velocity(
     spark: SparkSession, sf_dir: str, *, window: str = "1 hour", slide: str = "5 minutes"
 ) -> DataFrame:
     job = lambda tx: sliding_velocity_stream(tx, window=window, slide=slide)
-    found = _replayed(spark, sf_dir, "deslizante", job, ["desde", "hasta", "id_cliente"])
+    found = _replayed(spark, sf_dir, "deslizante", job, ["desde", "hasta", "id_cliente"], **ON_DISK)
     return _wall_clock(found, "desde", "hasta")
 
 

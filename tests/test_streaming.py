@@ -147,3 +147,28 @@ def test_stateless_rules_split_no_rows(spark, feed):
     assert sorted((r.id_transaccion, r.r4_hora, r.lote) for r in rows) == sorted(
         [("a0-0", False, 0), ("b200-1", True, 0), ("None1-2", False, 0), ("a241-0", True, 1)]
     )
+
+
+def test_sliding_velocity_keeps_two_states_a_row_at_most(spark, feed):
+    feed.add([("a", m % 60) for m in range(200)] + [("b", 0)])
+    stream = jobs.sliding_velocity_stream(feed.stream(), more_than=3)
+    jobs.run_batches(stream, feed.run, **jobs.ON_DISK)
+    states = spark.read.format("statestore").load(f"{feed.run}/checkpoint")
+    # A state row per window made 23 of the first client and 12 of the second.
+    assert states.count() <= 4
+
+
+@pytest.mark.parametrize("window, slide", [("1 hour", "5 minutes"), ("25 minutes", "10 minutes")])
+def test_sliding_velocity_equals_batch_after_every_batch(spark, feed, window, slide):
+    # The last of the batches comes too late for windows this short.
+    for batch in BATCHES[:3]:
+        feed.add([*batch, (None, batch[0][1])])
+        stream = jobs.sliding_velocity_stream(feed.stream(), more_than=0, window=window, slide=slide)
+        jobs.run_batches(stream, feed.run)
+        found = jobs.current_rows(spark, feed.run, stream.schema, ["desde", "hasta", "id_cliente"])
+        whole = (
+            feed.table().withColumn("fecha", F.col("fecha").cast("timestamp"))
+            .groupBy(F.window("fecha", window, slide).alias("v"), "id_cliente").agg(F.count("*").alias("total"))
+            .select("v.start", "v.end", "id_cliente", "total")
+        )
+        assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, map(tuple, whole.collect())))
