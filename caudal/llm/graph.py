@@ -10,24 +10,23 @@ from caudal.llm.common import stored
 SLICE = 512
 
 
-def join_dealt(rows: DataFrame, key: str, by: str, unique: DataFrame, how: str = "inner") -> DataFrame:
+def join_dealt(
+    rows: DataFrame, key: str, by: str, unique: DataFrame, slices: int, how: str = "inner"
+) -> DataFrame:
     """``rows``, a stored table, joined with ``unique``, which has one row per ``key``, however many
     rows share one key.
 
-    Rows are dealt by key and a hash of ``by`` over as many slices as the table has rows for; a
-    row of ``unique`` is copied to the slices that its key has rows in. No key is a task of its
+    Rows are dealt by key and a hash of ``by`` over ``slices``, as many as the table has rows for;
+    a row of ``unique`` is copied to the slices that its key has rows in. No key is a task of its
     own, and the copies are at most as many as the rows.
     """
-    slices = max(1, rows.count() // SLICE)
+    if slices <= 1:
+        return rows.join(unique, key, how)
     dealt = rows.withColumn("_slice", F.pmod(F.xxhash64(by), F.lit(slices)))
     copies = dealt.select(key, "_slice").distinct().join(unique, key)
     return dealt.join(copies, [key, "_slice"], how).drop("_slice")
 
 
-def _join(rows: DataFrame, key: str, by: str, unique: DataFrame, how: str = "inner") -> DataFrame:
-    return rows.join(unique, key, how)
-
-
 def components(edges: DataFrame, *, split_hubs: bool = False) -> DataFrame:
     """(node, component) of every node of the undirected ``edges`` (a, b); component is the
     smallest node that can be reached.
@@ -38,27 +37,28 @@ def components(edges: DataFrame, *, split_hubs: bool = False) -> DataFrame:
     table, so plans stay short.
 
     With ``split_hubs`` neither the edges of one node nor the nodes of one label come together
-    in one task of a join; it costs moving each edge's and each node's ids once more a step.
+    in one task of a join; it costs moving each edge's and each node's ids once more a step, unless
+    the graph is one slice in all.
     """
-    join = join_dealt if split_hubs else _join
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = stored(both.filter("a <> b").distinct(), "edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(
         F.least(F.first("a"), F.min("b")).alias("label")
     )
     labels = stored(labels, "labels")
+    edge_slices, node_slices = (t.count() // SLICE if split_hubs else 1 for t in (both, labels))
     while True:
         near = (
-            join(both, "b", "a", labels.withColumnRenamed("node", "b"))
+            join_dealt(both, "b", "a", labels.withColumnRenamed("node", "b"), edge_slices)
             .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         )
         taken = labels.join(near, "node").select(
             "node", F.col("label").alias("old"), F.least("label", "near").alias("mid")
         )
-        if split_hubs:
+        if node_slices > 1:
             taken = stored(taken, "labels-taken")
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        step = join(taken, "mid", "node", jump, "left").select(
+        step = join_dealt(taken, "mid", "node", jump, node_slices, "left").select(
             "node", F.least("mid", F.coalesce("far", "mid")).alias("label"),
             (F.least("mid", F.coalesce("far", "mid")) < F.col("old")).alias("changed"),
         )

@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from caudal.llm import graph
 from caudal.llm.common import maybe_in, stored
-from caudal.llm.graph import components
+from caudal.llm.graph import components, join_dealt
 from caudal.llm.shingles import digest, mix, shingle_sets, signed
 
 WORDS = 5
@@ -260,6 +261,27 @@ def remaining_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return stored(found.distinct(), "links")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of the components ``labels`` joined by more links (a, b).
+
+    Only the labels at the ends of the new links make a graph again; a node without a label is
+    its own.
+    """
+    n_links = links.count()
+    if not n_links:
+        return labels
+    ends = links.select("a", "b")
+    for end, by in (("a", "b"), ("b", "a")):
+        known = labels.select(F.col("node").alias(end), "component")
+        ends = join_dealt(ends, end, by, known, n_links // graph.SLICE, "left")
+        ends = ends.select(F.coalesce("component", end).alias(end), by).distinct()
+    further = components(ends, split_hubs=True).withColumnRenamed("component", "_to")
+    of_labels = further.withColumnRenamed("node", "component")
+    old = join_dealt(labels, "component", "node", of_labels, labels.count() // graph.SLICE, "left")
+    new = further.join(labels, "node", "left_anti").select("node", F.col("_to").alias("component"))
+    return old.select("node", F.coalesce("_to", "component").alias("component")).unionByName(new)
+
+
 def near_duplicates(
     docs: DataFrame, *, words: int = WORDS, percent: int = SIMILAR_PERCENT, k: int = SKETCH,
     id_col: str = "doc_id", text_col: str = "text",
@@ -304,9 +326,9 @@ def near_duplicates(
     )
     links = members.join(ids, "doc_id").select("a", F.col("node").alias("b")).filter("a < b")
     links = links.unionByName(confirmed(pivot_pairs(by_pivot(lists, None)), sets, k, percent))
-    entries = stored(by_pivot(lists, components(links, split_hubs=True)), "open-lists")
-    links = links.unionByName(remaining_links(entries, sets, percent))
     labels = components(links, split_hubs=True)
+    entries = stored(by_pivot(lists, labels), "open-lists")
+    labels = merged(labels, remaining_links(entries, sets, percent))
     component = F.when(
         F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")
     )

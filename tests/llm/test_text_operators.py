@@ -200,6 +200,29 @@ def test_components(spark, split_hubs, monkeypatch):
 
 # ---------------------------------------------------------------- language
 
+@pytest.mark.parametrize("slice_", [4, 512])
+def test_merged_equals_components_of_all_links(spark, slice_, monkeypatch):
+    monkeypatch.setattr(graph, "SLICE", slice_)
+    rng = random.Random(4)
+    edges = lambda n: [tuple(sorted(rng.sample(range(200), 2))) for _ in range(n)]
+    early = spark.createDataFrame(edges(60) + [(300, 300 + i) for i in range(1, 30)], "a long, b long")
+    # A hub, a bridge between components, and nodes that had no link yet.
+    late = spark.createDataFrame(edges(40) + [(1, 300 + i) for i in range(20)] + [(500, 501), (501, 502)], "a long, b long")
+    found = minhash_dedup.merged(components(early, split_hubs=True), late)
+    assert sorted(found.collect()) == sorted(components(early.unionByName(late)).collect())
+
+
+def test_a_small_graph_takes_few_tables(spark, monkeypatch):
+    """Nothing to deal, and no link left after the pivots: the driver plans one run of components."""
+    made = []
+    for module in (graph, minhash_dedup):
+        monkeypatch.setattr(module, "stored", lambda df, name: made.append(name) or stored(df, name))
+    text = " ".join(f"w{i}" for i in range(50))
+    found = near_duplicates(frame(spark, [(1, text), (2, text + " x"), (3, "other words only here")]), words=4)
+    assert tuples(found, "doc_id", "component_id") == [(1, 1), (2, 1), (3, 3)]
+    assert made.count("edges") == 1 and "labels-taken" not in made
+
+
 def test_language_accuracy_on_the_held_out_fold(spark):
     docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "lang")
     found = queries()["op3_language_id"](spark, MIDDLE).join(docs, "doc_id").filter("held_out AND lang IS NOT NULL")
