@@ -8,8 +8,8 @@ where the segment could lie if the edits before it and behind it are to stay wit
 
 A segment that many lines hold is split: what is left of each of these lines without it is within k
 edits, too, and is cut and probed in the same way. Candidates whose lengths or letter counts differ
-too much are left out where they are joined, the others are verified by a banded bit-parallel edit
-distance. Only Spark's own operations are used.
+too much are left out where they are joined, the others are verified there, once a pair, by a banded
+bit-parallel edit distance. Only Spark's own operations are used.
 """
 
 from __future__ import annotations
@@ -191,26 +191,68 @@ def split_keys(lists: DataFrame, texts: DataFrame, limit: Limit) -> DataFrame:
     ).distinct(), "line-split-lists")
 
 
-def candidate_pairs(lists: DataFrame, texts: DataFrame, limit: Limit) -> DataFrame:
-    """(a, b) of lines that share a key and whose lengths and counts allow the distance.
+def met_keys(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, mark, own, rows, columns) of the keys by which lines can meet, each line once a key, and
+    (mark, keys, owned): the keys of each line and those that are its own segments'.
 
-    Both sides are plain shuffles, so AQE deals a key that very many lines hold over slices of
-    either side.
+    ``rows`` and ``columns`` are the slices of about ``HELD`` that the key's segments and all its
+    lines make. A line has as many keys as its limit has places, whatever the input.
     """
-    marked = lists.select("key", "own", "mark").join(texts.select("line_id", "mark", "n_chars", "counts"), "mark")
-    index = marked.filter("own").select("key", F.col("line_id").alias("i"), F.col("n_chars").alias("n"), F.col("counts").alias("s"))
-    probes = marked.select(F.col("key").alias("k"), F.col("line_id").alias("p"), "own", F.col("n_chars").alias("m"), F.col("counts").alias("t"))
-    most = limit.column(F.least("n", "m"))
+    once = lists.groupBy("key", "mark").agg(F.max("own").alias("own"))
+    of_key = once.groupBy("key").agg(
+        F.min("mark").alias("low"), F.max("mark").alias("high"),
+        F.ceil(F.count_if("own") / HELD).cast("int").alias("rows"),
+        F.ceil(F.count("*") / HELD).cast("int").alias("columns"),
+    )
+    met = of_key.filter("low < high AND rows > 0").select("key", "rows", "columns")
+    entries = stored(once.join(met, "key"), "line-met-keys")
+    return entries, entries.groupBy("mark").agg(
+        F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("own"), F.col("key"))).alias("owned")
+    )
+
+
+def linked_pairs(lists: DataFrame, texts: DataFrame, limit: Limit) -> DataFrame:
+    """Links (a, b), each once: lines that share a key and are within the limit.
+
+    The join itself leaves out what lengths and counts do not allow, takes a pair under the
+    smallest key that brings it together and there compares the lines, so that it gives nothing but
+    links. The segments of a key and its lines are dealt over slices of about ``HELD``, and each
+    two slices meet in a cell of their own: a key that very many lines hold is as many tasks as it
+    has cells, and no pair of it is left out.
+    """
+    entries, of_line = met_keys(lists)
+    lines = texts.join(of_line, "mark").select("mark", "line_id", "n_chars", "counts", "line", "keys", "owned")
+    full = entries.join(lines, "mark")
+    place = F.xxhash64("line_id")
+    first, last = F.lit(0), lambda n: F.col(n) - 1
+    index = full.filter("own").select(
+        F.col("key").alias("key_i"), F.pmod(place, F.col("rows")).cast("int").alias("row_i"),
+        F.explode(F.sequence(first, last("columns"))).alias("column_i"),
+        *[F.col(c).alias(f"{c}_i") for c in ("line_id", "n_chars", "counts", "line", "keys", "owned")],
+    )
+    probes = full.select(
+        F.col("key").alias("key_p"), F.pmod(place, F.col("columns")).cast("int").alias("column_p"),
+        F.explode(F.sequence(first, last("rows"))).alias("row_p"), "own",
+        *[F.col(c).alias(f"{c}_p") for c in ("line_id", "n_chars", "counts", "line", "keys", "owned")],
+    )
+    most = limit.column(F.least("n_chars_i", "n_chars_p"))
     gap = F.lit(0)
     for at in range(len(COUNTED)):
-        gap = gap + F.abs(F.get("s", F.lit(at)).cast("int") - F.get("t", F.lit(at)).cast("int"))
-    met = index.join(
+        gap = gap + F.abs(F.get("counts_i", F.lit(at)).cast("int") - F.get("counts_p", F.lit(at)).cast("int"))
+    smallest = F.least(
+        F.array_min(F.array_intersect("owned_i", "keys_p")), F.array_min(F.array_intersect("keys_i", "owned_p"))
+    )
+    links = index.join(
         probes,
-        (F.col("key") == F.col("k")) & (F.col("i") != F.col("p"))
-        & (~F.col("own") | (F.col("i") < F.col("p")))
-        & (F.abs(F.col("n") - F.col("m")) <= most) & (gap <= 2 * most),
+        (F.col("key_i") == F.col("key_p")) & (F.col("row_i") == F.col("row_p"))
+        & (F.col("column_i") == F.col("column_p")) & (F.col("line_id_i") != F.col("line_id_p"))
+        & (~F.col("own") | (F.col("line_id_i") < F.col("line_id_p")))
+        & (F.abs(F.col("n_chars_i") - F.col("n_chars_p")) <= most) & (gap <= 2 * most)
+        & (F.col("key_i") == smallest) & within_limit(F.col("line_i"), F.col("line_p"), limit),
+    )
+    return links.select(
+        F.least("line_id_i", "line_id_p").alias("a"), F.greatest("line_id_i", "line_id_p").alias("b")
     )
-    return met.select(F.least("i", "p").alias("a"), F.greatest("i", "p").alias("b")).distinct()
 
 
 def _let(value: Column, use) -> Column:
@@ -341,12 +383,7 @@ def near_equal_lines(
     lists = shared_keys(docs, limit, **columns)
     texts = texts_of(docs, lines, lists.select("mark"), id_col, text_col)
     lists = lists.filter("NOT held").select("key", "own", "mark").unionByName(split_keys(lists, texts, limit))
-    pairs = stored(candidate_pairs(lists, texts, limit), "line-pairs")
-    both = (
-        pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("left")), "a")
-        .join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("right")), "b")
-    )
-    links = stored(both.filter(within_limit(F.col("left"), F.col("right"), limit)).select("a", "b"), "line-links")
+    links = stored(linked_pairs(lists, texts, limit), "line-links")
     degree = links.select(F.explode(F.array("a", "b")).alias("line_id")).groupBy("line_id").agg(F.count("*").alias("n_links"))
     labels = components(links).withColumnRenamed("node", "line_id")
     linked = lines.select("line_id", "place").join(labels, "line_id")
