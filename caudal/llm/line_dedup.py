@@ -1,10 +1,12 @@
 """Near-equal lines by a segment-partition edit join.
 
-How many edits k two lines may be apart follows from the shorter one's length (``Limit``). That line
-is cut into k + 1 segments of nearly equal length. k edits leave one of them untouched, so the other
-line has it as a substring, near the same place. Segments are indexed under (length, number, text);
-a line probes the index with its own substrings for each length it could match, at just the places
-where the segment could lie if the edits before it and behind it are to stay within the limit.
+How many edits k two lines may be apart follows from the shorter one's length (``Limit``). Lengths are
+dealt into classes; all lines of a class are cut into k + 1 segments of one size, the first half
+placed from the line's begin, the second from its end. k edits leave one of them untouched, so the
+other line has it as a substring, near the same place. Segments are indexed under (class, number,
+text); a line probes the index with its own substrings at just the places where the segment could
+lie if the edits before it and behind it are to stay within the limit. A line that is within k of
+the class below is in that class, too.
 
 A segment that many lines hold is split: what is left of each of these lines without it is within k
 edits, too, and is cut and probed in the same way. Candidates whose lengths or letter counts differ
@@ -23,6 +25,8 @@ from caudal.llm.graph import components
 
 # Edits allowed from a length on; shorter lines only equal themselves.
 STEPS = ((10, 1), (24, 2), (80, 3))
+# Lengths of a class for each edit of the limit.
+WIDTH = 3
 # A segment of more lines than this is split by the segments of what is left.
 HELD = 64
 # Characters that are counted to compare lines.
@@ -42,10 +46,22 @@ class Limit:
         return sorted({k for _, k in self.steps})
 
     def column(self, n: Column) -> Column:
-        most = F.lit(-1)
+        return self._step(n, lambda at, k: k)
+
+    def lowest(self, n: Column) -> Column:
+        """The first length of the class of ``n``; no class has two limits.
+
+        A class is ``WIDTH`` times as many lengths as the limit has edits: one in ``WIDTH`` lines is
+        in two classes.
+        """
+        most = F.greatest(self.column(n), F.lit(1))
+        return n - (n - self._step(n, lambda at, k: at)) % (WIDTH * most)
+
+    def _step(self, n: Column, value) -> Column:
+        found = F.lit(-1)
         for at, k in self.steps:
-            most = F.when(n >= at, k).otherwise(most)
-        return most
+            found = F.when(n >= at, value(at, k)).otherwise(found)
+        return found
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -57,55 +73,60 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", "line_no", F.btrim("raw", F.lit(WHITE)).alias("line")).filter("line <> ''")
 
 
-def _places(edits: int, shift: int) -> list[tuple[int, int]]:
-    """(number, offset) of the substrings of a line that may be a segment of one ``shift`` shorter."""
-    found = []
-    for number in range(1, edits + 2):
-        behind = edits + 1 - number
-        first, last = max(1 - number, shift - behind), min(number - 1, shift + behind)
-        found += [(number, off) for off in range(first, last + 1)]
-    return found
+def _specs(edits: int) -> Column:
+    """What a line is cut and probed by: a constant array, to be exploded.
 
-
-def _specs(*limits: int) -> Column:
-    """What a line is cut and probed by under some limits: a constant array, to be exploded."""
-    made = [
-        f"named_struct('edits', {edits}, 'shift', {shift}, 'number', {number}, 'off', {off})"
-        for edits in limits for shift in range(edits + 1) for number, off in _places(edits, shift)
-    ]
+    Some segment is untouched with at most as many edits before it as segments, and at most as many
+    behind it, so it is moved by ``reach`` at most, seen from the end of the line that is nearer.
+    ``reach`` characters behind each segment are left out of the text and may not be touched, either:
+    then the line that has them nearer to that end has a segment of its own in them, which the other
+    has 0 to ``reach`` characters further away. So probes go one way only. ``ahead`` segments and
+    ``left`` characters lie between a segment and its end.
+    """
+    reach = [min(number, edits - number) for number in range(edits + 1)]
+    made = []
+    for number in range(edits + 1):
+        from_end = number > edits - number
+        ahead = edits - number if from_end else number
+        left = sum(reach[number + 1:] if from_end else reach[:number])
+        made += [
+            f"named_struct('number', {number}, 'from_end', {str(from_end).lower()}, 'ahead', {ahead}, "
+            f"'left', {left}, 'off', {off}, 'spare', {sum(reach)})"
+            for off in range(reach[number] + 1)
+        ]
     return F.expr(f"array({', '.join(made)})")
 
 
 def _cut(lines: DataFrame, limit: Limit) -> DataFrame:
     """``lines`` (line, n_chars, ...) by the substrings that are their own segments or that probe
-    for those of shorter lines: own, key, and start (from 1), size, edits, shift, off of the text.
+    for those of other lines: own, key, and start (from 1), size, edits, low of the text.
 
-    A row per substring, so that the hash of one is all there is to an expression.
+    ``low`` is the first length of the class. A row per substring, so that the hash of one is all
+    there is to an expression.
     """
-    # Near the first length of a limit a line probes lines of the one below.
-    longest = max(limit.values)
-    specs = _specs(*limit.values)
-    for edits in limit.values:
-        only = (limit.column(F.col("n_chars")) == edits) & (limit.column(F.col("n_chars") - longest) == edits)
-        specs = F.when(only, _specs(edits)).otherwise(specs)
-    rows = lines.withColumn("spec", F.explode(specs)).select(*lines.columns, "spec.*")
-    rows = rows.withColumn("length", F.col("n_chars") - F.col("shift"))
-    rows = rows.filter(limit.column(F.col("length")) == F.col("edits"))
-    text = F.expr("substring(line, start, size)")
-    return _segments(rows).select(
-        *lines.columns, "start", "size", "edits", "shift", "off",
-        ((F.col("shift") == 0) & (F.col("off") == 0)).alias("own"),
-        F.xxhash64("length", "number", text).alias("key"),
+    # The classes of the lines that may be the shorter one of a pair.
+    shorter = [(F.col("n_chars") - shift, shift) for shift in range(max(limit.values) + 1)]
+    classes = F.array_distinct(F.array_compact(F.array(*[
+        F.when(limit.column(n) >= shift, limit.lowest(n)) for n, shift in shorter
+    ])))
+    rows = lines.withColumn("low", F.explode(classes)).withColumn("edits", limit.column(F.col("low")))
+    return _segments(rows, limit).select(
+        *lines.columns, "start", "size", "edits", "low", (F.col("off") == 0).alias("own"),
+        F.xxhash64("low", "number", F.expr("substring(line, start, size)")).alias("key"),
     )
 
 
-def _segments(rows: DataFrame) -> DataFrame:
-    """Adds start and size of segment ``number`` of ``length`` characters, moved by ``off``; the
-    last segments are longer by one."""
-    rows = rows.withColumn("short", F.expr("edits + 1 - length % (edits + 1)"))
-    begin = "(number - 1) * (length div (edits + 1)) + greatest(0, number - 1 - short) + 1 + off"
-    size = "length div (edits + 1) + if(number > short, 1, 0)"
-    return rows.withColumns({"start": F.expr(f"int({begin})"), "size": F.expr(f"int({size})")})
+def _segments(rows: DataFrame, limit: Limit) -> DataFrame:
+    """A row of ``rows`` (line, n_chars, low, edits, ...) for each segment and probe of a line whose
+    class begins at ``low``: adds number, off, start and size."""
+    specs = F.lit(None)
+    for edits in limit.values:
+        specs = F.when(F.col("edits") == edits, _specs(edits)).otherwise(specs)
+    rows = rows.withColumn("spec", F.explode(specs)).select(*rows.columns, "spec.*")
+    rows = rows.withColumn("size", F.expr("int(greatest(0, low - spare) div (edits + 1))"))
+    begin = F.expr("ahead * size + left + off")
+    start = F.when(F.col("from_end"), F.col("n_chars") - begin - F.col("size")).otherwise(begin) + 1
+    return rows.withColumn("start", start.cast("int")).drop("from_end", "ahead", "left", "spare")
 
 
 def distinct_lines(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
@@ -175,19 +196,15 @@ def split_keys(lists: DataFrame, texts: DataFrame, limit: Limit) -> DataFrame:
     few = texts.join(held.select("mark").distinct(), "mark", "left_semi")
     placed = _cut(few.select("mark", "line", "n_chars"), limit)
     placed = placed.join(held.select("key").distinct(), "key", "left_semi")
+    # The same is taken from all lines of a key, so what is left is of one class, too.
     rest = placed.select(
-        "key", "mark", "own", "edits", "shift",
+        "key", "mark", "edits", (F.col("low") - F.col("size")).alias("low"),
+        (F.col("n_chars") - F.col("size")).alias("n_chars"),
         F.expr("concat(substring(line, 1, start - 1), substring(line, start + size))").alias("line"),
     )
-    # All that is known of the pair so far is the difference of the lengths, as before.
-    specs = F.explode(_specs(*limit.values)).alias("spec")
-    rows = rest.select("*", specs).filter("spec.edits = edits AND spec.shift = shift").select(
-        "key", "mark", "own", "edits", "line", "spec.number", "spec.off",
-        (F.char_length("line") - F.col("shift")).alias("length"),
-    )
-    return stored(_segments(rows).select(
+    return stored(_segments(rest, limit).select(
         F.xxhash64("key", "number", F.expr("substring(line, start, size)")).alias("key"),
-        (F.col("own") & (F.col("off") == 0)).alias("own"), "mark",
+        (F.col("off") == 0).alias("own"), "mark",
     ).distinct(), "line-split-lists")
 
 
@@ -264,7 +281,8 @@ def within_edits(left: Column, right: Column, edits: int) -> Column:
     """Whether two texts are at most ``edits`` insertions, deletions or substitutions apart.
 
     A band of 2 ``edits`` + 1 cells of the distance table is kept as bits of one number and
-    updated for a whole column at once. Common beginnings and ends are cut off first.
+    updated for a whole column at once. Common beginnings and ends are cut off first. A pair that is
+    surely too far apart is not followed further.
     """
     swap = F.char_length(left) > F.char_length(right)
     pair = F.struct(
@@ -350,7 +368,11 @@ def _banded(a: Column, b: Column, edits: int) -> Column:
             (state["distance"] + change).cast("long").alias("distance"),
         )
 
-    done = F.aggregate(F.sequence(F.lit(1), columns), begin, column)
+    def followed(state: Column, j: Column) -> Column:
+        # Cells of a column differ by 2 ``edits`` at most, so none of them is within ``edits`` then.
+        return F.when(state["distance"] > 3 * edits, state).otherwise(column(state, j))
+
+    done = F.aggregate(F.sequence(F.lit(1), columns), begin, followed)
     return (columns - rows <= edits) & (done["distance"] <= edits)
 
 

@@ -486,6 +486,44 @@ def test_near_copies_make_no_more_pairs_than_links(spark, monkeypatch):
     assert pairs == [sum(got.values()) // 2]
 
 
+@pytest.mark.parametrize("steps", [STEPS, WIDE])
+def test_near_lines_meet_under_few_keys(spark, steps):
+    rng = random.Random(31)
+    allowed = lambda n: max((k for at, k in steps if n >= at), default=0)
+    pairs = []
+    for n in [*range(10, 100), *range(156, 176), *range(285, 300)]:
+        base = "".join(rng.choices("abcdefghij", k=n))
+        k = allowed(n)
+        cuts = sorted(rng.sample(range(n + 1), k))
+        spread = "#".join(base[i:j] for i, j in zip([0, *cuts], [*cuts, n]))
+        pairs += [(base, spread), (base, "#" * k + base), (base, base + "#" * k), (base, edited(rng, base, k)), (spread[:n], base)]
+    pairs = [(a, b) for a, b in pairs if edit_distance(a, b) <= allowed(min(len(a), len(b)))]
+    rows = [(i, side, line, len(line)) for i, p in enumerate(pairs) for side, line in enumerate(p)]
+    df = spark.createDataFrame(rows, "pair int, side int, line string, n_chars int")
+    entries = line_dedup._cut(df, line_dedup.Limit(steps)).select("pair", "side", "own", "key").collect()
+    keys, owned = collections.defaultdict(set), collections.defaultdict(set)
+    for r in entries:
+        keys[r["pair"], r["side"]].add(r["key"])
+        if r["own"]:
+            owned[r["pair"], r["side"]].add(r["key"])
+    for i, p in enumerate(pairs):
+        assert owned[i, 0] & keys[i, 1] or keys[i, 0] & owned[i, 1], p
+    # Up to 26 keys a line of three edits were shuffled, a third of that is enough.
+    assert len(entries) < 9 * len(rows)
+
+
+def test_distance_of_texts_far_apart(spark):
+    rng = random.Random(32)
+    pairs = []
+    for _ in range(150):
+        a = "".join(rng.choices("abc", k=rng.randint(20, 50)))
+        pairs += [(a, "".join(rng.choices("abc", k=len(a)))), (a, "x" * rng.randint(1, 4) + a), (a, a[::-1]), (a, a[rng.randint(1, 4):] + "x")]
+    df = spark.createDataFrame(pairs, "l string, r string")
+    df = df.select("l", "r", *[within_edits(F.col("l"), F.col("r"), k).alias(f"w{k}") for k in (1, 3, 4)])
+    for r in df.collect():
+        assert [r["w1"], r["w3"], r["w4"]] == [edit_distance(r["l"], r["r"]) <= k for k in (1, 3, 4)], (r["l"], r["r"])
+
+
 def test_very_long_lines(spark):
     base = "word and some more of it " * 4_000
     rows = [(1, base), (2, base[:50_000] + "#" + base[50_000:]), (3, "xyz" + base), (4, "wxyz" + base), (5, base[:-2_000])]
